@@ -208,7 +208,7 @@ def _oracle() -> str:
     return rf"""
 WITH sizes AS (
   SELECT doc_id, source, len(list_filter(regexp_split_to_array(coalesce(text, ''), '[ 	-
-]+'), x -> x <> ''))::BIGINT AS size FROM documents),
+]+'), lambda x: x <> ''))::BIGINT AS size FROM documents),
 s0 AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS source_no FROM s0),
 s2 AS (SELECT *, CASE source_no % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, ({CAP} * source_size)::DOUBLE AS most FROM s1),

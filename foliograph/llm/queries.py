@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import line_dedup, mixing
+from foliograph.llm import line_dedup, mixing, piece_codec, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op6_mixing": mixing.op6_mixing,
+        "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op10_piece_codec": piece_codec.op10_piece_codec,
     }
 
 
