@@ -55,7 +55,8 @@ def _line_hashes(keyed: DataFrame, min_key: int) -> DataFrame:
 def drop_bitmaps(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_key: int = MIN_KEY) -> DataFrame:
     """One row per document that loses lines: doc, row_hash, n_dropped and ``runs``, an array of (start, length) of dropped lines."""
     spark = docs.sparkSession
-    lines = _line_hashes(_keyed(docs, id_col, text_col), min_key)
+    # hashes are written once: counting, sampling for ranges and dealing read these narrow rows, not the texts
+    lines = written(_line_hashes(_keyed(docs, id_col, text_col), min_key), "line-hashes")
     counted = lines.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc").alias("first_doc"), F.max("doc").alias("last_doc"))
     repeated = written(counted.filter("first_doc < last_doc").select("h1", "h2", "n", "first_doc"), "line-keys")
     total = repeated.agg(F.sum("n")).first()[0] or 0
