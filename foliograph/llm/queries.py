@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import line_dedup, mixing, piece_codec, secret_scan
+from foliograph.llm import jaccard_join, line_dedup, mixing, piece_codec, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_mixing": mixing.op6_mixing,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_piece_codec": piece_codec.op10_piece_codec,
     }
 
