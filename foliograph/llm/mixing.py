@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliograph.workspace import written
+from foliograph.workspace import shuffle_partitions, written
 
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -118,9 +118,9 @@ def _slots(sources: DataFrame, keys: Column) -> DataFrame:
     extra = hit.groupBy("source_no").agg(F.count("*").alias("extra"))
     # counts of one source over shards follow one another, so its slots are numbered 0 .. whole*shards+extra-1
     counts = s.join(extra, "source_no", "left").select("source_no", "n_blocks", F.least(F.col("whole") * shards + F.coalesce("extra", F.lit(0)), F.col("n_blocks") * CAP).alias("n"))
-    chunk = 65536
+    chunk = 4096
     ranges = counts.filter("n > 0").select("source_no", "n_blocks", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / chunk))).alias("c"))
-    ranges = ranges.repartition(F.col("source_no"), F.col("c")).withColumn("keys", keys)
+    ranges = ranges.repartition(shuffle_partitions(spark), "source_no", "c").withColumn("keys", keys)
     return ranges.select("source_no", "n_blocks", "keys", F.explode(F.sequence(F.col("c") * chunk, F.least(F.col("n"), (F.col("c") + 1) * chunk) - 1)).alias("k"))
 
 
