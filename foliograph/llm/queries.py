@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import jaccard_join, line_dedup, mixing, piece_codec, secret_scan
+from foliograph.llm import jaccard_join, line_dedup, mixing, piece_codec, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_mixing": mixing.op6_mixing,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_line_dedup": line_dedup.op8_line_dedup,
