@@ -6,7 +6,8 @@ are compared in constant time, and the longest common extension of two positions
 one text or two, is found by binary search.
 
 A fingerprint is made from the same arrays: the number of characters, the hash of the
-whole text and the KEPT smallest mixed hashes of all spans of SPAN characters. Two
+whole text and the KEPT smallest mixed hashes of all spans of SPAN characters, counted as often as they
+occur. Two
 fingerprints' likeness is the share of equal hashes among the KEPT smallest of both,
 which estimates the Jaccard similarity of the texts' spans; equal fingerprints have 1.
 Texts under 4 * SPAN characters use spans of a quarter of their length.
@@ -37,7 +38,7 @@ BASES = (1105378049, 872514239)
 SPAN = 8
 KEPT = 64
 CUTS = 8192
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+_MIX, _AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 
 
 class Powers:
@@ -119,6 +120,11 @@ def sketch(hashes: PrefixHashes) -> np.ndarray:
     if not hashes.n:
         return np.zeros(0, np.uint32)
     h = hashes.all_spans(min(SPAN, max(1, hashes.n // 4)))
+    # the second occurrence of a span counts as another span, the third too, so repetition weighs as in the text
+    h.sort()
+    at = np.arange(len(h))
+    first = np.maximum.accumulate(np.where(np.r_[True, h[1:] != h[:-1]], at, 0))
+    h += (at - first).astype(np.uint64) * _AGAIN
     h ^= h >> np.uint64(29)
     h *= _MIX
     mixed = (h >> np.uint64(32)).astype(np.uint32)
