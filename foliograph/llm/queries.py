@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import fingerprint, jaccard_join, line_dedup, mixing, piece_codec, secret_scan, toxicity
+from foliograph.llm import ann_forest, fingerprint, jaccard_join, line_dedup, mixing, piece_codec, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprint": fingerprint.op1_fingerprint,
+        "op2_ann_forest": ann_forest.op2_ann_forest,
         "op4_toxicity": toxicity.op4_toxicity,
         "op6_mixing": mixing.op6_mixing,
         "op7_secret_scan": secret_scan.op7_secret_scan,
