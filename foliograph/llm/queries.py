@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import ann_forest, fingerprint, jaccard_join, line_dedup, mixing, piece_codec, secret_scan, toxicity
+from foliograph.llm import ann_forest, fingerprint, hmm_lm, jaccard_join, line_dedup, mixing, piece_codec, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_ann_forest": ann_forest.op2_ann_forest,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_hmm_lm": hmm_lm.op5_hmm_lm,
         "op6_mixing": mixing.op6_mixing,
         "op7_secret_scan": secret_scan.op7_secret_scan,
         "op8_line_dedup": line_dedup.op8_line_dedup,
