@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import ann_forest, fingerprint, hmm_lm, jaccard_join, line_dedup, mixing, piece_codec, secret_scan, toxicity
+from foliograph.llm import ann_forest, fingerprint, hmm_lm, jaccard_join, license_scan, line_dedup, mixing, piece_codec, secret_scan, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_fingerprint": fingerprint.op1_fingerprint,
         "op2_ann_forest": ann_forest.op2_ann_forest,
+        "op3_license_scan": license_scan.op3_license_scan,
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_hmm_lm": hmm_lm.op5_hmm_lm,
         "op6_mixing": mixing.op6_mixing,
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_license_scan": license_scan.ORACLE,
         "op6_mixing": mixing.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
     }
