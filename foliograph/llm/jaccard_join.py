@@ -295,7 +295,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     with a null doc_id stay."""
     keep = near_duplicates(docs, threshold=threshold).filter("doc_id = class_id").select("doc_id").distinct()
     kept = docs.join(keep, "doc_id", "left_semi").withColumn("__hash", F.xxhash64("text"))
-    return kept.dropDuplicates(["doc_id", "__hash"]).drop("__hash").unionByName(docs.filter("doc_id IS NULL"))
+    once = kept.dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
+    return once.union(docs.filter("doc_id IS NULL"))
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -99,6 +99,18 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def deduplicated(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
+    """The rows and columns of ``docs`` (doc_id, text, any others) with repeated lines dropped from text; n_chars follows where it is there."""
+    own = {"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__hash": F.xxhash64(F.coalesce("text", F.lit("")))}
+    rows = docs.withColumns(own)
+    maps = drop_bitmaps(docs.select("doc_id", "text"), min_key=min_key).select(F.col("doc").alias("__doc"), F.col("row_hash").alias("__hash"), F.col("runs").alias("__runs"))
+    both = rows.join(maps, ["__doc", "__hash"], "left")
+    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(_kept_lines(F.col("text"), F.col("__runs")), "\n"))
+    both = both.withColumn("text", text)
+    new = {"n_chars": F.length("text").cast("long")}
+    return both.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:
     found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -289,8 +289,10 @@ def encoded(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
     return d.mapInArrow(run, "doc_id long, ids array<int>")
 
 
-def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row: encoded, then decoded from the ids."""
+def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids of every row: encoded, then decoded from the ids."""
+
+    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
 
     def run(batches):
         import pyarrow as pa
@@ -302,18 +304,18 @@ def digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str =
             for a, b in _slices(texts):
                 ids, counts = table.encode(texts[a:b])
                 own = np.split(ids, np.cumsum(counts)[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(a, b - a),
-                        pa.array(counts),
-                        pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own]),
-                        pa.array([hashlib.sha256(decode(model, x).encode()).hexdigest() for x in own]),
-                    ],
-                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-                )
+                columns = [
+                    batch.column(0).slice(a, b - a),
+                    pa.array(counts),
+                    pa.array([hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in own]),
+                    pa.array([hashlib.sha256(decode(model, x).encode()).hexdigest() for x in own]),
+                ]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids)))
+                yield pa.RecordBatch.from_arrays(columns, names)
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return d.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
 
 def default_model() -> str:

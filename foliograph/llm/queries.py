@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from foliograph.llm import ann_forest, fingerprint, hmm_lm, jaccard_join, license_scan, line_dedup, mixing, piece_codec, secret_scan, toxicity
@@ -21,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_piece_codec": piece_codec.op10_piece_codec,
+        "pipeline": corpus_pipeline.run,
     }
 
 
@@ -29,4 +31,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": license_scan.ORACLE,
         "op6_mixing": mixing.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
+        **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     }

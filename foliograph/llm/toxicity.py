@@ -28,6 +28,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 NGRAMS = (3, 4, 5)
 BITS = 17
@@ -175,19 +176,20 @@ def train(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_L
     return fit([r["text"] for r in rows], y, weight[y])
 
 
-def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
-    """doc_id and score of every row of docs (doc_id, text)."""
+def with_scores(docs: DataFrame, model: SubwordModel, name: str = "score", text_col: str = "text") -> DataFrame:
+    """Every row and column of ``docs`` and, last, its score under ``name`` (which docs must not have)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
 
         m, known = shared.value, {}
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(at)
             out = np.empty(len(texts))
             for low in range(0, len(texts), 256):
-                lists = [words_of(t) for t in texts[low : low + 256]]
+                lists = [words_of(t.as_py()) for t in texts[low : low + 256]]
                 new = list({w for ws in lists for w in ws if w not in known})
                 if len(known) + len(new) > WORDS_KEPT:
                     known.clear()
@@ -196,18 +198,30 @@ def score(docs: DataFrame, model: SubwordModel) -> DataFrame:
                     some = new[k : k + 65536]
                     known.update(zip(some, m.word_logits(some).tolist(), strict=True))
                 for i, ws in enumerate(lists):
-                    z = m.bias + (sum(map(known.__getitem__, ws)) / len(ws) if ws else 0.0)
-                    out[low + i] = z
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))))], ["doc_id", "score"])
+                    out[low + i] = m.bias + (sum(map(known.__getitem__, ws)) / len(ws) if ws else 0.0)
+            score = pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))))
+            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])
 
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    return d.mapInArrow(run, "doc_id long, score double")
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text, any others) that the classifier scores below ``threshold``."""
+    name = "__score"
+    while name in docs.columns:
+        name += "_"
+    return with_scores(docs, _trained(docs, labels), name).filter(F.col(name) < threshold).drop(name)
+
+
+def _trained(docs: DataFrame, labels: DataFrame) -> SubwordModel:
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return train(d, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label")))
 
 
 def toxic_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs (doc_id, text); labels: doc_id, label."""
-    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = score(d, train(d, labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("label").cast("int").alias("label"))))
+    d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    found = with_scores(d, _trained(docs, labels)).drop("text")
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
