@@ -87,6 +87,7 @@ class PieceModel:
         text = [b"" if special[i] and i != model.unk_id() else bytes([int(p[3:5], 16)]) if is_byte[i] else p.replace(MARK, " ").encode() for i, p in enumerate(pieces)]
         if model.unk_id() >= 0:
             text[model.unk_id()] = " ⁇ ".encode()
+        self.marked = np.array([p.startswith(MARK) for p in pieces])
         self.out_len = np.array([len(t) for t in text], np.int64)
         self.out_at = np.cumsum(self.out_len) - self.out_len
         self.out = np.frombuffer(b"".join(text), np.uint8)
@@ -231,7 +232,7 @@ def decode(model: PieceModel, ids: np.ndarray) -> str:
     lengths = model.out_len[ids]
     raw = model.out[_ranges(model.out_at[ids], lengths)].tobytes()
     seen = ids[(ids != model.bos) & (ids != model.eos)]
-    if len(seen) and raw[:1] == b" " and model.out[model.out_at[seen[0]]] == 32:
+    if len(seen) and model.marked[seen[0]]:
         raw = raw[1:]
     try:
         return raw.decode()

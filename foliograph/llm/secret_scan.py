@@ -37,7 +37,7 @@ KINDS = ("assign", "access", "hex", "markov")
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 STATES = len(ALPHABET)
-SMOOTHING = 0.5
+SMOOTHING, LEAN = 0.5, 20.0
 #: Log-odds that outweigh a prior of about one random string in 10**5 runs.
 THRESHOLD = 12.0
 SAMPLE_DOCS = 2000
@@ -51,18 +51,21 @@ def _pairs(values: DataFrame) -> DataFrame:
 
 
 def train(samples: DataFrame) -> list[float]:
-    """ALPHABET² log-likelihood ratios, random over identifier, of a character after another, from samples (value, label)."""
-    counts = {0: [SMOOTHING] * STATES**2, 1: [SMOOTHING] * STATES**2}
+    """ALPHABET² log-likelihood ratios, random over identifier, of a character after another, from samples (value, label).
+
+    A model's P(b | a) leans on how often b comes at all in its samples, with the weight of LEAN pairs."""
+    counts = {0: [0.0] * STATES**2, 1: [0.0] * STATES**2}
     at = {c: i for i, c in enumerate(ALPHABET)}
     for label, pair, n in _pairs(samples.filter(F.col("value").rlike(r"^[A-Za-z0-9+/_=-]+$"))).collect():
         if label in counts and len(pair) == 2 and pair[0] in at and pair[1] in at:
             counts[label][at[pair[0]] * STATES + at[pair[1]]] += n
-    out = []
-    for a in range(STATES):
-        row = slice(a * STATES, (a + 1) * STATES)
-        random, plain = counts[1][row], counts[0][row]
-        out += [math.log(r / sum(random)) - math.log(p / sum(plain)) for r, p in zip(random, plain, strict=True)]
-    return out
+    logs = {}
+    for label, pairs in counts.items():
+        often = [SMOOTHING + sum(pairs[b::STATES]) for b in range(STATES)]
+        often = [x / sum(often) for x in often]
+        rows = [sum(pairs[a * STATES : (a + 1) * STATES]) for a in range(STATES)]
+        logs[label] = [math.log((pairs[a * STATES + b] + LEAN * often[b]) / (rows[a] + LEAN)) for a in range(STATES) for b in range(STATES)]
+    return [r - p for r, p in zip(logs[1], logs[0], strict=True)]
 
 
 def random_strings(spark: SparkSession, n: int = GENERATED) -> DataFrame:
@@ -73,14 +76,17 @@ def random_strings(spark: SparkSession, n: int = GENERATED) -> DataFrame:
 
 
 def identifiers(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """Token runs of about ``sample_docs`` documents chosen by hash (all, if there are fewer), without rule matches, labelled 0."""
+    """Token runs, and names of three words joined by underscores, of about ``sample_docs`` documents chosen by hash (all, if there are fewer), without rule matches, labelled 0."""
     rows = max(1, docs.count())
     share = min(1.0, sample_docs / rows)
     few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
     text = F.coalesce("text", F.lit(""))
     for rule in (ASSIGN, ACCESS, HEX):
         text = F.regexp_replace(text, rule, " ")
-    return few.select(F.explode(F.regexp_extract_all(text, F.lit(TRAIN_RUN), F.lit(0))).alias("value"), F.lit(0).alias("label"))
+    # runs with more digits aren't labelled: a secret no rule knows would teach the wrong model
+    words = F.filter(F.regexp_extract_all(text, F.lit(TRAIN_RUN), F.lit(0)), lambda x: ~x.rlike("[0-9].*[0-9].*[0-9]"))
+    names = F.transform(F.regexp_extract_all(text, F.lit("[A-Za-z]+ [A-Za-z]+ [A-Za-z]+"), F.lit(0)), lambda x: F.translate(x, " ", "_"))
+    return few.select(F.explode(F.concat(words, names)).alias("value"), F.lit(0).alias("label"))
 
 
 def _numbers(values, kind: str) -> Column:
