@@ -22,6 +22,7 @@ table; extra columns, whatever their names, are ignored.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass
 
@@ -37,7 +38,9 @@ DIMS = 8
 #: Rows of label 0 and of label 1 that training sees at most, about.
 PER_LABEL = (5000, 2500)
 SAMPLE_CHARS = 32_000_000
-EPOCHS, BATCH, RATE = 12, 128, 0.3
+EPOCHS, BATCH, RATE = 12, 128, 1.5
+#: Small samples are gone through until the vectors have had this many updates.
+LEAST_UPDATES = 600
 #: n-grams in fewer texts of the sample keep no vector: they could only be learned by heart.
 MIN_TEXTS = 5
 WORDS_KEPT = 400_000
@@ -121,6 +124,7 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int =
     soft_seen, bias_seen = np.full((DIMS, 2), 1e-8), np.full(2, 1e-8)
     soft[:, 1] = rng.normal(0, 0.1, DIMS)
     weights = weights / weights.mean()
+    epochs = max(epochs, math.ceil(LEAST_UPDATES * BATCH / max(BATCH, len(texts))))
     for epoch in range(epochs):
         rate = RATE * (1 - epoch / epochs)
         order = rng.permutation(len(texts))
