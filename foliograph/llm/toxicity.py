@@ -24,6 +24,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,8 +37,8 @@ BITS = 17
 BUCKETS = 1 << BITS
 DIMS = 8
 #: Rows of label 0 and of label 1 that training sees at most, about.
-PER_LABEL = (5000, 2500)
-SAMPLE_CHARS = 32_000_000
+PER_LABEL = (4000, 2000)
+SAMPLE_CHARS = 20_000_000
 EPOCHS, BATCH, RATE = 12, 128, 1.5
 #: Small samples are gone through until the vectors have had this many updates.
 LEAST_UPDATES = 600
@@ -82,6 +83,12 @@ def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return bucket[order].astype(np.int64), owner[order]
 
 
+def _runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The numbers of the runs start .. start+length-1, one run after another."""
+    ends = np.cumsum(lengths)
+    return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
 @dataclass
 class SubwordModel:
     """What scoring needs of embeddings and softmax: each bucket's share of the logit, and the bias."""
@@ -102,23 +109,32 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int =
     if len(set(labels.tolist())) < 2:
         return SubwordModel(np.zeros(BUCKETS, np.float32), prior)
     rng = np.random.Generator(np.random.PCG64(seed))
-    ids, parts, sizes = [], [], []
+    # texts as (word, share) lists over one vocabulary, words as bucket lists: small beside texts as buckets
+    number: dict[str, int] = {}
+    bags = []
     for text in texts:
-        words, times = np.unique(np.array(words_of(text), dtype=object), return_counts=True) if words_of(text) else ([], np.zeros(0))
-        bucket, owner = subwords(list(words)) if len(words) else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        each = times / max(1, times.sum()) / np.maximum(1, np.bincount(owner, minlength=len(words)))
-        own, inverse = np.unique(bucket, return_inverse=True)
-        ids.append(own.astype(np.int32))
-        parts.append(np.bincount(inverse, each[owner], len(own)).astype(np.float32) if len(own) else np.zeros(0, np.float32))
-        sizes.append(len(own))
-    starts = np.r_[0, np.cumsum(sizes)]
-    flat, part = np.concatenate(ids), np.concatenate(parts)
-    del ids, parts
-    common = np.bincount(flat, minlength=BUCKETS)[flat] >= MIN_TEXTS
-    starts = np.r_[0, np.cumsum(common)][starts]
-    flat, part = flat[common], part[common]
+        found = Counter(words_of(text))
+        word = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int32, len(found))
+        times = np.fromiter(found.values(), np.float32, len(found))
+        bags.append((word, times / max(1.0, float(times.sum()))))
+    starts = np.r_[0, np.cumsum([len(w) for w, _ in bags])]
+    word, share = (np.concatenate([bag[k] for bag in bags]) for k in (0, 1))
+    vocabulary = list(number)
+    del number, bags
+    pieces = [subwords(vocabulary[k : k + 20_000]) for k in range(0, len(vocabulary), 20_000)]
+    of_word = np.concatenate([np.bincount(owner, minlength=min(20_000, len(vocabulary) - 20_000 * i)) for i, (_, owner) in enumerate(pieces)]) if pieces else np.zeros(0, np.int64)
+    bucket = np.concatenate([b.astype(np.int32) for b, _ in pieces]) if pieces else np.zeros(0, np.int32)
+    del pieces, vocabulary
+    at = np.cumsum(of_word) - of_word
+    held_by = np.zeros(BUCKETS, np.int32)  # how many texts have a bucket
+    for i in range(len(texts)):
+        own = word[starts[i] : starts[i + 1]]
+        held_by[np.unique(bucket[_runs(at[own], of_word[own])])] += 1
+    common = held_by[bucket] >= MIN_TEXTS
+    kept = np.r_[0, np.cumsum(common)]
+    bucket, at, some = bucket[common], kept[at], kept[at + of_word] - kept[at]
     vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
-    vectors[np.bincount(flat, minlength=BUCKETS) == 0] = 0
+    vectors[held_by < MIN_TEXTS] = 0
     seen = np.full((BUCKETS, 1), 1e-8, np.float32)
     soft, bias = np.zeros((DIMS, 2)), np.array([0.0, prior])
     soft_seen, bias_seen = np.full((DIMS, 2), 1e-8), np.full(2, 1e-8)
@@ -131,9 +147,12 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int =
         for low in range(0, len(order), BATCH):
             rows = np.sort(order[low : low + BATCH])
             n = np.diff(starts)[rows]
-            at = np.arange(int(n.sum())) + np.repeat(starts[rows] - (np.cumsum(n) - n), n)
-            row, bucket, x = np.repeat(np.arange(len(rows)), n), flat[at], part[at]
-            mean = np.stack([np.bincount(row, vectors[bucket, k] * x, len(rows)) for k in range(DIMS)], axis=1)
+            entry, row = _runs(starts[rows], n), np.repeat(np.arange(len(rows)), n)
+            used, of = np.unique(word[entry], return_inverse=True)
+            x, size = share[entry], np.maximum(1, of_word[used])
+            owner, own = np.repeat(np.arange(len(used)), some[used]), bucket[_runs(at[used], some[used])]
+            means = [np.bincount(owner, vectors[own, k], len(used)) / size for k in range(DIMS)]
+            mean = np.stack([np.bincount(row, m[of] * x, len(rows)) for m in means], axis=1)
             z = mean @ soft + bias
             z -= z.max(axis=1, keepdims=True)
             p = np.exp(z)
@@ -141,7 +160,8 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int =
             p[np.arange(len(rows)), labels[rows]] -= 1
             p *= weights[rows, None]
             g_soft, g_bias, g_mean = mean.T @ p, p.sum(axis=0), p @ soft.T
-            grad = np.stack([np.bincount(bucket, g_mean[row, k] * x, BUCKETS) for k in range(DIMS)], axis=1)
+            of_words = [np.bincount(of, g_mean[row, k] * x, len(used)) / size for k in range(DIMS)]
+            grad = np.stack([np.bincount(own, g[owner], BUCKETS) for g in of_words], axis=1)
             seen += (grad**2).mean(axis=1, keepdims=True)
             vectors -= (rate * grad / np.sqrt(seen)).astype(np.float32)
             soft_seen += g_soft**2
@@ -171,13 +191,13 @@ def train(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_L
     chars = few.agg(F.sum(F.length("text"))).first()[0] or 0
     if chars > sample_chars:  # shrinks both labels alike
         few = few.filter(F.col("place") * chars < limit * sample_chars)
-    rows = few.select("label", "text").collect()
-    y = np.array([r["label"] for r in rows], np.int64)
+    rows = few.select("label", "text").toArrow()
+    y = rows.column("label").to_numpy().astype(np.int64)
     if not len(y):
         return SubwordModel(np.zeros(BUCKETS, np.float32), 0.0)
     got = np.bincount(y, minlength=2)
     weight = np.array([counts.get(k, 0) / total / max(1, got[k]) for k in (0, 1)]) * len(y)
-    return fit([r["text"] for r in rows], y, weight[y])
+    return fit(rows.column("text").to_pylist(), y, weight[y])
 
 
 def with_scores(docs: DataFrame, model: SubwordModel, name: str = "score", text_col: str = "text") -> DataFrame:
