@@ -5,33 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from foliograph.workspace import table
+from foliograph.plans import page_queries
 
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return content_duplicates(spark, sf_dir)
+_MODULES = (page_queries,)
 
 
-def content_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts held by more than one document: how many documents hold each and the smallest id."""
-    docs = table(spark, sf_dir, "documents")
-    return (
-        docs.select("doc_id", F.sha2("text", 256).alias("text_sha256"))
-        .groupBy("text_sha256")
-        .agg(F.count("*").alias("n_docs"), F.min("doc_id").alias("first_doc_id"))
-        .filter("n_docs > 1")
-    )
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which links of the corpus lead to pages that don't exist, and was the target ever a page of the source?"""
+    return page_queries.internal_links_broken(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"content_duplicates": content_duplicates}
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
-        "content_duplicates": """
-            SELECT sha256(text) AS text_sha256, count(*) AS n_docs, min(doc_id) AS first_doc_id
-            FROM documents GROUP BY 1 HAVING count(*) > 1"""
-    }
+    return {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
