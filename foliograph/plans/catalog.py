@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.plans import page_queries
+from foliograph.plans import corpus_queries, page_queries, table_queries
 
-_MODULES = (page_queries,)
+_MODULES = (page_queries, corpus_queries, table_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
