@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 # Latin letters with marks and what is left of them; ligatures and sharp s apart.
 MARKED = "ÀÁÂÃÄÅàáâãäåÇçÈÉÊËèéêëÌÍÎÏìíîïÑñÒÓÔÕÖòóôõöÙÚÛÜùúûüÝýÿ"
 PLAIN = "AAAAAAaaaaaaCcEEEEeeeeIIIIiiiiNnOOOOOoooooUUUUuuuuYyy"
+# Typographic quotes and wide spaces with what stands for them, and characters without width.
+QUOTES_AND_SPACES = "\u2018\u2019\u201a\u201c\u201d\u201e\u00a0\u202f\u2007"
+PLAIN_QUOTES_AND_SPACES = "'''" + '"""' + "   "
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 # Shapes of credentials and personal tokens.
 SECRETS = (
     ("private-key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
@@ -23,8 +27,7 @@ SECRETS = (
 
 def prose(text: Column) -> Column:
     """Straight quotes, ordinary spaces, no zero-width characters, single spaces."""
-    plain = F.translate(text, "‘’‚“”„   ", "''''" + '""' + "   ")
-    plain = F.regexp_replace(F.translate(plain, "​‌‍﻿", ""), "[“”„]", '"')
+    plain = F.translate(F.translate(text, QUOTES_AND_SPACES, PLAIN_QUOTES_AND_SPACES), ZERO_WIDTH, "")
     return F.trim(F.regexp_replace(plain, r"[ \t\r\n\x0B\f]+", " "))
 
 

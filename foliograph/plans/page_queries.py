@@ -59,8 +59,9 @@ SPACES = r"[ \t\r\n\x0B\f]+"
 
 
 def sql_prose(x: str) -> str:
-    plain = f"translate({x}, '‘’‚“”„   ', '''''''' || '\"\"' || '   ')"
-    return f"trim(regexp_replace(regexp_replace(translate({plain}, '​‌‍﻿', ''), '[“”„]', '\"', 'g'), '{SPACES}', ' ', 'g'))"
+    plain_marks = text.PLAIN_QUOTES_AND_SPACES.replace("'", "''")
+    plain = f"translate(translate({x}, '{text.QUOTES_AND_SPACES}', '{plain_marks}'), '{text.ZERO_WIDTH}', '')"
+    return f"trim(regexp_replace({plain}, '{SPACES}', ' ', 'g'))"
 
 
 HEADINGS = rf"""

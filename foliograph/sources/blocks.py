@@ -158,6 +158,9 @@ _KINDS = {"p": "paragraph", "li": "listItem", "td": "tableCell", "th": "tableCel
 #: An opening tag of the value's set ends an open one of the key: the end tags that HTML lets writers leave out.
 _IMPLIED = {"p": _TEXTUAL | {"ul", "ol", "table", "div", "section", "article", "hr", "footer", "nav"}, "li": {"li"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}}
 
+#: What the end of a container ends with it.
+_ENDS = {**dict.fromkeys(("ul", "ol"), ("p", "li")), "dl": ("p", "dd", "dt"), **dict.fromkeys(("tr", "table"), ("p", "td", "th")), **dict.fromkeys(("div", "section", "article", "main", "nav", "footer", "header", "body"), ("p",))}
+
 
 class _Html(HTMLParser):
     def __init__(self) -> None:
@@ -199,6 +202,9 @@ class _Html(HTMLParser):
             if tag == self.skip[-1]:
                 self.skip.pop()
             return
+        for inner in _ENDS.get(tag, ()):
+            while self.open_ and self.open_[-1][0] == inner:
+                self._end()
         if any(t == tag for t, _, _ in self.open_):
             while self.open_:
                 last = self.open_[-1][0]

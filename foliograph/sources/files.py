@@ -13,7 +13,9 @@ LIMITS = {"file_bytes": 200 * 2**20, "all_bytes": 2**30, "files": 100_000}
 
 
 def scan(spark: SparkSession, root: str, pattern: str | None = PAGES) -> DataFrame:
-    """path (below root), bytes, content of the files below ``root`` whose path matches, without skipped directories."""
+    """path (below root), bytes, content of the files below ``root`` whose path matches, without skipped directories.
+
+    Spark's readers pass over names that start with a dot or an underscore."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = F.regexp_replace(F.lit(root), "^[a-z]+:/+|/+$", "")
     whole = F.regexp_replace("path", "^[a-z]+:/+", "")
