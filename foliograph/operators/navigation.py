@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliograph.operators.order import placed
+from foliograph.workspace import written
+
 #: What a container may hold.
 ALLOWED = {"version": ("language", "tab", "group", "page"), "language": ("tab", "group", "page"), "tab": ("group", "page"), "group": ("group", "page"), "product": ("version", "language", "tab", "group", "page")}
 
@@ -46,11 +49,10 @@ def sidebar(nodes: DataFrame, hidden: str | None = None) -> DataFrame:
     for _ in range(64):
         up = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("up_path"), F.col("key").alias("up_key"))
         level = n.join(up, "parent_id").select("node_id", "label", "page_id", F.concat_ws("/", "up_path", "label").alias("path"), F.concat("up_key", F.lit("\x02"), key).alias("key"))
+        level = written(level, "nav-level")
         if not level.take(1):
             break
         out = out.union(level)
-    from foliograph.operators.order import placed
-
     return placed(out.filter("page_id IS NOT NULL").select("path", "label", "page_id", "key"), "key").drop("key")
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from foliograph.workspace import written
+
 SEPARATORS = (" | ", " — ", " – ", " - ", " · ")
 
 
@@ -94,7 +96,7 @@ def nav_paths(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
     while depth < most_depth:
         depth += 1
         parents = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
-        level = nodes.join(parents, "parent_id").select("node_id", F.concat_ws("/", "above", "label").alias("path"), F.lit(depth).alias("depth"))
+        level = written(nodes.join(parents, "parent_id").select("node_id", F.concat_ws("/", "above", "label").alias("path"), F.lit(depth).alias("depth")), "nav-level")
         if not level.take(1):
             break
         out = out.union(level)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliograph.workspace import written
+
 METHODS = ("get", "put", "post", "delete", "options", "head", "patch", "trace")
 
 
@@ -21,12 +23,12 @@ def references(documents: DataFrame) -> DataFrame:
 
 def closure(edges: DataFrame, roots: DataFrame, most_depth: int = 64) -> DataFrame:
     """document, depth: what roots (document) reach over edges (document, target), each once at its smallest depth."""
-    step = edges.filter("document <> target").select("document", "target").distinct()
-    seen = roots.select("document").distinct().withColumn("depth", F.lit(0))
+    step = written(edges.filter("document <> target").select("document", "target").distinct(), "closure")
+    seen = written(roots.select("document").distinct().withColumn("depth", F.lit(0)), "closure")
     level = seen
     for depth in range(1, most_depth + 1):
         level = level.select("document").join(step, "document").select(F.col("target").alias("document")).distinct()
-        level = level.join(seen.select("document"), "document", "left_anti").withColumn("depth", F.lit(depth))
+        level = written(level.join(seen.select("document"), "document", "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if not level.take(1):
             break
         seen = seen.union(level)

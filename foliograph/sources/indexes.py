@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from foliograph.functions import text, urls
 from foliograph.operators import order
+from foliograph.workspace import written
 
 
 def robots_rules(files: DataFrame, agent: str) -> DataFrame:
@@ -61,11 +62,12 @@ def sitemap_children(files: DataFrame) -> DataFrame:
 
 def sitemap_tree(files: DataFrame, roots: DataFrame, most_depth: int = 8) -> DataFrame:
     """file, depth of the sitemap files that ``roots`` (file) reach through index files; one join a level, each file once."""
-    edges = sitemap_children(files).distinct()
-    seen = roots.select("file").distinct().withColumn("depth", F.lit(0))
+    edges = written(sitemap_children(files).distinct(), "sitemaps")
+    seen = written(roots.select("file").distinct().withColumn("depth", F.lit(0)), "sitemaps")
     level = seen
     for depth in range(1, most_depth + 1):
-        level = level.select("file").join(edges, "file").select(F.col("child").alias("file")).distinct().join(seen.select("file"), "file", "left_anti").withColumn("depth", F.lit(depth))
+        level = level.select("file").join(edges, "file").select(F.col("child").alias("file")).distinct().join(seen.select("file"), "file", "left_anti")
+        level = written(level.withColumn("depth", F.lit(depth)), "sitemaps")
         if not level.take(1):
             break
         seen = seen.union(level)
