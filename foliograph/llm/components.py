@@ -26,10 +26,11 @@ def components(edges: DataFrame) -> DataFrame:
         if not e.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").take(1) and not e.select("v").join(e.select(F.col("u").alias("v")), "v", "left_semi").take(1):
             break
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        # minima are written, so that the join meets two plain tables and a node with many edges can be split
+        least = written(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "minima")
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = written(large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")), "minima")
         small = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x")).select("x.u", "x.v")
         e = written(small.filter("u <> v").distinct(), "edges")
     else:
