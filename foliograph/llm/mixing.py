@@ -37,7 +37,7 @@ CAP = 2
 BLOCK = 64
 SHARD = 1024
 ROUNDS = 12
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def _number(key: Column) -> Column:
