@@ -15,6 +15,8 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliograph.workspace import bounded_batches
+
 SCHEMA = "page_id string, seq int, path array<int>, depth int, kind string, level int, name string, lang string, text string, url string, attrs map<string,string>"
 _FENCE = re.compile(r"^( {0,3})(`{3,}|~{3,})\s*([^`\s]*)(.*)$")
 _ITEM = re.compile(r"^(\s*)([-*+]|\d{1,9}[.)])\s+(.*)$")
@@ -243,7 +245,8 @@ def _parsed(pages: DataFrame, parse: Callable[[str], list[dict]], id_col: str, b
                 rows = [{**r, "page_id": i.as_py(), "attrs": list(r["attrs"].items())} for i, b in zip(part.column(0), part.column(1), strict=True) for r in parse(b.as_py() or "")]
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    return pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(body).cast("string").alias("body")).mapInArrow(run, SCHEMA)
+    bodies = pages.select(F.col(id_col).cast("string").alias("page_id"), F.col(body).cast("string").alias("body"))
+    return bounded_batches(bodies).mapInArrow(run, SCHEMA)
 
 
 def markdown_blocks(pages: DataFrame, id_col: str = "page_id", body: str = "body") -> DataFrame:

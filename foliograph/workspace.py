@@ -43,3 +43,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def bounded_batches(df: DataFrame, size: str = "32m") -> DataFrame:
+    """``df``, in a session whose Arrow batches are bounded in bytes as well as rows, so that very long texts don't fill a worker."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(setting, None) is None:
+        df.sparkSession.conf.set(setting, size)
+    return df
