@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliograph.llm.jaccard_join import _groups
-from foliograph.workspace import shuffle_partitions, written
+from foliograph.workspace import bounded_batches, shuffle_partitions, written
 
 K = 20
 TREES, BITS = 64, 32
@@ -153,7 +153,7 @@ def search(rows: DataFrame, query: Column, id_col: str = "vec_id", vector_col: s
             at = np.concatenate([f[0] for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, count)), pa.array(rows[at]), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])
 
-    best = tasks.mapInArrow(run, "query_id long, vec_id long, score double").distinct()
+    best = bounded_batches(tasks).mapInArrow(run, "query_id long, vec_id long, score double").distinct()
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

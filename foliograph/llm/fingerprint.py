@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.workspace import shuffle_partitions
+from foliograph.workspace import bounded_batches, shuffle_partitions
 
 #: Two primes below 2**31, so that products fit 64 bits, and a base for each.
 PRIMES = (2147483647, 2147483629)
@@ -181,7 +181,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.n for p in prints], pa.int64()), pa.array(list(map(str, prints)), pa.string())], ["doc_id", "n_chars", "fingerprint"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
+    return bounded_batches(d).mapInArrow(run, "doc_id long, n_chars long, fingerprint string")
 
 
 def _with_heads(docs: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def neighbour_fingerprints(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(out, schema, strict=True)], schema=schema)
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, kept_chars long"
-    return _with_heads(d).mapInArrow(run, schema)
+    return bounded_batches(_with_heads(d)).mapInArrow(run, schema)
 
 
 def op1_fingerprint(spark, sf_dir: str) -> DataFrame:

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.llm.components import components
-from foliograph.workspace import shuffle_partitions, written
+from foliograph.workspace import bounded_batches, shuffle_partitions, written
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -126,7 +126,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(sigs, pa.binary())], ["doc_id", "set_key", "n_set", "sig"])
 
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return d.mapInArrow(run, "doc_id long, set_key binary, n_set int, sig binary")
+    return bounded_batches(d).mapInArrow(run, "doc_id long, set_key binary, n_set int, sig binary")
 
 
 def _dealt(rows: DataFrame, key: str, member: str, n: str) -> DataFrame:
@@ -215,7 +215,7 @@ def pruned_edges(classes: DataFrame, threshold: float = THRESHOLD, tolerance: fl
                 yield pa.RecordBatch.from_arrays([pa.array(rep[moved]), pa.array(root[moved])], ["a", "b"])
 
     dealt = _dealt(rows, "bucket", "rep", "n").select("bucket", "task_a", "task_b", "block", "rep", "n_set", "sig")
-    return dealt.mapInArrow(run, "a long, b long")
+    return bounded_batches(dealt).mapInArrow(run, "a long, b long")
 
 
 def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -259,7 +259,7 @@ def verified(docs: DataFrame, families: DataFrame, threshold: float = THRESHOLD)
             yield pa.RecordBatch.from_arrays([pa.array(rep), pa.array(texts.astype(np.int64)), pa.array(linked.astype(np.int64)), pa.array(_roots(len(rep), left, right, rep))], ["rep", "text_links", "doc_links", "root"])
 
     dealt = _dealt(rows, "family", "rep", "n").select("family", "task_a", "task_b", "block", "rep", "weight", "text")
-    return dealt.mapInArrow(run, "rep long, text_links long, doc_links long, root long")
+    return bounded_batches(dealt).mapInArrow(run, "rep long, text_links long, doc_links long, root long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -32,6 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliograph.workspace import bounded_batches
+
 NGRAMS = (3, 4, 5)
 BITS = 17
 BUCKETS = 1 << BITS
@@ -226,7 +228,7 @@ def with_scores(docs: DataFrame, model: SubwordModel, name: str = "score", text_
             score = pa.array(1 / (1 + np.exp(-np.clip(out, -500, 500))))
             yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
+    return bounded_batches(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
