@@ -28,10 +28,20 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/foliograph-{spark.sparkContext.applicationId}"
+
+
+def drop_written(spark: SparkSession) -> None:
+    """Deletes this application's written tables; to be called when no result that reads them is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, so that what follows reads files instead of repeating the work."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
