@@ -301,3 +301,22 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
+ORACLE = r"""
+WITH RECURSIVE
+words AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '\s+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_sort(CASE WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END) AS s FROM words WHERE len(w) > 0),
+classes AS (SELECT min(doc_id) AS rep, count(*) AS weight, s FROM sets GROUP BY s),
+items AS (SELECT rep, unnest(s) AS g FROM classes),
+common AS (SELECT a.rep AS a, b.rep AS b, count(*) AS c FROM items a JOIN items b ON a.g = b.g AND a.rep < b.rep GROUP BY 1, 2),
+near AS (SELECT a, b FROM common JOIN classes x ON x.rep = a JOIN classes y ON y.rep = b WHERE c >= 0.8 * (len(x.s) + len(y.s) - c) - 1e-9),
+links AS (SELECT a, b FROM near UNION ALL SELECT b, a FROM near),
+reach AS (SELECT rep AS a, rep AS b FROM classes UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+component AS (SELECT a AS rep, min(b) AS class_id FROM reach GROUP BY a),
+counted AS (SELECT a AS rep, count(*) AS n_text_links, sum(weight) AS doc_links FROM links JOIN classes ON rep = b GROUP BY a)
+SELECT d.doc_id, coalesce(k.class_id, d.doc_id) AS class_id, coalesce(c.rep, d.doc_id) AS copy_id,
+  (coalesce(n.doc_links, 0) + coalesce(c.weight - 1, 0))::BIGINT AS n_links, coalesce(n.n_text_links, 0)::BIGINT AS n_text_links
+FROM documents d LEFT JOIN sets s ON s.doc_id = d.doc_id LEFT JOIN classes c ON c.s = s.s LEFT JOIN component k ON k.rep = c.rep LEFT JOIN counted n ON n.rep = c.rep"""

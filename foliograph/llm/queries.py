@@ -31,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": license_scan.ORACLE,
         "op6_mixing": mixing.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
+        "op9_jaccard_join": jaccard_join.ORACLE,
         **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     }

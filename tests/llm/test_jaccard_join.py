@@ -1,12 +1,13 @@
 import random
 from collections import defaultdict
 
+import duckdb
 import numpy as np
 import pytest
 
 from foliograph.llm import jaccard_join as jj
 from foliograph.llm.components import components
-from tests.llm.helpers import ODD, docs, prose, with_clashes
+from tests.llm.helpers import ODD, docs, prose, saved, with_clashes
 
 
 def brute(rows):
@@ -62,6 +63,14 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted((r["doc_id"], r["class_id"], r["n_links"], r["n_text_links"]) for r in got.collect() if r["doc_id"] is not None) == brute(rows)
 
 
+def test_query_and_its_sql(spark, tmp_path):
+    rows = [*enumerate([*near_copies(1, 20, 6), *[prose(50 + i, 40) for i in range(20)], *[prose(7, 70)] * 3, "a b c", "A  b c", "", " "])]
+    folder = saved(spark, tmp_path, rows)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
+    assert sorted(tuple(r) for r in jj.op9_jaccard_join(spark, folder).collect()) == sorted(con.sql(jj.ORACLE).fetchall())
+
+
 def test_one_of_each_stays(spark):
     rows = [(5, "one two three four five six"), (3, "one two three four five six"), (3, "one two three four five six"), (9, ""), (8, None), (None, "one two three four five six"), (4, prose(1, 30))]
     frame = docs(spark, rows)
