@@ -73,9 +73,9 @@ def unserved(written: DataFrame, nodes: DataFrame, initial: str | None = None) -
 def section_tabs(sections: DataFrame) -> DataFrame:
     """path, label, place of sections (path, label, ord): the first label of each path, the home page first; none, if there are fewer than two."""
     one = sections.groupBy("path").agg(F.min_by("label", "ord").alias("label"), F.min("ord").alias("ord"))
-    enough = one.agg((F.count("*") >= 2).alias("enough"))
-    order = F.row_number().over(Window.orderBy((F.col("path") != "/").cast("int"), "ord", "path")) - 1  # a section is a tab: a handful of rows
-    return one.withColumn("place", order).crossJoin(enough).filter("enough").drop("enough", "ord")
+    # a section is a tab, so this is a handful of rows
+    order = F.row_number().over(Window.orderBy((F.col("path") != "/").cast("int"), "ord", "path")) - 1
+    return one.withColumns({"place": order, "n": F.count("*").over(Window.partitionBy())}).filter("n >= 2").drop("n", "ord")
 
 
 def label_shortfalls(wanted: DataFrame, shown: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliograph.functions import text as tx
 
@@ -42,7 +43,8 @@ def holders(rows: DataFrame, key: str, text: str, items: DataFrame, item: str, p
         met = t.select(key, F.explode(hashes).alias("h")).join(p.filter(F.col("n") == n).select(item, "h"), "h").select(key, item)
         out = met if out is None else out.union(met)
     if out is None:
-        return rows.select(key).limit(0).join(items.select(item).limit(0), F.lit(True))
+        types = [rows.schema[key], items.schema[item]]
+        return rows.sparkSession.createDataFrame([], T.StructType(types))
     whole = rows.select(key, F.array_join(_words(text), " ").alias("hay"))
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     both = out.join(whole, key).join(p.select(item, "needle"), item)

@@ -14,7 +14,7 @@ def gate(name: str, findings: DataFrame, samples: int = 0, detail: str | None =
     out = counted.select(F.lit(name).alias("gate"), F.when(F.col("count") > 0, "fail").otherwise("pass").alias("status"), "count")
     if samples and detail:
         some = findings.select(F.col(detail).cast("string").alias("x")).orderBy("x").limit(samples).agg(F.array_sort(F.collect_list("x")).alias("samples"))
-        out = out.crossJoin(some)  # two tables of one row
+        out = out.join(some.withColumn("gate", F.lit(name)), "gate")
     return out
 
 
