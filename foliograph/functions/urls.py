@@ -164,3 +164,29 @@ def name_of_target(path_: Column) -> Column:
     """The last segment of a path, for people."""
     last = F.element_at(F.split(F.regexp_replace(path_, "/+$", ""), "/"), -1)
     return F.trim(F.regexp_replace(F.regexp_replace(last, r"\.[a-z]+$", ""), "[-_]+", " "))
+
+
+def sitemap_hint(file_url: Column) -> Column:
+    """(locale, version, groups) that a sitemap's file name states: sitemap-en-v2-guides.xml."""
+    stem = F.regexp_replace(F.element_at(F.split(path(file_url), "/"), -1), r"\.xml(\.gz)?$", "")
+    tokens = F.filter(F.split(F.lower(stem), "[-_.]+"), lambda t: (t != "") & ~t.isin("sitemap", "sitemaps", "index"))
+    is_locale, is_version = lambda t: t.rlike("^[a-z]{2}$"), lambda t: t.rlike(r"^v[0-9]+$")
+    return F.struct(
+        F.get(F.filter(tokens, is_locale), F.lit(0)).alias("locale"),
+        F.get(F.filter(tokens, is_version), F.lit(0)).alias("version"),
+        F.filter(tokens, lambda t: ~is_locale(t) & ~is_version(t) & ~t.rlike("^[0-9]+$")).alias("groups"),
+    )
+
+
+def platform_link(href: Column) -> Column:
+    """A page path for the link schemes of hosted platforms (doc:slug, ref:slug, page:slug, changelog:slug); null for other links."""
+    kind, slug = F.regexp_extract(href, "^(doc|ref|page|changelog):([^#?]+)", 1), F.regexp_extract(href, "^(doc|ref|page|changelog):([^#?]+)", 2)
+    folder = F.when(kind == "doc", "/docs/").when(kind == "ref", "/reference/").when(kind == "page", "/page/").when(kind == "changelog", "/changelog/")
+    return F.when(slug != "", F.concat(folder, F.trim(slug), F.regexp_extract(href, "([?#].*)$", 1)))
+
+
+def route_prefix(locale: Column, version: Column, default_locale: str, newest: str, next_name: str = "next") -> Column:
+    """/locale/version before a route: nothing for the default locale and the newest version; the version under work is next."""
+    v = F.when(version.isNull() | (version == newest), "").when(version == "current", f"/{next_name}").otherwise(F.concat(F.lit("/"), version))
+    l = F.when(locale.isNull() | (locale == default_locale), "").otherwise(F.concat(F.lit("/"), locale))
+    return F.concat(l, v)

@@ -113,3 +113,18 @@ def landing_children(nodes: DataFrame) -> DataFrame:
 def unplaced(pages: DataFrame, nodes: DataFrame) -> DataFrame:
     """Pages that no navigation node names."""
     return pages.select("page_id").distinct().join(nodes.filter("page_id IS NOT NULL").select("page_id"), "page_id", "left_anti")
+
+
+def branding(pages: DataFrame) -> DataFrame:
+    """host, color, icon, logo: the most frequent statements of a host's pages (host, html), the smallest of equals."""
+    get = lambda p: F.nullif(F.regexp_extract("html", p, 1), F.lit(""))
+    stated = pages.select(
+        "host",
+        get(r'(?i)<meta\b[^>]*\bname="theme-color"[^>]*\bcontent="(#[0-9a-f]{3,8})"').alias("color"),
+        get(r'(?i)<link\b[^>]*\brel="(?:shortcut )?icon"[^>]*\bhref="([^"]*)"').alias("icon"),
+        get(r'(?i)<img\b[^>]*\bclass="[^"]*logo[^"]*"[^>]*\bsrc="([^"]*)"').alias("logo"),
+    )
+    out = stated.select("host").distinct()
+    for field in ("color", "icon", "logo"):
+        out = out.join(majority(stated, "host", field).select("host", field), "host", "left")
+    return out

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from foliograph.operators import assets, navigation, rules, specs
+from foliograph.functions import urls
+from foliograph.operators import assets, navigation, reports, rules, specs
 from foliograph.workspace import table
 
 
@@ -82,7 +83,22 @@ def seo_fields(spark, d):
     return assets.seo(p).select("page_id", "canonical", "description", "robots")
 
 
-QUERIES = {f.__name__: f for f in (nav_from_groups, sidebar_order, navigation_problems, navigation_differences, unserved_pages, component_rules, reference_closure, asset_references, seo_fields)}
+def shortfalls(spark, d):
+    """Orders kept back by status and priority, with the first three of each; a stand-in for skipped pages."""
+    o = table(spark, d, "orders").select(F.concat_ws(":", "o_orderstatus", "o_orderpriority").alias("reason"), "o_orderkey")
+    return reports.shortfalls(o, "reason", "o_orderkey")
+
+
+def section_of_page(spark, d):
+    """Pages by the longest declared section their path lies in; sections are the paths of every twentieth page's directory."""
+    p = table(spark, d, "pages").select("page_id", urls.path(F.col("url")).alias("path"))
+    sections = p.filter("page_id % 20 = 0").select(F.regexp_replace("path", "/[^/]*/?$", "").alias("section")).filter("section <> ''").distinct()
+    met = p.select("page_id", F.explode(urls.section_prefixes(F.col("path"))).alias("section")).join(sections, "section")
+    best = met.groupBy("page_id").agg(F.max_by("section", F.length("section")).alias("section"))
+    return p.select("page_id").join(best, "page_id", "left").groupBy("section").agg(F.count("*").alias("n_pages"))
+
+
+QUERIES = {f.__name__: f for f in (shortfalls, section_of_page, nav_from_groups, sidebar_order, navigation_problems, navigation_differences, unserved_pages, component_rules, reference_closure, asset_references, seo_fields)}
 
 _PLACED = """placed AS (SELECT s_suppkey::VARCHAR AS page_id, s_name AS title, r_name AS g1, n_name AS g2, s_suppkey AS ord
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""
@@ -91,6 +107,12 @@ _NODES = f"""{_PLACED}, nodes AS (
   UNION ALL SELECT 'g:' || g1 || '/' || g2, 'g:' || g1, 'group', g2, min(ord), NULL FROM placed GROUP BY g1, g2
   UNION ALL SELECT 'p:' || page_id, 'g:' || g1 || '/' || g2, 'page', title, ord, page_id FROM placed)"""
 ORACLES = {
+    "shortfalls": """SELECT o_orderstatus || ':' || o_orderpriority AS reason, count(*) AS n, array_to_string(list_sort(list(o_orderkey))[1:3], ',') AS examples FROM orders GROUP BY 1""",
+    "section_of_page": r"""
+      WITH p AS (SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+      s AS (SELECT DISTINCT regexp_replace(path, '/[^/]*/?$', '') AS section FROM p WHERE page_id % 20 = 0 AND regexp_replace(path, '/[^/]*/?$', '') <> ''),
+      b AS (SELECT p.page_id, max_by(s.section, length(s.section)) AS section FROM p LEFT JOIN s ON p.path = s.section OR starts_with(p.path, s.section || '/') GROUP BY 1)
+      SELECT section, count(*) AS n_pages FROM b GROUP BY 1""",
     "nav_from_groups": f"WITH {_NODES} SELECT node_id, parent_id, kind, label, ord, page_id FROM nodes",
     "sidebar_order": f"""WITH {_PLACED}, o AS (SELECT *, min(ord) OVER (PARTITION BY g1) AS o1, min(ord) OVER (PARTITION BY g1, g2) AS o2 FROM placed)
       SELECT g1 || '/' || g2 || '/' || title AS path, page_id, row_number() OVER (ORDER BY o1, g1, o2, g2, ord, page_id) - 1 AS place FROM o""",
