@@ -176,18 +176,18 @@ def mixed_texts(docs: DataFrame) -> DataFrame:
     sizes = sizes.withColumn("dup", F.row_number().over(Window.partitionBy("doc_id", "row_hash").orderBy("source")))
     rows, pieces = mix(written(sizes, "mix-sizes"))
     piece = F.struct("skip", "words", "times")
-    got = pieces.groupBy("source_no", "at").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.sum("words").alias("once"), F.sum(F.when(F.col("times") > 1, F.col("words")).otherwise(0)).alias("twice"))
-    got = rows.filter("size > 0").join(got, ["source_no", "at"]).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__h"), F.col("dup").alias("__d"), "pieces", "once", "twice")
+    got = pieces.groupBy("source_no", "at").agg(F.array_sort(F.collect_list(piece)).alias("__pieces"), F.sum("words").alias("__once"), F.sum(F.when(F.col("times") > 1, F.col("words")).otherwise(0)).alias("__twice"))
+    got = rows.filter("size > 0").join(got, ["source_no", "at"]).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__h"), F.col("dup").alias("__d"), "__pieces", "__once", "__twice")
     keyed = keyed.withColumn("__dup", F.row_number().over(dup))
     both = keyed.join(got, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")) & (F.col("__dup") == F.col("__d")))
     words = F.filter(F.split("text", WORD_GAP, -1), lambda x: x != "")
 
     def helping(n: int, got_words: Column) -> Column:
-        some = F.filter("pieces", lambda p: p["times"] >= n)
+        some = F.filter("__pieces", lambda p: p["times"] >= n)
         cut = F.array_join(F.flatten(F.transform(some, lambda p: F.slice(words, (p["skip"] + 1).cast("int"), p["words"].cast("int")))), " ")
         return F.when(got_words == F.col("__size"), F.col("text")).otherwise(cut)
 
-    text = F.when(F.col("twice") > 0, F.concat_ws("\n", helping(1, F.col("once")), helping(2, F.col("twice")))).otherwise(helping(1, F.col("once")))
+    text = F.when(F.col("__twice") > 0, F.concat_ws("\n", helping(1, F.col("__once")), helping(2, F.col("__twice")))).otherwise(helping(1, F.col("__once")))
     out = both.withColumn("__text", text)
     new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
     return out.select(*[new.get(c, F.col(c)).alias(c) for c in names])

@@ -39,5 +39,5 @@ def with_clashes(frame):
     """The table with further columns whose names operators might use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["doc", "row_hash", "key", "pos", "size", "score", "rank", "rid", "rep", "bucket", "block", "head", "at", "target", "taken", "held_out", "label", "matches", "base", "node"]
+    names = ["doc", "row_hash", "key", "pos", "size", "score", "rank", "rid", "rep", "bucket", "block", "head", "at", "target", "taken", "held_out", "label", "matches", "base", "node", "pieces", "once", "twice", "runs", "words", "times", "symbols", "share", "u", "m", "n"]
     return frame.withColumns({n: F.lit(n) for n in names})

@@ -52,7 +52,7 @@ def test_query_against_brute_force(spark, tmp_path):
 
 
 def test_odd_rows(spark):
-    frame = with_clashes(docs(spark, ODD)).drop("bucket", "head")
+    frame = with_clashes(docs(spark, ODD))
     got = fp.neighbour_fingerprints(frame).collect()
     assert len(got) == len(ODD) and fp.fingerprints(frame).count() == len(ODD)
     order = sorted(ODD, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))

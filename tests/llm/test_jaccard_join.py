@@ -73,7 +73,7 @@ def test_query_and_its_sql(spark, tmp_path):
 
 def test_one_of_each_stays(spark):
     rows = [(5, "one two three four five six"), (3, "one two three four five six"), (3, "one two three four five six"), (9, ""), (8, None), (None, "one two three four five six"), (4, prose(1, 30))]
-    frame = docs(spark, rows)
+    frame = with_clashes(docs(spark, rows))
     kept = jj.one_of_each(frame)
     assert kept.columns == frame.columns
     assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["3", "4", "8", "9", "None"]

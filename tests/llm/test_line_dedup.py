@@ -52,7 +52,7 @@ def test_hot_line_and_oracle(spark, tmp_path):
 
 def test_columns_stay(spark):
     rows = docs(spark, [(1, "first line here\nB"), (2, "first line here\nC"), (None, None)])
-    got = {r["doc_id"]: r for r in line_dedup.deduplicated(rows).collect()}
+    got = {r["doc_id"]: r for r in line_dedup.deduplicated(with_clashes(rows)).collect()}
     assert got[2]["text"] == "C" and got[2]["n_chars"] == 1 and got[1]["text"] == "first line here\nB" and got[None]["text"] is None
     assert line_dedup.deduplicated(rows).columns == rows.columns
 

@@ -55,7 +55,7 @@ def test_mix_against_rules(spark, tmp_path):
 
 def test_odd_rows(spark):
     rows = docs(spark, [*ODD, (7, "b c d", "other"), (7, "b c d", "other")])
-    got = mixing.mix_documents(with_clashes(rows).drop("size", "at", "target", "taken")).collect()
+    got = mixing.mix_documents(with_clashes(rows)).collect()
     assert len(got) == rows.count() and all(r["taken"] <= 2 * r["size"] for r in got)
     assert mixing.mix_documents(docs(spark, [])).count() == 0
     assert mixing.mix_documents(docs(spark, [(1, None), (2, "  ")])).select(F.sum("taken")).first()[0] == 0
@@ -63,8 +63,9 @@ def test_odd_rows(spark):
 
 def test_mixed_texts_hold_what_is_taken(spark, tmp_path):
     rows = docs(spark, [(i, prose(i, 10 + i % 200), f"s{i % 4}") for i in range(200)] + [(900, prose(1, 150), "s1"), (900, prose(1, 150), "s1"), (None, prose(2, 90), None)])
-    texts = mixing.mixed_texts(rows)
-    assert texts.columns == rows.columns
+    texts = mixing.mixed_texts(with_clashes(rows))
+    assert texts.columns == with_clashes(rows).columns
+    texts = texts.select(rows.columns)
     sums = lambda frame, c: {r[0]: r[1] for r in frame.groupBy("doc_id").agg(F.sum(c)).collect() if r[1]}
     words = sums(texts.withColumn("n", F.size(F.split("text", r"\s+")).cast("long")), "n")
     assert words == sums(mixing.mix_documents(rows), "taken")
