@@ -60,4 +60,13 @@ def bounded_batches(df: DataFrame, size: str = "32m") -> DataFrame:
     setting = "spark.sql.execution.arrow.maxBytesPerBatch"
     if df.sparkSession.conf.get(setting, None) is None:
         df.sparkSession.conf.set(setting, size)
+    _find_package(df.sparkSession)
     return df
+
+
+def _find_package(spark: SparkSession) -> None:
+    """Lets Python workers import this package from where the driver has it, whatever folder the driver was started in."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(os.pathsep)
+    if root not in paths:
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([root, *filter(None, paths)])
