@@ -64,13 +64,26 @@ def component_rules(spark, d):
 
 
 def reference_closure(spark, d):
-    """Documents reached from every hundredth one; orders stand in for references."""
+    """Documents reached from every 400th one over the references of every third only, as its SQL has it; reference_closure_whole follows all."""
     o = table(spark, d, "orders")
     edges = o.select((F.col("o_orderkey") % 2003).alias("document"), ((F.col("o_custkey") * 3 + F.col("o_orderkey")) % 2003).alias("target"))
     roots = edges.filter("document % 400 = 0").select("document")
     return specs.closure(edges.filter("document % 3 = 0"), roots).select("document", F.col("depth").cast("long").alias("depth"))
 
 
+def _references(spark, d):
+    """Two references of each document, from the whole keys of orders: one forward, one back."""
+    o, key, by = table(spark, d, "orders"), F.col("o_orderkey"), F.col("o_custkey")
+    return o.select(key.alias("document"), F.explode(F.array(key + by * 3, F.abs(key - by * 2))).alias("target"))
+
+
+def reference_closure_whole(spark, d):
+    """Documents reached from every 400th one over the references of all; orders stand in for references."""
+    edges = _references(spark, d)
+    roots = edges.filter("document % 400 = 0").select("document")
+    return specs.closure(edges, roots).select("document", F.col("depth").cast("long").alias("depth"))
+
+
 def asset_references(spark, d):
     """Media that pages load; each page is given a picture, some a variant set."""
     p = table(spark, d, "pages").select("page_id", F.concat(F.col("html"), F.lit('<img alt="a" src="/i/'), F.col("page_id") % 10, F.lit('.png"'), F.when(F.col("page_id") % 4 == 0, ' srcset="/s/1.png 1x, /s/2.png 2x"').otherwise(""), F.lit(">")).alias("html"))
@@ -98,7 +111,7 @@ def section_of_page(spark, d):
     return p.select("page_id").join(best, "page_id", "left").groupBy("section").agg(F.count("*").alias("n_pages"))
 
 
-QUERIES = {f.__name__: f for f in (shortfalls, section_of_page, nav_from_groups, sidebar_order, navigation_problems, navigation_differences, unserved_pages, component_rules, reference_closure, asset_references, seo_fields)}
+QUERIES = {f.__name__: f for f in (shortfalls, section_of_page, nav_from_groups, sidebar_order, navigation_problems, navigation_differences, unserved_pages, component_rules, reference_closure, reference_closure_whole, asset_references, seo_fields)}
 
 _PLACED = """placed AS (SELECT s_suppkey::VARCHAR AS page_id, s_name AS title, r_name AS g1, n_name AS g2, s_suppkey AS ord
   FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)"""

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from foliograph.operators import assets, navigation, specs
+from foliograph.plans import structure_queries
 
 
 def rows(df, *columns):
@@ -75,3 +76,19 @@ def test_small_rules(spark):
     assert rows(navigation.condition_filter(c, "tags", ["x"], ["y"]), "id", "kept") == [(1, "kept"), (2, "dropped"), (3, "ambiguous"), (4, "kept")]
     p = spark.createDataFrame([(1, "a", None, "C"), (2, "b", "a", "C"), (3, "c", "zz", "D"), (4, "d", "d", "D")], "page_id long, slug string, parent_slug string, category string")
     assert rows(navigation.parents_by_slug(p), "page_id", "parent") == [(1, "category:C"), (2, "page:1"), (3, "category:D"), (4, "category:D")]
+
+
+def test_reference_closure_follows_every_document(spark, tmp_path):
+    orders = [(k, k * 7919 % 127) for k in range(1, 900)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    depth = {k: 0 for k, _ in orders if k % 400 == 0}
+    level, by, n = set(depth), dict(orders), 0
+    while level:
+        n += 1
+        level = {t for k in level & by.keys() for t in (k + 3 * by[k], abs(k - 2 * by[k]))} - depth.keys()
+        depth |= dict.fromkeys(level, n)
+    assert rows(structure_queries.reference_closure_whole(spark, str(tmp_path))) == sorted(depth.items(), key=str)
+    # most are reached only through documents that the filter of reference_closure leaves out
+    cut = structure_queries._references(spark, str(tmp_path)).filter("document % 3 = 0")
+    roots = spark.createDataFrame([(k,) for k, d in depth.items() if d == 0], "document long")
+    assert len(depth) > specs.closure(cut, roots).count()
