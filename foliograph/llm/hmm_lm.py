@@ -6,10 +6,11 @@ of CLASSES symbols by its last SUFFIX bytes and has a share of its class:
 P(word | state) = P(symbol | state) * (c + 0.1) / (C + 0.1 * (V + 1)), with c the word's
 count and C and V the class's tokens and distinct words in training.
 
-Method: counts of all training words are aggregated through a shuffle and written. A first
-model comes from a bounded sample of SAMPLE_TOKENS training tokens; then every Baum-Welch
-step sums expected counts over all training texts: each task adds up its own, a shuffle
-adds tasks, and symbols times STATES numbers reach the driver. For training, texts are cut
+Method: counts of all training words are aggregated through a shuffle and written. The
+first model comes from the corpus's symbol counts; every Baum-Welch step sums expected
+counts over all training texts: each task adds up its own, a shuffle adds tasks, and
+symbols times STATES numbers reach the driver. Steps go on until two in a row have gained
+less than SETTLED in log-likelihood a token. For training, texts are cut
 into segments of SEGMENT tokens, later segments starting from the states' overall shares.
 Scores are exact: the scaled forward recursion runs over each whole text.
 
@@ -43,7 +44,8 @@ END = TOP + CLASSES
 SYMBOLS = END + 1
 ADD = 0.1
 SEGMENT = 64
-SAMPLE_TOKENS, SAMPLE_STEPS, FULL_STEPS = 600_000, 20, 2
+SETTLED = 1e-3
+SAMPLE_STEPS = 0  # no step runs on a sample any more; tests still set the name
 PRIOR = 20.0
 FOLDS = 10
 COUNTER_WORDS = 300_000
@@ -205,6 +207,7 @@ class Expected:
     def __init__(self, model: Model):
         self.m = model
         self.emit, self.move, self.start = np.zeros((len(model.emit), STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
+        self.log_likelihood = 0.0
         self.table = model.emit.astype(np.float32)
 
     def add(self, texts: list[np.ndarray]) -> None:
@@ -235,6 +238,7 @@ class Expected:
             alpha = (alpha[:k] if t == 0 else alpha[:k] @ move) * e
             scale = alpha.sum(axis=1, keepdims=True)
             scale[scale == 0] = 1e-30
+            self.log_likelihood += float(np.log(scale).sum(dtype=np.float64))
             alpha = alpha / scale
             alphas.append(alpha)
             emits.append(e)
@@ -283,8 +287,8 @@ def _lists(column) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint16) for x in column]
 
 
-def baum_welch(rows: DataFrame, model: Model, symbols: np.ndarray) -> Model:
-    """One step over all rows (symbols)."""
+def baum_welch(rows: DataFrame, model: Model, symbols: np.ndarray) -> tuple[Model, float]:
+    """One step over all rows (symbols): the next model, and the log-likelihood under the one given."""
     shared = rows.sparkSession.sparkContext.broadcast(model)
     names = [f"s{k}" for k in range(STATES)]
 
@@ -296,9 +300,9 @@ def baum_welch(rows: DataFrame, model: Model, symbols: np.ndarray) -> Model:
             for low in range(0, batch.num_rows, 1000):
                 got.add(_lists(batch.column(0).slice(low, 1000)))
         used = np.flatnonzero(got.emit.any(axis=1))
-        kind = np.repeat([0, 1, 2], [len(used), STATES, 1]).astype(np.int32)
-        index = np.concatenate([used, np.arange(STATES), [0]]).astype(np.int32)
-        numbers = np.concatenate([got.emit[used], got.move, got.start[None]])
+        kind = np.repeat([0, 1, 2, 3], [len(used), STATES, 1, 1]).astype(np.int32)
+        index = np.concatenate([used, np.arange(STATES), [0], [0]]).astype(np.int32)
+        numbers = np.concatenate([got.emit[used], got.move, got.start[None], np.full((1, STATES), got.log_likelihood)])
         yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(index), *[pa.array(numbers[:, k]) for k in range(STATES)]], ["kind", "index", *names])
 
     schema = "kind int, index int, " + ", ".join(f"{c} double" for c in names)
@@ -309,23 +313,19 @@ def baum_welch(rows: DataFrame, model: Model, symbols: np.ndarray) -> Model:
     emit[index[kind == 0]], move[index[kind == 1]] = numbers[kind == 0], numbers[kind == 1]
     if (kind == 2).any():
         start = numbers[kind == 2][0]
-    return Model.counted(emit, move, start, symbols)
+    return Model.counted(emit, move, start, symbols), float(numbers[kind == 3][0, 0]) if (kind == 3).any() else 0.0
 
 
 def train(rows: DataFrame, vocabulary: Vocabulary) -> Model:
-    """From encoded training rows: a start on a bounded sample, then FULL_STEPS steps over everything."""
+    """From encoded training rows: steps over everything until the likelihood has settled."""
     model = Model.first(vocabulary.symbols)
     if not vocabulary.ends:
         return model
-    share = min(1.0, SAMPLE_TOKENS / max(1, vocabulary.tokens))
-    few = rows.filter(F.pmod(F.xxhash64("doc_id", F.lit("first")), F.lit(1_000_000)) < max(1, int(share * 1_000_000)))
-    texts = [np.frombuffer(r["symbols"], np.uint16) for r in few.select("doc_id", "symbols").orderBy("doc_id").collect()]
-    for _ in range(SAMPLE_STEPS if texts else 0):
-        got = Expected(model)
-        got.add(texts)
-        model = Model.counted(got.emit, got.move, got.start, vocabulary.symbols)
-    for _ in range(FULL_STEPS):
-        model = baum_welch(rows, model, vocabulary.symbols)
+    last, still = -np.inf, 0
+    while still < 2:
+        model, now = baum_welch(rows, model, vocabulary.symbols)
+        still = 0 if now - last >= SETTLED * vocabulary.tokens else still + 1
+        last = now
     return model
 
 

@@ -93,3 +93,20 @@ def test_odd_rows(spark, monkeypatch):
     assert hmm_lm.language_scores(docs(spark, [])).count() == 0
     alone = hmm_lm.language_scores(docs(spark, [(None, "never learned from")])).collect()[0]
     assert alone["train_tokens"] == 0 and alone["base_score"] == 0 and alone["n_known"] == 0
+
+
+def test_every_step_sees_all_texts_until_the_likelihood_settles(spark, tmp_path, monkeypatch):
+    seen, step = [], hmm_lm.baum_welch
+
+    def watched(rows, model, symbols):
+        found = step(rows, model, symbols)
+        seen.append((rows.count(), found[1]))
+        return found
+
+    monkeypatch.setattr(hmm_lm, "baum_welch", watched)
+    rows = [(i, prose(i, 30) if i % 2 else prose(i, 30).translate(str.maketrans("aeio", "äëïö"))) for i in range(60)]
+    got = hmm_lm.op5_hmm_lm(spark, saved(spark, tmp_path, rows)).collect()
+    texts, tokens = sum(not r["held_out"] for r in got), got[0]["train_tokens"]
+    gains = [(b - a) / tokens for (_, a), (_, b) in zip(seen, seen[1:], strict=False)]
+    assert len(seen) > 3 and all(n == texts for n, _ in seen)
+    assert max(gains[-2:]) < hmm_lm.SETTLED and all(max(pair) >= hmm_lm.SETTLED for pair in zip(gains[:-2], gains[1:-1], strict=True))
