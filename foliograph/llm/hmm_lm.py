@@ -7,11 +7,13 @@ P(word | state) = P(symbol | state) * (c + 0.1) / (C + 0.1 * (V + 1)), with c th
 count and C and V the class's tokens and distinct words in training.
 
 Method: counts of all training words are aggregated through a shuffle and written. The
-first model comes from the corpus's symbol counts; every Baum-Welch step sums expected
-counts over all training texts: each task adds up its own, a shuffle adds tasks, and
-symbols times STATES numbers reach the driver. Steps go on until two in a row have gained
-less than SETTLED in log-likelihood a token. For training, texts are cut
-into segments of SEGMENT tokens, later segments starting from the states' overall shares.
+first model comes from the corpus's symbol counts; every Baum-Welch step goes over all
+training texts in PARTS parts taken by hash (incremental expectation maximisation): for
+each part tasks add up the expected counts of their texts, a shuffle adds tasks, symbols
+times STATES numbers reach the driver, replace what that part gave in the step before,
+and the sum over all parts makes the next model. Steps go on until two in a row have
+gained less than SETTLED in log-likelihood a token. Training reads texts in stretches,
+each with some tokens more on either side (see Expected), so no transition is lost.
 Scores are exact: the scaled forward recursion runs over each whole text.
 
 Counts of the KNOWN most frequent words are broadcast; the other words of each text, with
@@ -43,9 +45,13 @@ KNOWN = 200_000
 END = TOP + CLASSES
 SYMBOLS = END + 1
 ADD = 0.1
-SEGMENT = 64
+#: Training runs stretches of SEGMENT tokens, with MARGIN more on either side, IN_STEP at a time; a task holds HELD_TOKENS.
+SEGMENT, MARGIN = 192, 16
+IN_STEP, HELD_TOKENS = 2048, 1_000_000
+#: Steps between two scalings of a stretch's probabilities.
+SCALED = 4
+PARTS = 8
 SETTLED = 1e-3
-SAMPLE_STEPS = 0  # no step runs on a sample any more; tests still set the name
 PRIOR = 20.0
 FOLDS = 10
 COUNTER_WORDS = 300_000
@@ -183,6 +189,7 @@ class Model:
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray, share: np.ndarray):
         self.start, self.move, self.emit, self.share = start, move, emit, share  # emit: symbols x states
+        self.parts: dict[int, list[np.ndarray]] = {}  # in training, the expected counts it was made from
 
     @classmethod
     def first(cls, symbols: np.ndarray, seed: int = 5) -> Model:
@@ -202,65 +209,94 @@ class Model:
 
 
 class Expected:
-    """Expected counts of a model, summed over texts."""
+    """Expected counts of a model, summed over texts.
+
+    Texts are cut into stretches of SEGMENT tokens that run in step. Each is read with MARGIN tokens more on either side, which
+    only tell it what surrounds it: every token and every transition of a text is counted in one stretch."""
 
     def __init__(self, model: Model):
         self.m = model
         self.emit, self.move, self.start = np.zeros((len(model.emit), STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
         self.log_likelihood = 0.0
-        self.table = model.emit.astype(np.float32)
+        peak = np.maximum(model.emit.max(axis=1), 1e-300)
+        self.log_peak = np.log(peak)
+        self.table = (model.emit / peak[:, None]).astype(np.float32)
+        self.held: list[tuple[np.ndarray, int, int]] = []  # stretch with margins, where its own tokens start and end
+        self.n_held = 0
 
     def add(self, texts: list[np.ndarray]) -> None:
-        first, parts = [], []
         for t in texts:
             for k in range(0, len(t), SEGMENT):
-                parts.append(t[k : k + SEGMENT])
-                first.append(k == 0)
-        if not parts:
-            return
-        length = np.array([len(p) for p in parts])
-        order = np.argsort(-length, kind="stable")
-        for low in range(0, len(order), 4096):
-            rows = order[low : low + 4096]
-            self._segments([parts[i] for i in rows], length[rows], np.array(first)[rows])
-
-    def _segments(self, parts: list[np.ndarray], length: np.ndarray, first: np.ndarray) -> None:
-        steps, n = int(length[0]), len(parts)  # longest first
-        grid = np.zeros((n, steps), np.int64)
-        grid[np.arange(steps) < length[:, None]] = np.concatenate(parts)
-        active = [int((length > t).sum()) for t in range(steps)]
+                low, high = max(0, k - MARGIN), min(len(t), k + SEGMENT + MARGIN)
+                self.held.append((t[low:high], k - low, min(len(t), k + SEGMENT) - low))
+                self.n_held += high - low
+            if self.n_held > HELD_TOKENS:
+                self.flush()
+
+    def flush(self) -> None:
+        """Counts what has been added; to be called before the sums are read."""
+        self.held.sort(key=lambda x: -len(x[0]))
+        for low in range(0, len(self.held), IN_STEP):
+            self._stretches(self.held[low : low + IN_STEP])
+        self.held, self.n_held = [], 0
+
+    def _stretches(self, parts: list[tuple[np.ndarray, int, int]]) -> None:
+        """Longest first; rows of one step lie together, so position = first row of the step + row."""
+        length = np.array([len(p[0]) for p in parts])
+        own_from, own_to = (np.array([p[k] for p in parts]) for k in (1, 2))
+        steps, row = int(length[0]), np.repeat(np.arange(len(parts)), length)
+        active = np.searchsorted(-length, -np.arange(steps), "left")
+        at = np.r_[0, np.cumsum(active)]
+        step = np.arange(len(row)) - np.repeat(np.cumsum(length) - length, length)
+        place = at[step] + row
+        symbols = np.empty(len(row), np.int32)
+        symbols[place] = np.concatenate([p[0] for p in parts])
+        own = np.empty(len(row), np.float32)
+        own[place] = (step >= own_from[row]) & (step < own_to[row])
+        emits, one = self.table.take(symbols, axis=0), np.ones((STATES, 1), np.float32)
         move = self.m.move.astype(np.float32)
-        alphas, emits, scales = [], [], []
-        alpha = np.where(first[:, None], self.m.start, self.m.share).astype(np.float32)
-        for t in range(steps):
-            k = active[t]
-            e = self.table[grid[:k, t]]
-            alpha = (alpha[:k] if t == 0 else alpha[:k] @ move) * e
-            scale = alpha.sum(axis=1, keepdims=True)
-            scale[scale == 0] = 1e-30
-            self.log_likelihood += float(np.log(scale).sum(dtype=np.float64))
-            alpha = alpha / scale
-            alphas.append(alpha)
-            emits.append(e)
-            scales.append(scale)
-        beta = np.ones((active[-1], STATES), np.float32)
-        gammas = [None] * steps
-        for t in range(steps - 1, -1, -1):
-            k = active[t]
-            if len(beta) < k:  # segments that end here
-                beta = np.concatenate([beta, np.ones((k - len(beta), STATES), np.float32)])
-            gamma = alphas[t] * beta
-            gamma /= np.maximum(gamma.sum(axis=1, keepdims=True), 1e-30)
-            gammas[t] = gamma
-            if t:
-                back = emits[t] * beta / scales[t]
-                self.move += (alphas[t - 1][:k].T @ back) * self.m.move
-                beta = back @ move.T
-        self.start += gammas[0][first].sum(axis=0)
-        symbols = np.concatenate([grid[:k, t] for t, k in enumerate(active)])
-        flat = np.concatenate(gammas)
-        for s in range(STATES):
-            self.emit[:, s] += np.bincount(symbols, flat[:, s], len(self.emit))
+        back, begins = np.ascontiguousarray(move.T), (own_from == 0)[:, None]
+        alphas, betas, scale = np.empty_like(emits), np.empty_like(emits), np.ones(len(row), np.float32)
+        logs = [np.zeros(len(parts))]  # each stretch's scaling so far, after every SCALED steps
+        n, low = active.tolist(), at.tolist()
+        alphas[: n[0]] = emits[: n[0]] * np.where(begins, self.m.start, self.m.share).astype(np.float32)
+        for t in range(1, steps):
+            a = alphas[low[t] : low[t + 1]]
+            np.matmul(alphas[low[t - 1] : low[t - 1] + n[t]], move, out=a)
+            a *= emits[low[t] : low[t + 1]]
+            if t % SCALED == 0:
+                s = np.maximum(a @ one, 1e-30)
+                a /= s
+                scale[low[t] : low[t + 1]] = s[:, 0]
+                logs.append(logs[-1].copy())
+                logs[-1][: n[t]] += np.log(s[:, 0])
+        logs = np.stack(logs)
+
+        def upto(t: np.ndarray, rows: np.ndarray) -> float:
+            return float((np.log(np.maximum(alphas[at[t] + rows].sum(axis=1), 1e-30)) + logs[t // SCALED, rows]).sum(dtype=np.float64))
+
+        later = np.flatnonzero(own_from)
+        self.log_likelihood += upto(own_to - 1, np.arange(len(parts))) - upto(own_from[later] - 1, later) + float(self.log_peak[symbols][own > 0].sum())
+        betas[low[steps - 1] :] = 1
+        for t in range(steps - 1, 0, -1):
+            e = emits[low[t] : low[t + 1]]
+            e *= betas[low[t] : low[t + 1]]
+            b = betas[low[t - 1] : low[t]]
+            np.matmul(e, back, out=b[: n[t]])
+            if t % SCALED == 0:
+                b[: n[t]] /= np.maximum(b[: n[t]] @ one, 1e-30)
+            b[n[t] :] = 1  # stretches that end here
+        betas *= alphas
+        weight = own / np.maximum((betas @ one)[:, 0], 1e-37)
+        betas *= weight[:, None]
+        emits *= (weight / scale)[:, None]
+        pairs = np.zeros((STATES, STATES), np.float32)
+        for t in range(1, steps):
+            pairs += alphas[low[t - 1] : low[t - 1] + n[t]].T @ emits[low[t] : low[t + 1]]
+        self.move += pairs * self.m.move
+        self.start += betas[: n[0]][begins[:, 0]].sum(axis=0, dtype=np.float64)
+        for k, of_state in enumerate(np.eye(STATES, dtype=np.float32) @ betas.T):  # a product, as it is the fast way to turn the table
+            self.emit[:, k] += np.bincount(symbols, of_state, len(self.emit))
 
 
 def forward(model: Model, texts: list[np.ndarray]) -> np.ndarray:
@@ -287,9 +323,9 @@ def _lists(column) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint16) for x in column]
 
 
-def baum_welch(rows: DataFrame, model: Model, symbols: np.ndarray) -> tuple[Model, float]:
-    """One step over all rows (symbols): the next model, and the log-likelihood under the one given."""
-    shared = rows.sparkSession.sparkContext.broadcast(model)
+def expected_counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """Emissions, moves and starts that ``model`` expects in rows (symbols), and their log-likelihood."""
+    shared = rows.sparkSession.sparkContext.broadcast(Model(model.start, model.move, model.emit, model.share))
     names = [f"s{k}" for k in range(STATES)]
 
     def run(batches):
@@ -299,6 +335,7 @@ def baum_welch(rows: DataFrame, model: Model, symbols: np.ndarray) -> tuple[Mode
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 got.add(_lists(batch.column(0).slice(low, 1000)))
+        got.flush()
         used = np.flatnonzero(got.emit.any(axis=1))
         kind = np.repeat([0, 1, 2, 3], [len(used), STATES, 1, 1]).astype(np.int32)
         index = np.concatenate([used, np.arange(STATES), [0], [0]]).astype(np.int32)
@@ -307,13 +344,25 @@ def baum_welch(rows: DataFrame, model: Model, symbols: np.ndarray) -> tuple[Mode
 
     schema = "kind int, index int, " + ", ".join(f"{c} double" for c in names)
     sums = bounded_batches(rows.select("symbols")).mapInArrow(run, schema).groupBy("kind", "index").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+    shared.destroy()
     kind, index = sums.column("kind").to_numpy(), sums.column("index").to_numpy()
     numbers = np.stack([sums.column(c).to_numpy() for c in names], axis=1) if len(kind) else np.zeros((0, STATES))
     emit, move, start = np.zeros((SYMBOLS, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
     emit[index[kind == 0]], move[index[kind == 1]] = numbers[kind == 0], numbers[kind == 1]
     if (kind == 2).any():
         start = numbers[kind == 2][0]
-    return Model.counted(emit, move, start, symbols), float(numbers[kind == 3][0, 0]) if (kind == 3).any() else 0.0
+    return emit, move, start, float(numbers[kind == 3][0, 0]) if (kind == 3).any() else 0.0
+
+
+def baum_welch(rows: DataFrame, model: Model, symbols: np.ndarray) -> tuple[Model, float]:
+    """One step over all rows (part, symbols), part by part: the next model, and the parts' log-likelihoods as they were met."""
+    parts, found = dict(model.parts), 0.0
+    for part in range(PARTS):
+        *parts[part], likelihood = expected_counts(rows.filter(F.col("part") == part), model)
+        found += likelihood
+        model = Model.counted(*[np.sum([p[k] for p in parts.values()], axis=0) for k in range(3)], symbols)
+    model.parts = parts
+    return model, found
 
 
 def train(rows: DataFrame, vocabulary: Vocabulary) -> Model:
@@ -326,7 +375,7 @@ def train(rows: DataFrame, vocabulary: Vocabulary) -> Model:
         model, now = baum_welch(rows, model, vocabulary.symbols)
         still = 0 if now - last >= SETTLED * vocabulary.tokens else still + 1
         last = now
-    return model
+    return Model(model.start, model.move, model.emit, model.share)
 
 
 def model_scores(rows: DataFrame, model: Model) -> DataFrame:
@@ -357,12 +406,13 @@ def language_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = d.withColumns({"held_out": held_out(F.col("doc_id")), "trains": F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))})
     counts = written(word_counts(d.filter("trains")), "words")
     vocabulary = Vocabulary(counts, d.filter("trains").count())
-    rows = written(encoded(d, vocabulary).withColumn("rid", F.monotonically_increasing_id()), "symbols")
-    model = train(rows.filter("trains"), vocabulary)
+    part = F.when(F.col("trains"), F.pmod(F.xxhash64("doc_id", "symbols"), F.lit(PARTS))).otherwise(-1).cast("int")
+    rows = written(encoded(d, vocabulary).withColumns({"rid": F.monotonically_increasing_id(), "part": part}), "symbols", ["part"])
+    model = train(rows.filter("part >= 0"), vocabulary)
     look = rows.select("rid", F.explode("tail").alias("x")).select("rid", F.col("x.word").alias("word"), F.col("x.times").alias("times"))
     found = look.join(counts, "word", "left")
     tails = found.groupBy("rid").agg(F.sum(F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD)) * F.col("times")).alias("tail_log"), F.sum(F.when(F.col("n").isNotNull(), F.col("times"))).alias("tail_known"))
-    heads = rows.drop("tail", "symbols", "trains").join(tails, "rid", "left").join(model_scores(rows, model), "rid")
+    heads = rows.drop("tail", "symbols", "trains", "part").join(tails, "rid", "left").join(model_scores(rows, model), "rid")
     tail, base_size = F.coalesce("tail_log", F.lit(0.0)), float(np.log10(vocabulary.tokens + ADD * (vocabulary.distinct + 1)))
     return heads.select(
         "doc_id",

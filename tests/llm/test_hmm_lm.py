@@ -29,7 +29,6 @@ def check_base(rows, got, held):
 
 def test_query(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(hmm_lm, "KNOWN", 150)  # so that most words meet the counts in the join
-    monkeypatch.setattr(hmm_lm, "SAMPLE_STEPS", 6)
     # two languages that share no word
     rows = [(i, prose(i, 60) if i % 2 else prose(i, 60).upper().translate(str.maketrans("AEIO", "ÄËÏÖ"))) for i in range(150)]
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
@@ -67,10 +66,56 @@ def test_steps_do_not_lower_the_likelihood():
         last = now
         got = hmm_lm.Expected(model)
         got.add(texts)
+        got.flush()
         assert got.emit.sum() == pytest.approx(60 * 40, rel=1e-4) and got.start.sum() == pytest.approx(60, rel=1e-4)
         model = hmm_lm.Model.counted(got.emit, got.move, got.start, symbols)
 
 
+def test_expected_counts_against_all_paths(monkeypatch):
+    """Sums over every state path, of texts shorter than a stretch; and longer ones cut into stretches come near uncut ones."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(hmm_lm, "STATES", 2)
+    k, m = 2, 4
+    emit, move, start = rng.random((m, k)), rng.random((k, k)), rng.random(k)
+    model = hmm_lm.Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0), start / start.sum())
+    texts = [np.array(t, np.uint16) for t in ([1], [0, 3, 2, 2, 1, 0, 3], [3, 3], [2, 1, 0, 0, 1])]
+    want_emit, want_move, want_start, likelihood = np.zeros((m, k)), np.zeros((k, k)), np.zeros(k), 0.0
+    for text in texts:
+        weighed = []
+        for path in itertools.product(range(k), repeat=len(text)):
+            p = model.start[path[0]] * model.emit[text[0], path[0]]
+            for t in range(1, len(text)):
+                p *= model.move[path[t - 1], path[t]] * model.emit[text[t], path[t]]
+            weighed.append((path, p))
+        total = sum(p for _, p in weighed)
+        likelihood += math.log(total)
+        for path, p in weighed:
+            want_start[path[0]] += p / total
+            for t, s in enumerate(path):
+                want_emit[text[t], s] += p / total
+                if t:
+                    want_move[path[t - 1], s] += p / total
+
+    def counted(texts):
+        got = hmm_lm.Expected(model)
+        got.add(texts)
+        got.flush()
+        return got
+
+    got = counted(texts)
+    assert got.log_likelihood == pytest.approx(likelihood, rel=1e-5)
+    for a, b in ((got.emit, want_emit), (got.move, want_move), (got.start, want_start)):
+        assert np.allclose(a, b, rtol=1e-4, atol=1e-5)
+    long = [np.array(rng.integers(0, m, n), np.uint16) for n in (700, 193, 192, 208, 1)]
+    cut = counted(long)
+    monkeypatch.setattr(hmm_lm, "SEGMENT", 10_000)
+    whole = counted(long)
+    assert cut.move.sum() == pytest.approx(sum(len(t) - 1 for t in long), rel=1e-4)
+    assert cut.log_likelihood == pytest.approx(whole.log_likelihood, rel=1e-6)
+    for a, b in ((cut.emit, whole.emit), (cut.move, whole.move), (cut.start, whole.start)):
+        assert np.allclose(a, b, rtol=1e-3, atol=1e-3)
+
+
 def test_all_words_of_a_class_share_its_probability(spark):
     counts = spark.createDataFrame([(w.encode(), n) for w, n in Counter(prose(1, 400).split()).items()], "word binary, n long")
     v = hmm_lm.Vocabulary(counts, 3)
@@ -84,8 +129,7 @@ def test_all_words_of_a_class_share_its_probability(spark):
     assert v.tokens == sum(words.values()) + 3 and v.distinct == len(words) + 1
 
 
-def test_odd_rows(spark, monkeypatch):
-    monkeypatch.setattr(hmm_lm, "SAMPLE_STEPS", 2)
+def test_odd_rows(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
     got = hmm_lm.language_scores(with_clashes(docs(spark, ODD))).collect()
     check_base(ODD, got, held)
