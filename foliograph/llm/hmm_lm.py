@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.workspace import bounded_batches, written
+from foliograph.workspace import bounded_batches, shuffle_partitions, written
 
 STATES = 12
 TOP, CLASSES, SUFFIX = 16384, 1024, 3
@@ -50,7 +50,9 @@ SEGMENT, MARGIN = 192, 16
 IN_STEP, HELD_TOKENS = 2048, 1_000_000
 #: Steps between two scalings of a stretch's probabilities.
 SCALED = 4
-PARTS = 8
+PARTS = 4
+#: Rows of the expected counts that are added in one group.
+SUMMED_AT_ONCE = 4096
 SETTLED = 1e-3
 PRIOR = 20.0
 FOLDS = 10
@@ -323,10 +325,24 @@ def _lists(column) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint16) for x in column]
 
 
+def _added(batches):
+    """Sums of rows (block, numbers) by block, one sum of each block held at a time."""
+    import pyarrow as pa
+
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for block, numbers in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            x = np.frombuffer(numbers.as_py(), np.float64)
+            sums[block] = sums[block] + x if block in sums else x
+    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "numbers"])
+
+
 def expected_counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Emissions, moves and starts that ``model`` expects in rows (symbols), and their log-likelihood."""
-    shared = rows.sparkSession.sparkContext.broadcast(Model(model.start, model.move, model.emit, model.share))
-    names = [f"s{k}" for k in range(STATES)]
+    spark = rows.sparkSession
+    shared = spark.sparkContext.broadcast(Model(model.start, model.move, model.emit, model.share))
+    schema = "block int, numbers binary"
+    height = SYMBOLS + STATES + 2
 
     def run(batches):
         import pyarrow as pa
@@ -336,22 +352,16 @@ def expected_counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarr
             for low in range(0, batch.num_rows, 1000):
                 got.add(_lists(batch.column(0).slice(low, 1000)))
         got.flush()
-        used = np.flatnonzero(got.emit.any(axis=1))
-        kind = np.repeat([0, 1, 2, 3], [len(used), STATES, 1, 1]).astype(np.int32)
-        index = np.concatenate([used, np.arange(STATES), [0], [0]]).astype(np.int32)
-        numbers = np.concatenate([got.emit[used], got.move, got.start[None], np.full((1, STATES), got.log_likelihood)])
-        yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(index), *[pa.array(numbers[:, k]) for k in range(STATES)]], ["kind", "index", *names])
-
-    schema = "kind int, index int, " + ", ".join(f"{c} double" for c in names)
-    sums = bounded_batches(rows.select("symbols")).mapInArrow(run, schema).groupBy("kind", "index").agg(*[F.sum(c).alias(c) for c in names]).toArrow()
+        numbers = np.concatenate([got.emit, got.move, got.start[None], np.full((1, STATES), got.log_likelihood)])
+        blocks = range(0, height, SUMMED_AT_ONCE)
+        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([numbers[k : k + SUMMED_AT_ONCE].tobytes() for k in blocks], pa.binary())], ["block", "numbers"])
+
+    sums = bounded_batches(rows.select("symbols")).mapInArrow(run, schema).repartition(min(-(-height // SUMMED_AT_ONCE), shuffle_partitions(spark)), "block").mapInArrow(_added, schema).toArrow()
     shared.destroy()
-    kind, index = sums.column("kind").to_numpy(), sums.column("index").to_numpy()
-    numbers = np.stack([sums.column(c).to_numpy() for c in names], axis=1) if len(kind) else np.zeros((0, STATES))
-    emit, move, start = np.zeros((SYMBOLS, STATES)), np.zeros((STATES, STATES)), np.zeros(STATES)
-    emit[index[kind == 0]], move[index[kind == 1]] = numbers[kind == 0], numbers[kind == 1]
-    if (kind == 2).any():
-        start = numbers[kind == 2][0]
-    return emit, move, start, float(numbers[kind == 3][0, 0]) if (kind == 3).any() else 0.0
+    numbers = np.zeros((height, STATES))
+    for block, found in zip(sums.column("block").to_pylist(), sums.column("numbers").to_pylist(), strict=True):
+        numbers[block : block + SUMMED_AT_ONCE] = np.frombuffer(found, np.float64).reshape(-1, STATES)
+    return numbers[:SYMBOLS], numbers[SYMBOLS : SYMBOLS + STATES], numbers[-2], float(numbers[-1, 0])
 
 
 def baum_welch(rows: DataFrame, model: Model, symbols: np.ndarray) -> tuple[Model, float]:
