@@ -6,11 +6,13 @@ are compared in constant time, and the longest common extension of two positions
 one text or two, is found by binary search.
 
 A fingerprint is made from the same arrays: the number of characters, the hash of the
-whole text and the KEPT smallest mixed hashes of all spans of SPAN characters, counted as often as they
-occur. Two
-fingerprints' likeness is the share of equal hashes among the KEPT smallest of both,
-which estimates the Jaccard similarity of the texts' spans; equal fingerprints have 1.
-Texts under 4 * SPAN characters use spans of a quarter of their length.
+whole text and the KEPT smallest mixed hashes of all spans of SPAN characters, counted as
+often as they occur. Texts under SHORT characters also keep those of their spans of 4, 2
+and 1 characters. Two fingerprints are compared at the longest span that the shorter text
+has room for four times, or, where one of them doesn't keep that, at SPAN; their likeness
+is the share of equal hashes among the KEPT smallest of both, which estimates the Jaccard
+similarity of the texts' spans (exact while both together have KEPT spans or fewer). Equal
+fingerprints have 1.
 
 Fingerprinting is map-side. The query's edited texts need the next document: rows are
 put into buckets of neighbouring ids (cut points from approximate quantiles, at most
@@ -37,6 +39,9 @@ PRIMES = (2147483647, 2147483629)
 BASES = (1105378049, 872514239)
 SPAN = 8
 KEPT = 64
+#: Texts below this length also keep the hashes of shorter spans; a text that needs those is under a quarter of it.
+SHORT = 128
+SPANS = (8, 4, 2, 1)
 CUTS = 8192
 _MIX, _AGAIN = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x5851F42D4C957F2D)
 
@@ -115,11 +120,11 @@ class PrefixHashes:
         return low
 
 
-def sketch(hashes: PrefixHashes) -> np.ndarray:
-    """The KEPT smallest distinct mixed span hashes, ascending, as 32-bit numbers."""
-    if not hashes.n:
+def sketch(hashes: PrefixHashes, span: int = SPAN) -> np.ndarray:
+    """The KEPT smallest distinct mixed hashes of the spans of one length, ascending, as 32-bit numbers."""
+    if hashes.n < span:
         return np.zeros(0, np.uint32)
-    h = hashes.all_spans(min(SPAN, max(1, hashes.n // 4)))
+    h = hashes.all_spans(span)
     # the second occurrence of a span counts as another span, the third too, so repetition weighs as in the text
     h.sort()
     at = np.arange(len(h))
@@ -141,23 +146,30 @@ class Print:
 
     def __init__(self, text: str | None):
         self.hashes = PrefixHashes(text)
-        self.n, self.whole, self.least = self.hashes.n, self.hashes.span(0, self.hashes.n), sketch(self.hashes)
+        self.n, self.whole = self.hashes.n, self.hashes.span(0, self.hashes.n)
+        self.least = {s: sketch(self.hashes, s) for s in (SPANS if self.n < SHORT else SPANS[:1])}
 
     def __str__(self) -> str:
-        return f"{self.n:x}-{self.whole:016x}-{self.least.astype('>u4').tobytes().hex()}"
+        return "-".join([f"{self.n:x}", f"{self.whole:016x}", *(x.astype(">u4").tobytes().hex() for x in self.least.values())])
 
 
 def likeness(a: str, b: str) -> float:
     """Of two fingerprints, 0 to 1."""
     if a == b:
         return 1.0
-    x, y = (np.frombuffer(bytes.fromhex(s.rpartition("-")[2]), ">u4") for s in (a, b))
-    return _alike(x, y)
+    read = lambda s: dict(zip(SPANS, (np.frombuffer(bytes.fromhex(x), ">u4") for x in s.split("-")[2:]), strict=False))
+    return _alike(int(a.split("-")[0], 16), read(a), int(b.split("-")[0], 16), read(b))
 
 
-def _alike(x: np.ndarray, y: np.ndarray) -> float:
+def _alike(n: int, x: dict[int, np.ndarray], m: int, y: dict[int, np.ndarray]) -> float:
+    span = next((s for s in SPANS if 4 * s <= min(n, m)), 1)
+    span = span if span in x and span in y else SPAN
+    return _shared(x[span], y[span])
+
+
+def _shared(x: np.ndarray, y: np.ndarray) -> float:
     if not len(x) or not len(y):
-        return float(len(x) == len(y))
+        return 0.0
     both = np.intersect1d(x, y, assume_unique=True)
     # of the smallest of both, as many as either sketch vouches for
     union = np.union1d(x, y)
@@ -167,7 +179,7 @@ def _alike(x: np.ndarray, y: np.ndarray) -> float:
 
 
 def alike(a: Print, b: Print) -> float:
-    return 1.0 if (a.n, a.whole) == (b.n, b.whole) else _alike(a.least, b.least)
+    return 1.0 if (a.n, a.whole) == (b.n, b.whole) else _alike(a.n, a.least, b.n, b.least)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

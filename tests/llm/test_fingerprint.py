@@ -1,5 +1,6 @@
 import hashlib
 import random
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -62,3 +63,41 @@ def test_odd_rows(spark):
     assert fp.neighbour_fingerprints(docs(spark, [])).count() == 0
     alone = fp.neighbour_fingerprints(docs(spark, [(1, "abcdefgh")])).collect()
     assert len(alone) == 1 and alone[0]["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest()
+
+
+def counted_spans(text, span):
+    """Each span with the number of its occurrence, found by slicing."""
+    seen, out = Counter(), set()
+    for k in range(len(text) - span + 1):
+        piece = text[k : k + span]
+        seen[piece] += 1
+        out.add((piece, seen[piece]))
+    return out
+
+
+def jaccard(a, b):
+    span = next((s for s in (8, 4, 2, 1) if 4 * s <= min(len(a), len(b))), 1)
+    x, y = counted_spans(a, span), counted_spans(b, span)
+    return len(x & y) / len(x | y)
+
+
+def test_likeness_against_plain_sets():
+    """Short texts exactly, long ones within the sketch's error; one character less never makes texts unlike."""
+    rng = random.Random(6)
+    letters = lambda n: "".join(rng.choices("abcdefghij klmnop", k=n))
+    for n in range(2, 81):
+        text = letters(n)
+        for other in (text[:-1], text[1:], letters(rng.randint(1, 60)), text[: n // 2] + letters(5)):
+            got, want = fp.likeness(str(fp.Print(text)), str(fp.Print(other))), jaccard(text, other)
+            assert abs(got - want) < (1e-9 if max(n, len(other)) <= 40 else 0.25), (text, other)
+            assert got == fp.alike(fp.Print(text), fp.Print(other))
+        if n >= 8:
+            assert fp.likeness(str(fp.Print(text)), str(fp.Print(text[:-1]))) > 0.8
+    errors = []
+    for _ in range(60):
+        text = letters(rng.randint(100, 900))
+        other = text[: rng.randint(0, len(text))] + letters(rng.randint(0, 300))
+        errors.append(fp.likeness(str(fp.Print(text)), str(fp.Print(other))) - jaccard(text, other))
+    assert max(map(abs, errors)) < 0.25 and abs(sum(errors) / len(errors)) < 0.03
+    assert fp.likeness(str(fp.Print("ab")), str(fp.Print(letters(500)))) == 0.0
+    assert fp.likeness(str(fp.Print("")), str(fp.Print("a"))) == 0.0
