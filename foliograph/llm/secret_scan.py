@@ -42,6 +42,8 @@ SMOOTHING, LEAN = 0.5, 20.0
 THRESHOLD = 12.0
 SAMPLE_DOCS = 2000
 GENERATED = 4096
+#: Matches of a text that are placed together.
+GROUP = 64
 
 
 def _pairs(values: DataFrame) -> DataFrame:
@@ -79,7 +81,7 @@ def identifiers(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """Token runs, and names of three words joined by underscores, of about ``sample_docs`` documents chosen by hash (all, if there are fewer), without rule matches, labelled 0."""
     rows = max(1, docs.count())
     share = min(1.0, sample_docs / rows)
-    few = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
+    few = docs.filter(F.xxhash64("doc_id").cast("double") / F.lit(2.0**64) + 0.5 <= share)
     text = F.coalesce("text", F.lit(""))
     for rule in (ASSIGN, ACCESS, HEX):
         text = F.regexp_replace(text, rule, " ")
@@ -112,14 +114,32 @@ def _spans(text: Column, rule: str, found: Column, kind: int) -> Column:
     """(start, kind, end, value) of the matches ``found`` of ``rule``."""
     pieces = F.split(text, rule, -1)
     whole = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("match"))
-    empty = F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")
+    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
     def step(acc, x):
         start = acc["at"] + F.length(x["piece"])
         end = start + F.length(x["match"])
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"), x["match"].alias("value"))).alias("out"))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(start.alias("start"), end.alias("end"), x["match"].alias("value"))).alias("out"))
 
-    return F.when(F.size(found) == 0, empty).otherwise(F.aggregate(whole, F.struct(F.lit(0).alias("at"), empty.alias("out")), step)["out"])
+    # matches are placed in groups of GROUP, then groups: arrays that grow by one stay short
+    groups = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / GROUP).cast("int")), lambda g: F.aggregate(F.slice(whole, g * GROUP + 1, GROUP), F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+
+    def shifted(groups: Column) -> Column:
+        ends = lambda acc, g: F.struct((acc["at"] + g["at"]).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out"))
+        before = F.aggregate(groups, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), ends)["out"]
+        move = lambda g, by: F.transform(g["out"], lambda x: F.struct((x["start"] + by).alias("start"), F.lit(kind).alias("kind"), (x["end"] + by).alias("end"), x["value"].alias("value")))
+        return F.flatten(F.zip_with(groups, before, move))
+
+    placed = F.get(F.transform(F.array(groups), shifted), 0)  # bound once
+    return F.when(F.size(found) == 0, F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>")).otherwise(placed)
+
+
+def _touches(span: Column, others: Column) -> Column:
+    """Whether ``span`` overlaps one of ``others``, which are in order and apart; by halving."""
+    halve = lambda low, step: F.when((low + step <= F.size(others)) & (F.get(others, low + step - 1)["start"] < span["end"]), low + step).otherwise(low)
+    steps = F.array(*[F.lit(1 << k) for k in range(29, -1, -1)])
+    last = F.get(others, F.aggregate(steps, F.lit(0), halve) - 1)
+    return F.when(F.size(others) == 0, F.lit(False)).otherwise(F.coalesce(last["end"] > span["start"], F.lit(False)))
 
 
 def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
@@ -129,9 +149,9 @@ def scan(docs: DataFrame, model: list[float], id_col: str = "doc_id", text_col:
     d = d.select("*", every(ASSIGN).alias("m0"), every(ASSIGN, 1).alias("v0"), every(ACCESS).alias("m1"), every(HEX).alias("m2"), every(RUN).alias("m3"))
     d = d.select("doc_id", "v0", *[_spans(F.col("text"), rule, F.col(f"m{k}"), k).alias(f"s{k}") for k, rule in enumerate((ASSIGN, ACCESS, HEX, RUN))])
     assigned = F.filter("s0", lambda x, i: F.length(F.get("v0", i)) >= MIN_ASSIGNED)
-    d = d.select("doc_id", F.array_sort(F.concat(assigned, "s1", "s2")).alias("base"), "s3")
-    free = F.filter("s3", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
-    d = d.select("doc_id", "base", F.when(F.size("s3") == 0, F.col("s3")).otherwise(free).alias("free"))
+    d = d.select("doc_id", assigned.alias("s0"), "s1", "s2", "s3")
+    free = F.filter("s3", lambda x: ~(_touches(x, F.col("s0")) | _touches(x, F.col("s1")) | _touches(x, F.col("s2"))))
+    d = d.select("doc_id", F.array_sort(F.concat("s0", "s1", "s2")).alias("base"), F.when(F.size("s3") == 0, F.col("s3")).otherwise(free).alias("free"))
     random = F.filter("free", lambda x: log_ratio(x["value"], model) > threshold)
     return d.select("doc_id", "base", F.when(F.size("free") == 0, F.col("free")).otherwise(random).alias("added"))
 

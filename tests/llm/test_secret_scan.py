@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from foliograph.llm import secret_scan
@@ -61,3 +62,27 @@ def test_odd_rows(spark):
     assert secret_scan.scan(with_clashes(rows), model).count() == len(ODD)
     assert all(r["base"] == [] for r in secret_scan.scan(rows, model).collect())
     assert secret_scan.scan(docs(spark, []), model).count() == 0
+
+
+def test_many_spans_in_one_text(spark):
+    model = secret_scan.train(secret_scan.random_strings(spark, 64).union(secret_scan.identifiers(docs(spark, [(i, prose(i, 100)) for i in range(30)]))))
+    text = "\n".join(f"é token={RANDOM}{k:03d} deadbeefdeadbeef{k:03x} AKIA{'B' * 14}{k} {RANDOM[::-1]}x" for k in range(400))
+    r = secret_scan.scan(docs(spark, [(1, text)]), model).first()
+    assert [(b["start"], b["kind"], b["end"]) for b in r["base"]] == brute(text)
+    covered = [(a, e) for a, _, e in brute(text)]
+    assert len(r["added"]) == 400
+    for x in r["added"]:
+        assert text[x["start"] : x["end"]] == x["value"] == RANDOM[::-1] + "x" and not any(a < x["end"] and x["start"] < e for a, e in covered[:20] + covered[-20:])
+
+
+def test_misses_and_false_alarms_on_labelled_strings(spark):
+    """Strings of neither sample: random letters and digits against joined words."""
+    rng = random.Random(9)
+    model = secret_scan.train(secret_scan.random_strings(spark, 2000).union(secret_scan.identifiers(docs(spark, [(i, prose(i, 300)) for i in range(200)]))))
+    secrets = ["".join(rng.choices(secret_scan.ALPHABET[:62], k=rng.randint(20, 40))) for _ in range(300)]
+    names = ["_".join(prose(10_000 + i, 6).split())[: rng.randint(20, 60)].strip("_").ljust(16, "a") for i in range(300)]
+    rows = spark.createDataFrame([(v, k) for k, vs in ((1, secrets), (0, names)) for v in vs], "v string, label int")
+    got = rows.select("label", (secret_scan.log_ratio("v", model) > secret_scan.THRESHOLD).alias("found")).collect()
+    missed = sum(r["label"] == 1 and not r["found"] for r in got) / 300
+    alarms = sum(r["label"] == 0 and r["found"] for r in got) / 300
+    assert missed <= 0.05 and alarms <= 0.01, (missed, alarms)
