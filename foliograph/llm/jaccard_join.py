@@ -13,8 +13,9 @@ task come out, never a row per pair.
 
 Skew: copies are folded by partial aggregation before anything meets; buckets with the
 same members are compared once; buckets and families beyond BLOCK classes are dealt as
-pairs of blocks to different tasks, so no task gets more than two blocks. All pairs of
-different texts in a family are still compared: that is the join's own work.
+pairs of blocks to different tasks, so no task gets more than two blocks. A family's texts
+travel once for every other block of it; the MinHash values of all its pairs are compared,
+the texts of the remaining ones.
 
 A true pair is missed with a probability of (1 - s**4)**32, 5e-8 at the threshold and
 less above it, plus about TOLERANCE for each of the four looks.
@@ -185,6 +186,24 @@ def _pairs_in(block: np.ndarray, a: int, b: int, sizes: np.ndarray, threshold: f
     return left[fits], right[fits]
 
 
+def _looks(threshold: float, tolerance: float = TOLERANCE) -> list[tuple[int, int]]:
+    """After how many values pairs are looked at, and how many equal ones they need to stay."""
+    return [(k, least_matches(k, threshold, tolerance)) for k in range(HASHES_AT_ONCE, HASHES + 1, HASHES_AT_ONCE)]
+
+
+def _left_by_posterior(sigs: bytes, left: np.ndarray, right: np.ndarray, looks: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose MinHash values, compared a look at a time, leave the threshold within reach."""
+    sig = np.frombuffer(sigs, np.uint32).reshape(-1, HASHES)
+    equal, at = np.zeros(len(left), np.int32), 0
+    for seen, least in looks:
+        for k in range(0, len(left), 65536):
+            part = slice(k, k + 65536)
+            equal[part] += (sig[left[part], at:seen] == sig[right[part], at:seen]).sum(axis=1, dtype=np.int32)
+        good = equal >= least
+        left, right, equal, at = left[good], right[good], equal[good], seen
+    return left, right
+
+
 def pruned_edges(classes: DataFrame, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
     """a, b: edges whose components hold every pair of classes (rep, n_set, sig) that the posterior doesn't rule out."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (4 * ROWS) + 1, F.lit(4 * ROWS))))
@@ -193,22 +212,15 @@ def pruned_edges(classes: DataFrame, threshold: float = THRESHOLD, tolerance: fl
     alike = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("first"), F.sum(F.xxhash64("rep").cast("decimal(20,0)")).alias("sum")).filter("n > 1")
     kept = written(alike.groupBy("n", "first", "sum").agg(F.min("bucket").alias("bucket")).select("bucket", "n"), "buckets")
     rows = members.join(kept, "bucket").join(classes.select("rep", "n_set", "sig"), "rep")
-    looks = [(k, least_matches(k, threshold, tolerance)) for k in range(HASHES_AT_ONCE, HASHES + 1, HASHES_AT_ONCE)]
+    looks = _looks(threshold, tolerance)
 
     def run(batches):
         import pyarrow as pa
 
         for t in _groups(batches, 3):
             rep, size, block = (t.column(c).to_numpy() for c in ("rep", "n_set", "block"))
-            sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(rep), HASHES)
             left, right = _pairs_in(block, t.column(1)[0].as_py(), t.column(2)[0].as_py(), size, threshold)
-            equal, at = np.zeros(len(left), np.int32), 0
-            for seen, least in looks:
-                for k in range(0, len(left), 65536):
-                    part = slice(k, k + 65536)
-                    equal[part] += (sig[left[part], at:seen] == sig[right[part], at:seen]).sum(axis=1, dtype=np.int32)
-                good = equal >= least
-                left, right, equal, at = left[good], right[good], equal[good], seen
+            left, right = _left_by_posterior(b"".join(t.column("sig").to_pylist()), left, right, looks)
             root = _roots(len(rep), left, right, rep)
             moved = root != rep
             if moved.any():
@@ -239,18 +251,20 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
 def verified(docs: DataFrame, families: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """rep, text_links, doc_links, root: exact links of each class with others of its family, a row for each task the class is
     dealt to. families: rep, family, weight; docs: rep, text of every class in a family."""
+    looks = _looks(threshold)
     sizes = families.groupBy("family").agg(F.count("*").alias("n"))
     rows = families.join(sizes, "family").join(docs, "rep")
 
     def run(batches):
         import pyarrow as pa
 
-        shingle = Shingler()
+        shingle, hashes = Shingler(), _hash_family()
         for t in _groups(batches, 3):
             rep, weight, block = (t.column(c).to_numpy() for c in ("rep", "weight", "block"))
             sets = [shingle(x.as_py()) for x in t.column("text")]
             n = np.array([len(s) for s in sets], np.int64)
             left, right = _pairs_in(block, t.column(1)[0].as_py(), t.column(2)[0].as_py(), n, threshold)
+            left, right = _left_by_posterior(b"".join(min_hashes(s, hashes).tobytes() for s in sets), left, right, looks)
             both = _shared(sets, left, right)
             good = (1 + threshold) * both >= threshold * (n[left] + n[right]) - 1e-9
             left, right = left[good], right[good]
@@ -294,9 +308,10 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` (doc_id, text, any others) without near duplicates: of each class the smallest doc_id stays, once; rows
     with a null doc_id stay."""
     keep = near_duplicates(docs, threshold=threshold).filter("doc_id = class_id").select("doc_id").distinct()
-    kept = docs.join(keep, "doc_id", "left_semi").withColumn("__hash", F.xxhash64("text"))
-    once = kept.dropDuplicates(["doc_id", "__hash"]).select(docs.columns)
-    return once.union(docs.filter("doc_id IS NULL"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    # of repeated rows that differ elsewhere always the same one
+    once = rows.join(keep, "doc_id", "left_semi").groupBy("doc_id", "text_hash").agg(F.min_by("row", F.xxhash64(F.to_json("row"))).alias("row"))
+    return once.select("row").union(rows.filter("doc_id IS NULL").select("row")).select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op9_jaccard_join(spark, sf_dir: str) -> DataFrame:

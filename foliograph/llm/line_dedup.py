@@ -12,7 +12,8 @@ against their first document, which partial aggregation has already found.
 Defined results: a null or empty text is one empty line; a null doc_id counts as
 one document after all others; repeated rows of one doc_id are one document as
 far as dropping goes, and each row gets its bitmap; an empty table gives an
-empty table; other columns of the input are ignored, whatever they are called.
+empty table; other columns of the input are ignored, or kept by ``deduplicated``,
+whatever they are called.
 """
 
 from __future__ import annotations
@@ -101,14 +102,13 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 def deduplicated(docs: DataFrame, min_key: int = MIN_KEY) -> DataFrame:
     """The rows and columns of ``docs`` (doc_id, text, any others) with repeated lines dropped from text; n_chars follows where it is there."""
-    own = {"__doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__hash": F.xxhash64(F.coalesce("text", F.lit("")))}
-    rows = docs.withColumns(own)
-    maps = drop_bitmaps(docs.select("doc_id", "text"), min_key=min_key).select(F.col("doc").alias("__doc"), F.col("row_hash").alias("__hash"), F.col("runs").alias("__runs"))
-    both = rows.join(maps, ["__doc", "__hash"], "left")
-    text = F.when(F.col("__runs").isNull(), F.col("text")).otherwise(F.array_join(_kept_lines(F.col("text"), F.col("__runs")), "\n"))
-    both = both.withColumn("text", text)
-    new = {"n_chars": F.length("text").cast("long")}
-    return both.select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.xxhash64(text).alias("row_hash"))
+    both = rows.join(drop_bitmaps(docs.select("doc_id", "text"), min_key=min_key).select("doc", "row_hash", "runs"), ["doc", "row_hash"], "left")
+    old = F.col("row")["text"]
+    both = both.select("row", F.when(F.col("runs").isNull(), old).otherwise(F.array_join(_kept_lines(old, F.col("runs")), "\n")).alias("kept"))
+    new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
+    return both.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op8_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -169,28 +169,31 @@ def mix_documents(docs: DataFrame) -> DataFrame:
 def mixed_texts(docs: DataFrame) -> DataFrame:
     """The documents as the mix holds them, in the columns of ``docs``: each text is cut to the words taken, a second helping
     follows on a new line, and documents of which nothing is taken go. n_chars is that of the new text."""
-    names = docs.columns
-    keyed = docs.withColumns({"__hash": F.xxhash64("text"), "__size": word_count(F.col("text"))})
-    dup = Window.partitionBy("doc_id", "__hash").orderBy("source")
-    sizes = keyed.select("doc_id", "source", F.col("__hash").alias("row_hash"), F.col("__size").alias("size"))
-    sizes = sizes.withColumn("dup", F.row_number().over(Window.partitionBy("doc_id", "row_hash").orderBy("source")))
+    keyed = docs.select(F.struct("*").alias("row"), "doc_id", "source", F.xxhash64("text").alias("row_hash"), word_count(F.col("text")).alias("size"))
+    # copies are numbered on ids and hashes; among themselves they are told apart by source only
+    copy = F.row_number().over(Window.partitionBy("doc_id", "row_hash").orderBy("source"))
+    sizes = keyed.select("doc_id", "source", "row_hash", "size").withColumn("dup", copy)
     rows, pieces = mix(written(sizes, "mix-sizes"))
     piece = F.struct("skip", "words", "times")
-    got = pieces.groupBy("source_no", "at").agg(F.array_sort(F.collect_list(piece)).alias("__pieces"), F.sum("words").alias("__once"), F.sum(F.when(F.col("times") > 1, F.col("words")).otherwise(0)).alias("__twice"))
-    got = rows.filter("size > 0").join(got, ["source_no", "at"]).select(F.col("doc_id").alias("__id"), F.col("row_hash").alias("__h"), F.col("dup").alias("__d"), "__pieces", "__once", "__twice")
-    keyed = keyed.withColumn("__dup", F.row_number().over(dup))
-    both = keyed.join(got, keyed["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__hash") == F.col("__h")) & (F.col("__dup") == F.col("__d")))
-    words = F.filter(F.split("text", WORD_GAP, -1), lambda x: x != "")
-
-    def helping(n: int, got_words: Column) -> Column:
-        some = F.filter("__pieces", lambda p: p["times"] >= n)
-        cut = F.array_join(F.flatten(F.transform(some, lambda p: F.slice(words, (p["skip"] + 1).cast("int"), p["words"].cast("int")))), " ")
-        return F.when(got_words == F.col("__size"), F.col("text")).otherwise(cut)
-
-    text = F.when(F.col("__twice") > 0, F.concat_ws("\n", helping(1, F.col("__once")), helping(2, F.col("__twice")))).otherwise(helping(1, F.col("__once")))
-    out = both.withColumn("__text", text)
-    new = {"text": F.col("__text"), "n_chars": F.length("__text").cast("long")}
-    return out.select(*[new.get(c, F.col(c)).alias(c) for c in names])
+    got = pieces.groupBy("source_no", "at").agg(F.array_sort(F.collect_list(piece)).alias("pieces"), F.sum("words").alias("once"), F.sum(F.when(F.col("times") > 1, F.col("words")).otherwise(0)).alias("twice"))
+    got = rows.filter("size > 0").join(got, ["source_no", "at"]).select(F.col("doc_id").alias("of_id"), F.col("row_hash").alias("of_hash"), F.col("dup").alias("of_dup"), "pieces", "once", "twice")
+    keyed = keyed.select("row", "doc_id", "row_hash", "size", copy.alias("dup"))
+    both = keyed.join(got, keyed["doc_id"].eqNullSafe(F.col("of_id")) & (F.col("row_hash") == F.col("of_hash")) & (F.col("dup") == F.col("of_dup")))
+    old = F.col("row")["text"]
+
+    def taken(words: Column) -> Column:
+        def helping(n: int, got_words: Column) -> Column:
+            some = F.filter("pieces", lambda p: p["times"] >= n)
+            cut = F.array_join(F.flatten(F.transform(some, lambda p: F.slice(words, (p["skip"] + 1).cast("int"), p["words"].cast("int")))), " ")
+            return F.when(got_words == F.col("size"), old).otherwise(cut)
+
+        return F.when(F.col("twice") > 0, F.concat_ws("\n", helping(1, F.col("once")), helping(2, F.col("twice")))).otherwise(helping(1, F.col("once")))
+
+    # the words stand in an array of one, whose only element is bound once, so a text isn't split again for each of its pieces
+    words = F.filter(F.split(old, WORD_GAP, -1), lambda x: x != "")
+    out = both.select("row", F.get(F.transform(F.array(words), taken), 0).alias("mixed"))
+    new = {"text": F.col("mixed"), "n_chars": F.length("mixed").cast("long")}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

@@ -39,5 +39,18 @@ def with_clashes(frame):
     """The table with further columns whose names operators might use themselves."""
     from pyspark.sql import functions as F
 
-    names = ["doc", "row_hash", "key", "pos", "size", "score", "rank", "rid", "rep", "bucket", "block", "head", "at", "target", "taken", "held_out", "label", "matches", "base", "node", "pieces", "once", "twice", "runs", "words", "times", "symbols", "share", "u", "m", "n"]
+    names = ["doc", "row_hash", "key", "pos", "size", "score", "rank", "rid", "rep", "bucket", "block", "head", "at", "target", "taken", "held_out", "label", "matches", "base", "node", "pieces", "once", "twice", "runs", "words", "times", "symbols", "share", "u", "m", "n",
+        "row", "old", "kept", "copy", "dup", "of_id", "of_hash", "of_dup", "mixed", "text_hash", "keep", "n_dropped", "lines", "source_no", "skip", "class_id", "copy_id", "__score", "__hash", "__doc", "__runs", "__size", "__dup", "__text", "__pieces", "__id", "__h", "__d"]
     return frame.withColumns({n: F.lit(n) for n in names})
+
+
+def check_stage_keeps_columns(stage, frame):
+    """A pipeline stage gives the columns of its input whatever they are called, with their values, and the same rows as without them."""
+    clashing = with_clashes(frame)
+    got, plain = stage(clashing), stage(frame)
+    assert got.columns == clashing.columns and plain.columns == frame.columns
+    extra = clashing.columns[len(frame.columns) :]
+    rows = got.collect()
+    assert all(r[c] == c for r in rows for c in extra)
+    order = lambda r: tuple(str(r[c]) for c in frame.columns)
+    assert sorted(map(order, rows)) == sorted(map(order, plain.collect()))

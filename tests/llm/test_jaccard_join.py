@@ -7,7 +7,7 @@ import pytest
 
 from foliograph.llm import jaccard_join as jj
 from foliograph.llm.components import components
-from tests.llm.helpers import ODD, docs, prose, saved, with_clashes
+from tests.llm.helpers import ODD, check_stage_keeps_columns, docs, prose, saved, with_clashes
 
 
 def brute(rows):
@@ -102,3 +102,7 @@ def test_components(spark):
 
 def test_empty(spark):
     assert jj.near_duplicates(docs(spark, [])).count() == 0 and jj.one_of_each(docs(spark, [])).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    check_stage_keeps_columns(jj.one_of_each, docs(spark, [(1, prose(1, 50)), (2, prose(1, 50)), (2, prose(1, 50)), (3, prose(3, 40)), (None, "x"), (4, None)]))

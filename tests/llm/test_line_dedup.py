@@ -4,7 +4,7 @@ from collections import defaultdict
 import duckdb
 
 from foliograph.llm import line_dedup
-from tests.llm.helpers import ODD, docs, prose, saved, with_clashes
+from tests.llm.helpers import ODD, check_stage_keeps_columns, docs, prose, saved, with_clashes
 
 SPACE = " \t\n\x0b\x0c\r"
 
@@ -59,3 +59,7 @@ def test_columns_stay(spark):
 
 def test_empty(spark):
     assert line_dedup.dedup_lines(docs(spark, [])).count() == 0
+
+
+def test_columns_of_any_name_stay(spark):
+    check_stage_keeps_columns(line_dedup.deduplicated, docs(spark, [(1, "first line here\nB"), (2, "first line here\nC"), (2, "first line here\nC"), (None, None)]))

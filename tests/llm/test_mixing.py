@@ -2,7 +2,7 @@ import duckdb
 from pyspark.sql import functions as F
 
 from foliograph.llm import mixing
-from tests.llm.helpers import ODD, docs, prose, saved, with_clashes
+from tests.llm.helpers import ODD, check_stage_keeps_columns, docs, prose, saved, with_clashes
 
 
 def targets(sizes):
@@ -69,3 +69,7 @@ def test_mixed_texts_hold_what_is_taken(spark, tmp_path):
     sums = lambda frame, c: {r[0]: r[1] for r in frame.groupBy("doc_id").agg(F.sum(c)).collect() if r[1]}
     words = sums(texts.withColumn("n", F.size(F.split("text", r"\s+")).cast("long")), "n")
     assert words == sums(mixing.mix_documents(rows), "taken")
+
+
+def test_columns_of_any_name_stay(spark):
+    check_stage_keeps_columns(mixing.mixed_texts, docs(spark, [(i, prose(i, 40), f"s{i % 3}") for i in range(30)] + [(7, prose(7, 40), "s1")] * 2 + [(None, None, None)]))
