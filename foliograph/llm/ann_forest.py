@@ -4,8 +4,9 @@ Method: each of TREES trees gives a vector a string of BITS sign bits of random
 projections and keeps the strings sorted. A query descends in every tree to its longest
 prefix match; then all trees ascend together, one bit at a time, and everything that
 shares the shortened prefix joins the candidates, until the trees' matches number WANTED
-times the rows of the forest (or MIN_FOUND, if that is more). Candidates are ranked by
-the inner product of the original vectors in double precision, ties to the smaller id.
+times the rows of the forest. Candidates are ranked by the inner product of the original
+vectors in double precision, ties to the smaller id; which of many need that is seen from
+products of scaled vectors in single precision, with room for the error these can have.
 As nearness is the inner product and not the angle, rows get one more component that
 makes all lengths equal before they are hashed; queries get 0 there.
 
@@ -40,7 +41,7 @@ from foliograph.workspace import bounded_batches, shuffle_partitions, written
 
 K = 20
 TREES, BITS = 64, 32
-WANTED, MIN_FOUND = 0.8, 4000
+WANTED = 0.8
 SHARD_ROWS, QUERY_BLOCK = 8192, 4096
 SEED = 20231
 
@@ -49,11 +50,11 @@ class Forest:
     """Sorted hash strings of one shard."""
 
     def __init__(self, vectors: np.ndarray, longest: float, trees: int = TREES, bits: int = BITS, seed: int = SEED):
-        self.vectors, self.trees, self.bits, self.longest = vectors, trees, bits, max(longest, 1e-300)
-        self.small = vectors.astype(np.float32)
+        self.vectors, self.trees, self.bits, self.longest = vectors, trees, bits, max(longest, 5e-324)
         rng = np.random.Generator(np.random.PCG64(seed))
         self.planes = rng.standard_normal((vectors.shape[1] + 1, trees * bits)).astype(np.float32)
-        scaled = vectors / self.longest
+        scaled = vectors / self.longest  # lengths up to 1, whatever the vectors' own
+        self.small = scaled.astype(np.float32)
         rest = np.sqrt(np.maximum(0, 1 - (scaled**2).sum(axis=1, keepdims=True)))
         codes = self._strings(np.hstack([scaled, rest]))
         self.order = np.argsort(codes, axis=1, kind="stable")
@@ -70,8 +71,7 @@ class Forest:
 
     def matches(self, queries: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
         """For each tree and query the run of sorted strings that share the prefix at which the trees' matches reach ``wanted``."""
-        norm = np.sqrt((queries**2).sum(axis=1, keepdims=True))
-        codes = self._strings(np.hstack([queries / np.maximum(norm, 1e-300), np.zeros((len(queries), 1))]))
+        codes = self._strings(np.hstack([_unit(queries), np.zeros((len(queries), 1))]))
         n = self.sorted.shape[1]
         low, high = np.zeros(codes.shape, np.int64), np.full(codes.shape, n, np.int64)
         # descending to prefixes of growing length until fewer match; the runs of the last length with enough of them stay
@@ -95,6 +95,9 @@ class Forest:
         out = []
         n = len(ids)
         keep = min(n, 4 * k)
+        unit = _unit(queries).astype(np.float32)
+        # of a product of d terms with |v| and |q| up to 1: rounding both sides and d sums, in units of 2**-24; twice that between two
+        slack = np.float32(4 * (queries.shape[1] + 4) * 2.0**-24)
         for i in range(len(queries)):
             if low[:, i].any() or (high[:, i] < n).any():
                 hit = np.zeros(n, bool)
@@ -105,9 +108,8 @@ class Forest:
                 rows = np.arange(n)
             rows = rows[ids[rows] != own[i]]
             if len(rows) > keep:  # single precision first, with room for its rounding; every tie stays
-                rough = self.small[rows] @ queries[i].astype(np.float32)
+                rough = self.small[rows] @ unit[i]
                 edge = np.partition(rough, len(rows) - keep)[len(rows) - keep]
-                slack = np.float32(1e-4) * max(1e-30, float(np.abs(rough).max()))
                 rows = rows[rough >= edge - slack]
             score = (self.vectors[rows] * queries[i]).sum(axis=1)
             best = np.lexsort((ids[rows], -score))[:k]
@@ -115,6 +117,17 @@ class Forest:
         return out
 
 
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length 1; scaled by their largest component first, as squares of very large or small ones don't exist."""
+    v = vectors / np.maximum(np.abs(vectors).max(axis=1, keepdims=True), 5e-324)
+    return v / np.sqrt((v**2).sum(axis=1, keepdims=True))
+
+
+def _length(vector: Column) -> Column:
+    peak = F.array_max(F.transform(vector, F.abs))
+    return peak * F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + (x / peak) * (x / peak)))
+
+
 def usable(vector: Column) -> Column:
     """Not null, not empty, not zero, all components finite numbers."""
     bad = lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))
@@ -127,13 +140,14 @@ def search(rows: DataFrame, query: Column, id_col: str = "vec_id", vector_col: s
     r = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.coalesce(query, F.lit(False)).alias("asks"))
     r = written(r.filter(usable(F.col("v")) & F.col("id").isNotNull()).withColumn("dims", F.size("v")), "vectors")
     n, asking = (int(x or 0) for x in r.agg(F.count("*"), F.sum(F.col("asks").cast("long"))).first())
-    longest = {d["dims"]: float(d["m"]) for d in r.groupBy("dims").agg(F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).alias("m")).limit(4096).collect()}
+    # a row for each length of vectors; Spark broadcasts the written table only if it is small
+    r = r.join(written(r.groupBy("dims").agg(F.max(_length(F.col("v"))).alias("longest")), "longest"), "dims")
     shards, blocks = max(1, math.ceil(n / SHARD_ROWS)), max(1, math.ceil(asking / QUERY_BLOCK))
     shard = F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks)).cast("int")
     every = lambda m: F.explode(F.sequence(F.lit(0), F.lit(m - 1)))
-    indexed = r.select("dims", shard.alias("shard"), every(blocks).alias("block"), F.lit(0).alias("asks"), "id", "v")
-    queries = r.filter("asks").select("dims", every(shards).alias("shard"), block.alias("block"), F.lit(1).alias("asks"), "id", "v")
+    indexed = r.select("dims", shard.alias("shard"), every(blocks).alias("block"), F.lit(0).alias("asks"), "id", "longest", "v")
+    queries = r.filter("asks").select("dims", every(shards).alias("shard"), block.alias("block"), F.lit(1).alias("asks"), "id", "longest", "v")
     tasks = indexed.union(queries).repartition(shuffle_partitions(spark), "dims", "shard", "block").sortWithinPartitions("dims", "shard", "block", "asks", "id")
 
     def run(batches):
@@ -145,10 +159,9 @@ def search(rows: DataFrame, query: Column, id_col: str = "vec_id", vector_col: s
             if asks.all() or not asks.any():
                 continue
             v = np.concatenate([c.flatten().to_numpy() for c in t.column("v").chunks]).reshape(-1, dims)
-            forest = Forest(v[~asks], longest.get(dims) or float(np.sqrt((v**2).sum(axis=1)).max()))
+            forest = Forest(v[~asks], t.column("longest")[0].as_py())
             rows, own, asked = ids[~asks], ids[asks], v[asks]
-            enough = max(int(wanted * len(rows)), MIN_FOUND)
-            found = forest.nearest(asked, own, rows, k, enough)
+            found = forest.nearest(asked, own, rows, k, int(wanted * len(rows)))
             count = [len(f[0]) for f in found]
             at = np.concatenate([f[0] for f in found])
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, count)), pa.array(rows[at]), pa.array(np.concatenate([f[1] for f in found]))], ["query_id", "vec_id", "score"])

@@ -24,7 +24,6 @@ def test_forest_finds_prefix_matches():
 
 def test_recall_and_exact_scores(spark, monkeypatch):
     monkeypatch.setattr(ann, "SHARD_ROWS", 1500)
-    monkeypatch.setattr(ann, "MIN_FOUND", 100)
     rng = np.random.default_rng(3)
     v = (rng.normal(size=(3000, 32)) * rng.uniform(0.2, 2, size=(3000, 1))).astype(np.float32).astype(np.float64)
     got = {}
@@ -48,3 +47,22 @@ def test_ties_odd_vectors_and_few_rows(spark):
     assert got == want
     assert ann.search(rows.limit(0), F.lit(True)).count() == 0
     assert ann.search(rows.filter("vec_id = 35"), F.lit(True)).count() == 0
+
+
+def test_vectors_of_any_size(spark):
+    """Very large, very small and cancelling vectors get exact ranks; all rows are candidates here."""
+    rng = np.random.default_rng(8)
+    for scale in (1e25, 1.0, 1e-25, 3e37):
+        v = (rng.normal(size=(300, 16)) * scale * rng.uniform(0.01, 1, size=(300, 1))).astype(np.float32).astype(np.float64)
+        v[:150] = v[0] + v[:150] * 1e-4  # nearly equal vectors
+        v[150:200, 8:] = -v[150:200, :8]  # cancel against a query whose halves are equal
+        v[20, 8:] = v[20, :8]
+        v = v.astype(np.float32).astype(np.float64)
+        got = {}
+        for r in ann.search(table(spark, v), F.col("vec_id") % 20 == 0, wanted=64.0).collect():
+            got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+        assert len(got) == 15
+        for q, rows in got.items():
+            scores = (v * v[q]).sum(axis=1)
+            want = sorted((-scores[i], i) for i in range(300) if i != q)[:20]
+            assert [(i, s) for _, i, s in sorted(rows)] == [(i, -s) for s, i in want], (scale, q)
