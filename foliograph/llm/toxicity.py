@@ -7,15 +7,15 @@ trained jointly in numpy by mini-batch Adagrad, so a misspelling never seen shar
 most of its n-gram vectors with the word it came from.
 
 The classifier is fitted on a bounded sample of the labelled training rows: up to about
-PER_LABEL rows of each label and SAMPLE_CHARS characters, chosen by a hash of the id;
-the loss weighs the labels back to their true shares. The sample's ids are few enough
+PER_LABEL ids of each label and SAMPLE_CHARS characters, chosen by hash and put in order
+of id and text; the loss weighs the labels back to their true shares. The sample's ids are few enough
 to broadcast (the sum of PER_LABEL), so texts are never shuffled. Scoring covers every row and
 every whole text in one map-side pass; a worker remembers the scores of at most
 WORDS_KEPT distinct words.
 
 Defined results: null text is empty; a text without words gets the softmax of the bias
 alone; a null doc_id is returned and is not held out; null or other labels are not
-learned from; without labelled rows, or with one label only, the score is that
+learned from; an id with both labels has label 1; without labelled rows, or with one label only, the score is that
 label's smoothed share; repeated rows are scored each; an empty table gives an empty
 table; extra columns, whatever their names, are ignored.
 """
@@ -44,8 +44,8 @@ SAMPLE_CHARS = 20_000_000
 EPOCHS, BATCH, RATE = 12, 128, 1.5
 #: Small samples are gone through until the vectors have had this many updates.
 LEAST_UPDATES = 600
-#: n-grams in fewer texts of the sample keep no vector: they could only be learned by heart.
-MIN_TEXTS = 5
+#: An n-gram in h texts of the sample weighs h / (h + SHRINK): rare ones, which are easily learned by heart, count for less.
+SHRINK = 5.0
 WORDS_KEPT = 400_000
 FOLDS = 5
 _WORD = re.compile(r"\w+")
@@ -132,11 +132,8 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int =
     for i in range(len(texts)):
         own = word[starts[i] : starts[i + 1]]
         held_by[np.unique(bucket[_runs(at[own], of_word[own])])] += 1
-    common = held_by[bucket] >= MIN_TEXTS
-    kept = np.r_[0, np.cumsum(common)]
-    bucket, at, some = bucket[common], kept[at], kept[at + of_word] - kept[at]
+    trust = (held_by / (held_by + SHRINK)).astype(np.float32)
     vectors = rng.uniform(-1 / DIMS, 1 / DIMS, (BUCKETS, DIMS)).astype(np.float32)
-    vectors[held_by < MIN_TEXTS] = 0
     seen = np.full((BUCKETS, 1), 1e-8, np.float32)
     soft, bias = np.zeros((DIMS, 2)), np.array([0.0, prior])
     soft_seen, bias_seen = np.full((DIMS, 2), 1e-8), np.full(2, 1e-8)
@@ -152,8 +149,9 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int =
             entry, row = _runs(starts[rows], n), np.repeat(np.arange(len(rows)), n)
             used, of = np.unique(word[entry], return_inverse=True)
             x, size = share[entry], np.maximum(1, of_word[used])
-            owner, own = np.repeat(np.arange(len(used)), some[used]), bucket[_runs(at[used], some[used])]
-            means = [np.bincount(owner, vectors[own, k], len(used)) / size for k in range(DIMS)]
+            owner, own = np.repeat(np.arange(len(used)), of_word[used]), bucket[_runs(at[used], of_word[used])]
+            trusted = vectors * trust[:, None]
+            means = [np.bincount(owner, trusted[own, k], len(used)) / size for k in range(DIMS)]
             mean = np.stack([np.bincount(row, m[of] * x, len(rows)) for m in means], axis=1)
             z = mean @ soft + bias
             z -= z.max(axis=1, keepdims=True)
@@ -163,14 +161,14 @@ def fit(texts: list[str], labels: np.ndarray, weights: np.ndarray, epochs: int =
             p *= weights[rows, None]
             g_soft, g_bias, g_mean = mean.T @ p, p.sum(axis=0), p @ soft.T
             of_words = [np.bincount(of, g_mean[row, k] * x, len(used)) / size for k in range(DIMS)]
-            grad = np.stack([np.bincount(own, g[owner], BUCKETS) for g in of_words], axis=1)
+            grad = np.stack([np.bincount(own, g[owner], BUCKETS) for g in of_words], axis=1) * trust[:, None]
             seen += (grad**2).mean(axis=1, keepdims=True)
             vectors -= (rate * grad / np.sqrt(seen)).astype(np.float32)
             soft_seen += g_soft**2
             bias_seen += g_bias**2
             soft -= rate * g_soft / np.sqrt(soft_seen)
             bias -= rate * g_bias / np.sqrt(bias_seen)
-    return SubwordModel((vectors @ (soft[:, 1] - soft[:, 0])).astype(np.float32), float(bias[1] - bias[0]))
+    return SubwordModel((trust * (vectors @ (soft[:, 1] - soft[:, 0]))).astype(np.float32), float(bias[1] - bias[0]))
 
 
 def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
@@ -180,20 +178,22 @@ def held_out(doc_id: Column, folds: int = FOLDS) -> Column:
 def train(docs: DataFrame, labels: DataFrame, per_label: tuple[int, int] = PER_LABEL, sample_chars: int = SAMPLE_CHARS) -> SubwordModel:
     """Fits on the bounded sample of docs (doc_id, text) and labels (doc_id, label); rows of held-out ids are never used."""
     usable = labels.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    usable = usable.groupBy("doc_id").agg(F.max("label").alias("label"))
     counts = {r["label"]: r["n"] for r in usable.groupBy("label").agg(F.count("*").alias("n")).collect()}
     total = sum(counts.values())
     if not total:
         return SubwordModel(np.zeros(BUCKETS, np.float32), 0.0)
-    place = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1_000_000))
-    limit = F.lit(0)
+    place = lambda *of: F.xxhash64(*of).cast("double") / F.lit(2.0**64) + 0.5  # noqa: E731 - from 0 to 1
+    share = F.lit(0.0)
     for label, n in counts.items():
-        limit = F.when(F.col("label") == label, int(min(1.0, per_label[label] / n) * 1_000_000)).otherwise(limit)
-    few = usable.filter(place < limit).withColumn("place", place).dropDuplicates(["doc_id"])
-    few = docs.join(F.broadcast(few), "doc_id").select("label", "place", F.coalesce("text", F.lit("")).alias("text"))
+        share = F.when(F.col("label") == label, min(1.0, per_label[label] / n)).otherwise(share)
+    few = usable.filter(place("doc_id", F.lit("sample")) <= share)
+    few = docs.join(F.broadcast(few), "doc_id").select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).dropDuplicates(["doc_id", "text"])
+    # rows are thinned one by one, so an id with very many texts is bounded too
     chars = few.agg(F.sum(F.length("text"))).first()[0] or 0
     if chars > sample_chars:  # shrinks both labels alike
-        few = few.filter(F.col("place") * chars < limit * sample_chars)
-    rows = few.select("label", "text").toArrow()
+        few = few.filter(place("doc_id", F.xxhash64("text"), F.lit("row")) <= sample_chars / chars)
+    rows = few.orderBy("doc_id", "text").select("label", "text").toArrow()  # in one order, however the files lie
     y = rows.column("label").to_numpy().astype(np.int64)
     if not len(y):
         return SubwordModel(np.zeros(BUCKETS, np.float32), 0.0)

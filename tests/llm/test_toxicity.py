@@ -66,3 +66,25 @@ def test_rows_that_stay_keep_their_columns(spark):
     assert kept.columns == frame.columns
     clean, stay = {i for i, t in labels if not t}, {r["doc_id"] for r in kept.collect()}
     assert len(stay & clean) > 0.97 * len(clean) and len(stay - clean) < 0.1 * (300 - len(clean))
+
+
+def test_order_conflicts_and_small_samples(spark):
+    rows, labels = corpus(120)
+    table = spark.createDataFrame(labels, "doc_id long, label int")
+    frame = docs(spark, rows)
+    plain = {r["doc_id"]: r["score"] for r in toxicity.toxic_scores(frame, table).collect()}
+    turned = {r["doc_id"]: r["score"] for r in toxicity.toxic_scores(frame.orderBy(F.desc("doc_id")).repartition(3), table.repartition(5)).collect()}
+    assert plain == turned
+    # a second label of 0 changes nothing, as 1 counts
+    toxic = [(i, 0) for i, t in labels if t]
+    both = {r["doc_id"]: r["score"] for r in toxicity.toxic_scores(frame, table.union(spark.createDataFrame(toxic, "doc_id long, label int"))).collect()}
+    assert both == plain
+    assert np.mean([(plain[i] >= 0.5) == t for i, t in labels]) > 0.9
+
+
+def test_training_halves_the_loss():
+    rows, labels = corpus(60)
+    texts, y = [t for _, t in rows], np.array([t for _, t in labels])
+    loss = lambda m: float(np.mean([-np.log(p if t else 1 - p) for p, t in ((1 / (1 + np.exp(-(m.bias + np.mean(m.word_logits(toxicity.words_of(x)))))), t) for x, t in zip(texts, y, strict=True))]))
+    before = loss(toxicity.SubwordModel(np.zeros(toxicity.BUCKETS, np.float32), float(np.log(y.mean() / (1 - y.mean())))))
+    assert loss(toxicity.fit(texts, y, np.ones(len(y)))) < 0.5 * before
