@@ -7,15 +7,23 @@ THRESHOLD: with t the threshold, a template of b bigrams needs between t/(2-t)*b
 (2-t)/t*b of them in the unit. The best template by the Dice coefficient of the bigram
 sets is the unit's licence, ties to the smaller name.
 
-Before any of that, texts and units without a probe word are passed over. That loses
-nothing: a match shares at least t/(2-t) of a template's bigrams, so it holds one of any
-larger part of them, and the probes are a word of each bigram of such a part.
+Notices inside a line or paragraph, or wrapped over several, are found by windows: a
+match shares at least t/(2-t) of a template's bigrams, so it holds one of any larger
+part of them. Those of such a part are the template's probes, and each place of the whole
+text's words that has one is a window as long as the template, lying so that the probe
+stands where the template has it. Of each template the window with the largest Dice
+coefficient counts (ties: the first), unless one of another template overlaps it with a
+larger one (ties: the longer, then the smaller name).
+
+Before any of that, texts and units without a probe word are passed over, which loses
+nothing for the same reason: the probe words are a word of each probe.
 
 All work is map-side and inside each row; nothing is joined, shuffled or collected.
 
 Defined results: null text is empty and has no licence; units with fewer than two words
-match nothing; equal units of a text count once; repeated rows are scanned each; a null
-doc_id stays null; an empty table gives an empty table; extra columns are ignored.
+match nothing; equal units of a text count once, and a window that reads like a matching
+unit is that unit; repeated rows are scanned each; a null doc_id stays null; an empty
+table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,24 +36,35 @@ from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
 
-# The usual notices of common licences.
+# The usual notices of common licences, and the bodies of the short ones.
 TEMPLATES = {
     "agpl-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0',
+    "boost-1.0": 'Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:',
+    "bsd-2-clause-body": 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.',
     "bsd-2-clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
     "bsd-notice": "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
+    "bsd-3-clause-terms": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "cc0-1.0": "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    "epl-2.0": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation.",
     "gpl-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-body": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "lgpl-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "mit": "Released under the MIT License.",
+    "mit-body": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
     "unlicense": "This is free and unencumbered software released into the public domain.",
+    "zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
 }
 
 
@@ -58,14 +77,18 @@ def template_bigrams(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
 
 
+def probe_bigrams(text: str, threshold: float) -> list[tuple[str, int]]:
+    """As many bigrams of a template as no match can miss, those with long words first, each with where the template first has it."""
+    w = template_words(text)
+    grams = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    distinct = sorted(set(grams), key=lambda g: (-max(map(len, g.split())), g))
+    least = math.ceil(threshold / (2 - threshold) * len(distinct) - 1e-9)
+    return [(g, grams.index(g)) for g in distinct[: len(distinct) - least + 1]]
+
+
 def probes(templates: dict[str, str], threshold: float) -> list[str]:
-    """Words of which every match holds one: from each template as many bigrams as no match can miss, those with long words first."""
-    found = set()
-    for text in templates.values():
-        grams = template_bigrams(text)
-        least = math.ceil(threshold / (2 - threshold) * len(grams) - 1e-9)
-        longest = sorted((max(g.split(), key=lambda w: (len(w), w)) for g in grams), key=lambda w: (-len(w), w))
-        found.update(longest[: len(grams) - least + 1])
+    """Words of which every match holds one: the longer of each probe bigram."""
+    found = {max(g.split(), key=lambda w: (len(w), w)) for text in templates.values() for g, _ in probe_bigrams(text, threshold)}
     # a word that holds another probe is found by it
     return sorted(w for w in found if not any(v != w and v in w for v in found))
 
@@ -99,9 +122,61 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
         return F.struct(unit["unit"].alias("unit"), best["license"].alias("license"), (-best["minus"]).alias("dice"))
 
     cut = F.transform("units", lambda u: F.struct(u.alias("unit"), _bigrams(u).alias("grams")))
-    d = d.select("doc_id", units.alias("units")).select("doc_id", F.when(F.size("units") > 0, cut).alias("cut"))
+    words = F.split(normalised(F.col("text")), " ")
+    d = d.select("doc_id", units.alias("units"), words.alias("words"))
+    d = d.select("doc_id", F.when(F.size("units") > 0, cut).alias("cut"), F.when(F.size("units") > 0, F.col("words")).alias("words"))
     found = F.filter(F.transform("cut", compared), lambda m: m["dice"] >= threshold)
-    return d.select("doc_id", F.coalesce(found, F.array().cast("array<struct<unit:string,license:string,dice:double>>")).alias("matches"))
+    none = F.array().cast("array<struct<unit:string,license:string,dice:double>>")
+    d = d.select("doc_id", F.coalesce(found, none).alias("by_unit"), _windows(F.col("words"), templates, threshold).alias("by_window"))
+    # a window that reads like a matching unit is that unit
+    new = F.filter("by_window", lambda w: ~F.exists("by_unit", lambda u: u["unit"] == w["unit"]))
+    return d.select("doc_id", F.concat("by_unit", F.coalesce(new, none)).alias("matches"))
+
+
+def _windows(words: Column, templates: dict[str, str], threshold: float) -> Column:
+    """(unit, license, dice) of the windows that match, one of each template at most; null without words."""
+    rows = []
+    for name, text in sorted(templates.items()):
+        size = len(template_words(text))
+        rows += [f"{gram}|{name}|{at}|{size}" for gram, at in probe_bigrams(text, threshold)]
+    parts = F.transform(F.split(F.lit(";".join(rows)), ";"), lambda r: F.split(r, r"\|"))
+    entries = F.transform(parts, lambda p: F.struct(p[0].alias("gram"), p[1].alias("license"), p[2].cast("int").alias("at"), p[3].cast("int").alias("size")))
+    grams_of = F.create_map(*[F.lit(x) if isinstance(x, str) else x for k, v in sorted(templates.items()) for x in (k, F.split(F.lit("|".join(template_bigrams(v))), r"\|"))])
+    probes_ = F.array_distinct(F.transform(entries, lambda e: e["gram"]))
+
+    def of_text(w: Column) -> Column:
+        n = F.size(w)
+        grams = F.when(n > 1, F.zip_with(F.slice(w, 1, n - 1), F.slice(w, 2, n - 1), lambda a, b: F.concat(a, F.lit(" "), b))).otherwise(F.array().cast("array<string>"))
+        return F.get(F.transform(F.array(grams), lambda g: placed(w, g)), 0)
+
+    def placed(w: Column, grams: Column) -> Column:
+        found = F.array_intersect(grams, probes_)
+
+        def starts(gram: Column) -> Column:
+            of_gram = F.filter(entries, lambda e: e["gram"] == gram)
+            places = F.filter(F.transform(grams, lambda g, i: F.when(g == gram, i)), lambda i: i.isNotNull())
+            return F.flatten(F.transform(of_gram, lambda e: F.transform(places, lambda i: F.struct(e["license"].alias("license"), F.greatest(i - e["at"], F.lit(0)).alias("start"), e["size"].alias("size")))))
+
+        def scored(x: Column) -> Column:
+            own = F.array_distinct(F.slice(grams, x["start"] + 1, x["size"] - 1))
+            theirs = F.element_at(grams_of, x["license"])
+            dice = F.size(F.array_intersect(own, theirs)) * 2.0 / (F.size(own) + F.size(theirs))
+            return F.struct(x["license"].alias("license"), (-dice).alias("minus"), x["start"].alias("start"), F.least(x["size"], F.size(w) - x["start"]).alias("size"))
+
+        matches = F.filter(F.transform(F.array_distinct(F.flatten(F.transform(found, starts))), scored), lambda x: -x["minus"] >= threshold)
+        return F.get(F.transform(F.array(F.array_sort(matches)), lambda m: chosen(w, m)), 0)
+
+    def chosen(w: Column, matches: Column) -> Column:
+        best = F.filter(matches, lambda x, i: (i == 0) | (F.get(matches, i - 1)["license"] != x["license"]))  # in order of licence, Dice, start
+        return F.get(F.transform(F.array(best), lambda b: apart(w, b)), 0)
+
+    def apart(w: Column, best: Column) -> Column:
+        order = lambda x: F.struct(x["minus"].alias("minus"), (-x["size"]).alias("shorter"), x["license"].alias("license"))
+        beaten = lambda x: F.exists(best, lambda y: (order(y) < order(x)) & (y["start"] < x["start"] + x["size"]) & (x["start"] < y["start"] + y["size"]))
+        kept = F.filter(best, lambda x: ~beaten(x))
+        return F.transform(kept, lambda x: F.struct(F.array_join(F.slice(w, x["start"] + 1, x["size"]), " ").alias("unit"), x["license"].alias("license"), (-x["minus"]).alias("dice")))
+
+    return F.get(F.transform(F.array(words), lambda w: F.when(w.isNotNull(), of_text(w))), 0)
 
 
 def op3_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -117,9 +192,11 @@ def op3_license_scan(spark, sf_dir: str) -> DataFrame:
 
 def _oracle() -> str:
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
-    rows = ", ".join(f"({quoted(k)}, [{', '.join(map(quoted, template_bigrams(v)))}])" for k, v in sorted(TEMPLATES.items()))
+    rows = ", ".join(f"({quoted(k)}, {len(template_words(v))}, [{', '.join(map(quoted, template_bigrams(v)))}])" for k, v in sorted(TEMPLATES.items()))
+    probe_rows = ", ".join(f"({quoted(g)}, {quoted(k)}, {at}, {len(template_words(v))})" for k, v in sorted(TEMPLATES.items()) for g, at in probe_bigrams(v, THRESHOLD))
     return rf"""
-WITH templates(license, grams) AS (VALUES {rows}),
+WITH templates(license, size, grams) AS (VALUES {rows}),
+probes(gram, license, place, size) AS (VALUES {probe_rows}),
 units AS (
   SELECT DISTINCT doc_id, trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS unit FROM (
     SELECT doc_id, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[\x20\x09-\x0D]*\n'), [text])) AS unit FROM documents)),
@@ -131,9 +208,22 @@ scored AS (
   FROM grams g JOIN templates t ON len(g.grams) BETWEEN len(t.grams) * 0.66 AND len(t.grams) * 1.51),
 best AS (
   SELECT doc_id, unit, dice, license FROM scored WHERE dice >= {THRESHOLD}
-  QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) = 1)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) = 1),
+texts AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ') AS w FROM documents),
+bigrams AS (SELECT doc_id, w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS g FROM texts WHERE len(w) > 1),
+places AS (SELECT doc_id, unnest(g) AS gram, generate_subscripts(g, 1) - 1 AS i FROM bigrams),
+starts AS (SELECT DISTINCT doc_id, license, size, greatest(i - place, 0) AS start FROM places JOIN probes USING (gram)),
+cut AS (SELECT doc_id, license, start, least(s.size, len(w) - start) AS size, list_distinct(g[start + 1:start + s.size - 1]) AS own, w FROM starts s JOIN bigrams USING (doc_id)),
+rated AS (SELECT doc_id, c.license, c.start, c.size, c.w[c.start + 1:c.start + c.size] AS own_words,
+            len(list_intersect(own, t.grams)) * 2.0::DOUBLE / (len(own) + len(t.grams)) AS dice FROM cut c JOIN templates t USING (license)),
+firsts AS (SELECT * FROM rated WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, start) = 1),
+apart AS (
+  SELECT doc_id, array_to_string(own_words, ' ') AS unit, dice, license FROM firsts x WHERE NOT EXISTS (
+    SELECT 1 FROM firsts y WHERE y.doc_id = x.doc_id AND (-y.dice, -y.size, y.license) < (-x.dice, -x.size, x.license)
+      AND y.start < x.start + x.size AND x.start < y.start + y.size)),
+matches AS (SELECT * FROM best UNION ALL SELECT * FROM apart a WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.doc_id = a.doc_id AND b.unit = a.unit))
 SELECT d.doc_id, count(b.unit) AS n_matches, coalesce(string_agg(DISTINCT b.license, ',' ORDER BY b.license), '') AS licenses, coalesce(max(b.dice), 0)::DOUBLE AS best_dice
-FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id GROUP BY d.doc_id"""
+FROM documents d LEFT JOIN matches b ON d.doc_id = b.doc_id GROUP BY d.doc_id"""
 
 
 ORACLE = _oracle()
