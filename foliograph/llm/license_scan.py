@@ -16,7 +16,7 @@ coefficient counts (ties: the first), unless one of another template overlaps it
 larger one (ties: the longer, then the smaller name).
 
 Before any of that, texts and units without a probe word are passed over, which loses
-nothing for the same reason: the probe words are a word of each probe.
+nothing for the same reason: more bigrams have a probe word than a match can lack.
 
 All work is map-side and inside each row; nothing is joined, shuffled or collected.
 
@@ -35,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+LONG_WORD = 5
 
 # The usual notices of common licences, and the bodies of the short ones.
 TEMPLATES = {
@@ -87,10 +88,33 @@ def probe_bigrams(text: str, threshold: float) -> list[tuple[str, int]]:
 
 
 def probes(templates: dict[str, str], threshold: float) -> list[str]:
-    """Words of which every match holds one: the longer of each probe bigram."""
-    found = {max(g.split(), key=lambda w: (len(w), w)) for text in templates.values() for g, _ in probe_bigrams(text, threshold)}
+    """Words of which every match holds one: so many of each template's bigrams have one that a match can't do without them all.
+
+    Chosen one by one: what serves the most bigrams still wanting, long words before short ones of the same use."""
+    grams = {name: [g.split() for g in template_bigrams(text)] for name, text in templates.items()}
+    wanting = {name: len(g) - math.ceil(threshold / (2 - threshold) * len(g) - 1e-9) + 1 for name, g in grams.items()}
+    found: list[str] = []
+    while any(n > 0 for n in wanting.values()):
+        use: dict[str, int] = {}
+        for name, pairs in grams.items():
+            for w in {w for pair in pairs for w in pair} if wanting[name] > 0 else ():
+                # rare words come before common ones, of which length is a sign; short ones only where nothing else is left
+                use[w] = use.get(w, 0) + min(wanting[name], sum(w in pair for pair in pairs)) * (len(w) ** 2 if len(w) >= LONG_WORD else 1e-3)
+        found.append(max(use, key=lambda w: (use[w], w)))
+        for name, pairs in grams.items():
+            wanting[name] -= sum(found[-1] in pair for pair in pairs)
+            grams[name] = [pair for pair in pairs if found[-1] not in pair]
     # a word that holds another probe is found by it
-    return sorted(w for w in found if not any(v != w and v in w for v in found))
+    return sorted(w for w in found if not any(v != w and v in w and len(v) >= LONG_WORD for v in found))
+
+
+def holds_probe(lowered: Column, words: list[str]) -> Column:
+    """Whether a lower-cased text holds one of the words: long ones anywhere, short ones between other characters than a-z and 0-9."""
+    found = F.exists(F.array(*[F.lit(w) for w in words if len(w) >= LONG_WORD]).cast("array<string>"), lambda p: F.contains(lowered, p))
+    for w in words:
+        if len(w) < LONG_WORD:
+            found = found | lowered.rlike(f"{w}(?<![a-z0-9]{w})(?![a-z0-9])")
+    return found
 
 
 def normalised(text: Column) -> Column:
@@ -105,12 +129,13 @@ def _bigrams(unit: Column) -> Column:
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and matches: (unit, license, dice) of every unit that reaches the threshold, for every row of ``docs``."""
-    probe = "|".join(map(re.escape, probes(templates, threshold)))
+    probe = probes(templates, threshold)
     table = F.array(*[F.struct(F.lit(k).alias("license"), F.split(F.lit("|".join(template_bigrams(v))), r"\|").alias("grams"), F.lit(len(template_bigrams(v))).alias("n")) for k, v in sorted(templates.items())])
     d = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    d = d.withColumn("text", F.when(F.lower("text").rlike(probe), F.col("text")))
+    d = d.withColumn("text", F.lower("text"))
+    d = d.withColumn("text", F.when(holds_probe(F.col("text"), probe), F.col("text")))
     units = F.concat(F.split("text", "\n", -1), F.split("text", r"\n[\x20\x09-\x0D]*\n", -1), F.array("text"))
-    units = F.array_distinct(F.transform(F.filter(units, lambda u: F.lower(u).rlike(probe)), normalised))
+    units = F.array_distinct(F.transform(F.filter(units, lambda u: holds_probe(u, probe)), normalised))
 
     def compared(unit: Column) -> Column:
         low, high = threshold / (2 - threshold) - 1e-9, (2 - threshold) / threshold + 1e-9
@@ -135,14 +160,12 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 
 def _windows(words: Column, templates: dict[str, str], threshold: float) -> Column:
     """(unit, license, dice) of the windows that match, one of each template at most; null without words."""
-    rows = []
-    for name, text in sorted(templates.items()):
-        size = len(template_words(text))
-        rows += [f"{gram}|{name}|{at}|{size}" for gram, at in probe_bigrams(text, threshold)]
-    parts = F.transform(F.split(F.lit(";".join(rows)), ";"), lambda r: F.split(r, r"\|"))
-    entries = F.transform(parts, lambda p: F.struct(p[0].alias("gram"), p[1].alias("license"), p[2].cast("int").alias("at"), p[3].cast("int").alias("size")))
+    rows = [(gram, name, at, len(template_words(text))) for name, text in sorted(templates.items()) for gram, at in probe_bigrams(text, threshold)]
+    # constants that are folded once
+    column = lambda k: F.split(F.lit(";".join(str(r[k]) for r in rows)), ";")
+    entries = F.arrays_zip(column(0).alias("gram"), column(1).alias("license"), column(2).cast("array<int>").alias("at"), column(3).cast("array<int>").alias("size"))
     grams_of = F.create_map(*[F.lit(x) if isinstance(x, str) else x for k, v in sorted(templates.items()) for x in (k, F.split(F.lit("|".join(template_bigrams(v))), r"\|"))])
-    probes_ = F.array_distinct(F.transform(entries, lambda e: e["gram"]))
+    probes_ = F.split(F.lit(";".join(sorted({r[0] for r in rows}))), ";")
 
     def of_text(w: Column) -> Column:
         n = F.size(w)
