@@ -60,6 +60,18 @@ def page_path(path_: Column) -> Column:
     return bare
 
 
+def without_dots(path_: Column) -> Column:
+    """A path with its . and .. segments resolved, never above the root; a directory keeps its slash."""
+
+    def step(seen: Column, x: Column) -> Column:
+        up = F.slice(seen, F.lit(1), F.greatest(F.size(seen) - 1, F.lit(0)))
+        return F.when(x.isin("", "."), seen).when(x == "..", up).otherwise(F.array_append(seen, x))
+
+    kept = F.aggregate(F.split(path_, "/"), F.array().cast("array<string>"), step)
+    ends = F.when(path_.rlike(r"(^|/)\.{0,2}$") & (F.size(kept) > 0), "/").otherwise("")
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), ends)
+
+
 def markdown_path(path_: Column) -> Column:
     """Where the published Markdown of a page is: /x -> /x.md, / -> /index.md."""
     bare = F.regexp_replace(path_, "/+$", "")
@@ -98,8 +110,10 @@ def is_safe(url: Column, allowed: tuple[str, ...] = SAFE_LINKS) -> Column:
 def is_public_address(ip: Column) -> Column:
     """Whether an IP address (dotted or IPv6 text) is outside the private, loopback, link-local and reserved ranges."""
     private4 = r"^(0|10|127)\.|^192\.168\.|^169\.254\.|^172\.(1[6-9]|2[0-9]|3[01])\.|^100\.(6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])\.|^192\.0\.[02]\.|^198\.(1[89]|51\.100)\.|^203\.0\.113\.|^(22[4-9]|2[3-5][0-9])\."
-    private6 = r"(?i)^(::1?$|f[cd]|fe[89ab]|ff|2001:db8:|::ffff:)"
-    return F.when(ip.contains(":"), ~ip.rlike(private6)).otherwise(ip.rlike(r"^[0-9]+(\.[0-9]+){3}$") & ~ip.rlike(private4))
+    private6 = r"(?i)^(::1?$|f[cd]|fe[89ab]|ff|2001:db8:|100::)"
+    dotted = lambda a: a.rlike(r"^[0-9]+(\.[0-9]+){3}$") & ~a.rlike(private4)
+    mapped = F.regexp_extract(ip, r"(?i)^::ffff:([0-9.]+)$", 1)  # an IPv4 address in IPv6 spelling is judged as what it is
+    return F.when(mapped != "", dotted(mapped)).when(ip.contains(":"), ~ip.rlike(private6) & ~ip.rlike("(?i)^::ffff:")).otherwise(dotted(ip))
 
 
 def link_kind(href: Column) -> Column:

@@ -32,11 +32,10 @@ def resolved(links_: DataFrame, pages: DataFrame) -> DataFrame:
     whole = F.when(F.col("kind") == "protocol-relative", F.concat(F.lit("https:"), "href")).when(F.col("kind") == "absolute", F.col("href"))
     bare = F.regexp_replace("href", r"[?#].*$", "")
     beside = F.concat(F.regexp_replace("own_route", "[^/]*$", ""), bare)
-    up = F.regexp_replace(F.regexp_replace(beside, r"(^|/)\./", "$1"), r"/[^/]+/\.\./", "/")
     route = (
         F.when(F.col("kind").isin("absolute", "protocol-relative"), urls.page_path(urls.path(whole)))
-        .when(F.col("kind") == "root-relative", urls.page_path(bare))
-        .when(F.col("kind") == "relative", urls.page_path(up))
+        .when(F.col("kind") == "root-relative", urls.page_path(urls.without_dots(bare)))
+        .when(F.col("kind") == "relative", urls.page_path(urls.without_dots(beside)))
         .when(F.col("kind").isin("fragment", "query"), F.col("own_route"))
     )
     host = F.when(F.col("kind").isin("absolute", "protocol-relative"), urls.host(whole)).when(F.col("kind").isin("root-relative", "relative", "fragment", "query"), F.col("own_host"))

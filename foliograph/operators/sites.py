@@ -89,18 +89,20 @@ def majority(rows: DataFrame, group: str, value: str) -> DataFrame:
     return counts.groupBy(group).agg(F.min_by(F.struct(value, "n"), F.struct(-F.col("n"), F.col(value))).alias("x")).select(group, f"x.{value}", "x.n")
 
 
-def nav_paths(nodes: DataFrame, most_depth: int = 64) -> DataFrame:
-    """nodes (node_id, parent_id, label) with path, labels from the root joined by /, and depth; one join for each level."""
+def nav_paths(nodes: DataFrame) -> DataFrame:
+    """nodes (node_id, parent_id, label) with path, labels from the root joined by /, and depth; one join for each level. Nodes that no
+    root reaches (their parents are missing or form a cycle) have null in both."""
     level = nodes.filter("parent_id IS NULL").select("node_id", F.col("label").alias("path"), F.lit(0).alias("depth"))
     out, depth = level, 0
-    while depth < most_depth:
+    while True:
         depth += 1
         parents = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
         level = written(nodes.join(parents, "parent_id").select("node_id", F.concat_ws("/", "above", "label").alias("path"), F.lit(depth).alias("depth")), "nav-level")
         if not level.take(1):
             break
         out = out.union(level)
-    return out
+    lost = nodes.join(out.select("node_id"), "node_id", "left_anti")
+    return out.union(lost.select("node_id", F.lit(None).cast("string"), F.lit(None).cast("int")))
 
 
 def landing_children(nodes: DataFrame) -> DataFrame:

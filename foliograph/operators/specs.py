@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,12 +23,12 @@ def references(documents: DataFrame) -> DataFrame:
     return r.select("document", target.alias("target"), F.regexp_extract("ref", "#(.*)$", 1).alias("pointer")).distinct()
 
 
-def closure(edges: DataFrame, roots: DataFrame, most_depth: int = 64) -> DataFrame:
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """document, depth: what roots (document) reach over edges (document, target), each once at its smallest depth."""
     step = written(edges.filter("document <> target").select("document", "target").distinct(), "closure")
     seen = written(roots.select("document").distinct().withColumn("depth", F.lit(0)), "closure")
     level = seen
-    for depth in range(1, most_depth + 1):
+    for depth in count(1):
         level = level.select("document").join(step, "document").select(F.col("target").alias("document")).distinct()
         level = written(level.join(seen.select("document"), "document", "left_anti").withColumn("depth", F.lit(depth)), "closure")
         if not level.take(1):

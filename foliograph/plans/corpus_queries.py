@@ -56,7 +56,7 @@ def looks_secret(spark, d):
 
 
 def slug_documents(spark, d):
-    first = F.substring(F.col("text"), 1, 60)
+    first = F.substring_index(F.col("text"), "\n", 1)
     return docs(spark, d).select("doc_id", text.slug(first).alias("slug"), text.slug_erased(first).alias("erased"))
 
 
@@ -109,7 +109,7 @@ def labels_quality_by_source(spark, d):
 
 def conflicting_lines(spark, d):
     """Languages under which a text's first 30 characters appear, where they are more than one."""
-    return reconcile.conflicting(docs(spark, d).withColumn("start", F.substring("text", 1, 30)), ["start"], ["lang"])
+    return reconcile.conflicting(docs(spark, d), ["source"], ["lang"])
 
 
 def markdown_text(spark, d):
@@ -177,8 +177,8 @@ ORACLES = {
       SELECT doc_id, sha256(out) AS redacted_sha256, length(text) - length(out) AS n_removed FROM r""",
     "looks_secret": f"""WITH t AS (SELECT 'documents' AS kind, source AS part, text FROM documents UNION ALL SELECT 'conversations', role, text FROM conversations)
       SELECT kind, part, count(*) AS n, count(*) FILTER (regexp_matches(text, '{_SECRET}')) AS n_secret FROM t GROUP BY 1, 2""",
-    "slug_documents": rf"""SELECT doc_id, {sql_slug("substr(text, 1, 60)")} AS slug,
-      regexp_matches(regexp_replace(translate(replace(substr(text, 1, 60), 'ß', 'ss'), '{text.MARKED}', '{text.PLAIN}'), '[A-Za-z]', '', 'g'), '\p{{L}}') AS erased FROM documents""",
+    "slug_documents": rf"""SELECT doc_id, {sql_slug("split_part(text, chr(10), 1)")} AS slug,
+      regexp_matches(regexp_replace(translate(replace(split_part(text, chr(10), 1), 'ß', 'ss'), '{text.MARKED}', '{text.PLAIN}'), '[A-Za-z]', '', 'g'), '\p{{L}}') AS erased FROM documents""",
     "majority_locale": """SELECT source, lang, n FROM (SELECT source, lang, count(*) AS n FROM documents WHERE lang IS NOT NULL GROUP BY 1, 2)
       QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, lang) = 1""",
     "canonical_hash": """
@@ -196,6 +196,6 @@ ORACLES = {
     "last_speaker": "SELECT conv_id, turn, max(CASE WHEN role = 'user' THEN turn END) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS user_turn FROM conversations",
     "first_turns": "SELECT conv_id, turn, role, sha256(text) AS text_sha256 FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn) = 1",
     "labels_quality_by_source": "SELECT source, count(*) AS n, sum(quality)::BIGINT AS n_quality, sum(toxic)::BIGINT AS n_toxic FROM documents JOIN labels USING (doc_id) GROUP BY 1",
-    "conflicting_lines": "SELECT substr(text, 1, 30) AS start, count(DISTINCT lang) AS n_values FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1",
+    "conflicting_lines": "SELECT source, count(DISTINCT lang) AS n_values FROM documents GROUP BY 1 HAVING count(DISTINCT lang) > 1",
     "markdown_text": f"WITH m AS (SELECT doc_id, {_sql_markdown('text')} AS t FROM documents) SELECT doc_id, length(t) AS n_chars, sha256(t) AS text_sha256 FROM m",
 }

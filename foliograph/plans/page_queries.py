@@ -43,6 +43,15 @@ def _page_path(x: str) -> str:
     return rf"regexp_replace(regexp_replace(replace(regexp_replace(regexp_replace({x}, '\.(html?|mdx?)$', ''), '/index$', '/'), '\', '/'), '/+$', ''), '^/*', '/')"
 
 
+def sql_without_dots(x: str) -> str:
+    """Segments are kept from the end: a .. is owed one segment, which the next other one pays; what is owed at the root is lost."""
+    parts = f"list_filter(string_split({x}, '/'), lambda p: p NOT IN ('', '.'))"
+    # owed\x01path so far, from the last segment to the first
+    fold = f"list_reduce(list_reverse({parts}), lambda a, p: CASE WHEN p = '..' THEN (split_part(a, chr(1), 1)::INT + 1) || chr(1) || split_part(a, chr(1), 2) WHEN split_part(a, chr(1), 1)::INT > 0 THEN (split_part(a, chr(1), 1)::INT - 1) || chr(1) || split_part(a, chr(1), 2) ELSE '0' || chr(1) || '/' || p || split_part(a, chr(1), 2) END, '0' || chr(1))"
+    path = f"split_part({fold}, chr(1), 2)"
+    return f"(CASE WHEN {path} = '' THEN '/' ELSE {path} || CASE WHEN split_part(reverse({x}), '/', 1) IN ('', '.', '..') THEN '/' ELSE '' END END)"
+
+
 RESOLVED = rf"""
 kinds AS (SELECT l.*, {KIND} AS kind, r.host AS own_host, r.route AS own_route FROM links l JOIN routes r USING (page_id)),
 wholes AS (SELECT *, CASE WHEN kind = 'protocol-relative' THEN 'https:' || href WHEN kind = 'absolute' THEN href END AS whole, regexp_replace(href, '[?#].*$', '') AS bare FROM kinds),
@@ -51,8 +60,8 @@ resolved AS (
     CASE WHEN kind IN ('absolute', 'protocol-relative') THEN lower(regexp_extract(whole, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)', 2))
          WHEN kind IN ('root-relative', 'relative', 'fragment', 'query') THEN own_host END AS host,
     CASE WHEN kind IN ('absolute', 'protocol-relative') THEN {_page_path("regexp_extract(whole, '^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)', 3)")}
-         WHEN kind = 'root-relative' THEN {_page_path("bare")}
-         WHEN kind = 'relative' THEN {_page_path(r"regexp_replace(regexp_replace(regexp_replace(own_route, '[^/]*$', '') || bare, '(^|/)\./', '\1', 'g'), '/[^/]+/\.\./', '/', 'g')")}
+         WHEN kind = 'root-relative' THEN {_page_path(sql_without_dots("bare"))}
+         WHEN kind = 'relative' THEN {_page_path(sql_without_dots("regexp_replace(own_route, '[^/]*$', '') || bare"))}
          WHEN kind IN ('fragment', 'query') THEN own_route END AS route,
     regexp_extract(href, '#(.*)$', 1) AS fragment FROM wholes)"""
 SPACES = r"[ \t\r\n\x0B\f]+"

@@ -64,11 +64,11 @@ def component_rules(spark, d):
 
 
 def reference_closure(spark, d):
-    """Documents reached from every 400th one over the references of every third only, as its SQL has it; reference_closure_whole follows all."""
+    """Documents reached from every 400th one; orders stand in for the references among two thousand documents."""
     o = table(spark, d, "orders")
     edges = o.select((F.col("o_orderkey") % 2003).alias("document"), ((F.col("o_custkey") * 3 + F.col("o_orderkey")) % 2003).alias("target"))
     roots = edges.filter("document % 400 = 0").select("document")
-    return specs.closure(edges.filter("document % 3 = 0"), roots).select("document", F.col("depth").cast("long").alias("depth"))
+    return specs.closure(edges, roots).select("document", F.col("depth").cast("long").alias("depth"))
 
 
 def _references(spark, d):
@@ -143,7 +143,7 @@ ORACLES = {
     "reference_closure": """
       WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey % 2003 AS document, (o_custkey * 3 + o_orderkey) % 2003 AS target FROM orders),
       w AS (SELECT DISTINCT document, 0::BIGINT AS depth FROM e WHERE document % 400 = 0
-        UNION SELECT e.target, w.depth + 1 FROM w JOIN e ON e.document = w.document WHERE e.document % 3 = 0 AND e.document <> e.target AND w.depth < 64)
+        UNION SELECT e.target, w.depth + 1 FROM w JOIN e ON e.document = w.document WHERE e.document <> e.target AND w.depth < 2003)
       SELECT document, min(depth) AS depth FROM w GROUP BY document""",
     "asset_references": """
       SELECT page_id, 'image' AS kind, '/i/' || (page_id % 10) || '.png' AS url FROM pages

@@ -27,11 +27,12 @@ def first_seen(events: DataFrame, key: list[str], time: str = "ts", late: str =
     return events.withColumn("__t", F.col(time).cast("timestamp")).withWatermark("__t", late).dropDuplicatesWithinWatermark(key).drop("__t")
 
 
-def run_once(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Everything there is now through ``stream`` to a table in the shared folder, then that table. A run that breaks off goes on
-    from its checkpoint; files are committed once."""
+def run_once(stream: DataFrame, mode: str = "append", base: str | None = None) -> DataFrame:
+    """Everything there is now through ``stream`` to a table below ``base``, then that table. Called again with the same ``base``, a
+    run that broke off goes on from its checkpoint and a finished one reads only what has come since; files are committed once.
+    Without ``base`` the run stands alone, in a folder of its own."""
     spark = stream.sparkSession
-    base = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = base or f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/log").outputMode("append").trigger(availableNow=True).start()
     else:
