@@ -52,3 +52,8 @@ def without_subtrees(blocks: DataFrame, excluded: DataFrame) -> DataFrame:
 
 def unmatched_exclusions(blocks: DataFrame, excluded: DataFrame) -> DataFrame:
     return excluded.join(blocks.select("page_id", "node_id"), ["page_id", "node_id"], "left_anti")
+
+
+def quarantine_counts(ledger: DataFrame) -> DataFrame:
+    """kind, n: how many nodes each disposition holds now."""
+    return last(ledger).groupBy("kind").agg(F.count("*").alias("n"))

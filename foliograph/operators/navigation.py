@@ -102,3 +102,30 @@ def parents_by_slug(pages: DataFrame) -> DataFrame:
     j = pages.join(p, "parent_slug", "left")
     own = F.col("parent_page").isNotNull() & (F.col("parent_page") != F.col("page_id"))
     return j.select("page_id", F.when(own, F.concat(F.lit("page:"), F.col("parent_page").cast("string"))).otherwise(F.concat(F.lit("category:"), "category")).alias("parent"), F.when(own, "page").otherwise("category").alias("placed_by"))
+
+
+def published(pages: DataFrame, hidden: list[str]) -> DataFrame:
+    """pages with ``withheld``: the first of the columns ``hidden`` (draft, unlisted and the like) that is true, null for what is published."""
+    return pages.withColumn("withheld", F.coalesce(*[F.when(F.col(c), F.lit(c)) for c in hidden]))
+
+
+def pages_of_links(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """nodes (node_id, route) with page_id of the page (page_id, route) they lead to, the smallest of several; null where there is none."""
+    return nodes.join(pages.groupBy("route").agg(F.min("page_id").alias("page_id")), "route", "left")
+
+
+def sidebars_observed(items: DataFrame, n_pages: DataFrame, least: int = 2, share: float = 0.02) -> DataFrame:
+    """sidebar, n_placed, observed, is_navigation of sidebars' items (sidebar, url): observed with any page twice or more, navigation if
+    it places at least ``least`` pages and ``share`` of all (n_pages: one row, n)."""
+    each = items.groupBy("sidebar", "url").agg(F.count("*").alias("times"))
+    got = each.groupBy("sidebar").agg(F.count("*").alias("n_placed"), F.bool_or(F.col("times") >= 2).alias("observed"))
+    all_pages = n_pages.first()["n"]
+    return got.withColumn("is_navigation", (F.col("n_placed") >= least) & (F.col("n_placed") >= F.lit(share * all_pages)))
+
+
+def value_sets(rows: DataFrame, group: str, value: str, default: str) -> DataFrame:
+    """group, values: the distinct values of each group, the default first, the others in order. Values are languages or versions, so
+    a group has few."""
+    found = rows.filter(F.col(value).isNotNull()).groupBy(group).agg(F.array_sort(F.collect_set(value)).alias("vs"))
+    first = F.filter("vs", lambda v: v == default)
+    return found.select(group, F.array_join(F.concat(first, F.filter("vs", lambda v: v != default)), ",").alias("values"))

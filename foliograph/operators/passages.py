@@ -49,3 +49,8 @@ def holders(rows: DataFrame, key: str, text: str, items: DataFrame, item: str, p
     pad = lambda c: F.concat(F.lit(" "), c, F.lit(" "))
     both = out.join(whole, key).join(p.select(item, "needle"), item)
     return both.filter(F.contains(pad("hay"), pad("needle"))).select(key, item)
+
+
+def missing_code(source: DataFrame, copy: DataFrame) -> DataFrame:
+    """Code blocks (page_id, code_hash) of a source whose text the copy of the page has nowhere."""
+    return source.select("page_id", "code_hash").distinct().join(copy.select("page_id", "code_hash"), ["page_id", "code_hash"], "left_anti")

@@ -108,3 +108,23 @@ def numbered(rows: DataFrame, candidate: str, settled: str, order: list[str]) ->
     number = F.aggregate(F.coalesce("used", F.array().cast("array<int>")), F.col("place"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
     route = F.when(F.col("place") == 1, F.col(candidate)).otherwise(F.concat_ws("-", candidate, number))
     return r.withColumn("route", route).withColumn("collides", F.col("place") > 1).drop("place", "used")
+
+
+def known_pages(**evidence: DataFrame) -> DataFrame:
+    """route, known_by: every route that any side (route) names, with the names of the sides in order."""
+    named = [side.select("route", F.lit(name).alias("by")) for name, side in sorted(evidence.items())]
+    every = named[0]
+    for side in named[1:]:
+        every = every.union(side)
+    return every.filter("route IS NOT NULL").groupBy("route").agg(F.array_join(F.array_sort(F.collect_set("by")), ",").alias("known_by"))
+
+
+def retained(before: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """Keys that both sides have."""
+    return before.select(key).intersect(now.select(key))
+
+
+def sorted_keys(document: Column) -> Column:
+    """A flat JSON object of texts with its keys in order."""
+    entries = F.array_sort(F.map_entries(F.from_json(document, "map<string,string>")))
+    return F.to_json(F.map_from_entries(entries))

@@ -98,12 +98,13 @@ def landing_pages(spark, d):
 
 
 def _edges(spark, d):
-    """Orders as redirect rules between a few thousand routes."""
-    return table(spark, d, "orders").select(F.concat(F.lit("/r"), F.col("o_orderkey") % 3001).alias("source"), F.concat(F.lit("/r"), (F.col("o_custkey") * 7 + F.col("o_orderkey")) % 4001).alias("destination")).filter("source <> destination").groupBy("source").agg(F.min("destination").alias("destination"))
+    """Orders as redirect rules, one for each order key, so the rules grow with the table; they lead back and forth and run into loops."""
+    to = F.abs(F.col("o_orderkey") - F.col("o_custkey") * 7)
+    return table(spark, d, "orders").select(F.concat(F.lit("/r"), "o_orderkey").alias("source"), F.concat(F.lit("/r"), to).alias("destination")).filter("source <> destination").groupBy("source").agg(F.min("destination").alias("destination"))
 
 
 _EDGES = """edges AS (SELECT source, min(destination) AS destination FROM (
-  SELECT '/r' || (o_orderkey % 3001) AS source, '/r' || ((o_custkey * 7 + o_orderkey) % 4001) AS destination FROM orders) WHERE source <> destination GROUP BY source)"""
+  SELECT '/r' || o_orderkey AS source, '/r' || abs(o_orderkey - o_custkey * 7) AS destination FROM orders) WHERE source <> destination GROUP BY source)"""
 
 
 def redirect_chains(spark, d):
@@ -120,8 +121,8 @@ def redirect_missing_targets(spark, d):
 
 
 def alias_closure(spark, d):
-    """Chains of aliases that never turn back: every alias points to a smaller number."""
-    e = table(spark, d, "orders").select((F.col("o_orderkey") % 5003).alias("alias"), F.floor((F.col("o_orderkey") % 5003) / 3).cast("long").alias("target")).filter("alias > 0").distinct()
+    """Chains of aliases that never turn back: every order key stands for its third."""
+    e = table(spark, d, "orders").filter("o_orderkey > 0").select(F.col("o_orderkey").alias("alias"), F.floor(F.col("o_orderkey") / 3).cast("long").alias("target"))
     return redirects.aliases_closed(e)
 
 
@@ -182,7 +183,7 @@ ORACLES = {
     "redirect_chains": f"WITH {_EDGES} SELECT a.source, a.destination AS via, b.destination FROM edges a JOIN edges b ON a.destination = b.source WHERE b.destination <> a.destination",
     "redirect_loops": f"WITH {_EDGES}, {_REACH} SELECT start AS source FROM reach",
     "redirect_missing_targets": f"WITH {_EDGES} SELECT source, destination FROM edges WHERE destination NOT IN (SELECT source FROM edges) AND destination NOT IN (SELECT '/r' || c_custkey FROM customer)",
-    "alias_closure": """WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey % 5003 AS alias, (o_orderkey % 5003) // 3 AS target FROM orders WHERE o_orderkey % 5003 > 0),
+    "alias_closure": """WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS alias, o_orderkey // 3 AS target FROM orders WHERE o_orderkey > 0),
       w AS (SELECT alias, target FROM e UNION SELECT w.alias, e.target FROM w JOIN e ON e.alias = w.target)
       SELECT alias, min(target) AS canonical FROM w GROUP BY alias""",
     "signature_clusters": """
