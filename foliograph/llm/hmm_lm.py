@@ -37,7 +37,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliograph.workspace import bounded_batches, shuffle_partitions, written
+from foliograph.workspace import bounded_batches, written
 
 STATES = 12
 TOP, CLASSES, SUFFIX = 16384, 1024, 3
@@ -356,7 +356,7 @@ def expected_counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarr
         blocks = range(0, height, SUMMED_AT_ONCE)
         yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([numbers[k : k + SUMMED_AT_ONCE].tobytes() for k in blocks], pa.binary())], ["block", "numbers"])
 
-    sums = bounded_batches(rows.select("symbols")).mapInArrow(run, schema).repartition(min(-(-height // SUMMED_AT_ONCE), shuffle_partitions(spark)), "block").mapInArrow(_added, schema).toArrow()
+    sums = bounded_batches(rows.select("symbols")).mapInArrow(run, schema).repartition("block").mapInArrow(_added, schema).toArrow()
     shared.destroy()
     numbers = np.zeros((height, STATES))
     for block, found in zip(sums.column("block").to_pylist(), sums.column("numbers").to_pylist(), strict=True):
