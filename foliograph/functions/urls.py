@@ -204,3 +204,37 @@ def route_prefix(locale: Column, version: Column, default_locale: str, newest: s
     v = F.when(version.isNull() | (version == newest), "").when(version == "current", f"/{next_name}").otherwise(F.concat(F.lit("/"), version))
     l = F.when(locale.isNull() | (locale == default_locale), "").otherwise(F.concat(F.lit("/"), locale))
     return F.concat(l, v)
+
+
+def decoded_path(path_: Column) -> Column:
+    """A path with its percent escapes decoded, but for those of reserved characters; slashes forward, one in front, none at the end.
+    A path with a malformed escape stays as written, and + is no space."""
+    kept = F.replace(F.regexp_replace(path_, "(?i)%(3B|2F|3F|3A|40|26|3D|2B|24|2C|23)", "%25$1"), F.lit("+"), F.lit("%2B"))
+    plain = F.try_url_decode(kept)
+    sound = F.when(~plain.contains("�") | path_.contains("�"), plain)
+    slashed = F.replace(F.coalesce(sound, path_), F.lit("\\"), F.lit("/"))
+    return F.concat(F.when(slashed.startswith("/"), "").otherwise("/"), F.regexp_replace(slashed, "(?<!^)/+$|(?<=^/)/+$", ""))
+
+
+def on_seed(url: Column, seed: str, aliases: list[str]) -> Column:
+    """The address on the origin ``seed`` if its host is one of ``aliases``, with any port; else unchanged."""
+    named = F.lower(F.regexp_extract(url, r"^(?i:https?)://([^/:?#]+)", 1))
+    return F.when(named.isin(*[a.lower() for a in aliases]), F.regexp_replace(url, r"^(?i:https?)://[^/?#]+", seed)).otherwise(url)
+
+
+def unproxied(url: Column) -> Column:
+    """What a resizing image proxy points at, if that is an http(s) address; else the address itself."""
+    target = F.try_url_decode(F.regexp_extract(url, r"^[^#]*?[?&]url=([^&#]*)", 1))
+    proxy = url.rlike(r"^(?i:https?)://[^?#]*/~gitbook/image/?(\?|#|$)")
+    return F.when(proxy & target.rlike("^(?i:https?)://"), target).otherwise(url)
+
+
+def markdown_problem(status: Column, media: Column, body: Column) -> Column:
+    """Why an answer can't stand as a page's Markdown: status, media-type, html-document or empty, the first that holds; null if it can."""
+    bare = F.regexp_replace(body, "^﻿", "")
+    return (
+        F.when(~status.eqNullSafe(200), "status")
+        .when(~F.coalesce(media.rlike(r"^\s*(?i:text/(markdown|plain|x-markdown))\s*(;|$)"), F.lit(False)), "media-type")
+        .when(bare.rlike(r"^\s*(?i:<!doctype html|<html)\b"), "html-document")
+        .when(F.coalesce(~bare.rlike(r"\S"), F.lit(True)), "empty")
+    )

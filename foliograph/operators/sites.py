@@ -75,6 +75,21 @@ def signatures(components: DataFrame) -> DataFrame:
     return components.withColumn("signature", F.substring(F.sha2(F.concat_ws("|", "name", F.array_join(kinds, ",")), 256), 1, 12))
 
 
+def full_signatures(components: DataFrame, enums: tuple[str, ...] = ()) -> DataFrame:
+    """components (name, props map, and where there are such columns platform, depth, children, style_deps, definition_hash) with
+    signature, a 12-digit hash of all of these: of properties the kinds, of those named in ``enums`` the value, of children and styles
+    (arrays of names) what they hold in order of name. What has one signature can be converted by one rule."""
+    kind = lambda k: F.when(k.isin(*enums), F.concat(F.lit("enum:"), F.element_at("props", k))).otherwise(prop_bucket(F.element_at("props", k)))
+    parts = {"props": F.transform(F.array_sort(F.map_keys("props")), lambda k: F.concat_ws("=", k, kind(k)))}
+    for c in ("platform", "name", "depth", "definition_hash"):
+        if c in components.columns:
+            parts[c] = F.col(c).cast("string")
+    for c in ("children", "style_deps"):
+        if c in components.columns:
+            parts[c] = F.array_sort(c)
+    return components.withColumn("signature", F.substring(F.sha2(F.to_json(F.struct(*[v.alias(k) for k, v in sorted(parts.items())])), 256), 1, 12))
+
+
 def clusters(signed: DataFrame, sample: str, k: int = 5) -> DataFrame:
     """signature, name, count, samples: the k smallest ``sample`` values, found without gathering a cluster."""
     top = F.row_number().over(Window.partitionBy("signature").orderBy(sample))
