@@ -9,8 +9,8 @@ count and C and V the class's tokens and distinct words in training.
 Method: counts of all training words are aggregated through a shuffle and written. The
 first model comes from the corpus's symbol counts; every Baum-Welch step goes over all
 training texts in PARTS parts taken by hash (incremental expectation maximisation): for
-each part tasks add up the expected counts of their texts, a shuffle adds tasks, symbols
-times STATES numbers reach the driver, replace what that part gave in the step before,
+each part tasks add up the expected counts of their texts, a shuffle adds tasks by symbol,
+symbols times STATES numbers reach the driver, replace what that part gave in the step before,
 and the sum over all parts makes the next model. Steps go on until two in a row have
 gained less than SETTLED in log-likelihood a token. Training reads texts in stretches,
 each with some tokens more on either side (see Expected), so no transition is lost.
@@ -46,13 +46,11 @@ END = TOP + CLASSES
 SYMBOLS = END + 1
 ADD = 0.1
 #: Training runs stretches of SEGMENT tokens, with MARGIN more on either side, IN_STEP at a time; a task holds HELD_TOKENS.
-SEGMENT, MARGIN = 192, 16
-IN_STEP, HELD_TOKENS = 2048, 1_000_000
-#: Steps between two scalings of a stretch's probabilities.
+SEGMENT, MARGIN = 512, 16
+IN_STEP, HELD_TOKENS = 1024, 1_000_000
+#: Steps between two scalings of a sequence's probabilities.
 SCALED = 4
 PARTS = 4
-#: Rows of the expected counts that are added in one group.
-SUMMED_AT_ONCE = 4096
 SETTLED = 1e-3
 PRIOR = 20.0
 FOLDS = 10
@@ -310,12 +308,15 @@ def forward(model: Model, texts: list[np.ndarray]) -> np.ndarray:
     at = np.cumsum(length) - length
     active = np.searchsorted(-length, -np.arange(int(length[0])), "left")  # how many are longer than t
     total = np.zeros(len(texts))
-    alpha = np.broadcast_to(model.start, (len(texts), STATES))
-    for t, k in enumerate(active.tolist()):
+    alpha, after = np.broadcast_to(model.start, (len(texts), STATES)), [*active.tolist()[1:], 0]
+    for t, (k, left) in enumerate(zip(active.tolist(), after, strict=True)):
         alpha = (alpha[:k] if t == 0 else alpha[:k] @ model.move) * model.emit[flat[at[:k] + t]]
-        scale = alpha.sum(axis=1)
-        alpha = alpha / scale[:, None]
-        total[:k] += np.log10(scale)
+        if t % SCALED == 0:
+            scale = alpha.sum(axis=1)
+            alpha /= scale[:, None]
+            total[:k] += np.log10(scale)
+        if left < k:  # sequences that end here
+            total[left:k] += np.log10(alpha[left:].sum(axis=1))
     out = np.empty(len(texts))
     out[order] = total
     return out
@@ -325,24 +326,11 @@ def _lists(column) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), np.uint16) for x in column]
 
 
-def _added(batches):
-    """Sums of rows (block, numbers) by block, one sum of each block held at a time."""
-    import pyarrow as pa
-
-    sums: dict[int, np.ndarray] = {}
-    for batch in batches:
-        for block, numbers in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            x = np.frombuffer(numbers.as_py(), np.float64)
-            sums[block] = sums[block] + x if block in sums else x
-    yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "numbers"])
-
-
 def expected_counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Emissions, moves and starts that ``model`` expects in rows (symbols), and their log-likelihood."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast(Model(model.start, model.move, model.emit, model.share))
-    schema = "block int, numbers binary"
-    height = SYMBOLS + STATES + 2
+    names = [f"s{k}" for k in range(STATES)]
 
     def run(batches):
         import pyarrow as pa
@@ -353,14 +341,13 @@ def expected_counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarr
                 got.add(_lists(batch.column(0).slice(low, 1000)))
         got.flush()
         numbers = np.concatenate([got.emit, got.move, got.start[None], np.full((1, STATES), got.log_likelihood)])
-        blocks = range(0, height, SUMMED_AT_ONCE)
-        yield pa.RecordBatch.from_arrays([pa.array(blocks, pa.int32()), pa.array([numbers[k : k + SUMMED_AT_ONCE].tobytes() for k in blocks], pa.binary())], ["block", "numbers"])
+        at = np.flatnonzero(numbers.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), *(pa.array(numbers[at, k]) for k in range(STATES))], ["at", *names])
 
-    sums = bounded_batches(rows.select("symbols")).mapInArrow(run, schema).repartition("block").mapInArrow(_added, schema).toArrow()
+    sums = bounded_batches(rows.select("symbols")).mapInArrow(run, f"at int, {', '.join(f'{x} double' for x in names)}").groupBy("at").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
     shared.destroy()
-    numbers = np.zeros((height, STATES))
-    for block, found in zip(sums.column("block").to_pylist(), sums.column("numbers").to_pylist(), strict=True):
-        numbers[block : block + SUMMED_AT_ONCE] = np.frombuffer(found, np.float64).reshape(-1, STATES)
+    numbers = np.zeros((SYMBOLS + STATES + 2, STATES))
+    numbers[sums.column("at").to_numpy()] = np.stack([sums.column(x).to_numpy() for x in names], axis=1)
     return numbers[:SYMBOLS], numbers[SYMBOLS : SYMBOLS + STATES], numbers[-2], float(numbers[-1, 0])
 
 
