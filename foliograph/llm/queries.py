@@ -7,7 +7,7 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.llm import ann_forest, fingerprint, hmm_lm, jaccard_join, license_scan, line_dedup, mixing, piece_codec, secret_scan, toxicity
+from foliograph.llm import ann_forest, fill_in_middle, fingerprint, hmm_lm, jaccard_join, lexical_search, license_scan, line_dedup, mixing, piece_codec, secret_scan, tensor_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_piece_codec": piece_codec.op10_piece_codec,
+        "op11_fill_in_middle": fill_in_middle.op11_fill_in_middle,
+        "op12_tensor_dedup": tensor_dedup.op12_tensor_dedup,
+        "op13_lexical_search": lexical_search.op13_lexical_search,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -32,5 +35,8 @@ def oracle_sql() -> dict[str, str]:
         "op6_mixing": mixing.ORACLE,
         "op8_line_dedup": line_dedup.ORACLE,
         "op9_jaccard_join": jaccard_join.ORACLE,
+        "op11_fill_in_middle": fill_in_middle.ORACLE,
+        "op12_tensor_dedup": tensor_dedup.ORACLE,
+        "op13_lexical_search": lexical_search.ORACLE,
         **({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {}),
     }
