@@ -45,7 +45,6 @@ SEGMENT_DOCS, SEGMENT_BYTES = 8192, 8_000_000
 ITEMS = 1024
 #: Stretches are scored together, up to so many documents, before the threshold is looked at again.
 DOCS_AT_ONCE = 1024
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Bytes of terms to themselves, A-Z lower-cased, all others to a space.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Stands for the row of a segment that holds its documents; no term is empty.
@@ -91,9 +90,17 @@ def unpacked(data: np.ndarray) -> np.ndarray:
 
 def corpus_counts(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
     """How many documents have a term, and how many terms all have."""
-    n = docs.select(F.regexp_count(F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.lit(TERM)).alias("n")).filter("n > 0")
-    found = n.agg(F.count("*"), F.sum(F.col("n").cast("long"))).first()
-    return found[0], found[1] or 0
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            n = [len(terms_of(text.as_py())) for text in batch.column(0)]
+            yield pa.RecordBatch.from_arrays([pa.array([sum(map(bool, n))], pa.int64()), pa.array([sum(n)], pa.int64())], ["docs", "terms"])
+
+    counts = bounded_batches(docs.select(F.col(text_col).cast("string").alias("text"))).mapInArrow(run, "docs long, terms long")
+    found = counts.agg(F.sum("docs"), F.sum("terms")).first()
+    return found[0] or 0, found[1] or 0
 
 
 def _segment(number: int, ids: list[int], lists: list[list[bytes]], n_docs: int, n_terms: int):
