@@ -22,7 +22,8 @@ a bucket beyond a block is dealt to several tasks. No row stands for a pair, exc
 partner of each set.
 
 A true pair is missed if it shares no half of either collection: 2 * (1 - s**VALUES)**HALVES,
-1.2e-6 at the threshold and less above it, plus TOLERANCE for the posterior.
+1.2e-6 at the threshold and less above it, plus TOLERANCE for each of the two looks of the
+posterior (at the table keys' values, then with the bins).
 
 Defined results: texts without words (null, empty, white space) have an empty set and are
 linked with nothing; rows with a null doc_id are linked with nothing, have a null component
@@ -35,6 +36,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -49,6 +51,8 @@ SHINGLE = 4
 THRESHOLD = 80
 HALVES, VALUES = 14, 2
 HASHES = 2 * HALVES * VALUES
+#: A second sketch for pruning alone: the least hash of each of so many equal parts of the hash range, a byte each.
+BINS = 128
 TOLERANCE = 1e-6
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -99,6 +103,16 @@ def min_hashes(shingles: np.ndarray, family: tuple[np.ndarray, np.ndarray], at_o
     return (least * _MIX >> np.uint64(48)).astype(np.uint16)
 
 
+def bin_minima(shingles: np.ndarray) -> np.ndarray:
+    """One byte of the least hash in each part of the range, 0 for parts without any; the array is sorted, so that is each part's first."""
+    edges = np.arange(BINS, dtype=np.uint64) << np.uint64(64 - BINS.bit_length() + 1)
+    first = np.searchsorted(shingles, edges)
+    full = first < np.r_[first[1:], len(shingles)]
+    out = np.zeros(BINS, np.uint8)
+    out[full] = np.maximum(shingles[first[full]] * _MIX >> np.uint64(56), np.uint64(1))
+    return out
+
+
 def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
     low, high = sorted((len(a), len(b)))
     if 100 * low < threshold * high:
@@ -108,7 +122,7 @@ def linked(a: np.ndarray, b: np.ndarray, threshold: int = THRESHOLD) -> bool:
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, class (null without words), n_shingles, sig, for rows of doc_id, text_hash, text."""
+    """doc_id, text_hash, class (null without words), n_shingles, sig (MinHash values, then bins), for rows of doc_id, text_hash, text."""
 
     def run(batches):
         import pyarrow as pa
@@ -120,7 +134,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 s = sets(text.as_py())
                 sizes.append(len(s))
                 keys.append(int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True) if len(s) else None)
-                sigs.append(min_hashes(s, family).tobytes() if len(s) else None)
+                sigs.append(min_hashes(s, family).tobytes() + bin_minima(s).tobytes() if len(s) else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "text_hash", "class", "n_shingles", "sig"])
 
     return bounded_batches(docs).mapInArrow(run, "doc_id long, text_hash long, class long, n_shingles long, sig binary")
@@ -181,14 +195,20 @@ def _by_task(rows: DataFrame) -> DataFrame:
     return rows.repartition(shuffle_partitions(rows.sparkSession), *task).sortWithinPartitions(*task)
 
 
+@cache
+def _least(seen: int, threshold: int, tolerance: float) -> int:
+    return least_matches(seen, threshold / 100, tolerance)
+
+
 def survivors(t, threshold: int = THRESHOLD, tolerance: float = TOLERANCE, at_once: int = 65536) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of a task's rows, an Arrow table, that sizes and the posterior leave: of the task's two blocks, of different groups,
     and in the first table they share."""
     block, group, size = (t.column(c).to_numpy() for c in ("block", "group", "n_shingles"))
     a, b, table = (t.column(c)[0].as_py() for c in ("task_a", "task_b", "table"))
-    sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint16).reshape(-1, HASHES)
+    both = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint8).reshape(-1, 2 * HASHES + BINS)
+    sig, bins = np.ascontiguousarray(both[:, : 2 * HASHES]).view(np.uint16), both[:, 2 * HASHES :]
     half = np.ascontiguousarray(sig).view(np.uint32).reshape(len(sig), 2, HALVES)
-    least = least_matches(HASHES, threshold / 100, tolerance)
+    least = np.array([_least(n, threshold, tolerance) for n in range(HASHES + BINS + 1)])
     if a == b:
         left, right = np.triu_indices(len(block), 1)
     else:
@@ -198,7 +218,13 @@ def survivors(t, threshold: int = THRESHOLD, tolerance: float = TOLERANCE, at_on
     left, right = left[fits], right[fits]
     for k in range(0, len(left), at_once):
         x, y = left[k : k + at_once], right[k : k + at_once]
-        near = (sig[x] == sig[y]).sum(axis=1) >= least
+        equal = (sig[x] == sig[y]).sum(axis=1)
+        near = equal >= least[HASHES]
+        x, y, equal = x[near], y[near], equal[near]
+        # parts of the range that either set has something in count as looked at
+        one, two = bins[x], bins[y]
+        looked = HASHES + ((one | two) > 0).sum(axis=1)
+        near = equal + ((one == two) & (one > 0)).sum(axis=1) >= least[looked]
         x, y = x[near], y[near]
         same = half[x] == half[y]
         here = same[:, 0].argmax(axis=1) * HALVES + same[:, 1].argmax(axis=1) == table

@@ -87,6 +87,19 @@ def test_misses_of_the_tables():
     assert 2 * (1 - 0.8**td.VALUES) ** td.HALVES < 2e-6
 
 
+def test_bins_tell_sets_apart():
+    rng, family = np.random.default_rng(6), td.hash_family()
+    sketch = lambda s: td.bin_minima(np.sort(s))
+    for n in (3, 60, 2000):
+        x = rng.integers(0, 2**63, 2 * n, dtype=np.uint64) * np.uint64(2)
+        for share in (0.0, 0.5, 0.9):
+            m = int(n * share)
+            a, b = sketch(x[:n]), sketch(np.r_[x[:m], x[n : 2 * n - m]])
+            looked, equal = ((a | b) > 0).sum(), ((a == b) & (a > 0)).sum()
+            assert abs(equal / looked - m / (2 * n - m)) < 0.2 if n > 3 else looked <= 6
+    assert len(family[0]) == td.HASHES
+
+
 def test_only_partners_and_open_buckets_move(spark, monkeypatch):
     """A large group of near copies is settled by partners; its texts are not needed in blocks."""
     asked = []
