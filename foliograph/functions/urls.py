@@ -9,8 +9,12 @@ URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
 
 # Query parameters that only track where a reader came from, and extensions of files that are no pages.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_term", "utm_content", "fbclid", "gclid", "mc_cid", "mc_eid")
-SERVED = r"(?i)\.(xml|txt|md|mdx|json|ya?ml|pdf|zip|gz|tar|csv|rss|atom)$"
-NOT_PAGES = r"(?i)\.(png|jpe?g|gif|svg|webp|ico|css|js|mjs|map|woff2?|ttf|eot|mp4|webm|mp3|wav|pdf|zip|gz|tar|json|xml|txt)$"
+SERVED_EXTENSIONS = ("atom", "csv", "json", "md", "mdx", "pdf", "rss", "txt", "xml", "yaml", "yml", "zip")
+OTHER_EXTENSIONS = (
+    "aac", "avif", "bmp", "css", "csv", "doc", "docx", "eot", "flac", "gif", "ico", "jfif", "jpe", "jpeg", "jpg", "js", "json", "m4a", "m4v", "map", "mcwebhelp", "mov", "mp3", "mp4", "ogg", "ogv", "otf", "pdf", "png",
+    "ppt", "pptx", "rss", "svg", "tar", "tgz", "tif", "tiff", "ttf", "txt", "wav", "webm", "webp", "woff", "woff2", "xls", "xlsx", "xml", "zip",
+)
+SERVED, NOT_PAGES = (rf"(?i)\.({'|'.join(e)})$" for e in (SERVED_EXTENSIONS, OTHER_EXTENSIONS))
 SAFE_LINKS, SAFE_RESOURCES = ("http", "https", "mailto", "tel"), ("http", "https")
 
 

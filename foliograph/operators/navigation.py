@@ -40,20 +40,22 @@ def problems(nodes: DataFrame, files: DataFrame) -> DataFrame:
 
 def sidebar(nodes: DataFrame, hidden: str | None = None) -> DataFrame:
     """path, label, page_id, place of pages in reading order: siblings by ord, parents before children; hidden nodes go with all beneath.
-    Unless nodes are hidden, pages that no root reaches come last with a null path.
+    Unless nodes are hidden, pages that no root reaches come last with a null path. A node under several parents has each of its
+    places, but is never placed beneath itself.
 
     Order keys are joined down the tree, one join a level, so the flat order is one sort."""
     n = nodes.filter(f"NOT coalesce({hidden}, false)") if hidden else nodes
     key = F.concat(F.lpad(F.col("ord").cast("string"), 12, "0"), F.lit("\x01"), "node_id")
-    level = n.filter("parent_id IS NULL").select("node_id", "label", "page_id", F.col("label").alias("path"), key.alias("key"))
-    out = level
+    level = n.filter("parent_id IS NULL").select("node_id", "label", "page_id", F.col("label").alias("path"), key.alias("key"), F.array("node_id").alias("above"))
+    out = level.drop("above")
     while True:
-        up = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("up_path"), F.col("key").alias("up_key"))
-        level = n.join(up, "parent_id").select("node_id", "label", "page_id", F.concat_ws("/", "up_path", "label").alias("path"), F.concat("up_key", F.lit("\x02"), key).alias("key"))
+        up = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("up_path"), F.col("key").alias("up_key"), "above")
+        met = n.join(up, "parent_id").filter(~F.array_contains("above", F.col("node_id")))
+        level = met.select("node_id", "label", "page_id", F.concat_ws("/", "up_path", "label").alias("path"), F.concat("up_key", F.lit("\x02"), key).alias("key"), F.array_append("above", F.col("node_id")).alias("above"))
         level = written(level, "nav-level")
         if not level.take(1):
             break
-        out = out.union(level)
+        out = out.union(level.drop("above"))
     if not hidden:  # beneath a hidden node, nodes are meant to be out of reach
         lost = n.join(out.select("node_id"), "node_id", "left_anti")
         out = out.union(lost.select("node_id", "label", "page_id", F.lit(None).cast("string"), F.concat(F.lit("\x7f"), key)))

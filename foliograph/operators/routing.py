@@ -60,23 +60,35 @@ def categories_of_files(entries: DataFrame, files: DataFrame) -> DataFrame:
     return met.union(rest.select("workspace", F.lit(None).cast(met.schema["entry_id"].dataType), "file_id", F.lit(None).cast("string")))
 
 
-def icon_name(stated: Column) -> Column:
-    """An icon's name as libraries spell it: hyphens, lower case, no library prefix; null for addresses and paths."""
-    name = F.lower(F.regexp_replace(F.trim(stated), "([a-z0-9])([A-Z])", "$1-$2"))
-    name = F.regexp_replace(F.regexp_replace(name, r"^(?:fa[srlbdt]?\s+)?fa-", ""), "^lucide[-:]", "")
-    return F.when(~stated.rlike("/") & (name != ""), F.regexp_replace(name, r"\s+", "-"))
+#: Words that name an icon's library or its style and not what it shows.
+ICON_LIBRARIES = ("fa", "fab", "fad", "fal", "far", "fas", "fat", "lucide")
+ICON_STYLES = ("alt", "duotone", "light", "outline", "regular", "sharp", "solid", "thin")
+
+
+def _after_last(words: Column, known: tuple[str, ...], end: bool) -> Column:
+    """Words without the known ones at one end, one word at least."""
+    w = F.reverse(words) if end else words
+    skip = F.array_position(F.transform(w, lambda x: ~x.isin(*known)), True)
+    left = F.when(skip > 1, F.slice(w, skip.cast("int"), F.size(w))).when(skip == 0, F.slice(w, -1, 1)).otherwise(w)
+    return F.reverse(left) if end else left
+
+
+def icon_words(stated: Column) -> Column:
+    """An icon's name as lower-case words, split at changes of case and separators, without the library's; null for addresses and paths."""
+    words = F.filter(F.split(F.lower(F.regexp_replace(stated, "(?<=[a-z0-9])(?=[A-Z])", " ")), r"[\s:_-]+"), lambda w: w != "")
+    return F.when(~stated.contains("/") & (F.size(words) > 0), _after_last(words, ICON_LIBRARIES, end=False))
 
 
 def drawable_icons(rows: DataFrame, icon: str, drawable: DataFrame, equivalents: DataFrame) -> DataFrame:
     """rows with ``drawn``: the name in drawable (name) that stands for the column ``icon``, as spelled, by equivalents (name, other), or
-    either of both once a style suffix is gone; null where nothing can be drawn."""
+    either of both once style words at its end are gone; null where nothing can be drawn."""
     can = drawable.select("name").distinct()
     other = equivalents.groupBy("name").agg(F.min("other").alias("other"))
     known = can.select("name", F.col("name").alias("drawn")).withColumn("rank", F.lit(0))
     known = known.union(other.join(can.select(F.col("name").alias("other")), "other").select("name", F.col("other").alias("drawn"), F.lit(1)))
     one = known.groupBy("name").agg(F.min_by("drawn", "rank").alias("drawn"))
-    bare = F.regexp_replace("icon_name", "-(?:solid|regular|light|thin|duotone|sharp|outline|alt)$", "")
-    j = rows.withColumn("icon_name", icon_name(F.col(icon))).withColumn("icon_bare", bare)
+    words = icon_words(F.col(icon))
+    j = rows.withColumns({"icon_name": F.array_join(words, "-"), "icon_bare": F.array_join(_after_last(words, ICON_STYLES, end=True), "-")})
     j = j.join(one.withColumnsRenamed({"name": "icon_name", "drawn": "as_spelled"}), "icon_name", "left").join(one.withColumnsRenamed({"name": "icon_bare", "drawn": "as_bare"}), "icon_bare", "left")
     return j.withColumn("drawn", F.coalesce("as_spelled", "as_bare")).drop("icon_name", "icon_bare", "as_spelled", "as_bare")
 

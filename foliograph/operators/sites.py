@@ -105,17 +105,19 @@ def majority(rows: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def nav_paths(nodes: DataFrame) -> DataFrame:
-    """nodes (node_id, parent_id, label) with path, labels from the root joined by /, and depth; one join for each level. Nodes that no
-    root reaches (their parents are missing or form a cycle) have null in both."""
-    level = nodes.filter("parent_id IS NULL").select("node_id", F.col("label").alias("path"), F.lit(0).alias("depth"))
-    out, depth = level, 0
+    """nodes (node_id, parent_id, label) with path, labels from the root joined by /, and depth; one join for each level. A node under
+    several parents has a row for each place, but is never placed beneath itself. Nodes that no root reaches (their parents are
+    missing or form a cycle) have null in both."""
+    level = nodes.filter("parent_id IS NULL").select("node_id", F.col("label").alias("path"), F.lit(0).alias("depth"), F.array("node_id").alias("above"))
+    out, depth = level.drop("above"), 0
     while True:
         depth += 1
-        parents = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("above"))
-        level = written(nodes.join(parents, "parent_id").select("node_id", F.concat_ws("/", "above", "label").alias("path"), F.lit(depth).alias("depth")), "nav-level")
+        parents = level.select(F.col("node_id").alias("parent_id"), F.col("path").alias("up"), "above")
+        met = nodes.join(parents, "parent_id").filter(~F.array_contains("above", F.col("node_id")))
+        level = written(met.select("node_id", F.concat_ws("/", "up", "label").alias("path"), F.lit(depth).alias("depth"), F.array_append("above", F.col("node_id")).alias("above")), "nav-level")
         if not level.take(1):
             break
-        out = out.union(level)
+        out = out.union(level.drop("above"))
     lost = nodes.join(out.select("node_id"), "node_id", "left_anti")
     return out.union(lost.select("node_id", F.lit(None).cast("string"), F.lit(None).cast("int")))
 
