@@ -53,6 +53,8 @@ SCALED = 4
 PARTS = 4
 SETTLED = 1e-3
 PRIOR = 20.0
+#: What training takes a transition, or an emission beside the symbol's likeliest state, to be at least.
+LEAST = 1e-12
 FOLDS = 10
 COUNTER_WORDS = 300_000
 TOKENS_AT_ONCE = 1_500_000
@@ -96,16 +98,19 @@ class Vocabulary:
     """What tasks know of the counts: the KNOWN most frequent words, and each class's size."""
 
     def __init__(self, counts: DataFrame, training_texts: int):
-        # a histogram of some hundred steps says from which count on at most KNOWN words remain
+        # a histogram of some hundred steps says in which one the KNOWN words run out; of that one, equal counts go by hash
         step = F.floor(F.log2("n") * 64)
         left, cut = KNOWN, None
         for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():
-            left -= r["words"]
-            if left < 0:
+            if r["words"] > left:
+                cut = r["step"]
                 break
-            cut = r["step"]
-        top = counts.filter(step >= cut) if cut is not None else counts.limit(0)
-        top = top.select("word", "n").toArrow()
+            left -= r["words"]
+        top = counts.select("word", "n")
+        if cut is not None:
+            rest = counts.filter(step == cut).orderBy(F.desc("n"), F.xxhash64("word"), "word").select("word", "n").limit(left)
+            top = counts.filter(step > cut).select("word", "n").union(rest)
+        top = top.toArrow()
         words, n = top.column("word").to_pylist(), top.column("n").to_numpy()
         order = sorted(range(len(words)), key=lambda i: (-n[i], words[i]))
         self.rank = {words[i]: k for k, i in enumerate(order)}
@@ -220,7 +225,9 @@ class Expected:
         self.log_likelihood = 0.0
         peak = np.maximum(model.emit.max(axis=1), 1e-300)
         self.log_peak = np.log(peak)
-        self.table = (model.emit / peak[:, None]).astype(np.float32)
+        # with no step below LEAST ** 2, scaled at every step, all that follows stays within single precision
+        self.table = np.maximum(model.emit / peak[:, None], LEAST).astype(np.float32)
+        self.moves = np.maximum(model.move, LEAST).astype(np.float32)
         self.held: list[tuple[np.ndarray, int, int]] = []  # stretch with margins, where its own tokens start and end
         self.n_held = 0
 
@@ -254,46 +261,38 @@ class Expected:
         own = np.empty(len(row), np.float32)
         own[place] = (step >= own_from[row]) & (step < own_to[row])
         emits, one = self.table.take(symbols, axis=0), np.ones((STATES, 1), np.float32)
-        move = self.m.move.astype(np.float32)
+        move = self.moves
         back, begins = np.ascontiguousarray(move.T), (own_from == 0)[:, None]
-        alphas, betas, scale = np.empty_like(emits), np.empty_like(emits), np.ones(len(row), np.float32)
-        logs = [np.zeros(len(parts))]  # each stretch's scaling so far, after every SCALED steps
+        alphas, betas, scale = np.empty_like(emits), np.empty_like(emits), np.empty((len(row), 1), np.float32)
         n, low = active.tolist(), at.tolist()
-        alphas[: n[0]] = emits[: n[0]] * np.where(begins, self.m.start, self.m.share).astype(np.float32)
-        for t in range(1, steps):
+        for t in range(steps):
             a = alphas[low[t] : low[t + 1]]
-            np.matmul(alphas[low[t - 1] : low[t - 1] + n[t]], move, out=a)
+            if t:
+                np.matmul(alphas[low[t - 1] : low[t - 1] + n[t]], move, out=a)
+            else:
+                a[:] = np.maximum(np.where(begins, self.m.start, self.m.share), LEAST)
             a *= emits[low[t] : low[t + 1]]
-            if t % SCALED == 0:
-                s = np.maximum(a @ one, 1e-30)
-                a /= s
-                scale[low[t] : low[t + 1]] = s[:, 0]
-                logs.append(logs[-1].copy())
-                logs[-1][: n[t]] += np.log(s[:, 0])
-        logs = np.stack(logs)
-
-        def upto(t: np.ndarray, rows: np.ndarray) -> float:
-            return float((np.log(np.maximum(alphas[at[t] + rows].sum(axis=1), 1e-30)) + logs[t // SCALED, rows]).sum(dtype=np.float64))
-
-        later = np.flatnonzero(own_from)
-        self.log_likelihood += upto(own_to - 1, np.arange(len(parts))) - upto(own_from[later] - 1, later) + float(self.log_peak[symbols][own > 0].sum())
+            np.matmul(a, one, out=scale[low[t] : low[t + 1]])
+            a /= scale[low[t] : low[t + 1]]
+        # a step's scale is the probability of its token, given what came before it
+        mine = own > 0
+        self.log_likelihood += float(np.log(scale[mine, 0]).sum(dtype=np.float64)) + float(self.log_peak[symbols[mine]].sum())
+        emits /= scale
         betas[low[steps - 1] :] = 1
         for t in range(steps - 1, 0, -1):
             e = emits[low[t] : low[t + 1]]
             e *= betas[low[t] : low[t + 1]]
             b = betas[low[t - 1] : low[t]]
             np.matmul(e, back, out=b[: n[t]])
-            if t % SCALED == 0:
-                b[: n[t]] /= np.maximum(b[: n[t]] @ one, 1e-30)
             b[n[t] :] = 1  # stretches that end here
         betas *= alphas
-        weight = own / np.maximum((betas @ one)[:, 0], 1e-37)
-        betas *= weight[:, None]
-        emits *= (weight / scale)[:, None]
+        weight = (own / (betas @ one)[:, 0])[:, None]
+        betas *= weight
+        emits *= weight
         pairs = np.zeros((STATES, STATES), np.float32)
         for t in range(1, steps):
             pairs += alphas[low[t - 1] : low[t - 1] + n[t]].T @ emits[low[t] : low[t + 1]]
-        self.move += pairs * self.m.move
+        self.move += pairs * move.astype(np.float64)
         self.start += betas[: n[0]][begins[:, 0]].sum(axis=0, dtype=np.float64)
         for k, of_state in enumerate(np.eye(STATES, dtype=np.float32) @ betas.T):  # a product, as it is the fast way to turn the table
             self.emit[:, k] += np.bincount(symbols, of_state, len(self.emit))
@@ -348,6 +347,8 @@ def expected_counts(rows: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarr
     shared.destroy()
     numbers = np.zeros((SYMBOLS + STATES + 2, STATES))
     numbers[sums.column("at").to_numpy()] = np.stack([sums.column(x).to_numpy() for x in names], axis=1)
+    if not np.isfinite(numbers).all():
+        raise ArithmeticError("expected counts are not finite")
     return numbers[:SYMBOLS], numbers[SYMBOLS : SYMBOLS + STATES], numbers[-2], float(numbers[-1, 0])
 
 

@@ -116,6 +116,47 @@ def test_expected_counts_against_all_paths(monkeypatch):
         assert np.allclose(a, b, rtol=1e-3, atol=1e-3)
 
 
+@pytest.mark.parametrize("rare", [1e-3, 1e-6, 1e-9])
+def test_improbable_transitions(monkeypatch, rare):
+    """Texts that change state at every step, by transitions and emissions that hardly ever occur, against double precision."""
+    monkeypatch.setattr(hmm_lm, "STATES", 2)
+    move = np.array([[1 - rare, rare], [rare, 1 - rare]])
+    emit = np.array([[1 - rare, rare], [rare, 1 - rare]])
+    model = hmm_lm.Model(np.array([0.5, 0.5]), move, emit, np.array([0.5, 0.5]))
+    texts = [np.array([k % 2 for k in range(n)], np.uint16) for n in (1, 2, 40, 300)]
+    got = hmm_lm.Expected(model)
+    got.add(texts)
+    got.flush()
+    want_emit, want_move, want_start = np.zeros((2, 2)), np.zeros((2, 2)), np.zeros(2)
+    for text in texts:
+        alphas, betas = [model.start * emit[text[0]]], [np.ones(2)]
+        alphas[0] = alphas[0] / alphas[0].sum()
+        for x in text[1:]:
+            a = alphas[-1] @ move * emit[x]
+            alphas.append(a / a.sum())
+        for x in text[:0:-1]:
+            b = move @ (emit[x] * betas[0])
+            betas.insert(0, b / b.sum())
+        for t, x in enumerate(text):
+            g = alphas[t] * betas[t]
+            want_emit[x] += g / g.sum()
+            want_start += g / g.sum() if t == 0 else 0
+            if t:
+                pair = alphas[t - 1][:, None] * move * (emit[x] * betas[t])
+                want_move += pair / pair.sum()
+    assert got.log_likelihood == pytest.approx(math.log(10) * hmm_lm.forward(model, texts).sum(), rel=1e-4)
+    for a, b in ((got.emit, want_emit), (got.move, want_move), (got.start, want_start)):
+        assert np.isfinite(a).all() and np.allclose(a, b, rtol=1e-3, atol=1e-3)
+
+
+def test_known_words_whatever_the_counts(spark, monkeypatch):
+    monkeypatch.setattr(hmm_lm, "KNOWN", 300)
+    words = [(f"w{k}".encode(), 1) for k in range(1000)] + [(f"v{k}".encode(), 5 + k % 3) for k in range(120)]
+    v = hmm_lm.Vocabulary(spark.createDataFrame(words, "word binary, n long"), 3)
+    assert len(v.rank) == 300 and all(f"v{k}".encode() in v.rank for k in range(120))
+    assert len(hmm_lm.Vocabulary(spark.createDataFrame(words[:300], "word binary, n long"), 3).rank) == 300
+
+
 def test_all_words_of_a_class_share_its_probability(spark):
     counts = spark.createDataFrame([(w.encode(), n) for w, n in Counter(prose(1, 400).split()).items()], "word binary, n long")
     v = hmm_lm.Vocabulary(counts, 3)
