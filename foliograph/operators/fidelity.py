@@ -1,4 +1,4 @@
-"""Whether a conversion kept what its source says: declared losses, snapshots, first differences, running order, contract problems."""
+"""Whether a conversion kept what its source says: declared losses, snapshots, first differences, running order."""
 
 from __future__ import annotations
 
@@ -10,19 +10,6 @@ from foliograph.functions import text
 
 #: Properties that change how a block looks and not what it says.
 VISUAL = ("align", "className", "height", "style", "width")
-# Marks of source dialects that must not be left in a converted page.
-RESIDUAL = (
-    ("admonition", r"(?m)^:::(note|tip|info|warning|danger|caution)\b"),
-    ("liquid", r"\{%\s*(hint|tabs|tab|endhint|endtabs|endtab|embed|content-ref|code)\b"),
-    ("snippet", r"\{\{\s*snippet\."),
-    ("embed", r"@embed\["),
-    ("glossary", r"<<\s*glossary:"),
-)
-#: What may stand between braces: nothing, a reader's field, a number, a truth value, a comment, one string.
-ALLOWED_EXPRESSION = r'^\s*(user\.[a-zA-Z_]+|[0-9]+|true|false|(?s:/\*.*\*/)|"(?:[^"\\{}]|\\.)*")?\s*$'
-FENCED = r"(?m)^ *(`{3,}|~{3,})[^\n]*\n[\s\S]*?\n *\1[ \t]*$"
-CODE_SPAN = r"(`+)(?:(?!\1)[^\n])*\1"
-
 
 def declared_losses(blocks: DataFrame, rules: DataFrame) -> DataFrame:
     """blocks (page_id, seq, path, name, props) without what rules (name, action, dropped) give up, with ``depth``, the blocks still above.
@@ -78,61 +65,3 @@ def running_order(segments: Column, rendered: Column) -> Column:
 
     start = F.struct(F.lit(1).alias("cursor"), *[F.lit(0).alias(c) for c in ("in_order", "moved", "absent")], F.length(rendered).alias("residual"))
     return F.aggregate(F.coalesce(segments, F.array().cast("array<string>")), start, step, lambda at: at.dropFields("cursor"))
-
-
-def fence_problem(mdx: Column) -> Column:
-    """The line (from 1) of the first fence that is nested with an info string or never closed; null where there is none.
-
-    Every line that starts with three backticks counts as a fence; shorter runs inside a longer fence are text."""
-
-    def step(at: Column, line: Column) -> Column:
-        bare = F.regexp_replace(line, r"^\s+|\s+$", "")
-        run = F.length(F.regexp_extract(bare, "^(`{3,})", 1))
-        here = at["line"] + 1
-        opens = (run > 0) & (at["ticks"] == 0)
-        closes = (at["ticks"] > 0) & (run >= at["ticks"]) & (F.length(bare) == run)
-        nested = (at["ticks"] > 0) & (run >= at["ticks"]) & (F.length(bare) != run) & at["bad"].isNull()
-        return F.struct(
-            here.alias("line"),
-            F.when(opens, run).when(closes, 0).otherwise(at["ticks"]).alias("ticks"),
-            F.when(opens, here).otherwise(at["opened"]).alias("opened"),
-            F.when(nested, here).otherwise(at["bad"]).alias("bad"),
-        )
-
-    start = F.struct(F.lit(0).alias("line"), F.lit(0).alias("ticks"), F.lit(0).alias("opened"), F.lit(None).cast("int").alias("bad"))
-    return F.aggregate(F.split(mdx, "\n"), start, step, lambda at: F.coalesce(at["bad"], F.when(at["ticks"] > 0, at["opened"])))
-
-
-def contract_problems(pages: DataFrame, components: DataFrame) -> DataFrame:
-    """page_id, code, n of pages (page_id, mdx) against components (name, editor_only): how often each rule of the contract is broken.
-
-    Codes: frontmatter-missing, frontmatter-title-missing, deployment-code-fence, deployment-attribute-quote, unknown-component,
-    editor-only-node, missing-required-prop (a picture without alt), esm (imports other than of snippets), expression,
-    residual-source-syntax (once for each dialect). Code is not looked into. Pages with null mdx count as empty."""
-    mdx = F.coalesce("mdx", F.lit(""))
-    front = F.regexp_extract(mdx, r"(?s)^---\r?\n(.*?)\r?\n---(?:\r?\n|$)", 1)
-    fronted = mdx.rlike(r"(?s)^---\r?\n.*?\r?\n---(\r?\n|$)")
-    body = F.regexp_replace(mdx, r"(?s)^---\r?\n.*?\r?\n---(\r?\n|$)", "")
-    p = pages.select("page_id", mdx.alias("mdx"), fronted.alias("fronted"), front.alias("front"), F.regexp_replace(F.regexp_replace(body, FENCED, ""), CODE_SPAN, "").alias("scan"))
-    n = lambda condition: condition.cast("int")
-    imports = F.regexp_extract_all("scan", F.lit(r"(?m)^\s*((?:import|export)\s[^\n]*)$"), F.lit(1))
-    snippet = r"""^import\s+[A-Za-z_$][\w$]*\s+from\s+["']/snippets/(?!.*\.\.)[\w./-]+\.(?:mdx?|jsx)["'];?\s*$"""
-    held = F.regexp_extract_all("scan", F.lit(r"\{([^}]*)\}"), F.lit(1))
-    pictures = F.regexp_extract_all("scan", F.lit(r"<Image\b([^>]*)>"), F.lit(1))
-    quoted = mdx.rlike(r'="[^"\n]*(&#x22;|&#34;|&quot;)[^"\n]*"') | mdx.rlike(r"='[^'\n]*(&#x27;|&#39;|&apos;)[^'\n]*'")
-    counts = {
-        "frontmatter-missing": n(~F.col("fronted")),
-        "frontmatter-title-missing": n(F.col("fronted") & ~F.col("front").rlike(r"(?m)^title:[ \t]*\S")),
-        "deployment-code-fence": n(fence_problem(F.col("mdx")).isNotNull()),
-        "deployment-attribute-quote": n(quoted),
-        "missing-required-prop": F.size(F.filter(pictures, lambda a: ~a.rlike(r"\balt="))),
-        "esm": F.size(F.filter(imports, lambda x: ~x.rlike(snippet))),
-        "expression": F.size(F.filter(held, lambda x: ~x.rlike(ALLOWED_EXPRESSION))),
-        "residual-source-syntax": sum((n(F.col("scan").rlike(r)) for _, r in RESIDUAL), F.lit(0)),
-    }
-    each = F.array(*[F.struct(F.lit(code).alias("code"), c.cast("long").alias("n")) for code, c in counts.items()])
-    whole = p.select("page_id", F.explode(each).alias("x")).select("page_id", "x.*").filter("n > 0")
-    tags = p.select("page_id", F.explode(F.regexp_extract_all("scan", F.lit(r"<([A-Za-z][A-Za-z0-9]*)\b[^>]*>"), F.lit(1))).alias("name"))
-    used = tags.groupBy("page_id", "name").agg(F.count("*").alias("n")).join(components.select("name", "editor_only").dropDuplicates(["name"]), "name", "left")
-    code = F.when(F.col("editor_only"), "editor-only-node").when(F.col("editor_only").isNull() & F.col("name").rlike("^[A-Z]"), "unknown-component")
-    return whole.union(used.withColumn("code", code).filter("code IS NOT NULL").groupBy("page_id", "code").agg(F.sum("n").alias("n")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliograph.functions import urls
-from foliograph.operators import fidelity, routing, sites
+from foliograph.operators import contract, fidelity, masking, routing, sites
 from foliograph.plans import gates
 from foliograph.plans.operator_queries import TREE
 from foliograph.workspace import table
@@ -55,23 +55,48 @@ def running_order(spark, d):
     return got.groupBy("conv_id", "turn").agg(*[F.sum(f"o.{x}").alias(x) for x in ("moved", "absent")])
 
 
-#: Pages of a converted site; # is the page's number.
-MDX = (
-    "---\ntitle: Page #\n---\n\nText {user.name} and <Card cols={3} />.\n",
-    "Text # without a head\n\n<Unknown>x</Unknown> <Unknown />\n",
-    "---\ndescription: #\n---\n\n{props.x} {a + b} {/* note */}\n",
-    "---\ntitle: #\n---\n\n```js\n<Unknown> {x}\n```\n\n`{y}` <Image src='a.png' /> <Image src='b.png' alt='b' />\n",
-    "---\ntitle: #\n---\n\nimport A from '/snippets/a.mdx'\nimport B from './b'\n\n:::note\nx\n:::\n",
-    "---\ntitle: #\n---\n\n````md\n```js\nx\n```\n````\n\n```js\nnever closed\n",
-    "---\ntitle: #\n---\n\n<Card title=\"say &quot;hi&quot;\" /> <Draft>x</Draft> {% hint %} @embed[x]\n",
-)
+#: What pages of a converted site end in.
+_ENDS = (
+    "Text {user.name} {3} {true} {/* note */}", "<Unknown>", "{a + b}", '<Image src="a" />\n<Columns cols={4}>', "import A from '/snippets/a.mdx'\nimport B from './b'", ":::note", "```js\nnever closed",
+    '<Card look="say &quot;hi" />', "<draft/>\n<Script/>", '`{x}` <Card\n look="wide" />', "> 🚧 stop\n{% hint %}", "@embed[x] <<glossary:y>> {{ snippet.z }}", "<Note>",
+)
+
+
+def _contract_problems(spark, d):
+    """Documents as bodies of pages; by turns a page has no front matter, one without a title, or ends in something of its own."""
+    turn = (F.col("doc_id") % len(_ENDS)).cast("int")
+    front = F.when(turn == 1, "").when(turn == 2, "---\ndescription: d\n---\n").otherwise("---\ntitle: t\n---\n")
+    p = table(spark, d, "documents").select(F.col("doc_id").alias("page_id"), F.concat(front, F.coalesce("text", F.lit("")), F.lit("\n"), F.element_at(F.array(*map(F.lit, _ENDS)), turn + 1)).alias("mdx"))
+    known = spark.createDataFrame([("Card", False, False), ("Columns", False, False), ("Draft", True, False), ("Image", False, False), ("Script", False, True)], contract.COMPONENTS)
+    props = spark.createDataFrame([("Image", "alt", "required", None), ("Columns", "cols", "enum", ["2", "3"]), ("Card", "look", "tokens", ["wide", "dark"])], contract.PROPS)
+    return contract.problems(p, known, props)
 
 
 def contract_problems(spark, d):
-    p = table(spark, d, "pages").select("page_id", F.element_at(F.array(*map(F.lit, MDX)), (F.col("page_id") % len(MDX) + 1).cast("int")).alias("mdx"))
-    p = p.withColumn("mdx", F.replace("mdx", F.lit("#"), F.col("page_id").cast("string")))
-    known = spark.createDataFrame([("Card", False), ("Image", False), ("Draft", True)], "name string, editor_only boolean")
-    return fidelity.contract_problems(p, known)
+    return _contract_problems(spark, d).withColumn("line", F.col("line").cast("long"))
+
+
+def gate_contract_valid(spark, d):
+    return gates.gate("contract-valid", _contract_problems(spark, d))
+
+
+def _with_code(spark, d, text, *more):
+    """Documents' texts as changed by ``text``, every third line as code."""
+    i_th = lambda x, i: F.when(i % 3 == 2, F.concat(F.lit("`"), x, F.lit("`"))).when((i % 3 == 1) & F.lit(bool(more)), F.concat(F.lit("".join(more)), x)).otherwise(x)
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.transform(F.split(text, "\n", -1), i_th), "\n").alias("text"))
+
+
+def emoji_outside_code(spark, d):
+    """Documents with shortcodes in place of commas: a hash of what becomes of them."""
+    texts = _with_code(spark, d, F.replace(F.coalesce("text", F.lit("")), F.lit(", "), F.lit(" :boom: :no_name: ")))
+    emoji = spark.createDataFrame([("boom", "💥"), ("rocket", "🚀")], "name string, char string")
+    return masking.with_emoji(texts, "doc_id", "text", emoji).select("doc_id", F.md5("text").alias("md5"))
+
+
+def literal_braces(spark, d):
+    """Documents with braces in place of full stops, tags with braces in place of commas, and lines that begin with import."""
+    text = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(" {x} ")), F.lit(", "), F.lit(" <T a={1}> "))
+    return masking.with_literal_braces(_with_code(spark, d, text, "import "), "doc_id", "text").select("doc_id", F.md5("text").alias("md5"))
 
 
 def plan_extension(spark, d):
@@ -180,7 +205,7 @@ def component_signatures(spark, d):
     return s.groupBy("signature").agg(F.min("name").alias("name"), F.count("*").alias("n"), F.min(F.element_at("props", "tone")).alias("tone"), F.min("depth").cast("long").alias("depth")).drop("signature")
 
 
-QUERIES = {f.__name__: f for f in (declared_losses, first_differences, gate_source_content, running_order, contract_problems, plan_extension, routes_of_plan, component_decisions, page_titles,
+QUERIES = {f.__name__: f for f in (declared_losses, first_differences, gate_source_content, running_order, contract_problems, gate_contract_valid, emoji_outside_code, literal_braces, plan_extension, routes_of_plan, component_decisions, page_titles,
     categories_of_files, drawable_icons, pages_placed, navigation_steps, archive_problems, decoded_paths, seed_hosts, proxied_images, markdown_answers, component_signatures)}
 
 _KEPT = """b AS (SELECT page_id, unnest(range(15)) AS seq FROM pages),
@@ -192,6 +217,13 @@ x AS (SELECT page_id, place, 'text' AS field, 'x' || seq AS first, 'x' || seq ||
   UNION ALL SELECT page_id, place, 'props.tone', 't' || (page_id % 3), 'new' FROM p WHERE (page_id * 7 + seq) % 17 = 0 AND NOT (page_id % 4 = 0 AND seq = 14)
   UNION ALL SELECT page_id, place, 'kind', CASE WHEN note THEN 'Note' ELSE 'paragraph' END, NULL FROM p WHERE page_id % 4 = 0 AND seq = 14),
 d AS (SELECT page_id, min_by(x, (place, field)) AS x FROM x GROUP BY page_id)"""
+_BROKEN = """WITH found(turn, code, below, detail) AS (VALUES (1, 'frontmatter-missing', 0, ''), (1, 'unknown-component', 1, 'Unknown'), (2, 'frontmatter-title-missing', 0, ''), (2, 'expression', 1, 'a + b'),
+  (3, 'missing-required-prop', 1, 'Image.alt'), (3, 'invalid-prop-value', 2, 'Columns.cols=4'), (4, 'esm', 2, 'import B from ''./b'''), (5, 'residual-source-syntax', 1, 'admonition'), (6, 'deployment-code-fence', 1, ''),
+  (7, 'deployment-attribute-quote', 1, ''), (7, 'invalid-prop-value', 1, 'Card.look=say &quot;hi'), (8, 'editor-only-node', 1, 'draft'), (8, 'executable', 2, 'Script'), (10, 'residual-source-syntax', 1, 'callout'),
+  (10, 'residual-source-syntax', 2, 'liquid'), (10, 'expression', 2, '% hint %'), (11, 'residual-source-syntax', 1, 'embed'), (11, 'residual-source-syntax', 1, 'glossary'), (11, 'residual-source-syntax', 1, 'snippet'),
+  (11, 'expression', 1, 'snippet.z'), (12, 'residual-source-syntax', 1, 'component'), (12, 'unknown-component', 1, 'Note')),
+broken AS (SELECT doc_id AS page_id, code, CASE WHEN below = 0 THEN 1 ELSE CASE WHEN turn = 1 THEN 1 ELSE 4 END + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + below END::BIGINT AS line, detail
+  FROM documents JOIN found ON doc_id % 13 = turn)"""
 _ROUTE = "'n' || (nation % 7) || CASE WHEN k % 3 > 0 THEN '/s' || (k % 3) ELSE '' END"
 
 
@@ -204,10 +236,14 @@ ORACLES = {
     "declared_losses": f"WITH RECURSIVE {_KEPT} SELECT page_id, seq, depth, CASE WHEN note THEN 'tone,width' ELSE 'icon,tone,width' END AS props FROM kept",
     "first_differences": f"WITH RECURSIVE {_FIRST} SELECT page_id, x.place AS place, x.field AS field, x.first AS first, x.second AS second FROM d",
     "gate_source_content": f"WITH RECURSIVE {_FIRST} SELECT 'source-content' AS gate, CASE WHEN count(*) > 0 THEN 'fail' ELSE 'pass' END AS status, count(*) AS count FROM d",
-    "contract_problems": """
-      WITH found(turn, code, n) AS (VALUES (1, 'frontmatter-missing', 1), (1, 'unknown-component', 2), (2, 'frontmatter-title-missing', 1), (2, 'expression', 2), (3, 'missing-required-prop', 1), (4, 'esm', 1),
-        (4, 'residual-source-syntax', 1), (5, 'deployment-code-fence', 1), (6, 'deployment-attribute-quote', 1), (6, 'editor-only-node', 1), (6, 'expression', 1), (6, 'residual-source-syntax', 2))
-      SELECT page_id, code, n::BIGINT AS n FROM pages JOIN found ON page_id % 7 = turn""",
+    "contract_problems": f"{_BROKEN} SELECT page_id, code, line, detail FROM broken",
+    "gate_contract_valid": f"{_BROKEN} SELECT 'contract-valid' AS gate, CASE WHEN count(*) > 0 THEN 'fail' ELSE 'pass' END AS status, count(*) AS count FROM broken",
+    "emoji_outside_code": """
+      WITH l AS (SELECT doc_id, string_split(replace(coalesce(text, ''), ', ', ' :boom: :no_name: '), chr(10)) AS lines FROM documents)
+      SELECT doc_id, md5(array_to_string(list_transform(lines, lambda x, i: CASE WHEN i % 3 = 0 THEN '`' || x || '`' ELSE replace(x, ':boom:', '💥') END), chr(10))) AS md5 FROM l""",
+    "literal_braces": """
+      WITH l AS (SELECT doc_id, string_split(replace(replace(coalesce(text, ''), '. ', ' {x} '), ', ', ' <T a={1}> '), chr(10)) AS lines FROM documents)
+      SELECT doc_id, md5(array_to_string(list_transform(lines, lambda x, i: CASE WHEN i % 3 = 0 THEN '`' || x || '`' ELSE CASE WHEN i % 3 = 2 THEN '&#105;mport ' ELSE '' END || replace(x, '{x}', '\\{x\\}') END), chr(10))) AS md5 FROM l""",
     "plan_extension": """
       WITH n AS (SELECT c_custkey AS page_id, c_custkey + c_nationkey % 4 AS r FROM customer WHERE c_custkey % 3 > 0), p AS (SELECT c_custkey AS page_id FROM customer WHERE c_custkey % 3 = 0)
       SELECT page_id, '/p' || page_id AS route, 'planned' AS status, NULL::BIGINT AS holder FROM p

@@ -59,13 +59,6 @@ def test_losses_and_first_difference(spark):
     assert fidelity.declared_losses(none, rules).count() == 0 and fidelity.first_differences(fidelity.snapshot(none), fidelity.snapshot(none)).count() == 0
 
 
-def test_contract_of_null_and_nested_fences(spark):
-    pages = spark.createDataFrame([(1, None), (2, "---\ntitle: t\n---\n```\n{x}\n```\n"), (3, "---\ntitle: t\n---\n```js\n```js\n```\n"), (4, "---\r\ntitle: t\r\n---\r\n{}\r\n")], "page_id long, mdx string")
-    known = spark.createDataFrame([], "name string, editor_only boolean")
-    got = sorted(tuple(r) for r in fidelity.contract_problems(pages, known).collect())
-    assert got == [(1, "frontmatter-missing", 1), (3, "deployment-code-fence", 1)]
-
-
 def test_places_and_steps(spark):
     containers = spark.createDataFrame([("ai", f"docs/ai/{k}") for k in range(6)] + [("en", "docs/a"), ("en", "docs/ai/z"), ("one", "solo")], "container string, route string")
     pages = spark.createDataFrame([(1, "docs/ai/new"), (2, "docs/x/y/z"), (3, "elsewhere"), (4, "solo/below"), (5, None)], "page_id long, route string")
