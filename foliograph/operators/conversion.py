@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from foliograph.functions import urls
 from foliograph.operators import rules as matching
+from foliograph.operators.trees import with_paths
 from foliograph.workspace import written
 
 #: What rules are made of; a rule has a handler, a target, or says what becomes of its children (unwrap, drop).
@@ -266,23 +267,11 @@ def _emitted(nodes: DataFrame, value_maps: dict[str, str]) -> DataFrame:
     return nodes.select("page_id", "node", F.explode(rows).alias("r")).select("page_id", "r.*", ((F.col("r.parent") != F.col("node"))).alias("up"))
 
 
-def with_paths(rows: DataFrame) -> DataFrame:
-    """rows (page_id, node, parent, key, ...) that hang beneath the page (parent '') with ``path``, places from 0 at each level; rows of
-    kind ``open`` are left out, their children stand in their place. One join for each level; what nothing reaches is gone."""
+def _opened(rows: DataFrame) -> DataFrame:
+    """rows without those of kind ``open``; their children stand in their place."""
     opened = rows.filter("kind = 'open'").select("page_id", F.col("node").alias("parent"), F.col("parent").alias("open_parent"), F.col("key").alias("open_key"))
     r = rows.filter("kind <> 'open'").join(opened, ["page_id", "parent"], "left")
-    r = r.withColumns({"key": F.when(F.col("open_key").isNotNull(), F.concat("open_key", "key")).otherwise(F.col("key")), "parent": F.coalesce("open_parent", "parent")}).drop("open_key", "open_parent")
-    place = F.row_number().over(Window.partitionBy("page_id", "parent").orderBy("key", "node")) - 1
-    r = written(r.withColumn("place", place).drop("key"), "tree")
-    level = r.filter("parent = ''").withColumn("path", F.array("place"))
-    out = None
-    while True:
-        level = written(level, "tree-level")
-        if out is not None and not level.take(1):
-            return out.drop("parent", "place")
-        out = level if out is None else out.union(level)
-        up = level.select("page_id", F.col("node").alias("parent"), F.col("path").alias("above"))
-        level = r.join(up, ["page_id", "parent"]).withColumn("path", F.concat("above", F.array("place"))).select(*level.columns)
+    return r.withColumns({"key": F.when(F.col("open_key").isNotNull(), F.concat("open_key", "key")).otherwise(F.col("key")), "parent": F.coalesce("open_parent", "parent")}).drop("open_key", "open_parent")
 
 
 def converted(blocks: DataFrame, rules: DataFrame, plan: DataFrame, value_maps: dict[str, str] | None = None) -> DataFrame:
@@ -312,7 +301,7 @@ def converted(blocks: DataFrame, rules: DataFrame, plan: DataFrame, value_maps:
         return nodes.select("page_id", "path", *[F.lit(None).cast(t).alias(c) for c, t in (("node", "string"), ("kind", "string"), ("name", "string"), ("level", "int"), ("text", "string"), ("url", "string"), ("props", _PROPS), ("source_id", "string"), ("reason", "string"), ("rule_id", "string"))])
     for part in done:
         carry = carry.union(part)
-    return with_paths(carry).select("page_id", "path", "node", "kind", "name", "level", "text", "url", "props", "source_id", "reason", "rule_id")
+    return with_paths(_opened(carry), ["page_id"]).select("page_id", "path", "node", "kind", "name", "level", "text", "url", "props", "source_id", "reason", "rule_id")
 
 
 def dispositions(blocks: DataFrame, rules: DataFrame, plan: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliograph.functions import text
+from foliograph.workspace import written
 
 
 def block_texts(blocks: DataFrame) -> DataFrame:
@@ -77,3 +78,19 @@ def to_mdx(blocks: DataFrame) -> DataFrame:
     )
     rows = blocks.withColumn("out", out).filter("out <> ''").groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("seq", "out"))).alias("os"))
     return rows.select("page_id", F.concat(F.array_join(F.transform("os", lambda o: o["out"]), "\n\n"), F.lit("\n")).alias("mdx"))
+
+
+def with_paths(rows: DataFrame, tree: list[str]) -> DataFrame:
+    """rows (tree columns, node, parent, key, ...) that hang beneath a tree's top (parent '') with ``path``, places from 0 at each level,
+    in the order of key. One join for each level; rows that the top doesn't reach are gone. Nodes are unique in a tree."""
+    place = F.row_number().over(Window.partitionBy(*tree, "parent").orderBy("key", "node")) - 1
+    r = written(rows.withColumn("place", place).drop("key"), "tree")
+    level = r.filter("parent = ''").withColumn("path", F.array("place"))
+    out = None
+    while True:
+        level = written(level, "tree-level")
+        if out is not None and not level.take(1):
+            return out.drop("place")
+        out = level if out is None else out.union(level)
+        up = level.select(*tree, F.col("node").alias("parent"), F.col("path").alias("above"))
+        level = r.join(up, [*tree, "parent"]).withColumn("path", F.concat("above", F.array("place"))).select(*level.columns)

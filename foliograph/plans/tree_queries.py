@@ -4,8 +4,10 @@ tables' rows."""
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from foliograph.operators import conversion
+from foliograph.operators import contents, conversion, merging
+from foliograph.sources import configs
 from foliograph.workspace import table
 
 _RULES = [
@@ -55,8 +57,75 @@ def component_dispositions(spark, d):
     return got.groupBy("page_id", "disposition", F.array_join("lossy", ",").alias("lossy")).agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (converted_components, component_dispositions)}
+def _navigation(spark, d, pages, groups, order):
+    """A group for each nation, with customers as its pages."""
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("c"), F.col("c_nationkey").alias("n"))
+    p = pages(c).select(F.concat_ws(".", F.lit("p"), "n", "c").alias("node_id"), F.concat(F.lit("g"), "n").alias("parent_id"), F.lit("page").alias("kind"), F.concat(F.lit("P"), "c").alias("label"), F.concat(F.lit("c"), "c").alias("page_id"), order.cast("int").alias("ord"))
+    g = groups(table(spark, d, "nation").select(F.col("n_nationkey").alias("n"))).select(F.concat(F.lit("g"), "n").alias("node_id"), F.lit(None).cast("string").alias("parent_id"), F.lit("group").alias("kind"), F.concat(F.lit("N"), "n").alias("label"), F.lit(None).cast("string").alias("page_id"), F.col("n").cast("int").alias("ord"))
+    return g.union(p)
 
+
+def merged_navigation(spark, d):
+    """Two readings of one sidebar: each lacks some nations and customers, the second lists some twice and turns every fifth nation around."""
+    first = _navigation(spark, d, lambda c: c.filter("c % 3 <> 0 AND n % 7 <> 3"), lambda n: n.filter("n % 7 <> 3"), F.col("c"))
+
+    def listed(c):
+        own = c.filter("c % 3 <> 1 AND n % 7 <> 5")
+        again = c.filter("c % 3 = 1 AND c % 10 = 1 AND n % 7 <> 3").withColumn("n", (F.col("n") + 1) % 25).filter("n % 7 <> 5")
+        return own.union(again)
+
+    second = _navigation(spark, d, listed, lambda n: n.filter("n % 7 <> 5"), F.when(F.col("n") % 5 == 0, -F.col("c")).otherwise(F.col("c")))
+    return merging.merged(first, second).select(F.array_join("path", ".").alias("path"), "side", "kind", "label", "page_id")
+
+
+def _contents(spark, d):
+    """A table of contents for each nation: customers, numbered, hang beneath earlier ones in a chain of threes."""
+    k = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey"))
+    c = table(spark, d, "customer").select(F.concat(F.lit("t"), "c_nationkey").alias("toc"), k.alias("k"))
+    above = F.col("k") - 1 - F.col("k") % 3
+    name = lambda x: F.lpad(x.cast("string"), 6, "0")
+    nodes = c.select("toc", name(F.col("k")).alias("node"), F.when(above > 0, name(above)).alias("parent"), (F.col("k") * 7 % 5).cast("int").alias("ord"), F.col("k").cast("int").alias("index"))
+    e = c.filter("k % 11 <> 4").select("toc", F.col("k").cast("int").alias("index"), F.when(F.col("k") % 7 == 0, "___").otherwise(F.concat(F.lit("/c/"), "k")).alias("link"), F.when(F.col("k") % 5 == 0, "").otherwise(F.concat(F.lit("T"), "k")).alias("title"), F.when(F.col("k") % 4 == 1, "m").otherwise("").alias("bookmark"))
+    return nodes, e
+
+
+def contents_numbered(spark, d):
+    nodes, _ = _contents(spark, d)
+    # two that hold each other, and one whose parent is missing
+    lost = nodes.filter("index = 1").select("toc", F.explode(F.array(*[F.struct(F.lit(a).alias("node"), F.lit(b).alias("parent")) for a, b in (("x", "y"), ("y", "x"), ("z", "nowhere"))])).alias("l"))
+    lost = lost.select("toc", "l.node", "l.parent", F.lit(0).alias("ord"), F.lit(None).cast("int").alias("index"))
+    got = contents.numbered(nodes.union(lost))
+    return got.select("toc", "node", "pre", "size", F.col("depth").cast("long").alias("depth"))
+
+
+def contents_drawn(spark, d):
+    return contents.drawn(*_contents(spark, d))[0].select("toc", "node", F.col("place").cast("long").alias("place"), F.col("depth").cast("long").alias("depth"), "kind", "label", "url")
+
+
+def contents_unresolved(spark, d):
+    return contents.drawn(*_contents(spark, d))[1]
+
+
+def configured_pages(spark, d):
+    """A configuration for each nation: its customers by segment in two versions, the second in two languages, one hidden."""
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("config"), "c_mktsegment", "c_custkey")
+    groups = c.groupBy("config", "c_mktsegment").agg(F.array_sort(F.collect_list("c_custkey")).alias("keys"))
+    quoted = F.array_join(F.transform("keys", lambda x: F.concat(F.lit('"c/'), x.cast("string"), F.lit('"'))), ",")
+    groups = groups.select("config", "c_mktsegment", F.concat(F.lit('{"group":"'), "c_mktsegment", F.lit('","pages":['), quoted, F.lit(',{"group":"more","pages":["only","gone"]}]}')).alias("g"))
+    whole = groups.groupBy("config").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_mktsegment", "g"))), lambda x: x["g"]), ",").alias("g"))
+    json = F.concat(F.lit('{"navigation":{"versions":[{"version":"1","tabs":[{"tab":"T","groups":['), "g", F.lit(']}]},{"version":"2","languages":[{"language":"en","groups":['), "g", F.lit(']},{"language":"fr","hidden":true,"pages":["only"]}]}]}}'))
+    files = c.filter("c_custkey % 5 <> 0").select("config", F.concat(F.lit("c/"), "c_custkey").alias("path"))
+    files = files.union(whole.select("config", F.explode(F.array(F.lit("only"), F.lit("extra")))))
+    got = configs.listed_pages(whole.select("config", json.alias("json")), files)
+    return got.select("config", "path", "locale", "version", F.array_join("groups", "/").alias("groups"), "hidden", F.col("place").cast("long").alias("place"), "status")
+
+
+QUERIES = {f.__name__: f for f in (converted_components, component_dispositions, merged_navigation, contents_numbered, contents_drawn, contents_unresolved, configured_pages)}
+
+_TOC = """WITH RECURSIVE c AS (SELECT c_nationkey AS toc, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
+  w AS (SELECT toc, k, [(k * 7 % 5) || lpad(k::VARCHAR, 6, '0')] AS path, 0 AS above FROM c WHERE k - 1 - k % 3 <= 0
+    UNION ALL SELECT c.toc, c.k, list_append(w.path, (c.k * 7 % 5) || lpad(c.k::VARCHAR, 6, '0')), w.above + (w.k % 11 = 4)::INT FROM w JOIN c ON c.toc = w.toc AND c.k - 1 - c.k % 3 = w.k),
+  numbered AS (SELECT *, row_number() OVER (PARTITION BY toc ORDER BY path) - 1 AS pre, len(path) - 1 AS depth, (SELECT count(*) FROM w b WHERE b.toc = w.toc AND b.path[1:len(w.path)] = w.path) AS size FROM w)"""
 _NOTE = "'kind=' || CASE WHEN page_id % 2 = 0 THEN 'warning' ELSE 'calm' END || ',parts=0,title=N' || i"
 ORACLES = {
     "converted_components": f"""
@@ -90,4 +159,34 @@ ORACLES = {
       SELECT page_id, CASE i WHEN 6 THEN 'excluded' WHEN 9 THEN 'quarantined' ELSE CASE WHEN j = 1 THEN 'identical' ELSE 'transformed' END END AS disposition,
         CASE WHEN i IN (6, 9, 8) OR j = 1 THEN '' WHEN j = 2 THEN '' WHEN i = 0 THEN 'className,id,title' WHEN i = 1 THEN 'id,title' WHEN i = 3 THEN 'className,title' WHEN i = 5 THEN 'className,id'
           WHEN i IN (2, 4, 7) THEN 'className,id,title' END AS lossy, count(*) AS n FROM b GROUP BY ALL""",
+    "merged_navigation": """
+      WITH c AS (SELECT c_custkey AS c, c_nationkey AS n FROM customer), g AS (SELECT n_nationkey AS n, n_nationkey % 7 AS m FROM nation),
+      top AS (SELECT n, CASE m WHEN 3 THEN 'second' WHEN 5 THEN 'first' ELSE 'both' END AS side,
+        row_number() OVER (ORDER BY CASE WHEN m = 3 THEN coalesce((SELECT min(h.n) FROM g h WHERE h.n > g.n AND h.m NOT IN (3, 5)), 999) ELSE n END, m <> 3, n) - 1 AS place FROM g),
+      p AS (SELECT c, n, CASE WHEN c % 3 = 0 OR n % 7 = 3 THEN 'second' WHEN c % 3 = 1 OR n % 7 = 5 THEN 'first' ELSE 'both' END AS side FROM c
+        WHERE NOT (c % 3 = 0 AND n % 7 = 5) AND NOT (c % 3 = 1 AND n % 7 = 3)),
+      s AS (SELECT n, max(c) AS high FROM p WHERE side = 'both' GROUP BY n),
+      k AS (SELECT p.*, CASE WHEN side <> 'second' THEN c WHEN p.n % 5 = 0 THEN CASE WHEN c > high THEN high ELSE 1e9 END
+        ELSE coalesce((SELECT min(q.c) FROM p q WHERE q.n = p.n AND q.side = 'both' AND q.c > p.c), 1e9) END AS ahead FROM p LEFT JOIN s ON s.n = p.n),
+      o AS (SELECT k.*, row_number() OVER (PARTITION BY k.n ORDER BY ahead, side <> 'second', CASE WHEN k.n % 5 = 0 THEN -c ELSE c END) - 1 AS place FROM k)
+      SELECT place::VARCHAR AS path, side, 'group' AS kind, 'N' || n AS label, NULL AS page_id FROM top
+      UNION ALL SELECT top.place || '.' || o.place, o.side, 'page', 'P' || c, 'c' || c FROM o JOIN top ON top.n = o.n""",
+    "contents_numbered": f"""{_TOC}
+      SELECT 't' || toc AS toc, lpad(k::VARCHAR, 6, '0') AS node, pre, size, depth FROM numbered
+      UNION ALL SELECT 't' || n_nationkey, x, NULL, NULL, NULL FROM nation, (VALUES ('x'), ('y'), ('z')) v(x) WHERE n_nationkey IN (SELECT toc FROM c)""",
+    "contents_drawn": f"""{_TOC},
+      shown AS (SELECT * FROM numbered WHERE above = 0 AND k % 11 <> 4),
+      holds AS (SELECT a.toc, a.k, count(*) FILTER (b.k % 7 <> 0 AND b.k <> a.k) AS below, a.k % 7 <> 0 AS page FROM shown a JOIN shown b ON b.toc = a.toc AND b.pre >= a.pre AND b.pre < a.pre + a.size GROUP BY ALL),
+      kept AS (SELECT n.*, below > 0 AS grp FROM shown n JOIN holds h ON h.toc = n.toc AND h.k = n.k WHERE below > 0 OR page)
+      SELECT 't' || toc AS toc, lpad(k::VARCHAR, 6, '0') AS node, row_number() OVER (PARTITION BY toc ORDER BY pre) - 1 AS place, depth, CASE WHEN grp THEN 'group' ELSE 'page' END AS kind,
+        CASE WHEN k % 5 = 0 THEN CASE WHEN grp THEN 'Untitled' END ELSE 'T' || k END AS label, CASE WHEN k % 7 <> 0 THEN 'c/' || k || CASE WHEN k % 4 = 1 THEN '#m' ELSE '' END END AS url FROM kept""",
+    "contents_unresolved": f"{_TOC} SELECT 't' || toc AS toc, lpad(k::VARCHAR, 6, '0') AS node, 'unresolved' AS problem FROM numbered WHERE above = 0 AND k % 11 = 4",
+    "configured_pages": """
+      WITH c AS (SELECT c_nationkey AS config, c_mktsegment AS s, c_custkey AS k FROM customer), one AS (SELECT DISTINCT config FROM c),
+      x AS (SELECT config, s AS seg, k, 'c/' || k AS path, k % 5 <> 0 AS there FROM c UNION ALL SELECT config, min(s), 1e9::BIGINT, 'only', true FROM c GROUP BY config UNION ALL SELECT config, min(s), 2e9::BIGINT, 'gone', false FROM c GROUP BY config),
+      v AS (SELECT x.*, '1' AS version, NULL AS locale FROM x UNION ALL SELECT x.*, '2', 'en' FROM x),
+      l AS (SELECT config, path, locale, version, CASE version WHEN '1' THEN 'T/' ELSE '' END || seg || CASE WHEN k >= 1e9 THEN '/more' ELSE '' END AS groups, false AS hidden, there, version AS a, seg, k FROM v
+        UNION ALL SELECT config, 'only', 'fr', '2', '', true, true, '3', '', 0 FROM one)
+      SELECT config, path, locale, version, groups, hidden, CASE WHEN there THEN row_number() OVER (PARTITION BY config, there ORDER BY a, seg, k) - 1 END AS place, CASE WHEN there THEN 'listed' ELSE 'missing' END AS status FROM l
+      UNION ALL SELECT config, 'extra', NULL, NULL, NULL, NULL, NULL, 'unlisted' FROM one""",
 }
