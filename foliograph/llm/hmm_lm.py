@@ -31,7 +31,7 @@ from __future__ import annotations
 
 import zlib
 from collections import Counter
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -138,28 +138,34 @@ class Vocabulary:
 
 
 class Encoder:
-    """Texts as symbols, with the parts of their scores that need no model."""
+    """Texts as symbols, with the parts of their scores that need no model; all texts of a call together."""
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
 
-    def __call__(self, text: str | None):
-        v, words = self.v, tokens(text)
+    def __call__(self, texts: list[str | None]):
+        """Counts of symbols, the symbols, words to look up by text with their times, and base, share and known of each text."""
+        v, of = self.v, [tokens(t) for t in texts]
+        n = np.fromiter(map(len, of), np.int64, len(of))
+        words = list(chain.from_iterable(of))
+        row = np.repeat(np.arange(len(of)), n)
         rank = np.fromiter(map(v.rank.get, words, repeat(-1)), np.int64, len(words))
         known = rank >= 0
-        seen = rank[known]
-        symbols = np.empty(len(words) + 1, np.uint16)
-        symbols[-1] = END
-        symbols[:-1][known] = v.symbol[seen]
-        tail: Counter = Counter()
-        if len(seen) < len(words):
-            other = [words[i] for i in np.flatnonzero(~known).tolist()]
-            symbols[:-1][~known] = [TOP + class_of(w) for w in other]
-            tail.update(other)
-        base = float(v.count_log[seen].sum()) + float(np.log10(v.ends + ADD))
-        classed = symbols[(symbols >= TOP) & (symbols < END)].astype(np.int64) - TOP
-        share = float(v.count_log[seen[seen >= TOP]].sum()) - float(v.class_log[classed].sum())
-        return symbols, tail, base, share, len(seen) + (v.ends > 0)
+        seen, seen_row = rank[known], row[known]
+        symbol = np.empty(len(words), np.int64)
+        symbol[known] = v.symbol[seen]
+        unknown = np.flatnonzero(~known)
+        other = [words[i] for i in unknown.tolist()]
+        symbol[unknown] = [TOP + class_of(w) for w in other]
+        symbols = np.full(len(words) + len(of), END, np.uint16)
+        symbols[np.arange(len(words)) + row] = symbol
+        ends = np.searchsorted(row[unknown], np.arange(len(of) + 1)).tolist()
+        tails = [Counter(other[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+        add = lambda rows, values: np.bincount(rows, values, len(of))
+        base = add(seen_row, v.count_log[seen]) + float(np.log10(v.ends + ADD))
+        tail, classed = seen >= TOP, symbol >= TOP
+        share = add(seen_row[tail], v.count_log[seen[tail]]) - add(row[classed], v.class_log[symbol[classed] - TOP])
+        return n + 1, symbols, tails, base, share, np.bincount(seen_row, minlength=len(of)) + (v.ends > 0)
 
 
 ENCODED = "doc_id long, held_out boolean, trains boolean, n_tokens long, symbols binary, tail array<struct<word:binary,times:int>>, base double, share double, known long"
@@ -172,18 +178,20 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
+        def cut(values, sizes):
+            at = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+            return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(at), pa.py_buffer(values)])
+
         encode = Encoder(shared.value)
-        tail_type = pa.list_(pa.struct([("word", pa.binary()), ("times", pa.int32())]))
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                rows = [encode(t.as_py()) for t in part.column(3)]
-                columns = [part.column(0), part.column(1), part.column(2)]
-                columns.append(pa.array([len(r[0]) for r in rows], pa.int64()))
-                columns.append(pa.array([r[0].tobytes() for r in rows], pa.binary()))
-                columns.append(pa.array([[{"word": w, "times": n} for w, n in r[1].items()] for r in rows], tail_type))
-                columns += [pa.array([r[k] for r in rows], pa.float64()) for k in (2, 3)]
-                columns.append(pa.array([r[4] for r in rows], pa.int64()))
+                n, symbols, tails, base, share, known = encode(part.column(3).to_pylist())
+                words = pa.array(list(chain.from_iterable(tails)), pa.binary())
+                times = pa.array(list(chain.from_iterable(t.values() for t in tails)), pa.int32())
+                at = pa.array(np.r_[0, np.cumsum([len(t) for t in tails])], pa.int32())
+                tail = pa.ListArray.from_arrays(at, pa.StructArray.from_arrays([words, times], ["word", "times"]))
+                columns = [part.column(0), part.column(1), part.column(2), pa.array(n), cut(symbols, n * 2), tail, *(pa.array(x.astype(np.float64)) for x in (base, share)), pa.array(known.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(columns, ["doc_id", "held_out", "trains", "n_tokens", "symbols", "tail", "base", "share", "known"])
 
     return bounded_batches(docs.select("doc_id", "held_out", "trains", "text")).mapInArrow(run, ENCODED)
@@ -258,7 +266,7 @@ class Expected:
         place = at[step] + row
         symbols = np.empty(len(row), np.int32)
         symbols[place] = np.concatenate([p[0] for p in parts])
-        own = np.empty(len(row), np.float32)
+        own = np.empty(len(row), bool)
         own[place] = (step >= own_from[row]) & (step < own_to[row])
         emits, one = self.table.take(symbols, axis=0), np.ones((STATES, 1), np.float32)
         move = self.moves
@@ -275,8 +283,7 @@ class Expected:
             np.matmul(a, one, out=scale[low[t] : low[t + 1]])
             a /= scale[low[t] : low[t + 1]]
         # a step's scale is the probability of its token, given what came before it
-        mine = own > 0
-        self.log_likelihood += float(np.log(scale[mine, 0]).sum(dtype=np.float64)) + float(self.log_peak[symbols[mine]].sum())
+        self.log_likelihood += float(np.log(scale[own, 0]).sum(dtype=np.float64)) + float(self.log_peak[symbols[own]].sum())
         emits /= scale
         betas[low[steps - 1] :] = 1
         for t in range(steps - 1, 0, -1):
@@ -285,17 +292,17 @@ class Expected:
             b = betas[low[t - 1] : low[t]]
             np.matmul(e, back, out=b[: n[t]])
             b[n[t] :] = 1  # stretches that end here
+        # scaled alike in both directions, a token's states add up to one; margins don't count
         betas *= alphas
-        weight = (own / (betas @ one)[:, 0])[:, None]
-        betas *= weight
-        emits *= weight
+        betas[~own] = 0
+        emits[~own] = 0
         pairs = np.zeros((STATES, STATES), np.float32)
         for t in range(1, steps):
             pairs += alphas[low[t - 1] : low[t - 1] + n[t]].T @ emits[low[t] : low[t + 1]]
         self.move += pairs * move.astype(np.float64)
         self.start += betas[: n[0]][begins[:, 0]].sum(axis=0, dtype=np.float64)
         for k, of_state in enumerate(np.eye(STATES, dtype=np.float32) @ betas.T):  # a product, as it is the fast way to turn the table
-            self.emit[:, k] += np.bincount(symbols, of_state, len(self.emit))
+            self.emit[:, k] += np.bincount(symbols, of_state.astype(np.float64), len(self.emit))
 
 
 def forward(model: Model, texts: list[np.ndarray]) -> np.ndarray:
