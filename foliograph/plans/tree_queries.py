@@ -1,12 +1,12 @@
-"""Queries over trees: converted components, merged navigations, tables of contents, configurations. Their trees are made of the
-tables' rows."""
+"""Queries over trees and markup: converted components, merged navigations, tables of contents, configurations, grids, sanitised pages,
+icons. Their trees are made of the tables' rows."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliograph.operators import contents, conversion, merging
+from foliograph.operators import contents, conversion, icons, merging, sanitize, tables
 from foliograph.sources import configs
 from foliograph.workspace import table
 
@@ -120,8 +120,63 @@ def configured_pages(spark, d):
     return got.select("config", "path", "locale", "version", F.array_join("groups", "/").alias("groups"), "hidden", F.col("place").cast("long").alias("place"), "status")
 
 
-QUERIES = {f.__name__: f for f in (converted_components, component_dispositions, merged_navigation, contents_numbered, contents_drawn, contents_unresolved, configured_pages)}
+#: What pages end in, and what becomes of it.
+_UNSAFE = (
+    ('<p onclick="x()">{a}</p>', "<p>&#123;a&#125;</p>"), ("<form><p>in</p><input></form>out", "out"), ('<a href="java\tscript:x">l</a><a href="/y">m</a>', '<a>l</a><a href="/y">m</a>'), ('<iframe src="https://x.example/"></iframe>end', "end"),
+    ('<iframe src="https://www.youtube.com/embed/a" allow="b"></iframe>', '<iframe src="https://www.youtube.com/embed/a"></iframe>'), ("<svg><circle/>", ""), ("<script>var b = '<form>'</script>rest", "rest"),
+)
+_DECLARED = ("p { color: red }", "@import 'x';", "p { position: fixed }", "p { z-index: 99; background: url(https://x) }", "p { behavior: url(x) }")
 
+
+def expanded_cells(spark, d):
+    """Orders as tables, their line items as cells of rows of three, which span by what was ordered."""
+    k = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).cast("int")
+    c = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", k.alias("k"), F.col("l_partkey"))
+    c = c.select("l_orderkey", F.floor(F.col("k") / 2).cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("cell"), F.when(F.col("l_partkey") % 3 == 0, "2").alias("rowspan"), F.when(F.col("l_partkey") % 4 == 1, "2").when(F.col("l_partkey") % 4 == 2, "none").alias("colspan"))
+    return tables.grid(c, ["l_orderkey"]).select("l_orderkey", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("cell").cast("long").alias("cell"))
+
+
+def sanitized_pages(spark, d):
+    """Pages' whole markup, with something unsafe at the end, sanitised: hashes and lengths."""
+    bad = F.element_at(F.array(*[F.lit(given) for given, _ in _UNSAFE]), (F.col("page_id") % len(_UNSAFE) + 1).cast("int"))
+    p = table(spark, d, "pages").select("page_id", F.concat(F.regexp_replace("html", r"(?is)^.*?<body>|</body>.*$", ""), bad).alias("html"))
+    return sanitize.sanitized(p, "page_id", "html").select("page_id", F.md5("html").alias("md5"))
+
+
+def style_sheet_problems(spark, d):
+    """Pages' style sheets, with another declaration by turns."""
+    more = F.element_at(F.array(*map(F.lit, _DECLARED)), (F.col("page_id") % len(_DECLARED) + 1).cast("int"))
+    p = table(spark, d, "pages").select("page_id", F.concat(F.regexp_extract("html", r"(?s)<style>(.*?)</style>", 1), F.lit(" "), more).alias("css"))
+    return sanitize.style_problems(p, "page_id", "css")
+
+
+def _icons(spark, d):
+    p = table(spark, d, "part").select("p_partkey", F.concat_ws(" / ", "p_type", "p_brand").alias("label"), F.when(F.col("p_size") % 2 == 0, "group").otherwise("page").alias("kind"), F.col("p_brand").alias("box"))
+    p = p.withColumn("label", F.when(F.col("p_partkey") % 50 == 0, F.concat(F.lit("20"), F.lpad((F.col("p_partkey") / 50 % 100).cast("int").cast("string"), 2, "0"))).otherwise(F.col("label")))
+    drawable = spark.createDataFrame([(n,) for n in ("shield", "box", "star", "folder", "calendar", "leaf")], "name string")
+    phrases = spark.createDataFrame([("large", "ghost", 0), ("conomy b", "box", 1), ("economy", "star", 2), ("small br", "shield", 3), ("rand 2", "leaf", 4)], icons.PHRASES)
+    words = spark.createDataFrame([("promo", "leaf"), ("medium", "star"), ("brand", "ghost")], icons.WORDS)
+    return icons.suggested(p, phrases, words, spark.createDataFrame([("group", "folder"), ("page", "folder")], icons.FALLBACK), drawable)
+
+
+def suggested_icons(spark, d):
+    """Parts' types as labels; every fiftieth is a year."""
+    return _icons(spark, d).select("p_partkey", "icon", "icon_by")
+
+
+def filled_icons(spark, d):
+    """Parts of a brand as a container's pages; some brands state icons of their own, some have too few suggestions."""
+    p = _icons(spark, d).withColumn("stated", F.when((F.col("box") == "Brand#11") & (F.col("p_partkey") % 9 == 0), "own"))
+    p = p.withColumn("icon", F.when((F.col("box") != "Brand#12") | (F.col("p_partkey") % 5 == 0), F.col("icon")))
+    return icons.filled(p, "box", "file").select("p_partkey", "shown")
+
+
+QUERIES = {f.__name__: f for f in (converted_components, component_dispositions, merged_navigation, contents_numbered, contents_drawn, contents_unresolved, configured_pages, expanded_cells, sanitized_pages, style_sheet_problems, suggested_icons, filled_icons)}
+
+_ICONS = """p AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 50 = 0 THEN 'year' WHEN p_type = 'ECONOMY' THEN 'box' WHEN p_type = 'SMALL' THEN 'shield' WHEN p_brand LIKE 'Brand#2%' THEN 'leaf'
+    WHEN p_type = 'PROMO' THEN 'word leaf' WHEN p_type = 'MEDIUM' THEN 'word star' WHEN p_size % 2 = 0 THEN 'kind' END AS what FROM part),
+  i AS (SELECT p_partkey, p_brand, CASE what WHEN 'year' THEN 'calendar' WHEN 'word leaf' THEN 'leaf' WHEN 'word star' THEN 'star' WHEN 'kind' THEN 'folder' ELSE what END AS icon,
+    CASE WHEN what IN ('box', 'shield', 'leaf') THEN 'phrase' WHEN what LIKE 'word%' THEN 'word' ELSE what END AS icon_by FROM p)"""
 _TOC = """WITH RECURSIVE c AS (SELECT c_nationkey AS toc, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k FROM customer),
   w AS (SELECT toc, k, [(k * 7 % 5) || lpad(k::VARCHAR, 6, '0')] AS path, 0 AS above FROM c WHERE k - 1 - k % 3 <= 0
     UNION ALL SELECT c.toc, c.k, list_append(w.path, (c.k * 7 % 5) || lpad(c.k::VARCHAR, 6, '0')), w.above + (w.k % 11 = 4)::INT FROM w JOIN c ON c.toc = w.toc AND c.k - 1 - c.k % 3 = w.k),
@@ -189,4 +244,30 @@ ORACLES = {
         UNION ALL SELECT config, 'only', 'fr', '2', '', true, true, '3', '', 0 FROM one)
       SELECT config, path, locale, version, groups, hidden, CASE WHEN there THEN row_number() OVER (PARTITION BY config, there ORDER BY a, seg, k) - 1 END AS place, CASE WHEN there THEN 'listed' ELSE 'missing' END AS status FROM l
       UNION ALL SELECT config, 'extra', NULL, NULL, NULL, NULL, NULL, 'unlisted' FROM one""",
+    "expanded_cells": """
+      WITH RECURSIVE c AS (SELECT l_orderkey, l_linenumber::BIGINT AS cell, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS k, CASE WHEN l_partkey % 3 = 0 THEN 2 ELSE 1 END AS down,
+          CASE WHEN l_partkey % 4 = 1 THEN 2 ELSE 1 END AS across FROM lineitem),
+      t AS (SELECT *, k // 2 AS r, max(k // 2) OVER (PARTITION BY l_orderkey) AS last FROM c),
+      -- here: columns of the row so far; next: what it leaves to the row below
+      f AS (SELECT l_orderkey, k, r, MAP {}::MAP(BIGINT, BIGINT) AS here, MAP {}::MAP(BIGINT, BIGINT) AS next, 0::BIGINT AS at, -1::BIGINT AS cell, 0 AS across, 0::BIGINT AS low FROM t WHERE k = 0
+        UNION ALL
+        SELECT s.l_orderkey, s.k + 1, s.r, map_concat(s.base, map_from_entries(list_transform(range(s.col, s.col + s.w), lambda x: {'key': x, 'value': s.c}))),
+          CASE WHEN s.down = 2 AND s.r < s.last THEN map_concat(s.left_over, map_from_entries(list_transform(range(s.col, s.col + s.w), lambda x: {'key': x, 'value': s.c}))) ELSE s.left_over END, s.col + s.w, s.c, s.w, s.col
+        FROM (SELECT *, (SELECT min(x) FROM range(0, 40) q(x) WHERE x >= start AND NOT list_contains(map_keys(base), x)) AS col, across AS w
+          FROM (SELECT t.l_orderkey, t.k, t.r, t.down, t.across, t.last, t.cell AS c, CASE WHEN t.k > 0 AND t.r > f.r THEN f.next ELSE f.here END AS base,
+            CASE WHEN t.k > 0 AND t.r > f.r THEN MAP {}::MAP(BIGINT, BIGINT) ELSE f.next END AS left_over, CASE WHEN t.k > 0 AND t.r > f.r THEN 0 ELSE f.at END AS start FROM f JOIN t ON t.l_orderkey = f.l_orderkey AND t.k = f.k)) s),
+      ends AS (SELECT l_orderkey, r, max_by(here, k) AS here FROM f WHERE cell >= 0 GROUP BY ALL)
+      SELECT l_orderkey, r AS row, unnest(map_keys(here)) AS col, unnest(map_values(here)) AS cell FROM ends""",
+    "sanitized_pages": f"""
+      WITH p AS (SELECT page_id, regexp_replace(regexp_replace(html, '^.*?<body>', '', 's'), '</body>.*$', '', 's') AS html, page_id % {len(_UNSAFE)} AS turn FROM pages),
+      e(turn, becomes) AS (VALUES {", ".join(f"({i}, '{b}')" for i, (_, b) in enumerate(_UNSAFE))})
+      SELECT page_id, md5(replace(replace(replace(replace(regexp_replace(html, '<!--.*?-->', '', 'g'), '<br>', '<br />'), 'class="', 'className="'), '{{', '&#123;'), '}}', '&#125;') || becomes) AS md5 FROM p JOIN e USING (turn)""",
+    "style_sheet_problems": """
+      WITH e(turn, problem) AS (VALUES (1, 'import'), (2, 'fixed position'), (3, 'z-index above 9'), (3, 'external address'), (4, 'script-like'))
+      SELECT page_id, problem FROM pages JOIN e ON page_id % 5 = turn""",
+    "suggested_icons": f"WITH {_ICONS} SELECT p_partkey, icon, icon_by FROM i",
+    "filled_icons": f"""
+      WITH {_ICONS}, j AS (SELECT p_partkey, p_brand, CASE WHEN p_brand <> 'Brand#12' OR p_partkey % 5 = 0 THEN icon END AS icon, CASE WHEN p_brand = 'Brand#11' AND p_partkey % 9 = 0 THEN 'own' END AS stated FROM i),
+      n AS (SELECT p_brand, count(stated) AS own, count(icon) AS named, count(*) AS every FROM j GROUP BY p_brand)
+      SELECT p_partkey, CASE WHEN own > 0 THEN stated WHEN 2 * named >= every THEN coalesce(icon, 'file') END AS shown FROM j JOIN n USING (p_brand)""",
 }
