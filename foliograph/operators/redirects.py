@@ -63,21 +63,28 @@ def chains(rules: DataFrame) -> DataFrame:
     return rules.withColumnRenamed("destination", "via").join(onward, "via").filter("onward <> via").select("source", "via", F.col("onward").alias("destination"))
 
 
-def loops(rules: DataFrame, most_rounds: int = 40) -> DataFrame:
+def _jumps(steps: DataFrame, name: str, key: str, to: str) -> DataFrame:
+    """steps (key, to) followed all at once, twice as far in each round, until no round changes which places are reached: then each key
+    that still goes on has got round to a cycle. Paths that end are gone. No number of rounds is set; a path of n steps takes log2(n)."""
+    jump = written(steps, name)
+    before = None
+    while True:
+        now = jump.agg(F.count("*").alias("keys"), F.count_distinct(to).alias("ends"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("sum")).first()
+        if now == before:
+            # no path has ended in this round and no place was left: keys that lead into cycles alone remain
+            return jump
+        before = now
+        onward = jump.select(F.col(key).alias(to), F.col(to).alias("next"))
+        jump = written(jump.join(onward, to).select(key, F.col("next").alias(to)), name)
+
+
+def loops(rules: DataFrame) -> DataFrame:
     """source: routes that lie on a cycle of redirects (one destination each: the smallest).
 
-    Follows all rules at once, doubling the distance in each round, so a cycle of any length among n rules shows after log2(n)
-    rounds: a route lies on a cycle if it is reached from somewhere after more steps than there are rules."""
+    Follows all rules at once, doubling the distance in each round; once neither the number of sources nor that of distinct
+    destinations falls in a round, every destination lies on a cycle."""
     step = rules.groupBy("source").agg(F.min("destination").alias("destination"))
-    n = step.count()
-    jump, far = written(step, "steps"), 1
-    for _ in range(most_rounds):
-        if far > n:
-            break
-        onward = jump.select(F.col("source").alias("destination"), F.col("destination").alias("next"))
-        jump = written(jump.join(onward, "destination").select("source", F.col("next").alias("destination")), "steps")
-        far *= 2
-    return jump.select(F.col("destination").alias("source")).distinct()
+    return _jumps(step, "steps", "source", "destination").select(F.col("destination").alias("source")).distinct()
 
 
 def missing_targets(rules: DataFrame, routes: DataFrame) -> DataFrame:
@@ -97,14 +104,21 @@ def shadowed(rules: DataFrame, wildcard_rules: DataFrame) -> DataFrame:
     return met.filter(outcome != F.col("destination")).select("source", "by")
 
 
-def aliases_closed(aliases: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """alias, canonical: where each alias ends when aliases of aliases are followed; cycles keep the last step."""
-    ends = written(aliases.groupBy("alias").agg(F.min("target").alias("target")), "aliases")
-    far, n = 1, ends.count()
-    for _ in range(most_rounds):
-        onward = ends.select(F.col("alias").alias("target"), F.col("target").alias("next"))
-        if far > n or not ends.join(onward, "target", "left_semi").take(1):
+def aliases_closed(aliases: DataFrame) -> DataFrame:
+    """alias, canonical: where each alias ends when aliases of aliases are followed; one that never ends, as it leads into a cycle, has
+    the smallest name of that cycle."""
+    first = aliases.groupBy("alias").agg(F.min("target").alias("target"))
+    # least: the smallest name passed so far, the end of this jump included
+    ends = written(first.withColumn("least", F.col("target")), "aliases")
+    rounds = max(1, ends.count()).bit_length() + 1
+    for _ in range(rounds):
+        onward = ends.select(F.col("alias").alias("target"), F.col("target").alias("next"), F.col("least").alias("lesser"))
+        if not ends.join(onward, "target", "left_semi").take(1):
             break
-        ends = written(ends.join(onward, "target", "left").select("alias", F.coalesce("next", "target").alias("target")), "aliases")
-        far *= 2
-    return ends.select("alias", F.col("target").alias("canonical"))
+        ends = ends.join(onward, "target", "left").select("alias", F.coalesce("next", "target").alias("target"), F.least("least", "lesser").alias("least"))
+        ends = written(ends, "aliases")
+    endless = ends.join(ends.select(F.col("alias").alias("target")), "target", "left_semi").select("alias", "target")
+    # after more steps than there are aliases the target is on the cycle, and all of its cycle has been passed from there
+    of_cycle = endless.join(ends.select(F.col("alias").alias("target"), F.col("least").alias("canonical")), "target").select("alias", "canonical")
+    done = ends.join(endless.select("alias"), "alias", "left_anti").select("alias", F.col("target").alias("canonical"))
+    return done.union(of_cycle)

@@ -23,18 +23,31 @@ def references(documents: DataFrame) -> DataFrame:
     return r.select("document", target.alias("target"), F.regexp_extract("ref", "#(.*)$", 1).alias("pointer")).distinct()
 
 
+#: Levels are united into one table whenever so many have been written since the last time.
+_LEVELS = 4
+
+
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
-    """document, depth: what roots (document) reach over edges (document, target), each once at its smallest depth."""
+    """document, depth: what roots (document) reach over edges (document, target), each once at its smallest depth.
+
+    A level is one join and one write. What has been seen is kept as few tables: when the latest levels have grown to half of what
+    was seen before, or are many, all become one, so a level reads what was seen once and not a table for each level before. Edges
+    to what is seen already are found by their target, so a document with many references to it is met by its key alone."""
     step = written(edges.filter("document <> target").select("document", "target").distinct(), "closure")
-    seen = written(roots.select("document").distinct().withColumn("depth", F.lit(0)), "closure")
-    level = seen
+    base = written(roots.select("document").distinct().withColumn("depth", F.lit(0)), "closure")
+    level, late, n_base, n_late = base, [], base.count(), 0
     for depth in count(1):
-        level = level.select("document").join(step, "document").select(F.col("target").alias("document")).distinct()
-        level = written(level.join(seen.select("document"), "document", "left_anti").withColumn("depth", F.lit(depth)), "closure")
-        if not level.take(1):
-            break
-        seen = seen.union(level)
-    return seen
+        reached = level.select("document").join(step, "document").select(F.col("target").alias("document")).distinct()
+        seen = base
+        for part in late:
+            seen = seen.union(part)
+        level = written(reached.join(seen.select("document"), "document", "left_anti").withColumn("depth", F.lit(depth)), "closure")
+        n = level.count()
+        if not n:
+            return seen
+        late, n_late = [*late, level], n_late + n
+        if len(late) >= _LEVELS and (2 * n_late >= n_base or len(late) >= 4 * _LEVELS):
+            base, n_base, late, n_late = written(seen.union(level), "closure"), n_base + n_late, [], 0
 
 
 def unresolved(edges: DataFrame, documents: DataFrame) -> DataFrame:

@@ -129,10 +129,10 @@ _DECLARED = ("p { color: red }", "@import 'x';", "p { position: fixed }", "p { z
 
 
 def expanded_cells(spark, d):
-    """Orders as tables, their line items as cells of rows of three, which span by what was ordered."""
-    k = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber")) - 1).cast("int")
-    c = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", k.alias("k"), F.col("l_partkey"))
-    c = c.select("l_orderkey", F.floor(F.col("k") / 2).cast("int").alias("row"), F.col("l_linenumber").cast("int").alias("cell"), F.when(F.col("l_partkey") % 3 == 0, "2").alias("rowspan"), F.when(F.col("l_partkey") % 4 == 1, "2").when(F.col("l_partkey") % 4 == 2, "none").alias("colspan"))
+    """Orders as tables, their line items as cells of rows of two, which span by what was ordered."""
+    k = (F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")) - 1).cast("int")
+    c = table(spark, d, "lineitem").select("l_orderkey", k.alias("k"), "l_partkey")
+    c = c.select("l_orderkey", F.floor(F.col("k") / 2).cast("int").alias("row"), F.col("k").alias("cell"), F.when(F.col("l_partkey") % 3 == 0, "2").alias("rowspan"), F.when(F.col("l_partkey") % 4 == 1, "2").when(F.col("l_partkey") % 4 == 2, "none").alias("colspan"))
     return tables.grid(c, ["l_orderkey"]).select("l_orderkey", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.col("cell").cast("long").alias("cell"))
 
 
@@ -245,7 +245,7 @@ ORACLES = {
       SELECT config, path, locale, version, groups, hidden, CASE WHEN there THEN row_number() OVER (PARTITION BY config, there ORDER BY a, seg, k) - 1 END AS place, CASE WHEN there THEN 'listed' ELSE 'missing' END AS status FROM l
       UNION ALL SELECT config, 'extra', NULL, NULL, NULL, NULL, NULL, 'unlisted' FROM one""",
     "expanded_cells": """
-      WITH RECURSIVE c AS (SELECT l_orderkey, l_linenumber::BIGINT AS cell, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS k, CASE WHEN l_partkey % 3 = 0 THEN 2 ELSE 1 END AS down,
+      WITH RECURSIVE c AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS k, k AS cell, CASE WHEN l_partkey % 3 = 0 THEN 2 ELSE 1 END AS down,
           CASE WHEN l_partkey % 4 = 1 THEN 2 ELSE 1 END AS across FROM lineitem),
       t AS (SELECT *, k // 2 AS r, max(k // 2) OVER (PARTITION BY l_orderkey) AS last FROM c),
       -- here: columns of the row so far; next: what it leaves to the row below
