@@ -11,9 +11,10 @@ Notices inside a line or paragraph, or wrapped over several, are found by window
 match shares at least t/(2-t) of a template's bigrams, so it holds one of any larger
 part of them. Those of such a part are the template's probes, and each place of the whole
 text's words that has one is a window as long as the template, lying so that the probe
-stands where the template has it. Of each template the window with the largest Dice
-coefficient counts (ties: the first), unless one of another template overlaps it with a
-larger one (ties: the longer, then the smaller name).
+stands where the template has it. Windows that reach the threshold are taken by Dice
+coefficient, the largest first (ties: the longer, then the smaller name, then the first);
+each counts unless one taken before overlaps it. So every separate notice counts, however
+many a text has of one template.
 
 Before any of that, texts and units without a probe word are passed over, which loses
 nothing for the same reason: more bigrams have a probe word than a match can lack.
@@ -22,7 +23,8 @@ All work is map-side and inside each row; nothing is joined, shuffled or collect
 
 Defined results: null text is empty and has no licence; units with fewer than two words
 match nothing; equal units of a text count once, and a window that reads like a matching
-unit is that unit; repeated rows are scanned each; a null doc_id stays null; an empty
+unit is that unit, while one inside a longer matching unit is a match of its own; repeated
+rows are scanned each; a null doc_id stays null; an empty
 table gives an empty table; extra columns are ignored.
 """
 
@@ -159,7 +161,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
 
 
 def _windows(words: Column, templates: dict[str, str], threshold: float) -> Column:
-    """(unit, license, dice) of the windows that match, one of each template at most; null without words."""
+    """(unit, license, dice) of the windows that match and don't overlap; null without words."""
     rows = [(gram, name, at, len(template_words(text))) for name, text in sorted(templates.items()) for gram, at in probe_bigrams(text, threshold)]
     # constants that are folded once
     column = lambda k: F.split(F.lit(";".join(str(r[k]) for r in rows)), ";")
@@ -187,17 +189,15 @@ def _windows(words: Column, templates: dict[str, str], threshold: float) -> Colu
             return F.struct(x["license"].alias("license"), (-dice).alias("minus"), x["start"].alias("start"), F.least(x["size"], F.size(w) - x["start"]).alias("size"))
 
         matches = F.filter(F.transform(F.array_distinct(F.flatten(F.transform(found, starts))), scored), lambda x: -x["minus"] >= threshold)
-        return F.get(F.transform(F.array(F.array_sort(matches)), lambda m: chosen(w, m)), 0)
+        return F.get(F.transform(F.array(F.array_sort(matches)), lambda m: apart(w, m)), 0)
 
-    def chosen(w: Column, matches: Column) -> Column:
-        best = F.filter(matches, lambda x, i: (i == 0) | (F.get(matches, i - 1)["license"] != x["license"]))  # in order of licence, Dice, start
-        return F.get(F.transform(F.array(best), lambda b: apart(w, b)), 0)
-
-    def apart(w: Column, best: Column) -> Column:
-        order = lambda x: F.struct(x["minus"].alias("minus"), (-x["size"]).alias("shorter"), x["license"].alias("license"))
-        beaten = lambda x: F.exists(best, lambda y: (order(y) < order(x)) & (y["start"] < x["start"] + x["size"]) & (x["start"] < y["start"] + y["size"]))
-        kept = F.filter(best, lambda x: ~beaten(x))
-        return F.transform(kept, lambda x: F.struct(F.array_join(F.slice(w, x["start"] + 1, x["size"]), " ").alias("unit"), x["license"].alias("license"), (-x["minus"]).alias("dice")))
+    def apart(w: Column, matches: Column) -> Column:
+        # sorted by Dice, size, licence and start, each stays unless one that stays already overlaps it
+        ordered = F.array_sort(F.transform(matches, lambda x: F.struct(x["minus"].alias("minus"), (-x["size"]).alias("shorter"), x["license"].alias("license"), x["start"].alias("start"))))
+        meets = lambda x: lambda y: (y["start"] < x["start"] - x["shorter"]) & (x["start"] < y["start"] - y["shorter"])
+        none = F.array().cast("array<struct<minus:double,shorter:int,license:string,start:int>>")
+        kept = F.aggregate(ordered, none, lambda kept, x: F.when(F.exists(kept, meets(x)), kept).otherwise(F.array_append(kept, x)))
+        return F.transform(kept, lambda x: F.struct(F.array_join(F.slice(w, x["start"] + 1, -x["shorter"]), " ").alias("unit"), x["license"].alias("license"), (-x["minus"]).alias("dice")))
 
     return F.get(F.transform(F.array(words), lambda w: F.when(w.isNotNull(), of_text(w))), 0)
 
@@ -218,7 +218,7 @@ def _oracle() -> str:
     rows = ", ".join(f"({quoted(k)}, {len(template_words(v))}, [{', '.join(map(quoted, template_bigrams(v)))}])" for k, v in sorted(TEMPLATES.items()))
     probe_rows = ", ".join(f"({quoted(g)}, {quoted(k)}, {at}, {len(template_words(v))})" for k, v in sorted(TEMPLATES.items()) for g, at in probe_bigrams(v, THRESHOLD))
     return rf"""
-WITH templates(license, size, grams) AS (VALUES {rows}),
+WITH RECURSIVE templates(license, size, grams) AS (VALUES {rows}),
 probes(gram, license, place, size) AS (VALUES {probe_rows}),
 units AS (
   SELECT DISTINCT doc_id, trim(regexp_replace(lower(unit), '[^\p{{L}}\p{{N}}]+', ' ', 'g')) AS unit FROM (
@@ -239,11 +239,13 @@ starts AS (SELECT DISTINCT doc_id, license, size, greatest(i - place, 0) AS star
 cut AS (SELECT doc_id, license, start, least(s.size, len(w) - start) AS size, list_distinct(g[start + 1:start + s.size - 1]) AS own, w FROM starts s JOIN bigrams USING (doc_id)),
 rated AS (SELECT doc_id, c.license, c.start, c.size, c.w[c.start + 1:c.start + c.size] AS own_words,
             len(list_intersect(own, t.grams)) * 2.0::DOUBLE / (len(own) + len(t.grams)) AS dice FROM cut c JOIN templates t USING (license)),
-firsts AS (SELECT * FROM rated WHERE dice >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY dice DESC, start) = 1),
-apart AS (
-  SELECT doc_id, array_to_string(own_words, ' ') AS unit, dice, license FROM firsts x WHERE NOT EXISTS (
-    SELECT 1 FROM firsts y WHERE y.doc_id = x.doc_id AND (-y.dice, -y.size, y.license) < (-x.dice, -x.size, x.license)
-      AND y.start < x.start + x.size AND x.start < y.start + y.size)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, size DESC, license, start) AS turn FROM rated WHERE dice >= {THRESHOLD}),
+taken AS (
+  SELECT doc_id, 1 AS turn, [{{'a': start, 'b': start + size}}] AS spans, true AS stays FROM ordered WHERE turn = 1
+  UNION ALL SELECT o.doc_id, o.turn, CASE WHEN x.meets THEN t.spans ELSE list_append(t.spans, {{'a': o.start, 'b': o.start + o.size}}) END, NOT x.meets
+  FROM taken t JOIN ordered o ON o.doc_id = t.doc_id AND o.turn = t.turn + 1,
+    LATERAL (SELECT len(list_filter(t.spans, lambda y: y.a < o.start + o.size AND o.start < y.b)) > 0 AS meets) x),
+apart AS (SELECT o.doc_id, array_to_string(own_words, ' ') AS unit, dice, license FROM taken t JOIN ordered o USING (doc_id, turn) WHERE stays),
 matches AS (SELECT * FROM best UNION ALL SELECT * FROM apart a WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.doc_id = a.doc_id AND b.unit = a.unit))
 SELECT d.doc_id, count(b.unit) AS n_matches, coalesce(string_agg(DISTINCT b.license, ',' ORDER BY b.license), '') AS licenses, coalesce(max(b.dice), 0)::DOUBLE AS best_dice
 FROM documents d LEFT JOIN matches b ON d.doc_id = b.doc_id GROUP BY d.doc_id"""

@@ -12,21 +12,26 @@ def grams(unit):
 
 
 def windows(text):
-    """Best window of each template, without those that a better one of another template overlaps."""
+    """All windows at a probe that match, the best first, each unless a better one that stays overlaps it: places are crossed off."""
     words = re.sub(r"[\W_]+", " ", text.lower()).split()
-    best = []
+    found = set()
     for name, template in ls.TEMPLATES.items():
-        size, theirs, found = len(ls.template_words(template)), grams(template), []
+        size, theirs = len(ls.template_words(template)), grams(template)
         for gram, at in ls.probe_bigrams(template, ls.THRESHOLD):
             for i in range(len(words) - 1):
                 if f"{words[i]} {words[i + 1]}" == gram:
                     start = max(0, i - at)
-                    own = grams(" ".join(words[start : start + size]))
-                    found.append((-2 * len(own & theirs) / (len(own) + len(theirs)), start))
-        if found and -min(found)[0] >= ls.THRESHOLD:
-            minus, start = min(found)
-            best.append((minus, -len(words[start : start + size]), name, start, start + len(words[start : start + size])))
-    return [(m, k, " ".join(words[a:b])) for m, n, k, a, b in best if not any((y[0], y[1], y[2]) < (m, n, k) and y[3] < b and a < y[4] for y in best)]
+                    own = words[start : start + size]
+                    dice = 2 * len(grams(" ".join(own)) & theirs) / (len(grams(" ".join(own))) + len(theirs))
+                    if dice >= ls.THRESHOLD:
+                        found.add((-dice, -len(own), name, start))
+    out, used = [], set()
+    for minus, less, name, start in sorted(found):
+        places = set(range(start, start - less))
+        if not places & used:
+            used |= places
+            out.append((minus, name, " ".join(words[start : start - less])))
+    return out
 
 
 def brute(text):
@@ -53,6 +58,9 @@ def test_against_brute_force_and_oracle(spark, tmp_path):
         texts.append(f"{prose(i, 9)} {t} {prose(i + 1, 30)}")  # inside a running paragraph
         texts.append("import os\n" + "\n".join(f"// {x}" for x in re.findall(r".{1,50}(?:\s|$)", t)) + "\nint main() {}")  # wrapped over comment lines
         texts.append(f"{t} {t}\n{words[0]} {t}")
+    bsd, apache = ls.TEMPLATES["bsd-2-clause"], ls.TEMPLATES["apache-2.0"]
+    several = [f"{ls.TEMPLATES['mit']} {prose(1, 20)} {ls.TEMPLATES['mit']}", f"{ls.TEMPLATES['bsd-2-clause-body']} {prose(2, 40)} {bsd}", f"{ls.TEMPLATES['apache-2.0-header']} {prose(3, 60)} {apache}", f"{bsd} {prose(4, 9)} {bsd} {prose(5, 9)} {bsd}"]
+    texts = [*several, *texts]
     texts += ["Copyright 2019 Foo. Released under the MIT License. See LICENSE.", "under the License. " * 40, ""]
     rows = list(enumerate(texts))
     folder = saved(spark, tmp_path, rows)
@@ -61,8 +69,10 @@ def test_against_brute_force_and_oracle(spark, tmp_path):
     found = {i: set(k.split(",")) for i, _, k, _ in got}
     for i, k in enumerate(ls.TEMPLATES):  # each in every setting but the altered one; a body holds its shorter notice
         for setting in (0, 1, 3, 4, 5):
-            assert any(k == f or f.startswith(k.split("-")[0]) for f in found[30 + 6 * i + setting]), (k, setting)
-    assert found[30 + 6 * len(ls.TEMPLATES)] == {"mit"} and found[len(rows) - 1] == {""}
+            assert any(k == f or f.startswith(k.split("-")[0]) for f in found[34 + 6 * i + setting]), (k, setting)
+    assert found[34 + 6 * len(ls.TEMPLATES)] == {"mit"} and found[len(rows) - 1] == {""}
+    # separate notices of one template or beside another count each
+    assert got[0][1] >= 2 and {"bsd-2-clause", "bsd-2-clause-body"} <= found[1] and {"apache-2.0", "apache-2.0-header"} <= found[2] and got[3][1] >= 3
     con = duckdb.connect()
     con.sql(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet/*.parquet'")
     assert sorted(con.sql(ls.ORACLE).fetchall()) == got
