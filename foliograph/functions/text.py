@@ -43,6 +43,29 @@ def entities(text: Column) -> Column:
     return text
 
 
+#: Characters by name, as HTML has them; the numbers of all others can be written instead.
+NAMED = {
+    "amp": "&", "apos": "'", "bull": "•", "cent": "¢", "copy": "©", "deg": "°", "euro": "€", "frac12": "½", "gt": ">", "hellip": "…", "laquo": "«", "larr": "←", "ldquo": "“", "lsquo": "‘", "lt": "<", "mdash": "—", "middot": "·",
+    "nbsp": "\u00a0", "ndash": "–", "para": "¶", "plusmn": "±", "pound": "£", "quot": '"', "raquo": "»", "rarr": "→", "rdquo": "”", "reg": "®", "rsquo": "’", "sect": "§", "shy": "\u00ad", "times": "×", "trade": "™", "yen": "¥",
+}
+_REFERENCE = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]*);"
+
+
+def char_references(text: Column) -> Column:
+    """Named and numbered character references as characters, each decoded once; names that NAMED lacks and numbers of no character stay."""
+    named = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
+
+    def char(ref: Column) -> Column:
+        inner = F.regexp_extract(ref, "^&(.*);$", 1)
+        number = F.when(inner.rlike("^#[xX]"), F.conv(F.substring(inner, 3, 9), 16, 10).cast("long")).when(inner.startswith("#"), F.substring(inner, 2, 9).cast("long"))
+        is_char = (number > 0) & (number < 0x110000) & ~number.between(0xD800, 0xDFFF)
+        by_number = F.when(is_char, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        return F.coalesce(by_number, F.try_element_at(named, inner), ref)
+
+    pieces = F.arrays_zip(F.split(text, _REFERENCE, -1).alias("gap"), F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), char).alias("char"))
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, lambda x: F.concat(x["gap"], F.coalesce(x["char"], F.lit("")))), "")).otherwise(text)
+
+
 def visible(html: Column) -> Column:
     """What a reader sees of HTML: no comments, scripts, styles or tags; blocks end lines; single spaces."""
     bare = F.regexp_replace(html, r"(?s)<!--.*?-->", "")

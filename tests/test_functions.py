@@ -75,3 +75,10 @@ def test_markdown_text_and_escapes(spark):
     each(spark, text.escaped_mdx, [("a {b} <c>", r"a \{b\} \<c\>")])
     each(spark, text.unescaped_markdown, [(r"\*a\* \x", r"*a* \x")])
     each(spark, text.pixels, [("12px", 12), ("0", None), ("50%", None), (" 7 ", 7)])
+
+
+def test_character_references(spark):
+    cases = {"a &lt; b": "a < b", "&#65;&#x1F600;&#X42;": "A😀B", "&amp;lt; &#38;lt;": "&lt; &lt;", "&unknown; &#0; &#xD800; &#1114112;": "&unknown; &#0; &#xD800; &#1114112;", "&rarr;&hellip;&euro;": "→…€", "& &; &#; x": "& &; &#; x", "": "", None: None, "plain": "plain"}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "id int, t string")
+    got = rows.select("id", text.char_references(F.col("t")).alias("t")).orderBy("id").collect()
+    assert [r["t"] for r in got] == list(cases.values())
