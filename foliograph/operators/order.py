@@ -21,6 +21,12 @@ def placed(rows: DataFrame, *order: str) -> DataFrame:
     return r.join(F.broadcast(starts), "__part").withColumn("place", F.col("__start") + F.col("__at")).drop("__part", "__id", "__at", "__start")
 
 
+def placed_by_locale(rows: DataFrame, name: str, *then: str, locale: str = "UNICODE") -> DataFrame:
+    """Rows with ``place``, from 0, in a locale's order of the column ``name``, then of others that make it total: accents after plain
+    letters, small letters before capitals, digits before letters and one by one. Ranges and sorts compare by the collation."""
+    return placed(rows.withColumn("__collated", F.collate(name, locale)), "__collated", *then).drop("__collated")
+
+
 def even_sample(rows: DataFrame, k: int, *order: str) -> DataFrame:
     """k rows spread evenly over the order: those at round(i * (n - 1) / (k - 1)), halves up; all rows, if they are no more."""
     r = placed(rows, *order)

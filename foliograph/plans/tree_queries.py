@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliograph.operators import contents, conversion, icons, merging, sanitize, tables
+from foliograph.operators import contents, conversion, icons, inline, merging, order, sanitize, tables
 from foliograph.sources import configs
 from foliograph.workspace import table
 
@@ -171,7 +171,29 @@ def filled_icons(spark, d):
     return icons.filled(p, "box", "file").select("p_partkey", "shown")
 
 
-QUERIES = {f.__name__: f for f in (converted_components, component_dispositions, merged_navigation, contents_numbered, contents_drawn, contents_unresolved, configured_pages, expanded_cells, sanitized_pages, style_sheet_problems, suggested_icons, filled_icons)}
+def inline_normal_form(spark, d):
+    """Turns of conversations as marked-up words: of three in a row one is bold in italic, one italic in bold, one a link named by its
+    own address; halves of words stand apart."""
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"[^\s&<]+"), F.lit(0))
+    c = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("root"), F.posexplode(words).alias("i", "w"))
+    node = lambda name, parent, ord_, kind, text=None, url=None: F.struct(F.concat(F.lit(name), F.col("i").cast("string")).alias("node"), (F.concat(F.lit(parent), F.col("i").cast("string")) if parent else F.lit(None).cast("string")).alias("parent"), ord_.cast("int").alias("ord"), F.lit(kind).alias("kind"), (text if text is not None else F.lit(None).cast("string")).alias("text"), (url if url is not None else F.lit(None).cast("string")).alias("url"))
+    at, one, w, url = F.col("i") * 2, F.lit(0), F.col("w"), F.concat(F.lit("https://w.example/"), F.col("w"))
+    half = F.floor(F.length("w") / 2).cast("int")
+    halves = [node("x", "b", one, "text", F.substring(w, F.lit(1), half)), node("y", "b", one + 1, "text", F.substring(w, half + 1, F.length("w")))]
+    gap = node("g", None, at + 1, "text", F.lit("&#32;"))
+    rows = F.when(F.col("i") % 3 == 0, F.array(node("a", None, at, "italic"), node("b", "a", one, "bold"), *halves, gap)).when(F.col("i") % 3 == 1, F.array(node("a", None, at, "bold"), node("b", "a", one, "italic"), *halves, gap)).otherwise(F.array(node("a", None, at, "link", url=url), node("x", "a", one, "text", url), gap))
+    got = inline.as_text(inline.normalised(c.select("root", F.explode(rows).alias("r")).select("root", "r.*")))
+    return got.select("root", F.md5("said").alias("md5"))
+
+
+def names_by_locale(spark, d):
+    """Parts' names in the order of their letters, every other one in capitals, and where each stands."""
+    p = table(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.col("p_name")).alias("name"))
+    got = order.placed_by_locale(p, "name", "p_partkey")
+    return got.select("p_partkey", F.col("place").cast("long").alias("place"))
+
+
+QUERIES = {f.__name__: f for f in (converted_components, component_dispositions, merged_navigation, contents_numbered, contents_drawn, contents_unresolved, configured_pages, expanded_cells, sanitized_pages, style_sheet_problems, suggested_icons, filled_icons, inline_normal_form, names_by_locale)}
 
 _ICONS = """p AS (SELECT p_partkey, p_brand, CASE WHEN p_partkey % 50 = 0 THEN 'year' WHEN p_type = 'ECONOMY' THEN 'box' WHEN p_type = 'SMALL' THEN 'shield' WHEN p_brand LIKE 'Brand#2%' THEN 'leaf'
     WHEN p_type = 'PROMO' THEN 'word leaf' WHEN p_type = 'MEDIUM' THEN 'word star' WHEN p_size % 2 = 0 THEN 'kind' END AS what FROM part),
@@ -270,4 +292,8 @@ ORACLES = {
       WITH {_ICONS}, j AS (SELECT p_partkey, p_brand, CASE WHEN p_brand <> 'Brand#12' OR p_partkey % 5 = 0 THEN icon END AS icon, CASE WHEN p_brand = 'Brand#11' AND p_partkey % 9 = 0 THEN 'own' END AS stated FROM i),
       n AS (SELECT p_brand, count(stated) AS own, count(icon) AS named, count(*) AS every FROM j GROUP BY p_brand)
       SELECT p_partkey, CASE WHEN own > 0 THEN stated WHEN 2 * named >= every THEN coalesce(icon, 'file') END AS shown FROM j JOIN n USING (p_brand)""",
+    "inline_normal_form": """
+      WITH c AS (SELECT conv_id * 1000 + turn AS root, regexp_extract_all(coalesce(text, ''), '[^\\s&<]+') AS w FROM conversations)
+      SELECT root, md5(array_to_string(list_transform(w, lambda x, i: CASE WHEN i % 3 = 0 THEN 'https://w.example/' || x ELSE '**_' || x || '_**' END || ' '), '')) AS md5 FROM c WHERE len(w) > 0""",
+    "names_by_locale": "SELECT p_partkey, row_number() OVER (ORDER BY lower(p_name), p_partkey % 2 = 0, p_partkey) - 1 AS place FROM part",
 }

@@ -141,3 +141,14 @@ def test_trees(spark):
     roots = b.filter("kind = 'list'").select("page_id", "path")
     assert rows(trees.subtree(b, roots), "page_id", "text") == [("p", ""), ("p", "one"), ("p", "two"), ("q", ""), ("q", "one"), ("q", "two")]
     assert "```py\ncode\n```" in trees.to_mdx(b).filter("page_id = 'p'").first()["mdx"]
+
+
+def test_places_by_locale(spark):
+    from foliograph.operators import order
+
+    names = ["b", "A", "ä", "a", "Z", "z", "é", "e", "f", "10", "9", "B", "Ö", "o", None, "a", ""]
+    rows = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    said = lambda **kw: [r["name"] for r in order.placed_by_locale(rows, "name", "id", **kw).orderBy("place").collect()]
+    assert said() == [None, "", "10", "9", "a", "a", "A", "ä", "b", "B", "e", "é", "f", "o", "Ö", "z", "Z"]
+    assert said(locale="sv")[-2:] == ["ä", "Ö"]
+    assert order.placed_by_locale(rows.limit(0), "name", "id").count() == 0
