@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliograph.plans import block_queries, conversion_queries, corpus_queries, function_queries, gate_queries, operator_queries, page_queries, structure_queries, table_queries, tree_queries
+from foliograph.plans import block_queries, conversion_queries, corpus_queries, function_queries, gate_queries, operator_queries, page_queries, source_queries, structure_queries, table_queries, tree_queries
 from foliograph.streaming import ledger_stream
 
-_MODULES = (page_queries, corpus_queries, table_queries, structure_queries, function_queries, operator_queries, conversion_queries, tree_queries, gate_queries, block_queries, ledger_stream)
+_MODULES = (page_queries, corpus_queries, table_queries, structure_queries, function_queries, operator_queries, conversion_queries, tree_queries, gate_queries, source_queries, block_queries, ledger_stream)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
