@@ -139,7 +139,7 @@ ABBREVIATIONS = ("api", "cli", "sdk", "url", "http", "https", "html", "css", "js
 def label(segment: Column) -> Column:
     """A path segment as a title: words, first letter a capital, abbreviations in capitals."""
     words = F.filter(F.split(F.regexp_replace(segment, r"\.[a-z]+$", ""), "[-_ ]+"), lambda w: w != "")
-    shaped = F.transform(words, lambda w, i: F.when(F.lower(w).isin(*ABBREVIATIONS), F.upper(w)).when(i == 0, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))).otherwise(w))
+    shaped = F.transform(words, lambda w, i: F.when(F.lower(w).isin(*ABBREVIATIONS), F.upper(w)).when(i == 0, F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, F.lit(2), F.length(w)))).otherwise(w))
     return F.array_join(shaped, " ")
 
 

@@ -108,7 +108,7 @@ def labels_quality_by_source(spark, d):
 
 
 def conflicting_lines(spark, d):
-    """Languages under which a text's first 30 characters appear, where they are more than one."""
+    """Sources whose documents are in several languages, with those."""
     return reconcile.conflicting(docs(spark, d), ["source"], ["lang"])
 
 

@@ -102,7 +102,7 @@ def pages_of_links(spark, d):
 
 def sidebars_observed(spark, d):
     """Suppliers' items as sidebars over parts; only some are large enough to be navigation."""
-    items = table(spark, d, "lineitem").filter("l_partkey % 20 = l_suppkey % 20").select(F.col("l_suppkey").alias("sidebar"), F.col("l_partkey").alias("url"))
+    items = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("sidebar"), F.col("l_partkey").alias("url"))
     return navigation.sidebars_observed(items, table(spark, d, "part").agg(F.count("*").alias("n")))
 
 
@@ -142,7 +142,7 @@ def indented_parents(spark, d):
 
 def code_missing(spark, d):
     """Parts' types as the code of a source's pages; the copy has them but for one brand, which it has elsewhere only."""
-    p = table(spark, d, "part").select((F.col("p_partkey") % 997).alias("page_id"), "p_brand", F.sha2("p_type", 256).alias("code_hash"))
+    p = table(spark, d, "part").select(F.floor(F.col("p_partkey") / 4).alias("page_id"), "p_brand", F.sha2("p_type", 256).alias("code_hash"))
     return passages.missing_code(p, p.filter("p_brand <> 'Brand#1' AND p_brand NOT LIKE '%3'"))
 
 
@@ -208,7 +208,7 @@ ORACLES = {
     "published_pages": "SELECT c_custkey, CASE WHEN c_custkey % 4 = 0 THEN 'draft' WHEN c_acctbal < 0 THEN 'unlisted' WHEN c_custkey % 3 = 0 AND c_nationkey > 20 THEN 'hidden' END AS withheld FROM customer",
     "pages_of_links": "SELECT o_orderkey AS node_id, c_custkey AS page_id FROM orders LEFT JOIN customer ON c_custkey = o_custkey + 1 AND c_custkey % 4 <> 0",
     "sidebars_observed": """
-      WITH e AS (SELECT l_suppkey AS sidebar, l_partkey AS url, count(*) AS times FROM lineitem WHERE l_partkey % 20 = l_suppkey % 20 GROUP BY 1, 2)
+      WITH e AS (SELECT l_suppkey AS sidebar, l_partkey AS url, count(*) AS times FROM lineitem GROUP BY 1, 2)
       SELECT sidebar, count(*) AS n_placed, bool_or(times >= 2) AS observed, count(*) >= 2 AND count(*) >= 0.02 * (SELECT count(*) FROM part) AS is_navigation FROM e GROUP BY 1""",
     "language_sets": "SELECT source, string_agg(lang, ',' ORDER BY lang <> 'en', lang) AS values FROM (SELECT DISTINCT source, lang FROM documents WHERE lang IS NOT NULL) GROUP BY source",
     "asset_manifest": f"""WITH {_ASSETS} SELECT sha256(content) AS hash, min(length(content)) AS bytes, count(DISTINCT f.url) AS n_urls, min(f.url) AS first_url, count(DISTINCT page_id) AS n_pages
@@ -221,8 +221,8 @@ ORACLES = {
       WITH l AS (SELECT page_id, line, (page_id * 7 + line * line * 5) % 9 AS indent FROM (SELECT page_id, unnest(range(40)) AS line FROM pages))
       SELECT a.page_id, a.line, a.indent, max(b.line) AS parent FROM l a LEFT JOIN l b ON a.page_id = b.page_id AND b.line < a.line AND b.indent < a.indent GROUP BY ALL""",
     "code_missing": """
-      SELECT DISTINCT p_partkey % 997 AS page_id, sha256(p_type) AS code_hash FROM part p WHERE NOT EXISTS (
-        SELECT 1 FROM part q WHERE q.p_partkey % 997 = p.p_partkey % 997 AND q.p_type = p.p_type AND q.p_brand <> 'Brand#1' AND q.p_brand NOT LIKE '%3')""",
+      SELECT DISTINCT p_partkey // 4 AS page_id, sha256(p_type) AS code_hash FROM part p WHERE NOT EXISTS (
+        SELECT 1 FROM part q WHERE q.p_partkey // 4 = p.p_partkey // 4 AND q.p_type = p.p_type AND q.p_brand <> 'Brand#1' AND q.p_brand NOT LIKE '%3')""",
     "known_pages": """
       WITH k AS (SELECT '/' || c_custkey AS route, 'manifest' AS side FROM customer WHERE c_custkey % 2 = 0 UNION SELECT '/' || c_custkey, 'tree' FROM customer WHERE c_custkey % 3 = 0
         UNION SELECT '/' || o_custkey, 'sitemap' FROM orders WHERE o_orderstatus = 'P')

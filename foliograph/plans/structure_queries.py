@@ -64,11 +64,10 @@ def component_rules(spark, d):
 
 
 def reference_closure(spark, d):
-    """Documents reached from every 400th one; orders stand in for the references among two thousand documents."""
-    o = table(spark, d, "orders")
-    edges = o.select((F.col("o_orderkey") % 2003).alias("document"), ((F.col("o_custkey") * 3 + F.col("o_orderkey")) % 2003).alias("target"))
-    roots = edges.filter("document % 400 = 0").select("document")
-    return specs.closure(edges, roots).select("document", F.col("depth").cast("long").alias("depth"))
+    """Documents reached from every fiftieth one; orders stand in for references, each among fifty neighbours."""
+    o, key = table(spark, d, "orders"), F.col("o_orderkey")
+    edges = o.select(key.alias("document"), (key - key % 50 + (F.col("o_custkey") * 3 + key) % 50).alias("target"))
+    return specs.closure(edges, edges.filter("document % 50 = 0").select("document")).select("document", F.col("depth").cast("long").alias("depth"))
 
 
 def _references(spark, d):
@@ -141,9 +140,9 @@ ORACLES = {
           WHEN name = 'error' AND NOT even AND NOT big THEN 'text=' || k ELSE 'k=' || k || ',user=' || u END AS props,
         CASE WHEN name = 'view' THEN 'user' ELSE '' END AS lossy FROM c""",
     "reference_closure": """
-      WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey % 2003 AS document, (o_custkey * 3 + o_orderkey) % 2003 AS target FROM orders),
-      w AS (SELECT DISTINCT document, 0::BIGINT AS depth FROM e WHERE document % 400 = 0
-        UNION SELECT e.target, w.depth + 1 FROM w JOIN e ON e.document = w.document WHERE e.document <> e.target AND w.depth < 2003)
+      WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS document, o_orderkey - o_orderkey % 50 + (o_custkey * 3 + o_orderkey) % 50 AS target FROM orders),
+      w AS (SELECT DISTINCT document, 0::BIGINT AS depth FROM e WHERE document % 50 = 0
+        UNION SELECT e.target, w.depth + 1 FROM w JOIN e ON e.document = w.document WHERE e.document <> e.target AND w.depth < 50)
       SELECT document, min(depth) AS depth FROM w GROUP BY document""",
     "asset_references": """
       SELECT page_id, 'image' AS kind, '/i/' || (page_id % 10) || '.png' AS url FROM pages

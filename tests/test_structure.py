@@ -92,3 +92,21 @@ def test_reference_closure_follows_every_document(spark, tmp_path):
     cut = structure_queries._references(spark, str(tmp_path)).filter("document % 3 = 0")
     roots = spark.createDataFrame([(k,) for k, d in depth.items() if d == 0], "document long")
     assert len(depth) > specs.closure(cut, roots).count()
+
+
+def test_nodes_beneath_themselves(spark):
+    """A node under two parents, one of them beneath it, has its places and no more."""
+    from foliograph.operators import navigation, sites
+
+    nodes = spark.createDataFrame([("a", None, "A", 1, "1"), ("b", "a", "B", 1, "2"), ("a", "b", "A", 1, "1"), ("c", "b", "C", 2, "3"), ("x", "y", "X", 1, "9"), ("y", "x", "Y", 1, None)], "node_id string, parent_id string, label string, ord int, page_id string")
+    assert sorted(map(tuple, sites.nav_paths(nodes).collect()), key=str) == [("a", "A", 0), ("b", "A/B", 1), ("c", "A/B/C", 2), ("x", None, None), ("y", None, None)]
+    assert sorted((r["path"] or "", r["page_id"], r["place"]) for r in navigation.sidebar(nodes).collect()) == [("", "9", 3), ("A", "1", 0), ("A/B", "2", 1), ("A/B/C", "3", 2)]
+
+
+def test_cycles_of_aliases_end_in_their_smallest_name(spark):
+    from foliograph.operators import redirects
+
+    for extra in (0, 40):  # whatever else the table holds
+        rows = [("b", "c"), ("c", "d"), ("d", "b"), ("in", "c"), ("one", "two"), ("two", "end")] + [(f"e{k}", f"e{k + 1}") for k in range(extra)]
+        got = {r["alias"]: r["canonical"] for r in redirects.aliases_closed(spark.createDataFrame(rows, "alias string, target string")).collect()}
+        assert {k: got[k] for k in ("b", "c", "d", "in", "one", "two")} == {"b": "b", "c": "b", "d": "b", "in": "b", "one": "end", "two": "end"}
