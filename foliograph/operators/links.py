@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions import text, urls
 
-HREF = r'<a\b[^>]*href="([^"]*)"'
+#: Addresses in double quotes, single ones or none.
+HREF = r"""(?i)<a\b[^>]*?\shref\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
 ANCHOR = r'<[a-zA-Z][^>]*\s(?:id|name)="([^"]*)"'
 HEADING = r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>"
 
@@ -17,7 +18,7 @@ def links(pages: DataFrame, inside: str | None = None) -> DataFrame:
     html = F.coalesce("html", F.lit(""))
     if inside:
         html = F.array_join(F.regexp_extract_all(html, F.lit(rf"(?is)<{inside}\b[^>]*>(.*?)</{inside}>"), F.lit(1)), " ")
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("pos", "href")).select("page_id", F.col("pos").cast("long").alias("pos"), text.entities(F.col("href")).alias("href"))
+    return pages.select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("pos", "href")).select("page_id", F.col("pos").cast("long").alias("pos"), text.entities(F.regexp_replace("href", r"""^(["'])(.*)\1$""", "$2")).alias("href"))
 
 
 def routes(pages: DataFrame) -> DataFrame:
@@ -101,3 +102,36 @@ def unmigrated(resolved_: DataFrame, source: DataFrame, declared: DataFrame, bas
         .otherwise("unmigrated")
     )
     return was.select("page_id", "pos", "href", kind.alias("class"))
+
+
+def spellings(path: Column, from_filenames: bool = False) -> Column:
+    """How a page's path may be spelled, the path itself first: with or without a file's extension and, where paths are made of file
+    names, with or without a last segment that stands for its folder."""
+    bare = F.regexp_replace(path, r"(?i)\.(?:html?|mdx?)$", "")
+    folder = lambda p: F.coalesce(F.nullif(F.regexp_replace(p, r"(?i)/(?:index|readme)$", ""), F.lit("")), F.lit("/"))
+    return F.array_distinct(F.array(path, bare, *([folder(path), folder(bare)] if from_filenames else [])))
+
+
+def site_links(resolved_: DataFrame, routes_: DataFrame, source: DataFrame, hosts: list[str], origin: str | None = None, from_filenames: bool = False) -> DataFrame:
+    """page_id, pos, href, target, kind, known: where links of a source lead in the migrated site, with what they had after the path.
+
+    resolved_: see resolved; routes_ (path, route): what became of the source's paths; source (path): all it published; hosts: the
+    names the site has, links to which are links of the site. Kinds: ``route`` (a page of any spelling that was migrated, or a route
+    as it is written now), ``source`` (not migrated, and the source stays up at ``origin``; for links that name no host), ``kept``, and
+    ``outside`` for all other links. known: whether the source published it."""
+    inside = F.col("route").isNotNull() & F.when(F.col("kind").isin("absolute", "protocol-relative"), F.col("host").isin(*[h.lower() for h in hosts])).otherwise(F.col("kind").isin("root-relative", "relative"))
+    r = resolved_.withColumn("inside", F.coalesce(inside, F.lit(False)))
+    tried = r.filter("inside").select("page_id", "pos", F.posexplode(spellings(F.col("route"), from_filenames)).alias("n", "path"))
+    led = tried.join(routes_.groupBy("path").agg(F.min("route").alias("to")), "path").groupBy("page_id", "pos").agg(F.min_by("to", "n").alias("to"))
+    was = tried.join(source.select("path").distinct(), "path", "left_semi").select("page_id", "pos", F.lit(True).alias("was")).distinct()
+    now = routes_.select(F.concat(F.lit("/"), "route").alias("route"), F.lit(True).alias("now")).distinct()
+    j = r.join(led, ["page_id", "pos"], "left").join(was, ["page_id", "pos"], "left").join(now, "route", "left")
+    named = F.col("kind").isin("absolute", "protocol-relative")
+    kind = F.when(~F.col("inside"), "outside").when(F.col("to").isNotNull() | (F.col("now") & ~named), "route").when(~named & F.lit(origin is not None), "source").otherwise("kept")
+    after = F.regexp_extract("href", r"^[^?#]*(.*)$", 1)
+    path = F.when(F.col("to").isNotNull(), F.when(F.col("to") == "index", "/").otherwise(F.concat(F.lit("/"), "to"))).otherwise(F.col("route"))
+    # routes have no file extension any more; the source may need it
+    extension = F.regexp_extract(F.regexp_replace("href", r"[?#].*$", ""), r"(\.[A-Za-z0-9]+)$", 1)
+    there = F.when(F.endswith("route", extension), F.col("route")).otherwise(F.concat("route", extension))
+    target = F.when(kind == "route", F.concat(path, after)).when(kind == "source", F.concat(F.lit(origin or ""), there, after)).otherwise(F.col("href"))
+    return j.select("page_id", "pos", "href", target.alias("target"), kind.alias("kind"), (F.col("inside") & (F.coalesce("was", F.lit(False)) | F.col("to").isNotNull())).alias("known"))

@@ -69,7 +69,19 @@ def gates_of_a_damaged_copy(spark, d):
     return gates.rollup(spark, found, list(found))
 
 
-QUERIES = {f.__name__: f for f in (gates_of_an_exact_copy, gates_of_a_damaged_copy)}
+def site_links(spark, d):
+    """Links of each page in all spellings; three of four pages were migrated."""
+    k = lambda n: (F.col("page_id") + n).cast("string")
+    a = lambda *parts: F.concat(F.lit("<a href="), *[x if not isinstance(x, str) else F.lit(x) for x in parts], F.lit(">x</a>"))
+    html = F.concat(a('"/p/', k(0), '.html#x"'), a("'", k(1), "?y=1'"), a("https://Docs.example.com/p/", k(2), "/index"), a('"//alias.example/p/', k(3), '.md"'), a("#here"), a('"mailto:a@b.example"'), a('"/guide/', k(0), '"'), a('"https://other.example/p/', k(0), '"'), a('"../gone/', k(0), '#z"'))
+    p = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://docs.example.com/p/"), k(0)).alias("url"), html.alias("html"))
+    path = F.concat(F.lit("/p/"), k(0))
+    routes = p.filter("page_id % 4 < 3").select(path.alias("path"), F.concat(F.lit("guide/"), k(0)).alias("route"))
+    got = links.site_links(links.resolved(links.links(p), p), routes, p.select(path.alias("path")), ["docs.example.com", "alias.example"], "https://docs.example.com", from_filenames=True)
+    return got.select("page_id", "pos", "target", "kind", "known")
+
+
+QUERIES = {f.__name__: f for f in (gates_of_an_exact_copy, gates_of_a_damaged_copy, site_links)}
 
 _NAMES = ("assets-ready", "chrome-absent", "code-blocks-exact", "fragments-resolve", "headings-sequence", "html-reconciliation", "internal-links", "no-authored-exclusions", "no-unresolved-blocks", "source-metadata-exact", "source-navigation-proven")
 ORACLES = {
@@ -94,4 +106,13 @@ ORACLES = {
         UNION ALL SELECT 'source-metadata-exact', count(*) FROM c WHERE k % 11 = 2
         UNION ALL SELECT 'source-navigation-proven', count(*) FROM customer WHERE c_custkey % 8 = 1)
       SELECT gate, CASE WHEN count > 0 THEN 'fail' ELSE 'pass' END AS status, count FROM n""",
+    "site_links": """
+      WITH s AS (SELECT page_id AS k FROM pages), m AS (SELECT k FROM s WHERE k % 4 < 3),
+      l(pos, off, spelled, rest, named) AS (VALUES (0, 0, '.html', '#x', false), (1, 1, '', '?y=1', false), (2, 2, '/index', '', true), (3, 3, '.md', '', true)),
+      p AS (SELECT s.k AS page_id, pos, s.k + off AS t, spelled, rest, named, EXISTS (SELECT 1 FROM m WHERE m.k = s.k + off) AS moved, EXISTS (SELECT 1 FROM s q WHERE q.k = s.k + off) AS known FROM s, l)
+      SELECT page_id, pos::BIGINT AS pos, CASE WHEN moved THEN '/guide/' || t || rest WHEN named THEN CASE pos WHEN 2 THEN 'https://Docs.example.com/p/' ELSE '//alias.example/p/' END || t || spelled ELSE 'https://docs.example.com/p/' || t || spelled || rest END AS target,
+        CASE WHEN moved THEN 'route' WHEN named THEN 'kept' ELSE 'source' END AS kind, known FROM p
+      UNION ALL SELECT k, 4, '#here', 'outside', false FROM s UNION ALL SELECT k, 5, 'mailto:a@b.example', 'outside', false FROM s
+      UNION ALL SELECT k, 6, CASE WHEN k % 4 < 3 THEN '/guide/' || k ELSE 'https://docs.example.com/guide/' || k END, CASE WHEN k % 4 < 3 THEN 'route' ELSE 'source' END, false FROM s
+      UNION ALL SELECT k, 7, 'https://other.example/p/' || k, 'outside', false FROM s UNION ALL SELECT k, 8, 'https://docs.example.com/gone/' || k || '#z', 'source', false FROM s""",
 }

@@ -152,3 +152,11 @@ def test_places_by_locale(spark):
     assert said() == [None, "", "10", "9", "a", "a", "A", "ä", "b", "B", "e", "é", "f", "o", "Ö", "z", "Z"]
     assert said(locale="sv")[-2:] == ["ä", "Ö"]
     assert order.placed_by_locale(rows.limit(0), "name", "id").count() == 0
+
+
+def test_links_in_all_spellings(spark):
+    from foliograph.operators import links
+
+    html = """<a href="/a">1</a><A class=x HREF='/b?x=1&amp;y=2'>2</A><a  href=c/d#e>3</a><a data-href="/no">4</a><a href="">5</a><a href = "f">6</a>"""
+    pages = spark.createDataFrame([(1, "https://x.example/p/", html), (2, "https://x.example/q", None)], "page_id long, url string, html string")
+    assert [r["href"] for r in links.links(pages).orderBy("pos").collect()] == ["/a", "/b?x=1&y=2", "c/d#e", "", "f"]
