@@ -128,3 +128,8 @@ def sorted_keys(document: Column) -> Column:
     """A flat JSON object of texts with its keys in order."""
     entries = F.array_sort(F.map_entries(F.from_json(document, "map<string,string>")))
     return F.to_json(F.map_from_entries(entries))
+
+
+def sorted_json(json: Column) -> Column:
+    """JSON with the keys of every object in order, at every level, and no space between; null for what is no JSON. Arrays keep theirs."""
+    return F.to_json(F.try_parse_json(json))

@@ -48,6 +48,12 @@ def titled(pages: DataFrame, sources: list[str], exact: bool = False) -> DataFra
     return pages.withColumns({"title": F.coalesce(*stated, made), "title_source": source})
 
 
+def path_from_tree(groups: Column, title: Column) -> Column:
+    """The route of a page by where it stands: its groups and its title as slugs; groups without a name don't count."""
+    named = F.filter(F.coalesce(groups, F.array().cast("array<string>")), lambda g: F.coalesce((g != "") & (g != "(uncategorised)"), F.lit(False)))
+    return F.array_join(F.concat(F.transform(named, text.slug), F.array(text.slug(title))), "/")
+
+
 def categories_of_files(entries: DataFrame, files: DataFrame) -> DataFrame:
     """workspace, entry_id, file_id, matched_by of category entries (workspace, entry_id, slug, title) and files (workspace, file_id, slug):
     by slug, else by the title as a slug; entries without a file and files without an entry are rows of their own, matched by null."""

@@ -36,3 +36,12 @@ def released(gates: DataFrame, waivers: DataFrame | None = None) -> DataFrame:
 def write(gates: DataFrame, path: str) -> None:
     """The report as JSON lines."""
     gates.coalesce(1).write.mode("overwrite").json(path)
+
+
+def inapplicable(sites: DataFrame) -> DataFrame:
+    """site, gate, reason: gates that can prove nothing about a source (site, kind, publishes_markdown): files have no rendered page to
+    compare with and no page furniture, and where no Markdown is published the rendered page is all there is."""
+    of_files = F.array(F.struct(F.lit("html-reconciliation").alias("gate"), F.lit("no rendered pages").alias("reason")), F.struct(F.lit("chrome-absent").alias("gate"), F.lit("no page furniture").alias("reason")))
+    of_pages = F.array(F.struct(F.lit("source-content-exact").alias("gate"), F.lit("no published Markdown").alias("reason")))
+    found = F.when(F.col("kind") != "url", of_files).when(~F.coalesce("publishes_markdown", F.lit(False)), of_pages)
+    return sites.select("site", F.explode(found).alias("x")).select("site", "x.*")

@@ -6,7 +6,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliograph.operators import navigation, specs
+from foliograph.operators import navigation, reconcile, routing, sidebars, specs
+from foliograph.plans import gates
+from foliograph.plans.page_queries import sql_entities
 from foliograph.sources import files, indexes
 from foliograph.workspace import table
 
@@ -121,7 +123,50 @@ def fragments_merged(spark, d):
     return specs.merged_fragments(o)
 
 
-QUERIES = {f.__name__: f for f in (robots_allowed, sitemap_entries, sitemaps_reached, llms_entries, summary_parents, discovered_order, front_matter, definitions_found, placeholders_used, repeated_operation_ids, unbound_operations, parameter_anchors, parents_by_slug, fragments_merged)}
+def sidebar_trees(spark, d):
+    """Pages' navigation, with a list of two levels, an empty group, a badge and a link to a fragment at its end."""
+    more = F.concat(F.lit('<li><a href="/g'), "page_id", F.lit('">Group <span class="badge">new</span></a><ul><li>Inner<ul><li><a href=\'/x\'>X &amp; Y</a></li></ul></li><li><a href="#f">F</a></li></ul></li><li><span>Empty</span><ul></ul></li></ul></nav>'))
+    p = table(spark, d, "pages").select("page_id", F.replace("html", F.lit("</ul></nav>"), more).alias("html"))
+    got = sidebars.sidebar_nodes(p)
+    up = got.select("page_id", F.col("node").alias("parent"), F.col("label").alias("under"))
+    return got.join(up, ["page_id", "parent"], "left").select("page_id", "kind", "label", "href", "under")
+
+
+def script_data(spark, d):
+    """Pages with JSON in scripts, whole and in pieces."""
+    k = F.col("page_id").cast("string")
+    more = F.concat(F.lit('<script type="application/ld+json">{"b": [1, {"z": 1, "a": "'), k, F.lit('"}], "a": null}</script><script>self.f.push([1,"1:{\\"k\\":"])</script><script>self.f.push([1,"'), k, F.lit('}\\n2:no json\\n"])</script>'))
+    got = sidebars.embedded_json(table(spark, d, "pages").select("page_id", F.concat("html", more).alias("html")))
+    return got.select("page_id", F.to_json("v").alias("json"))
+
+
+def published_unwrapped(spark, d):
+    """Documents as published: with a wrapper, a title, a description that is repeated or a quotation of their own, by turns."""
+    k = F.col("doc_id")
+    head = F.concat(F.when(k % 2 == 0, F.lit("\ufeff\n> ## Documentation Index\n> more\n\n")).otherwise(""), F.when(k % 3 > 0, F.concat(F.lit("# Title \\_"), k, F.lit("\n\n"))).otherwise(""), F.when(k % 5 == 0, F.lit("> About  it\n> all\n\n")).when(k % 5 == 1, F.lit("> Words\n\n")).otherwise(""))
+    p = table(spark, d, "documents").select("doc_id", F.concat(head, F.lit("Begin "), F.coalesce("text", F.lit(""))).alias("published"), F.lit("About it all").alias("expected"))
+    got = sidebars.unwrapped_markdown(p, "published", "expected")
+    return got.select("doc_id", "wrapped", "title", "description", F.md5("authored").alias("md5"))
+
+
+def paths_from_tree(spark, d):
+    c = table(spark, d, "customer")
+    groups = F.array(F.concat(F.lit("Area "), "c_nationkey"), F.when(F.col("c_custkey") % 3 == 0, "(uncategorised)").when(F.col("c_custkey") % 3 == 1, F.lower("c_mktsegment")))
+    return c.select("c_custkey", routing.path_from_tree(groups, F.concat(F.lit("Page "), "c_custkey")).alias("path"))
+
+
+def sorted_documents(spark, d):
+    o = table(spark, d, "orders")
+    json = F.concat(F.lit('{ "z": {"b": '), "o_orderkey", F.lit(', "a": [ {"d": 1, "c": "'), "o_orderstatus", F.lit('"} ]}, "k": true'), F.when(F.col("o_orderkey") % 9 == 0, "").otherwise(" }"))
+    return o.select("o_orderkey", reconcile.sorted_json(json).alias("json"))
+
+
+def proofs_inapplicable(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_custkey").alias("site"), F.when(F.col("c_custkey") % 3 == 0, "repository").otherwise("url").alias("kind"), F.when(F.col("c_custkey") % 4 > 0, F.col("c_custkey") % 4 == 1).alias("publishes_markdown"))
+    return gates.inapplicable(c)
+
+
+QUERIES = {f.__name__: f for f in (robots_allowed, sitemap_entries, sitemaps_reached, llms_entries, summary_parents, discovered_order, front_matter, definitions_found, placeholders_used, repeated_operation_ids, unbound_operations, parameter_anchors, parents_by_slug, fragments_merged, sidebar_trees, script_data, published_unwrapped, paths_from_tree, sorted_documents, proofs_inapplicable)}
 
 _C = "c AS (SELECT c_custkey AS c, c_nationkey AS n, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS i FROM customer)"
 ORACLES = {
@@ -149,4 +194,18 @@ ORACLES = {
     "parents_by_slug": f"""WITH {_C} SELECT a.c AS page_id, CASE WHEN b.c IS NOT NULL THEN 'page:' || b.c ELSE 'category:k' || a.n END AS parent, CASE WHEN b.c IS NOT NULL THEN 'page' ELSE 'category' END AS placed_by
       FROM c a LEFT JOIN c b ON b.c = a.c // 2 AND a.c % 3 > 0""",
     "fragments_merged": "SELECT 's' || o_custkey AS spec, o_orderstatus AS key, min_by(o_orderkey, lpad(o_orderkey::VARCHAR, 9, '0'))::VARCHAR AS value FROM orders GROUP BY ALL",
+    "sidebar_trees": rf"""
+      WITH n AS (SELECT page_id, unnest(regexp_extract_all(regexp_extract(html, '(?is)<nav\b[^>]*>(.*?)</nav>', 1), '<a\b[^>]*>.*?</a>')) AS a FROM pages)
+      SELECT page_id, 'page' AS kind, trim({sql_entities("regexp_extract(a, '>(.*?)</a>', 1)")}) AS label, {sql_entities("regexp_extract(a, 'href=.([^>]*).>', 1)")} AS href, NULL AS under FROM n
+      UNION ALL SELECT page_id, kind, label, CASE label WHEN 'Group' THEN '/g' || page_id WHEN 'X & Y' THEN '/x' END, under FROM pages, (VALUES ('group', 'Group', NULL), ('group', 'Inner', 'Group'), ('page', 'X & Y', 'Inner')) v(kind, label, under)""",
+    "script_data": """
+      SELECT page_id, unnest(['{"a":null,"b":[1,{"a":"' || page_id || '","z":1}]}', '{"k":' || page_id || '}']) AS json FROM pages""",
+    "published_unwrapped": """
+      SELECT doc_id, doc_id % 2 = 0 AS wrapped, CASE WHEN doc_id % 3 > 0 THEN 'Title _' || doc_id END AS title, CASE WHEN doc_id % 5 = 0 THEN 'About it all' END AS description,
+        md5(CASE WHEN doc_id % 5 = 1 THEN '> Words' || chr(10) || chr(10) ELSE '' END || regexp_replace('Begin ' || coalesce(text, ''), '\\s+$', '') || chr(10)) AS md5 FROM documents""",
+    "paths_from_tree": """SELECT c_custkey, 'area-' || c_nationkey || CASE WHEN c_custkey % 3 = 1 THEN '/' || lower(c_mktsegment) ELSE '' END || '/page-' || c_custkey AS path FROM customer""",
+    "sorted_documents": """SELECT o_orderkey, CASE WHEN o_orderkey % 9 > 0 THEN '{"k":true,"z":{"a":[{"c":"' || o_orderstatus || '","d":1}],"b":' || o_orderkey || '}}' END AS json FROM orders""",
+    "proofs_inapplicable": """
+      SELECT c_custkey AS site, gate, reason FROM customer, (VALUES (true, 'html-reconciliation', 'no rendered pages'), (true, 'chrome-absent', 'no page furniture'), (false, 'source-content-exact', 'no published Markdown')) v(of_files, gate, reason)
+      WHERE (c_custkey % 3 = 0) = of_files AND (of_files OR c_custkey % 4 <> 1)""",
 }
