@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from foliograph.operators import masking
+from foliograph.workspace import written
 
 #: editor_only and executable components are never written; kind of a property: enum (one of allowed), tokens (words of allowed), required.
 COMPONENTS = "name string, editor_only boolean, executable boolean"
@@ -128,7 +129,9 @@ def problems(pages: DataFrame, components: DataFrame, props: DataFrame) -> DataF
     raw = F.split("masked", "\n", -1)
     scan = F.array_join(F.transform(raw, lambda x, i: F.when(i < F.col("front"), F.repeat(F.lit(" "), F.length(x))).otherwise(x)), "\n")
     p = p.withColumn("scan", F.when(F.col("front") > 0, scan).otherwise(F.col("masked"))).drop("masked")
-    lines = _lines(p)
+    # a dozen rules read pages, lines and tags: these are made once
+    p = written(p, "pages-without-code")
+    lines = written(_lines(p), "lines")
     row = lambda df, code, detail="": df.select("page_id", F.lit(code).alias("code"), F.col("line").cast("int").alias("line"), (detail if isinstance(detail, Column) else F.lit(detail)).alias("detail"))
 
     head = F.transform(F.slice(F.split("mdx", "\n", -1), F.lit(2), F.greatest(F.col("front") - 2, F.lit(0)).cast("int")), lambda x: F.trim(x, F.lit(" \t\r")))
@@ -149,6 +152,7 @@ def problems(pages: DataFrame, components: DataFrame, props: DataFrame) -> DataF
     editor = known.filter("editor_only").select(F.col("name").alias("as_editor")).withColumn("is_editor", F.lit(True))
     capital = F.concat(F.upper(F.substring("name", 1, 1)), F.substring("name", 2, 10**9))
     tags = tags.withColumn("as_editor", capital).join(editor, "as_editor", "left").join(known.drop("editor_only"), "name", "left")
+    tags = written(tags, "tags")
     is_component = F.col("name").rlike("^[A-Z]") & F.col("is_editor").isNull()
     found.append(row(tags.filter("is_editor"), "editor-only-node", F.col("name")))
     found.append(row(tags.filter(is_component & F.col("executable").isNull()), "unknown-component", F.col("name")))
