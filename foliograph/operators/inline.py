@@ -1,35 +1,32 @@
 """A normal form of inline content: what says the same reads the same, however it was nested, split or spelled.
 
 Inline content is rows: a node with its parent, its place among siblings, its kind (text,
-code, link, bold, italic, image, break, html) and its text or address. The rules below are
-applied to all rows at once, again and again, until a round changes nothing; each round
-moves a node by one level at most, and every rule but one makes the content smaller, and
-that one only brings bold nodes further out, so rounds end.
+code, link, bold, italic, image, break, html) and its text or address. Spark deals the rows
+by piece of content and sorts them by parent and place; a piece is one paragraph or turn, and
+the rules below are applied to its nodes again and again, until a round changes nothing. Every
+rule but one makes the content smaller, and that one only brings bold nodes further out, so
+rounds end. However many rounds a piece takes, the table is shuffled once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from foliograph.functions import text
-from foliograph.workspace import written
+from foliograph.workspace import bounded_batches, shuffle_partitions, written
 
 COLUMNS = ["root", "node", "parent", "key", "kind", "text", "url"]
 _OF = ["root", "parent"]
-
-
-def _siblings() -> Window:
-    return Window.partitionBy(*_OF).orderBy("key", "node")
-
-
-def _children(rows: DataFrame) -> DataFrame:
-    """root, parent, n, lone_kind, lone_text, said: what each parent holds; said only where it is all text."""
-    return rows.groupBy(*_OF).agg(
-        F.count("*").alias("n"), F.min("kind").alias("lone_kind"), F.min("node").alias("lone"),
-        F.when(F.bool_and(F.col("kind") == "text"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "text"))), lambda x: x["text"]), "")).alias("said"),
-    )
+#: A node within a piece: its name, kind, text and address. A piece: parents' names with their children in order.
+Node = list
+Piece = dict[str, list[Node]]
+_NAME, _KIND, _TEXT, _URL = range(4)
+_SCHEME, _LAST_SLASH = re.compile(r"\A(?:mailto:|https?://)"), re.compile(r"/(?=(?:\r\n|[\n\r\x85\u2028\u2029])?\Z)")
+_ANCHOR = re.compile(r"""(?i)\A<a\s+(?:id|name)=["'][^"']*["']\s*(?:/>|>\s*</a>)\Z""", re.ASCII)
 
 
 def decoded(rows: DataFrame) -> DataFrame:
@@ -38,86 +35,138 @@ def decoded(rows: DataFrame) -> DataFrame:
     return rows.withColumn("text", F.when(F.col("kind") == "text", plain).otherwise(F.col("text")))
 
 
-def own_addresses(rows: DataFrame) -> DataFrame:
+def own_addresses(piece: Piece) -> bool:
     """A link whose whole label is its own address reads as that text."""
-    bare = lambda c: F.regexp_replace(F.regexp_replace(c, "^(?:mailto:|https?://)", ""), "/$", "")
-    held = _children(rows).filter("said IS NOT NULL").select("root", F.col("parent").alias("node"), "said")
-    j = rows.join(held, ["root", "node"], "left")
-    as_text = (F.col("kind") == "link") & (bare(F.trim("said")) == bare(F.col("url")))
-    j = j.withColumns({"now": F.when(as_text, F.lit("text")).otherwise(F.col("kind")), "as_text": F.coalesce(as_text, F.lit(False))})
-    gone = j.filter("as_text").select("root", F.col("node").alias("parent"))
-    kept = j.select("root", "node", "parent", "key", F.col("now").alias("kind"), F.when(F.col("as_text"), F.trim("said")).otherwise(F.col("text")).alias("text"), F.when(~F.col("as_text"), F.col("url")).alias("url"))
-    return kept.join(gone, ["root", "parent"], "left_anti").select(*COLUMNS)
-
-
-def bold_outside(rows: DataFrame) -> DataFrame:
+    bare = lambda x: _LAST_SLASH.sub("", _SCHEME.sub("", x))
+    changed = False
+    for node in [n for held in piece.values() for n in held if n[_KIND] == "link" and n[_URL] is not None]:
+        held = piece.get(node[_NAME])
+        if held and all(n[_KIND] == "text" for n in held):
+            said = "".join(n[_TEXT] or "" for n in held).strip(" ")
+            if bare(said) == bare(node[_URL]):
+                node[_KIND:] = "text", said, None
+                del piece[node[_NAME]]
+                changed = True
+    return changed
+
+
+def bold_outside(piece: Piece) -> bool:
     """Italic around nothing but one bold node becomes bold around italic."""
-    lone = _children(rows).filter("n = 1 AND lone_kind = 'bold'").select("root", F.col("parent").alias("node"), "lone")
-    outer = rows.filter("kind = 'italic'").join(lone, ["root", "node"]).select("root", "node", "lone")
-    turned = outer.select("root", "node", F.lit("bold").alias("as_kind")).union(outer.select("root", F.col("lone").alias("node"), F.lit("italic")))
-    return rows.join(turned, ["root", "node"], "left").withColumn("kind", F.coalesce("as_kind", "kind")).select(*COLUMNS)
+    turned = []
+    for node in [n for held in piece.values() for n in held if n[_KIND] == "italic"]:
+        held = piece.get(node[_NAME], ())
+        if len(held) == 1 and held[0][_KIND] == "bold":
+            turned.append((node, held[0]))
+    for outer, inner in turned:
+        outer[_KIND], inner[_KIND] = "bold", "italic"
+    return bool(turned)
 
 
-def nested_once(rows: DataFrame) -> DataFrame:
+def nested_once(piece: Piece) -> bool:
     """Bold right inside bold, and italic right inside italic, says nothing more: what it holds stands in its place."""
-    marks = rows.filter("kind IN ('bold', 'italic')")
-    above = marks.select("root", F.col("node").alias("parent"), F.col("kind").alias("above"))
-    inner = marks.join(above, ["root", "parent"]).filter("kind = above").select("root", "node", "parent", "key")
-    # of nested ones only the outermost goes in a round
-    inner = inner.join(inner.select("root", F.col("node").alias("parent")), ["root", "parent"], "left_anti")
-    into = inner.select("root", F.col("node").alias("parent"), F.col("parent").alias("into"), F.col("key").alias("from_key"))
-    r = rows.join(inner.select("root", "node"), ["root", "node"], "left_anti").join(into, ["root", "parent"], "left")
-    return r.withColumns({"key": F.when(F.col("into").isNotNull(), F.concat("from_key", "key")).otherwise(F.col("key")), "parent": F.coalesce("into", "parent")}).select(*COLUMNS)
+    marks = {n[_NAME]: n[_KIND] for held in piece.values() for n in held if n[_KIND] in ("bold", "italic")}
+    changed = False
+    for parent, kind in marks.items():
+        held = piece.get(parent, ())
+        if any(n[_KIND] == kind and n[_NAME] != parent for n in held):
+            piece[parent] = [x for n in held for x in (piece.pop(n[_NAME], ()) if n[_KIND] == kind and n[_NAME] != parent else (n,))]
+            changed = True
+    return changed
 
 
-def joined(rows: DataFrame) -> DataFrame:
+def joined(piece: Piece) -> bool:
     """Neighbours of one kind are one: texts are put together, and of bold, italic and links to one address the first takes what the
     next ones hold."""
-    like = F.struct("kind", F.coalesce("url", F.lit("")))
-    joins = F.col("kind").isin("text", "bold", "italic", "link")
-    again = joins & F.coalesce(F.lag(like).over(_siblings()) == like, F.lit(False))
-    r = rows.withColumn("again", again)
-    r = r.withColumn("run", F.sum(F.when(F.col("again"), 0).otherwise(1)).over(_siblings().rowsBetween(Window.unboundedPreceding, 0)))
-    run = Window.partitionBy(*_OF, "run")
-    r = r.withColumns({"first": F.first("node").over(run.orderBy("key", "node")), "alike": F.count("*").over(run)})
-    texts = r.filter("kind = 'text' AND alike > 1").groupBy(*_OF, "run").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", "node", "text"))), lambda x: x["text"]), "").alias("whole"))
-    kept = r.filter("NOT again").join(texts, [*_OF, "run"], "left").withColumn("text", F.coalesce("whole", "text")).select(*COLUMNS)
-    # order keys of what moves begin with the place of the node it moves from
-    moved = r.filter("alike > 1 AND kind <> 'text'").select("root", F.col("node").alias("parent"), F.col("first").alias("into"), F.col("key").alias("from_key"))
-    m = kept.join(moved, ["root", "parent"], "left")
-    return m.withColumns({"key": F.when(F.col("into").isNotNull(), F.concat("from_key", "key")).otherwise(F.col("key")), "parent": F.coalesce("into", "parent")}).select(*COLUMNS)
-
-
-def without_empty(rows: DataFrame) -> DataFrame:
+    changed = False
+    for parent in list(piece):
+        held = piece.get(parent, ())
+        like = [(n[_KIND], n[_URL] or "") for n in held]
+        if not any(a == b and a[0] in ("text", "bold", "italic", "link") for a, b in zip(like, like[1:], strict=False)):
+            continue
+        changed, kept, at = True, [], 0
+        while at < len(held):
+            first, end = held[at], at + 1
+            while end < len(held) and like[end] == like[at] and first[_KIND] in ("text", "bold", "italic", "link"):
+                end += 1
+            if end - at > 1 and first[_KIND] == "text":
+                first[_TEXT] = "".join(n[_TEXT] or "" for n in held[at:end])
+            elif end - at > 1:
+                taken = [x for n in held[at:end] for x in piece.pop(n[_NAME], ())]
+                if taken:
+                    piece[first[_NAME]] = taken
+            kept.append(first)
+            at = end
+        piece[parent] = kept
+    return changed
+
+
+def without_empty(piece: Piece) -> bool:
     """Empty texts go, so do empty anchors, and bold, italic and links that hold nothing."""
-    holds = rows.select("root", F.col("parent").alias("node")).distinct().withColumn("holds", F.lit(True))
-    j = rows.join(holds, ["root", "node"], "left")
-    empty = ((F.col("kind") == "text") & (F.coalesce("text", F.lit("")) == "")) | ((F.col("kind") == "html") & F.col("text").rlike(r"""(?i)^<a\s+(?:id|name)=["'][^"']*["']\s*(?:/>|>\s*</a>)$"""))
-    empty = empty | (F.col("kind").isin("bold", "italic", "link") & F.col("holds").isNull())
-    return j.filter(~empty).select(*COLUMNS)
+
+    def empty(n: Node) -> bool:
+        kind = n[_KIND]
+        if kind == "text":
+            return not n[_TEXT]
+        if kind == "html":
+            return n[_TEXT] is None or _ANCHOR.search(n[_TEXT]) is not None
+        return kind in ("bold", "italic", "link") and not piece.get(n[_NAME])
+
+    changed = False
+    for parent in list(piece):
+        kept = [n for n in piece[parent] if not empty(n)]
+        if len(kept) < len(piece[parent]):
+            changed = True
+            piece[parent] = kept
+    return changed
 
 
 RULES = (without_empty, own_addresses, bold_outside, nested_once, joined)
 
 
-def normalised(rows: DataFrame, rules=RULES) -> DataFrame:
-    """rows (root, node, parent, key, kind, text, url) in normal form; root tells one piece of content from another, parent is '' at its
-    top. The order of the rules makes no difference to the result. Nulls: a node without a parent is at the top."""
-    r = rows.select("root", "node", F.coalesce("parent", F.lit("")).alias("parent"), F.array(F.col("ord").cast("int")).alias("key"), "kind", F.col("text").cast("string").alias("text"), F.col("url").cast("string").alias("url"))
-    r = written(decoded(r), "inline")
-    seen = _state(r)
-    while True:
-        for rule in rules:
-            r = written(rule(r), "inline")  # a rule reads its rows several times
-        now = _state(r)
-        if now == seen:
-            return r
-        seen = now
+def _settled(piece: Piece, rules) -> None:
+    while any([rule(piece) for rule in rules]):  # every rule of a round, also after one that changed something
+        pass
 
 
-def _state(rows: DataFrame):
-    """Changes whenever a round changes anything: rows, kinds, places and texts."""
-    return rows.agg(F.count("*"), F.sum(F.xxhash64("root", "node", "parent", "kind", "text", "url").cast("decimal(38,0)"))).first()
+def normalised(rows: DataFrame, rules=RULES) -> DataFrame:
+    """rows (root, node, parent, ord, kind, text, url) in normal form, with ``key``, the place among siblings, for ord; root tells one
+    piece of content from another, parent is '' at its top. The order of the rules makes no difference to the result. Nulls: a node
+    without a parent is at the top. A task holds one piece at a time."""
+    r = rows.select("root", "node", F.coalesce("parent", F.lit("")).alias("parent"), F.col("ord").cast("int").alias("ord"), "kind", F.col("text").cast("string").alias("text"), F.col("url").cast("string").alias("url"))
+    r = decoded(r).repartition(shuffle_partitions(rows.sparkSession), "root").sortWithinPartitions("root", "parent", "ord", "node").drop("ord")
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        piece, root, of_root, out = {}, None, None, []
+
+        def settle() -> None:
+            _settled(piece, rules)
+            out.extend((root, n[_NAME], parent, k, *n[_KIND:]) for parent, held in piece.items() for k, n in enumerate(held))
+
+        def made():
+            columns = list(zip(*out, strict=True)) if out else [()] * len(COLUMNS)
+            arrays = [pa.array(c, of_root if k == 0 else pa.int32() if k == 3 else pa.string()) for k, c in enumerate(columns)]
+            arrays[3] = pa.ListArray.from_arrays(pa.array(range(len(out) + 1), pa.int32()), arrays[3])
+            out.clear()
+            return pa.RecordBatch.from_arrays(arrays, COLUMNS)
+
+        for batch in batches:
+            of_root = batch.schema.field(0).type
+            texts = (c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns[1:])
+            for of, node, parent, kind, said, url in zip(batch.column(0).to_pylist(), *texts, strict=True):
+                if of != root and piece:
+                    settle()
+                    piece = {}
+                root = of
+                piece.setdefault(parent, []).append([node, kind, said, url])
+            yield made()
+        if piece:
+            settle()
+            yield made()
+
+    schema = f"root {rows.schema['root'].dataType.simpleString()}, node string, parent string, key array<int>, kind string, text string, url string"
+    return written(bounded_batches(r).mapInArrow(run, schema), "inline")
 
 
 def as_text(rows: DataFrame) -> DataFrame:

@@ -57,3 +57,23 @@ def test_marks_nest_to_any_depth(spark):
     rows = spark.createDataFrame(list(rows_of(1, [deep])), ROWS)
     assert inline.as_text(inline.normalised(rows)).first()["said"] == "**_x_**"
     assert inline.normalised(rows.limit(0)).count() == 0 and inline.as_text(inline.normalised(rows.limit(0))).count() == 0
+
+
+def test_pieces_are_dealt_once_however_many_rounds(spark, monkeypatch):
+    """One written table whatever the nesting; places tell siblings' order, and pieces that a batch cuts in two stay whole."""
+    deep = T("x")
+    for k in range(9):
+        deep = B(deep) if k % 3 else I(deep)
+    rows = spark.createDataFrame([r for i in range(40) for r in rows_of(i, [T("a"), deep, T("b"), T("c")])], ROWS)
+    calls = []
+    keep = inline.written
+    monkeypatch.setattr(inline, "written", lambda df, name: calls.append(name) or keep(df, name))
+    monkeypatch.setitem(inline.normalised.__globals__, "bounded_batches", lambda df: df)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        got = inline.normalised(rows)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert calls == ["inline"]
+    tops = [(r["root"], r["key"], r["kind"], r["text"]) for r in got.filter("parent = ''").orderBy("root", "key").collect()]
+    assert tops == [x for i in range(40) for x in ((i, [0], "text", "a"), (i, [1], "bold", None), (i, [2], "text", "bc"))]
