@@ -86,12 +86,13 @@ def _nodes(blocks: DataFrame, rules: DataFrame, plan: DataFrame) -> DataFrame:
     b = blocks.withColumns({"node": name_of(path), "parent": name_of(F.slice(path, F.lit(1), F.size(path) - 1)), "key": F.slice(path, -1, 1), "depth": F.size(path)})
     of_components = ["page_id", "node", "platform", "name", "props", "style_deps", "expressions", "signature"]
     d = decided(b.filter("kind = 'component'").select(of_components), rules, plan).select("page_id", "node", "act", "reason", "rule")
-    b = b.join(d, ["page_id", "node"], "left")
+    # what blocks are made of may be far smaller than they are, so sizes are no ground to send a table of them through the driver
+    b = b.join(d.hint("merge"), ["page_id", "node"], "left")
     steps = b.filter("act = 'handler' AND rule.r_handler = 'list-to-steps'").select("page_id", F.col("node").alias("parent"))
-    ordered = b.filter((F.col("kind") == "list") & (F.try_element_at("props", F.lit("ordered")) == "true")).join(steps, ["page_id", "parent"])
+    ordered = b.filter((F.col("kind") == "list") & (F.try_element_at("props", F.lit("ordered")) == "true")).join(steps.hint("merge"), ["page_id", "parent"])
     lists = ordered.groupBy("page_id", "parent").agg(F.min_by("node", "key").alias("node")).select("page_id", "node", F.lit("unwrap").alias("as_step"))
-    items = b.filter("kind = 'listItem'").join(lists.select("page_id", F.col("node").alias("parent")), ["page_id", "parent"]).select("page_id", "node", F.lit("item-to-step").alias("as_step"))
-    b = b.join(lists.union(items), ["page_id", "node"], "left")
+    items = b.filter("kind = 'listItem'").join(lists.select("page_id", F.col("node").alias("parent")).hint("merge"), ["page_id", "parent"]).select("page_id", "node", F.lit("item-to-step").alias("as_step"))
+    b = b.join(lists.union(items).hint("merge"), ["page_id", "node"], "left")
     act = F.when(F.col("as_step") == "unwrap", "unwrap").when(F.col("as_step").isNotNull(), "handler").otherwise(F.col("act"))
     return b.withColumns({"act": act, "handler": F.coalesce("as_step", "rule.r_handler"), "rule_id": F.col("rule.r_rule_id")}).drop("as_step")
 
@@ -101,7 +102,7 @@ def _fates(carry: DataFrame, here: DataFrame) -> DataFrame:
     (beneath a node the handler adds), open (transparent: its children stand in its place) or a name they take."""
     told = here.select("page_id", F.col("node").alias("parent"), "act", "handler", F.col("props").alias("own"), F.col("key").alias("above_key"), F.col("parent").alias("above"))
     among = Window.partitionBy("page_id", "parent")
-    c = carry.join(told, ["page_id", "parent"])
+    c = carry.join(told.hint("merge"), ["page_id", "parent"])
     c = c.withColumns({"pos": F.row_number().over(among.orderBy("key", "node")), "n": F.count("*").over(among), "lead_kind": F.first("kind").over(among.orderBy("key", "node"))})
     c = c.withColumn("image_pos", F.min(F.when(F.col("kind") == "image", F.col("pos"))).over(among))
     said, kind, h = F.trim(F.coalesce("text", F.lit(""))) != "", F.col("kind"), F.col("handler")
@@ -270,7 +271,7 @@ def _emitted(nodes: DataFrame, value_maps: dict[str, str]) -> DataFrame:
 def _opened(rows: DataFrame) -> DataFrame:
     """rows without those of kind ``open``; their children stand in their place."""
     opened = rows.filter("kind = 'open'").select("page_id", F.col("node").alias("parent"), F.col("parent").alias("open_parent"), F.col("key").alias("open_key"))
-    r = rows.filter("kind <> 'open'").join(opened, ["page_id", "parent"], "left")
+    r = rows.filter("kind <> 'open'").join(opened.hint("merge"), ["page_id", "parent"], "left")
     return r.withColumns({"key": F.when(F.col("open_key").isNotNull(), F.concat("open_key", "key")).otherwise(F.col("key")), "parent": F.coalesce("open_parent", "parent")}).drop("open_key", "open_parent")
 
 
@@ -292,7 +293,7 @@ def converted(blocks: DataFrame, rules: DataFrame, plan: DataFrame, value_maps:
             out = _emitted(here.withColumns({"n": F.lit(0), "n_columns": F.lit(0), "children_say": F.lit(False), "lead": F.lit(None).cast("struct<kind:string,text:string,level:int,bold:boolean,url:string>"), "image_url": F.lit(None).cast("string"), "said": F.lit("")}), value_maps or {})
         else:
             c = written(_fates(carry, here), "children")
-            about = here.join(_summary(c), ["page_id", "node"], "left").fillna({"n": 0, "n_columns": 0, "children_say": False, "said": ""})
+            about = here.join(_summary(c).hint("merge"), ["page_id", "node"], "left").fillna({"n": 0, "n_columns": 0, "children_say": False, "said": ""})
             out = _emitted(about, value_maps or {}).unionByName(_children(c))
         out = written(out, "level")
         carry = out.filter("up").drop("up")
@@ -313,7 +314,7 @@ def dispositions(blocks: DataFrame, rules: DataFrame, plan: DataFrame) -> DataFr
     ends = n.filter("act IN ('drop', 'quarantine')").select("page_id", F.col("path").alias("prefix"), F.struct(F.size("path").alias("at"), F.when(F.col("act") == "drop", "excluded").otherwise("quarantined").alias("how"), F.coalesce("reason", F.concat(F.lit("dropped by "), "rule_id")).alias("why")).alias("end"))
     prefixes = F.transform(F.sequence(F.lit(1), F.size("path")), lambda k: F.slice("path", F.lit(1), k))
     # the uppermost end holds: what it takes is never looked at again
-    met = n.select("page_id", "node", F.explode(prefixes).alias("prefix")).join(ends, ["page_id", "prefix"]).groupBy("page_id", "node").agg(F.min("end").alias("end"))
+    met = n.select("page_id", "node", F.explode(prefixes).alias("prefix")).join(ends.hint("merge"), ["page_id", "prefix"]).groupBy("page_id", "node").agg(F.min("end").alias("end"))
     to = F.coalesce(F.map_values("rule.r_to_props"), F.array().cast(_STRINGS))
     copied = F.transform(F.filter(to, lambda v: v.startswith("$")), lambda v: F.regexp_replace(v, r"^\$(?:map\()?([\w-]+)\)?$", "$1"))
     reads = F.create_map(*[x for k, v in READS.items() for x in (F.lit(k), F.array(*map(F.lit, v)).cast(_STRINGS))])
@@ -322,4 +323,4 @@ def dispositions(blocks: DataFrame, rules: DataFrame, plan: DataFrame) -> DataFr
     lossy = F.array_sort(F.array_except(F.map_keys(F.map_filter("props", lambda k, v: v.isNotNull())), used))
     is_component = F.col("act").isNotNull() & F.col("end").isNull()
     how = F.coalesce("end.how", F.when(F.col("act").isNotNull(), "transformed").otherwise("identical"))
-    return n.join(met, ["page_id", "node"], "left").select("page_id", "node", how.alias("disposition"), F.coalesce("end.why", F.when(is_component, F.coalesce("rule_id", "reason"))).alias("reason"), F.when(is_component & (F.col("act") != "preserve"), lossy).otherwise(F.array().cast(_STRINGS)).alias("lossy"))
+    return n.join(met.hint("merge"), ["page_id", "node"], "left").select("page_id", "node", how.alias("disposition"), F.coalesce("end.why", F.when(is_component, F.coalesce("rule_id", "reason"))).alias("reason"), F.when(is_component & (F.col("act") != "preserve"), lossy).otherwise(F.array().cast(_STRINGS)).alias("lossy"))

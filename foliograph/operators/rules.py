@@ -20,7 +20,7 @@ def matched(components: DataFrame, rules: DataFrame) -> DataFrame:
     both = components.join(r, components["name"] == F.col("r_name")).filter(F.coalesce(fits, F.lit(False)))
     rest = [c for c in both.columns if c not in ("page_id", "node_id", *components.columns)]
     best = both.groupBy("page_id", "node_id").agg(F.min_by(F.struct(*rest), F.struct((F.col("r_platform") == "*").cast("int"), F.col("r_ord"))).alias("rule"))
-    return components.join(best, ["page_id", "node_id"], "left")
+    return components.join(best.hint("merge"), ["page_id", "node_id"], "left")
 
 
 def applied(found: DataFrame) -> DataFrame:

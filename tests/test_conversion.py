@@ -254,3 +254,11 @@ def test_dispositions(spark):
 def test_empty_and_nulls(spark, rows):
     got = cv.converted(spark.createDataFrame(rows, BLOCKS), spark.createDataFrame([], cv.RULES), spark.createDataFrame([], cv.PLAN)).collect()
     assert [(r["page_id"], r["path"], r["text"]) for r in got] == ([(1, [0], "x")] if rows else [])
+
+
+def test_no_table_of_blocks_is_broadcast(spark):
+    """Small or well packed files say nothing of how many blocks they hold; only rules and plans go through the driver."""
+    from foliograph.plans import tree_queries
+
+    plan = tree_queries.component_dispositions(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
