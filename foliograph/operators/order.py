@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.window import Window
 
-from foliograph.workspace import shuffle_partitions, written
+from foliograph.workspace import bounded_batches, shuffle_partitions, written
 
 
 def placed(rows: DataFrame, *order: str) -> DataFrame:
@@ -85,16 +86,28 @@ def carried(rows: DataFrame, group: list[str], order: list[str], value: Column,
 def parents_by_indent(rows: DataFrame, group: list[str], order: str, indent: str) -> DataFrame:
     """Rows with ``parent``: the order of the nearest earlier row of the group that is indented less, null at the top.
 
-    A fold over each group's rows with a stack of open levels, so it is one pass however deep the outline is."""
-    rest = [c for c in rows.columns if c not in (*group, order, indent)]
-    got = rows.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(indent).alias("i"), *rest))).alias("rs"))
-    none = F.array().cast("array<struct<o:bigint,i:bigint>>")
-
-    def step(acc, x):
-        left = F.filter(acc["stack"], lambda s: s["i"] < x["i"])
-        parent = F.when(F.size(left) > 0, F.element_at(left, -1)["o"])
-        return F.struct(F.array_append(left, F.struct(x["o"].cast("bigint").alias("o"), x["i"].cast("bigint").alias("i"))).alias("stack"), F.array_append(acc["out"], parent).alias("out"))
-
-    folded = F.aggregate("rs", F.struct(none.alias("stack"), F.array().cast("array<bigint>").alias("out")), step)["out"]
-    z = got.select(*group, F.explode(F.arrays_zip(F.col("rs"), folded.alias("parent"))).alias("z"))
-    return z.select(*group, F.col("z.rs.o").alias(order), F.col("z.rs.i").alias(indent), *[F.col(f"z.rs.{c}").alias(c) for c in rest], F.col("z.parent").alias("parent"))
+    Groups are dealt to tasks and sorted; a task passes over its rows once with the open levels alone in memory, however deep the
+    outline is and however many rows a group has."""
+    of = [f"__of{k}" for k in range(len(group))]
+    r = rows.withColumns(dict(zip(of, (F.col(c) for c in group), strict=True))).withColumns({"__o": F.col(order).cast("bigint"), "__i": F.col(indent).cast("bigint")})
+    parted = r.repartition(shuffle_partitions(rows.sparkSession), *of).sortWithinPartitions(*of, "__o")
+    kept = [*group, order, indent, *(c for c in rows.columns if c not in (*group, order, indent))]
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, stack = None, []
+        for batch in batches:
+            keys = zip(*(batch.column(c).to_pylist() for c in of), strict=True)
+            parents = []
+            for key, o, i in zip(keys, batch.column("__o").to_pylist(), batch.column("__i").to_pylist(), strict=True):
+                if key != now:
+                    now, stack = key, []
+                while stack and (i is None or stack[-1][1] is None or stack[-1][1] >= i):
+                    stack.pop()
+                parents.append(stack[-1][0] if stack else None)
+                stack.append((o, i))
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(parents, pa.int64())], [*kept, "parent"])
+
+    schema = StructType([*(rows.schema[c] for c in kept), StructField("parent", LongType())])
+    return bounded_batches(parted).mapInArrow(run, schema)

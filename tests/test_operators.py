@@ -160,3 +160,18 @@ def test_links_in_all_spellings(spark):
     html = """<a href="/a">1</a><A class=x HREF='/b?x=1&amp;y=2'>2</A><a  href=c/d#e>3</a><a data-href="/no">4</a><a href="">5</a><a href = "f">6</a>"""
     pages = spark.createDataFrame([(1, "https://x.example/p/", html), (2, "https://x.example/q", None)], "page_id long, url string, html string")
     assert [r["href"] for r in links.links(pages).orderBy("pos").collect()] == ["/a", "/b?x=1&y=2", "c/d#e", "", "f"]
+
+
+def test_parents_by_indent_holds_no_group(spark):
+    """Groups are passed over, never collected; the open levels go from one batch to the next, and two groups don't mix."""
+    rows = [(g, k, (k * 7 + g) % 5) for g in range(3) for k in range(50)]
+    df = spark.createDataFrame([*rows, (3, 0, None), (3, 1, 2), (None, 0, 1), (None, 1, 2)], "g int, o long, i long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        got = order.parents_by_indent(df, ["g"], "o", "i")
+        assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+        found = {(r["g"], r["o"]): r["parent"] for r in got.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = {(g, k): max((o for h, o, j in rows if h == g and o < k and j < i), default=None) for g, k, i in rows}
+    assert found == want | {(3, 0): None, (3, 1): None, (None, 0): None, (None, 1): 0}
