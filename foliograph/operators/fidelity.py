@@ -48,20 +48,28 @@ def first_differences(first: DataFrame, second: DataFrame) -> DataFrame:
 
 def running_order(segments: Column, rendered: Column) -> Column:
     """A struct (in_order, moved, absent, residual): how many of the segments follow one another in the rendered text, how many are
-    elsewhere in it, how many nowhere, and how many of its characters lie between them. One pass; null arrays have no segments."""
+    elsewhere in it, how many nowhere, and how many of its characters lie between them. One pass; null arrays have no segments, null
+    texts and null segments no counts. Searches start where the last one ended instead of counting characters from the text's
+    beginning. An empty segment is found at the beginning, and the search goes on from there."""
 
-    def step(at: Column, s: Column) -> Column:
-        found = F.call_function("locate", s, rendered, at["cursor"])
-        follows = found > 0
-        moved = ~follows & rendered.contains(s)
-        one = lambda c: c.cast("int")
-        return F.struct(
-            F.when(follows, found + F.length(s)).otherwise(at["cursor"]).alias("cursor"),
-            (at["in_order"] + one(follows)).alias("in_order"),
-            (at["moved"] + one(moved)).alias("moved"),
-            (at["absent"] + one(~follows & ~moved)).alias("absent"),
-            (at["residual"] - F.when(follows, F.length(s)).otherwise(0)).alias("residual"),
-        )
+    @F.udf(returnType="struct<in_order:int,moved:int,absent:int,residual:int>", useArrow=True)
+    def in_order_of(segments, rendered):
+        if not segments:
+            return (0, 0, 0, None if rendered is None else len(rendered))
+        if rendered is None:
+            return (None, None, None, None)
+        at = in_order = moved = absent = taken = 0
+        for s in segments:
+            if s is None:
+                continue
+            found = rendered.find(s, at) if s else 0
+            if found >= 0:
+                at, in_order, taken = found + len(s), in_order + 1, taken + len(s)
+            elif rendered.find(s, 0, at + len(s) - 1) >= 0:
+                moved += 1
+            else:
+                absent += 1
+        counts = (None, None, None) if None in segments else (in_order, moved, absent)
+        return (*counts, len(rendered) - taken)
 
-    start = F.struct(F.lit(1).alias("cursor"), *[F.lit(0).alias(c) for c in ("in_order", "moved", "absent")], F.length(rendered).alias("residual"))
-    return F.aggregate(F.coalesce(segments, F.array().cast("array<string>")), start, step, lambda at: at.dropFields("cursor"))
+    return in_order_of(segments, rendered)

@@ -8,7 +8,7 @@ from foliograph.functions import urls
 from foliograph.operators import contract, fidelity, masking, routing, sites
 from foliograph.plans import gates
 from foliograph.plans.operator_queries import TREE
-from foliograph.workspace import table
+from foliograph.workspace import bounded_batches, table
 
 
 def _losses(spark):
@@ -48,7 +48,7 @@ def gate_source_content(spark, d):
 
 def running_order(spark, d):
     """Each turn's words against the turn itself, and for odd turns against its words in reverse."""
-    c = table(spark, d, "conversations")
+    c = bounded_batches(table(spark, d, "conversations"))
     words = F.split(F.coalesce("text", F.lit("")), " ")
     rendered = F.when(F.col("turn") % 2 == 1, F.array_join(F.reverse(words), " ")).otherwise(F.array_join(words, " "))
     got = c.select("conv_id", "turn", fidelity.running_order(F.concat(words, F.array(F.lit("\x01"))), rendered).alias("o"))

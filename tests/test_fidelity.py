@@ -38,6 +38,16 @@ def test_running_order_against_a_plain_scan(spark):
     assert tuple(none.select(fidelity.running_order(F.col("segments"), F.col("rendered")).alias("o")).first()["o"]) == (0, 0, 0, 3)
 
 
+def test_running_order_searches_on_from_the_last_hit(spark):
+    """No fold that counts characters from the text's beginning for every segment; empty and null segments as stated."""
+    rows = [(0, ["é𝄞", "b"], "aé𝄞bb"), (1, ["a", "", "a"], "ab"), (2, ["a", None], "ab"), (3, ["a"], None), (4, [], None), (5, ["b", "a", "z"], "ab")]
+    df = spark.createDataFrame(rows, "k int, segments array<string>, rendered string")
+    got = df.select("k", fidelity.running_order(F.col("segments"), F.col("rendered")).alias("o"))
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    want = [(2, 0, 0, 2), (3, 0, 0, 0), (None, None, None, 1), (None, None, None, None), (0, 0, 0, None), (1, 1, 1, 1)]
+    assert [tuple(r["o"]) for r in got.orderBy("k").collect()] == want
+
+
 def test_losses_and_first_difference(spark):
     rows = [
         (1, 0, [0], "Frame", "component", None, {"icon": "a"}),
