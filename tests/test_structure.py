@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
-from foliograph.operators import assets, navigation, specs
+from foliograph import workspace
+from foliograph.operators import assets, navigation, redirects, specs
 from foliograph.plans import structure_queries
 
 
@@ -110,3 +111,27 @@ def test_cycles_of_aliases_end_in_their_smallest_name(spark):
         rows = [("b", "c"), ("c", "d"), ("d", "b"), ("in", "c"), ("one", "two"), ("two", "end")] + [(f"e{k}", f"e{k + 1}") for k in range(extra)]
         got = {r["alias"]: r["canonical"] for r in redirects.aliases_closed(spark.createDataFrame(rows, "alias string, target string")).collect()}
         assert {k: got[k] for k in ("b", "c", "d", "in", "one", "two")} == {"b": "b", "c": "b", "d": "b", "in": "b", "one": "end", "two": "end"}
+
+
+def test_an_alias_of_many_is_followed_in_all_tasks(spark, monkeypatch):
+    """Rows that share a target don't meet in one task, whatever may be broadcast for its size."""
+    largest = []
+
+    def written(df, *more, **how):
+        out = workspace.written(df.withColumn("part", F.spark_partition_id()), *more, **how)
+        sizes = [r["count"] for r in out.groupBy("part").count().collect()]
+        largest.append(max(sizes, default=0))
+        return out.drop("part")
+
+    monkeypatch.setattr(redirects, "written", written)
+    settings = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        a = spark.range(1, 8_001).selectExpr("id AS alias", "if(id < 3, id - 1, 2) AS target")
+        got = redirects.aliases_closed(a).groupBy("canonical").count()
+        assert rows(got) == [(0, 8_000)] and max(largest) <= 4_000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
