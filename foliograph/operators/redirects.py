@@ -63,28 +63,28 @@ def chains(rules: DataFrame) -> DataFrame:
     return rules.withColumnRenamed("destination", "via").join(onward, "via").filter("onward <> via").select("source", "via", F.col("onward").alias("destination"))
 
 
-def _jumps(steps: DataFrame, name: str, key: str, to: str) -> DataFrame:
-    """steps (key, to) followed all at once, twice as far in each round, until no round changes which places are reached: then each key
-    that still goes on has got round to a cycle. Paths that end are gone. No number of rounds is set; a path of n steps takes log2(n)."""
-    jump = written(steps, name)
-    before = None
-    while True:
-        now = jump.agg(F.count("*").alias("keys"), F.count_distinct(to).alias("ends"), F.sum(F.xxhash64(key).cast("decimal(38,0)")).alias("sum")).first()
-        if now == before:
-            # no path has ended in this round and no place was left: keys that lead into cycles alone remain
-            return jump
-        before = now
-        onward = jump.select(F.col(key).alias(to), F.col(to).alias("next"))
-        jump = written(jump.join(onward, to).select(key, F.col("next").alias(to)), name)
+def _circular(steps: DataFrame) -> DataFrame:
+    """The steps (source, destination; each source once) joined up to jumps, of those sources that lie on cycles.
+
+    All are followed at once, twice as far in each round. A source that nothing leads to any more, or whose path has ended, lies on no
+    cycle and moves no further. Once a round loses none, the jumps map what is left onto itself: cycles alone. No number of rounds is
+    set; a path of n steps takes log2(n)."""
+    jump = written(steps, "steps")
+    n = jump.count()
+    while n:
+        reached = jump.select(F.col("destination").alias("source")).distinct()
+        onward = jump.select(F.col("source").alias("destination"), F.col("destination").alias("next"))
+        led_to = jump.join(reached.hint("merge"), "source", "left_semi")
+        jump = written(led_to.join(onward.hint("merge"), "destination").select("source", F.col("next").alias("destination")), "steps")
+        before, n = n, jump.count()
+        if n == before:
+            break
+    return jump
 
 
 def loops(rules: DataFrame) -> DataFrame:
-    """source: routes that lie on a cycle of redirects (one destination each: the smallest).
-
-    Follows all rules at once, doubling the distance in each round; once neither the number of sources nor that of distinct
-    destinations falls in a round, every destination lies on a cycle."""
-    step = rules.groupBy("source").agg(F.min("destination").alias("destination"))
-    return _jumps(step, "steps", "source", "destination").select(F.col("destination").alias("source")).distinct()
+    """source: routes that lie on a cycle of redirects (one destination each: the smallest)."""
+    return _circular(rules.groupBy("source").agg(F.min("destination").alias("destination"))).select("source")
 
 
 def missing_targets(rules: DataFrame, routes: DataFrame) -> DataFrame:

@@ -135,3 +135,27 @@ def test_an_alias_of_many_is_followed_in_all_tasks(spark, monkeypatch):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_loops_leave_behind_what_leads_into_them(spark, monkeypatch):
+    """Sources that nothing leads to, and those whose paths end, aren't carried through the rounds."""
+    n, sizes = 2_000, []
+
+    def written(df, *more, **how):
+        out = workspace.written(df, *more, **how)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(redirects, "written", written)
+    step = {i: (i * i + 7 * i + 3) % n for i in range(n) if i % 97}
+    got = redirects.loops(spark.createDataFrame([(str(a), str(b)) for a, b in step.items()], "source string, destination string"))
+
+    def circular(at):
+        to = step.get(at)
+        for _ in range(n):
+            if to is None or to == at:
+                return to == at
+            to = step.get(to)
+
+    assert rows(got) == rows(spark.createDataFrame([(str(i),) for i in step if circular(i)], "source string"))
+    assert sum(sizes) < 2 * len(step)
