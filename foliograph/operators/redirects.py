@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions import urls
+from foliograph.operators.lookups import by_hot_keys
 from foliograph.workspace import written
 
 
@@ -104,17 +105,6 @@ def shadowed(rules: DataFrame, wildcard_rules: DataFrame) -> DataFrame:
     return met.filter(outcome != F.col("destination")).select("source", "by")
 
 
-def _followed(rows: DataFrame, steps: DataFrame) -> DataFrame:
-    """rows (target, ...) with what steps (target, ..., each target once) say of their targets, or nulls. Targets that many rows share,
-    fewer than 1,024, are looked up by broadcast where those rows are, so that no task gets all rows of one target."""
-    most = max(1_000, rows.count() // 1_024)
-    hot = written(rows.groupBy("target").count().filter(F.col("count") > most).select("target", F.lit(True).alias("hot")), "hot")
-    marked = rows.join(F.broadcast(hot), "target", "left")
-    met = marked.filter("hot IS NULL").join(steps.hint("merge"), "target", "left")
-    of_hot = steps.join(F.broadcast(hot.select("target")), "target", "left_semi")
-    return met.union(marked.filter("hot").join(F.broadcast(of_hot), "target", "left")).drop("hot")
-
-
 def aliases_closed(aliases: DataFrame) -> DataFrame:
     """alias, canonical: where each alias ends when aliases of aliases are followed; one that never ends, as it leads into a cycle, has
     the smallest name of that cycle."""
@@ -127,12 +117,12 @@ def aliases_closed(aliases: DataFrame) -> DataFrame:
     for _ in range(rounds):
         known = going.withColumn("ends", F.lit(False)).union(ended.withColumn("ends", F.lit(True)))
         onward = known.select(F.col("alias").alias("target"), F.col("target").alias("next"), F.col("least").alias("lesser"), "ends")
-        moved = _followed(going, onward).select("alias", F.coalesce("next", "target").alias("target"), F.least("least", "lesser").alias("least"), F.coalesce("ends", F.lit(True)).alias("ends"))
+        moved = by_hot_keys(going, onward, "target").select("alias", F.coalesce("next", "target").alias("target"), F.least("least", "lesser").alias("least"), F.coalesce("ends", F.lit(True)).alias("ends"))
         moved = written(moved, "aliases", by=["ends"])
         ended = ended.union(moved.filter("ends").drop("ends"))
         going = moved.filter("NOT ends").drop("ends")
         if not going.take(1):
             break
     # after more steps than there are aliases the target is on the cycle, and all of its cycle has been passed from there
-    of_cycle = _followed(going.select("alias", "target"), going.select(F.col("alias").alias("target"), F.col("least").alias("canonical")))
+    of_cycle = by_hot_keys(going.select("alias", "target"), going.select(F.col("alias").alias("target"), F.col("least").alias("canonical")), "target")
     return ended.select("alias", F.col("target").alias("canonical")).union(of_cycle.select("alias", "canonical"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliograph.operators.lookups import looked_up
+
 RULES = "platform string, ord int, name string, class string, props map<string,string>, to_name string, to_props map<string,string>, children string, drop array<string>"
 
 
@@ -12,15 +14,20 @@ def matched(components: DataFrame, rules: DataFrame) -> DataFrame:
     """components (page_id, node_id, platform, name, props, style_deps) with the first rule that matches, or nulls.
 
     A rule of the component's own platform comes before one of ``*``; then ``ord`` decides. A rule asks for its name, for a class if
-    it has one, and for each property's value; ``any`` takes every value. Rules meet components by name, so the join is on equal keys."""
-    r = rules.select(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
-    wants = F.coalesce(F.map_entries("r_props"), F.array().cast("array<struct<key:string,value:string>>"))
-    has = F.forall(wants, lambda e: F.map_contains_key("props", e["key"]) & ((e["value"] == "any") | (F.element_at("props", e["key"]) == e["value"])))
-    fits = (F.col("r_platform").isin("*") | (F.col("r_platform") == F.col("platform"))) & (F.col("r_class").isNull() | F.array_contains("style_deps", F.col("r_class"))) & has
-    both = components.join(r, components["name"] == F.col("r_name")).filter(F.coalesce(fits, F.lit(False)))
-    rest = [c for c in both.columns if c not in ("page_id", "node_id", *components.columns)]
-    best = both.groupBy("page_id", "node_id").agg(F.min_by(F.struct(*rest), F.struct((F.col("r_platform") == "*").cast("int"), F.col("r_ord"))).alias("rule"))
-    return components.join(best.hint("merge"), ["page_id", "node_id"], "left")
+    it has one, and for each property's value; ``any`` takes every value. A component meets all rules of its name at once, first ones
+    first, and takes the first that fits: components stay where they are, and neither they nor rules are sorted or moved for it."""
+    lowest = F.lit(-(2**31))
+    rank = lambda r: F.struct((r["r_platform"] == "*").cast("int"), F.coalesce(r["r_ord"], lowest))
+    earlier = lambda a, b: F.when(rank(a) < rank(b), -1).when(rank(a) > rank(b), 1).otherwise(0)
+    rule = F.struct(*[F.col(c).alias(f"r_{c}") for c in rules.columns])
+    of_name = rules.filter("name IS NOT NULL").groupBy("name").agg(F.array_sort(F.collect_list(rule), earlier).alias("of_name"))
+
+    def fits(r):
+        wants = F.coalesce(F.map_entries(r["r_props"]), F.array().cast("array<struct<key:string,value:string>>"))
+        has = F.forall(wants, lambda e: F.map_contains_key("props", e["key"]) & ((e["value"] == "any") | (F.element_at("props", e["key"]) == e["value"])))
+        return F.coalesce(((r["r_platform"] == "*") | (r["r_platform"] == F.col("platform"))) & (r["r_class"].isNull() | F.array_contains("style_deps", r["r_class"])) & has, F.lit(False))
+
+    return looked_up(components, of_name, "name").select(*components.columns, F.get(F.filter("of_name", fits), 0).alias("rule"))
 
 
 def applied(found: DataFrame) -> DataFrame:
