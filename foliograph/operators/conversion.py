@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 
 from foliograph.functions import urls
 from foliograph.operators import rules as matching
+from foliograph.operators.lookups import looked_up
 from foliograph.operators.trees import with_paths
 from foliograph.workspace import written
 
@@ -46,9 +47,9 @@ def decided(components: DataFrame, rules: DataFrame, plan: DataFrame) -> DataFra
     the plan names, else the first that matches (the platform's own before general ones); what has none is preserved."""
     p = plan.groupBy("signature").agg(F.min_by(F.struct("status", F.col("reason").alias("plan_reason"), F.col("rule_id").alias("plan_rule")), F.struct("status", "reason", "rule_id")).alias("plan"))
     c = components.withColumnRenamed("node", "node_id")
-    found = matching.matched(c, rules).withColumnRenamed("rule", "first_rule").join(p, "signature", "left")
+    found = looked_up(matching.matched(c, rules).withColumnRenamed("rule", "first_rule"), p, "signature")
     named = rules.select(F.col("rule_id").alias("plan_rule"), F.struct(*[F.col(x).alias(f"r_{x}") for x in rules.columns]).alias("named_rule")).dropDuplicates(["plan_rule"])
-    found = found.withColumn("plan_rule", F.col("plan.plan_rule")).join(named, "plan_rule", "left")
+    found = looked_up(found.withColumn("plan_rule", F.col("plan.plan_rule")), named.filter("plan_rule IS NOT NULL"), "plan_rule")
     first = F.col("first_rule")
     given_up = F.concat(F.coalesce(first["r_drop"], F.array().cast(_STRINGS)), F.coalesce(first["r_drop_expressions"], F.array().cast(_STRINGS)))
     blocking = F.array_sort(F.array_except(F.coalesce("expressions", F.array().cast(_STRINGS)), given_up))
@@ -84,15 +85,16 @@ def _nodes(blocks: DataFrame, rules: DataFrame, plan: DataFrame) -> DataFrame:
     path = F.col("path")
     name_of = lambda p: F.array_join(p, ".")
     b = blocks.withColumns({"node": name_of(path), "parent": name_of(F.slice(path, F.lit(1), F.size(path) - 1)), "key": F.slice(path, -1, 1), "depth": F.size(path)})
-    of_components = ["page_id", "node", "platform", "name", "props", "style_deps", "expressions", "signature"]
-    d = decided(b.filter("kind = 'component'").select(of_components), rules, plan).select("page_id", "node", "act", "reason", "rule")
-    # what blocks are made of may be far smaller than they are, so sizes are no ground to send a table of them through the driver
-    b = b.join(d.hint("merge"), ["page_id", "node"], "left")
+    is_component = F.coalesce(F.col("kind") == "component", F.lit(False))
+    # neither components nor other blocks move for what is decided
+    b = decided(b.filter(is_component), rules, plan).unionByName(b.filter(~is_component), allowMissingColumns=True)
     steps = b.filter("act = 'handler' AND rule.r_handler = 'list-to-steps'").select("page_id", F.col("node").alias("parent"))
     ordered = b.filter((F.col("kind") == "list") & (F.try_element_at("props", F.lit("ordered")) == "true")).join(steps.hint("merge"), ["page_id", "parent"])
     lists = ordered.groupBy("page_id", "parent").agg(F.min_by("node", "key").alias("node")).select("page_id", "node", F.lit("unwrap").alias("as_step"))
     items = b.filter("kind = 'listItem'").join(lists.select("page_id", F.col("node").alias("parent")).hint("merge"), ["page_id", "parent"]).select("page_id", "node", F.lit("item-to-step").alias("as_step"))
-    b = b.join(lists.union(items).hint("merge"), ["page_id", "node"], "left")
+    of_lists = F.coalesce(F.col("kind").isin("list", "listItem"), F.lit(False))
+    told = b.filter(of_lists).join(lists.union(items).hint("merge"), ["page_id", "node"], "left")
+    b = told.unionByName(b.filter(~of_lists), allowMissingColumns=True)
     act = F.when(F.col("as_step") == "unwrap", "unwrap").when(F.col("as_step").isNotNull(), "handler").otherwise(F.col("act"))
     return b.withColumns({"act": act, "handler": F.coalesce("as_step", "rule.r_handler"), "rule_id": F.col("rule.r_rule_id")}).drop("as_step")
 
