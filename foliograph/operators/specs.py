@@ -25,6 +25,8 @@ def references(documents: DataFrame) -> DataFrame:
 
 #: Levels are united into one table whenever so many have been written since the last time.
 _LEVELS = 4
+#: A level of no more documents is sent to the edges; larger ones meet them in a shuffle, whatever their files' size.
+_SENT = 65_536
 
 
 def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -32,20 +34,23 @@ def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
     A level is one join and one write. What has been seen is kept as few tables: when the latest levels have grown to half of what
     was seen before, or are many, all become one, so a level reads what was seen once and not a table for each level before. Edges
-    to what is seen already are found by their target, so a document with many references to it is met by its key alone."""
+    to what is seen already are found by their target, so a document with many references to it is met by its key alone. What is sent
+    through the driver doesn't grow with the tables: levels of at most ``_SENT`` documents, once each."""
     step = written(edges.filter("document <> target").select("document", "target").distinct(), "closure")
     base = written(roots.select("document").distinct().withColumn("depth", F.lit(0)), "closure")
-    level, late, n_base, n_late = base, [], base.count(), 0
+    n_base = n_level = base.count()
+    level, late, n_late = base, [], 0
     for depth in count(1):
-        reached = level.select("document").join(step, "document").select(F.col("target").alias("document")).distinct()
+        few = n_level <= _SENT
+        reached = step.join(F.broadcast(level.select("document")) if few else level.select("document").hint("merge"), "document").select(F.col("target").alias("document")).distinct()
         seen = base
         for part in late:
             seen = seen.union(part)
-        level = written(reached.join(seen.select("document"), "document", "left_anti").withColumn("depth", F.lit(depth)), "closure")
-        n = level.count()
-        if not n:
+        level = written(reached.join(seen.select("document").hint("merge"), "document", "left_anti").withColumn("depth", F.lit(depth)), "closure")
+        n_level = level.count()
+        if not n_level:
             return seen
-        late, n_late = [*late, level], n_late + n
+        late, n_late = [*late, level], n_late + n_level
         if len(late) >= _LEVELS and (2 * n_late >= n_base or len(late) >= 4 * _LEVELS):
             base, n_base, late, n_late = written(seen.union(level), "closure"), n_base + n_late, [], 0
 

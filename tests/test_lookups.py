@@ -1,6 +1,7 @@
 """What many rows share is looked up where they are."""
 
-from foliograph.operators import conversion, lookups, rules
+from foliograph import workspace
+from foliograph.operators import conversion, lookups, rules, specs
 
 
 def plan_of(df):
@@ -35,3 +36,21 @@ def test_hot_keys_and_missing_keys(spark):
     for look in (lookups.by_hot_keys, lookups.looked_up):
         got = {(r["key"], r["what"]): r["count"] for r in look(many, known, "key").groupBy("key", "what").count().collect()}
         assert got[2, "two"] == 3_000 and got[5, "five"] == 1 and got[None, None] == 1_500 and sum(got.values()) == 6_000
+
+
+def test_large_levels_of_a_closure_are_not_sent_through_the_driver(spark, monkeypatch):
+    """What is broadcast has a bound in rows: files may be far smaller than what they hold."""
+    plans = []
+
+    def written(df, *more, **how):
+        plans.append(plan_of(df))
+        return workspace.written(df, *more, **how)
+
+    monkeypatch.setattr(specs, "written", written)
+    edges = spark.range(70_000).selectExpr("id * 2 AS document", "id * 2 + 1 AS target")
+    got = specs.closure(edges, edges.select("document"))
+    assert [tuple(r) for r in got.groupBy("depth").count().orderBy("depth").collect()] == [(0, 70_000), (1, 70_000)]
+    assert len(plans) == 4 and not any("Broadcast" in p for p in plans)
+    plans.clear()
+    few = edges.filter("document < 100")
+    assert specs.closure(edges, few.select("document")).count() == 100 and any("Broadcast" in p for p in plans)
