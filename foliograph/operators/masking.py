@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from foliograph.workspace import bounded_batches
+from foliograph.workspace import bounded_batches, written
 
 _FENCE = re.compile(r" {0,3}(`{3,}|~{3,})")
 _TICKS = re.compile(r"`+")
@@ -106,8 +106,9 @@ def outside(found: DataFrame, spans: DataFrame, key: str) -> DataFrame:
 
 def replaced(texts: DataFrame, changes: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
     """texts in whose column ``text`` matches of the pattern become what changes (key, n, put) say, others stay; keys must be unique."""
-    some = texts.join(changes.select(key).distinct(), key, "left_semi")
-    every = some.select(key, F.explode(F.sequence(F.lit(0), F.regexp_count(F.col(text), F.lit(pattern)) - 1)).alias("n")).join(changes.select(key, "n", "put"), [key, "n"], "left")
+    changes = written(changes.select(key, "n", "put"), "changes")
+    some = texts.join(changes.select(key).distinct().hint("merge"), key, "left_semi")
+    every = some.select(key, F.explode(F.sequence(F.lit(0), F.regexp_count(F.col(text), F.lit(pattern)) - 1)).alias("n")).join(changes.hint("merge"), [key, "n"], "left")
     puts = every.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "put"))), lambda x: x["put"]).alias("__puts"))
     made = F.transform(_pieces(F.col(text), pattern), lambda x, i: F.concat(x["gap"], F.coalesce(F.get("__puts", i), x["found"], F.lit(""))))
     return texts.join(puts, key, "left").withColumn(text, F.when(F.col("__puts").isNotNull(), F.array_join(made, "")).otherwise(F.col(text))).drop("__puts")
@@ -136,7 +137,8 @@ def masked_code(texts: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _beside_code_and_tags(texts: DataFrame, key: str, text: str, pattern: str) -> DataFrame:
-    code = code_spans(texts, key, text)
+    # both are read more than once, and texts are far larger than the places in them
+    code = written(code_spans(texts, key, text), "code-spans")
     tags = outside(matches(texts, key, text, TAG), code, key)
     return outside(matches(texts, key, text, pattern), code.union(tags.select(key, "start", "end")), key)
 

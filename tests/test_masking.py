@@ -58,3 +58,22 @@ def test_very_long_texts(spark, text):
 def test_names_of_pictures(spark):
     named = {r["name"]: r["char"] for r in mk.unicode_emoji(spark).collect()}
     assert named["rocket"] == "🚀" and named["frame_with_picture"] == "🖼"
+
+
+def test_code_is_looked_for_once(spark):
+    """Places of code are needed for tags, for matches and for what they become, and each time are the same."""
+    looked = spark.sparkContext.accumulator(0)
+    before = mk.code_intervals
+
+    def counted(text):
+        looked.add(1)
+        return before(text)
+
+    mk.code_intervals = counted
+    try:
+        texts = spark.createDataFrame([(i, f"a {{x}} `{{y}}` <T a={{{i}}}> {{") for i in range(40)], "id long, text string")
+        got = [r["text"] for r in mk.with_literal_braces(texts, "id", "text").orderBy("id").collect()]
+    finally:
+        mk.code_intervals = before
+    assert got == [f"a \\{{x\\}} `{{y}}` <T a={{{i}}}> \\{{" for i in range(40)]
+    assert looked.value == 40
