@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +14,13 @@ MEDIA = (("image", r'(?i)<img\b[^>]*?\ssrc="([^"]*)"'), ("video", r'(?i)<video\b
 def references(pages: DataFrame) -> DataFrame:
     """page_id, kind, url: what pages (page_id, html) load; srcset counts each of its variants; data: addresses are left out."""
     html = F.coalesce("html", F.lit(""))
-    parts = [pages.select("page_id", F.lit(kind).alias("kind"), F.explode(F.regexp_extract_all(html, F.lit(p), F.lit(1))).alias("url")) for kind, p in MEDIA]
-    sets = pages.select("page_id", F.explode(F.regexp_extract_all(html, F.lit(r'(?i)\ssrcset="([^"]*)"'), F.lit(1))).alias("set"))
-    variant = F.explode(F.transform(F.split("set", r",\s+"), lambda v: F.regexp_extract(F.trim(v), r"^(\S+)", 1)))
-    parts.append(sets.select("page_id", F.lit("srcset").alias("kind"), variant.alias("url")))
-    found = reduce(DataFrame.unionByName, parts).withColumn("url", text.entities(F.trim("url")))
-    return found.filter("url <> '' AND NOT startswith(lower(url), 'data:')")
+    found = lambda p: F.regexp_extract_all(html, F.lit(p), F.lit(1))
+    of = lambda kind, found_: F.transform(found_, lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("url")))
+    variants = F.flatten(F.transform(found(r'(?i)\ssrcset="([^"]*)"'), lambda s: F.transform(F.split(s, r",\s+"), lambda v: F.regexp_extract(F.trim(v), r"^(\S+)", 1))))
+    # all kinds in one reading of the page
+    every = F.concat(*[of(kind, found(p)) for kind, p in MEDIA], of("srcset", variants))
+    rows = pages.select("page_id", F.explode(every).alias("x")).select("page_id", "x.kind", text.entities(F.trim("x.url")).alias("url"))
+    return rows.filter("url <> '' AND NOT startswith(lower(url), 'data:')")
 
 
 def missing_alt(pages: DataFrame) -> DataFrame:

@@ -69,7 +69,10 @@ def chrome_lines(copy: DataFrame, source: DataFrame) -> DataFrame:
     labels = F.transform(F.regexp_extract_all(nav, F.lit(r"(?is)<a\b[^>]*>(.*?)</a>"), F.lit(1)), lambda x: text.entities(x))
     own = F.split(text.visible(F.regexp_replace("html", inside, "\n")), "\n")
     s = source.select("page_id", labels.alias("labels"), own.alias("authored")).filter(F.size("labels") > 0)
-    lines = copy.select("page_id", F.split(text.visible(F.col("html")), "\n").alias("lines")).join(s, "page_id").select("page_id", "labels", "authored", F.posexplode("lines").alias("line_no", "line"))
-    bare = F.aggregate("labels", F.col("line"), lambda left, x: F.replace(left, x, F.lit("")))
-    hit = lines.filter((F.col("line") != "") & (F.regexp_replace(bare, r"[\s|·•/>»,-]+", "") == "") & ~F.array_contains("authored", F.col("line")))
-    return hit.select("page_id", "line_no", "line")
+    both = copy.select("page_id", F.split(text.visible(F.col("html")), "\n").alias("lines")).join(s, "page_id")
+    # nearly all lines are the author's, so each page's others are looked at once, where they are: no line takes its page along
+    bare = lambda line: F.aggregate("labels", line, lambda left, x: F.replace(left, x, F.lit("")))
+    chrome = F.filter(F.array_except("lines", "authored"), lambda x: (x != "") & (F.regexp_replace(bare(x), r"[\s|·•/>»,-]+", "") == ""))
+    numbered = F.transform("lines", lambda x, i: F.struct(i.alias("line_no"), x.alias("line")))
+    hit = both.select("page_id", "lines", chrome.alias("chrome")).select("page_id", F.explode(F.filter(numbered, lambda x: F.array_contains("chrome", x["line"]))).alias("x"))
+    return hit.select("page_id", "x.line_no", "x.line")

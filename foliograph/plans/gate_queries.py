@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliograph.operators import assets, findings, links, passages
 from foliograph.plans import gates
 from foliograph.plans.page_queries import sql_entities, sql_visible
-from foliograph.workspace import table
+from foliograph.workspace import table, written
 
 
 def _site(spark, d, damaged=False):
@@ -36,8 +36,9 @@ def _findings(spark, d, damaged):
     source = _site(spark, d)
     copy = _site(spark, d, damaged)
     copy = copy.filter("page_id % 10 <> 3") if damaged else _without_navigation(copy)
-    went = links.resolved(links.links(copy), copy)
-    references = assets.references(copy.select("page_id", "html"))
+    # what several gates look at is small beside the pages it is found in
+    went = written(links.resolved(links.links(copy), copy), "went")
+    references = written(assets.references(copy.select("page_id", "html")), "references")
     final = references.select("url").distinct().withColumn("final_url", F.concat(F.lit("https://cdn.example"), "url"))
     final = final.filter("url <> '/i/4.png'") if damaged else final
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("node_id"), "o_orderstatus", "o_orderpriority")
