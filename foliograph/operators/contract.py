@@ -123,8 +123,7 @@ def problems(pages: DataFrame, components: DataFrame, props: DataFrame) -> DataF
     residual-source-syntax (the first line of each dialect). Null pages count as empty; page_ids are unique. An import counts as one
     line."""
     p = pages.select("page_id", F.coalesce("mdx", F.lit("")).alias("mdx"))
-    masked = masking.masked_code(p, "page_id", "mdx").withColumnRenamed("mdx", "masked")
-    p = p.join(masked, "page_id").withColumn("front", _front_end(F.split("mdx", "\n", -1)))
+    p = masking.with_masked_code(p, "page_id", "mdx", "masked").withColumn("front", _front_end(F.split("mdx", "\n", -1)))
     # the front matter is no body: its lines are blanked as well, which keeps the places
     raw = F.split("masked", "\n", -1)
     scan = F.array_join(F.transform(raw, lambda x, i: F.when(i < F.col("front"), F.repeat(F.lit(" "), F.length(x))).otherwise(x)), "\n")

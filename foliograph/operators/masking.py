@@ -21,6 +21,8 @@ _TICKS = re.compile(r"`+")
 #: An opening, closing or empty tag.
 TAG = r"</?[A-Za-z][^<>]*>"
 _SHORTCODE = r"(?<![\w:/]):[a-z0-9][a-z0-9_+\\-]*:(?![\w:])"
+#: So many characters of texts are blanked at a time.
+PART = 1 << 20
 _LITERAL = r"(?<!\\)[{}]|(?m:^)(?:import|export)(?=\s)"
 
 
@@ -114,13 +116,16 @@ def replaced(texts: DataFrame, changes: DataFrame, key: str, text: str, pattern:
     return texts.join(puts, key, "left").withColumn(text, F.when(F.col("__puts").isNotNull(), F.array_join(made, "")).otherwise(F.col(text))).drop("__puts")
 
 
-def masked_code(texts: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text: the texts with blanks for the characters of code; lines and places stay. Null stays null."""
+def with_masked_code(texts: DataFrame, key: str, text: str, masked: str) -> DataFrame:
+    """key, text, masked: texts beside what they are with blanks for the characters of code; lines and places stay. Null stays null.
+
+    Texts without marks of code never leave the JVM; of the others as many are blanked at a time as make PART characters, so that a
+    worker's memory is that of a batch and a part, however many texts there are."""
+    t = texts.select(key, F.col(text).cast("string").alias(text))
+    has_marks = F.coalesce(F.col(text).contains("`") | F.col(text).contains("~~~"), F.lit(False))
     kind = texts.schema[key].dataType.simpleString()
 
-    def blanked(t: str | None) -> str | None:
-        if t is None:
-            return None
+    def blanked(t: str) -> str:
         parts, at = [], 0
         for a, b in code_intervals(t):
             parts += [t[at:a], re.sub(r"[^\n]", " ", t[a:b])]
@@ -131,9 +136,22 @@ def masked_code(texts: DataFrame, key: str, text: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([blanked(t.as_py()) for t in batch.column(1)], pa.string())], [key, text])
+            done, made, size = 0, [], 0
+            for i, t in enumerate(batch.column(1), 1):
+                made.append(blanked(t.as_py()))
+                size += len(made[-1])
+                if size >= PART or i == batch.num_rows:
+                    part = batch.slice(done, i - done)
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(made, pa.string())], [key, text, masked])
+                    done, made, size = i, [], 0
+
+    coded = bounded_batches(t.filter(has_marks)).mapInArrow(run, f"`{key}` {kind}, `{text}` string, `{masked}` string")
+    return coded.union(t.filter(~has_marks).withColumn(masked, F.col(text)))
 
-    return bounded_batches(texts.select(key, F.col(text).cast("string").alias(text))).mapInArrow(run, f"`{key}` {kind}, `{text}` string")
+
+def masked_code(texts: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text: see with_masked_code."""
+    return with_masked_code(texts, key, text, "__masked").select(key, F.col("__masked").alias(text))
 
 
 def _beside_code_and_tags(texts: DataFrame, key: str, text: str, pattern: str) -> DataFrame:

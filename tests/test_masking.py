@@ -77,3 +77,14 @@ def test_code_is_looked_for_once(spark):
         mk.code_intervals = before
     assert got == [f"a \\{{x\\}} `{{y}}` <T a={{{i}}}> \\{{" for i in range(40)]
     assert looked.value == 40
+
+
+def test_only_texts_with_code_are_masked_in_python(spark, tmp_path):
+    texts = [(1, None), (2, ""), (3, "plain ~~ text"), (4, "a `b` ü🚧\n~~~\nc\n~~~"), *[(k, f"`{'x' * 300_000}`y{k}") for k in range(5, 15)]]
+    spark.createDataFrame(texts, "id long, text string").coalesce(1).write.parquet(str(tmp_path / "texts"))
+    got = mk.with_masked_code(spark.read.parquet(str(tmp_path / "texts")), "id", "text", "masked")
+    want = {1: None, 2: "", 3: "plain ~~ text", 4: "a     ü🚧\n   \n \n   ", **{k: " " * 300_002 + f"y{k}" for k in range(5, 15)}}
+    rows = got.collect()
+    assert {r["id"]: r["masked"] for r in rows} == want and {r["id"]: r["text"] for r in rows} == dict(texts)
+    steps = got._jdf.queryExecution().executedPlan().toString().split("MapInArrow")
+    assert len(steps) == 2 and "Contains(text" in steps[1] and "Exchange" not in "".join(steps)
