@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -178,14 +180,27 @@ def pixels(value: Column) -> Column:
     return F.when((number != "") & (F.length(number) < 9) & ~number.rlike("^0+$"), number.cast("int"))
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, though lambdas in it name it for each of their elements."""
+    return F.get(F.transform(F.array(value), use), 0)
+
+
+def _share_held(parts: Column, held: Column) -> Column:
+    return _once(parts, lambda ps: F.when(F.size(ps) > 0, F.size(F.filter(ps, lambda p: held.contains(p))) / F.size(ps)).otherwise(0.0))
+
+
 def presence(passage: Column, rendered: Column, is_code: Column) -> Column:
-    """exact, respelled, altered or absent: how much of a passage is in a rendered text."""
-    bare, body = skeleton(passage), skeleton(rendered)
-    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.floor(F.length(bare) / 24) - 1, F.lit(0)).cast("int")), lambda k: F.substring(bare, k * 24 + 1, F.lit(24)))
-    share = F.size(F.filter(pieces, lambda p: body.contains(p))) / F.size(pieces)
-    words = F.filter(F.split(F.lower(passage), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    pairs = F.zip_with(F.slice(words, 1, F.greatest(F.size(words) - 1, F.lit(0))), F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(0))), lambda a, b: F.concat(a, b))
-    pair_share = F.when(F.size(pairs) > 0, F.size(F.filter(pairs, lambda p: body.contains(p))) / F.size(pairs)).otherwise(0.0)
-    code = F.when((F.length(body) >= 8) & bare.contains(body), "altered").when(pair_share >= 0.5, "altered").otherwise("absent")
-    text = F.when(F.length(bare) < 48, "absent").when(share >= 0.8, "altered").otherwise("absent")
-    return F.when(rendered.contains(passage), "exact").when(bare == "", "exact").when(body.contains(bare), "respelled").when(is_code, code).otherwise(text)
+    """exact, respelled, altered or absent: how much of a passage is in a rendered text. Skeletons are made once a row, and only if the
+    passage isn't there as it is."""
+
+    def judged(x: Column) -> Column:
+        bare, body = x["bare"], x["body"]
+        pieces = F.when(F.length(bare) < 24, F.array(bare)).otherwise(F.regexp_extract_all(bare, F.lit("(?s).{24}"), F.lit(0)))
+        words = F.filter(F.split(F.lower(passage), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+        pairs = _once(words, lambda ws: F.zip_with(F.slice(ws, 1, F.greatest(F.size(ws) - 1, F.lit(0))), F.slice(ws, 2, F.greatest(F.size(ws) - 1, F.lit(0))), lambda a, b: F.concat(a, b)))
+        code = F.when((F.length(body) >= 8) & bare.contains(body), "altered").when(_share_held(pairs, body) >= 0.5, "altered").otherwise("absent")
+        text = F.when(F.length(bare) < 48, "absent").when(_share_held(pieces, body) >= 0.8, "altered").otherwise("absent")
+        return F.when(bare == "", "exact").when(body.contains(bare), "respelled").when(is_code, code).otherwise(text)
+
+    both = F.struct(skeleton(passage).alias("bare"), skeleton(rendered).alias("body"))
+    return F.when(rendered.contains(passage), "exact").otherwise(_once(both, judged))

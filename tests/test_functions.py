@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from foliograph.functions import text, urls
@@ -82,3 +84,39 @@ def test_character_references(spark):
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(cases)], "id int, t string")
     got = rows.select("id", text.char_references(F.col("t")).alias("t")).orderBy("id").collect()
     assert [r["t"] for r in got] == list(cases.values())
+
+
+def test_presence_makes_each_skeleton_once(spark):
+    frame = spark.createDataFrame([("a", "b", True)], "p string, r string, c boolean")
+    plan = frame.select(text.presence(F.col("p"), F.col("r"), F.col("c")).alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("&#?[A-Za-z0-9]+;") == 2
+
+
+def test_presence_against_plain_python(spark):
+    def bare(t):
+        return "".join(c for c in t.lower() if c.isalnum())
+
+    def want(p, r, is_code):
+        b, body = bare(p), bare(r)
+        if p in r or not b:
+            return "exact"
+        if b in body:
+            return "respelled"
+        if is_code:
+            words = "".join(c if c.isalnum() else " " for c in p.lower()).split()
+            pairs = [x + y for x, y in zip(words, words[1:])]
+            return "altered" if len(body) >= 8 and body in b or pairs and sum(x in body for x in pairs) / len(pairs) >= 0.5 else "absent"
+        pieces = [b[k * 24 : k * 24 + 24] for k in range(max(len(b) // 24, 1))]
+        return "altered" if len(b) >= 48 and sum(x in body for x in pieces) / len(pieces) >= 0.8 else "absent"
+
+    random.seed(18)
+    cases = [(None, "x", True), ("x", None, False), (None, None, True), ("", "", False)]
+    for n in (1, 2, 3, 6, 8, 20, 60):
+        for k in range(16):
+            words = ["".join(random.choices("abé𐐨日1", k=random.randrange(1, 9))) for _ in range(n)]
+            left = [w for w in words if random.random() > 0.08 * (k % 4)]
+            cases.append((" ".join(words), random.choice((" ", "-", "")).join(left * (1 + k % 2) + ["end"]), k % 3 == 0))
+    frame = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, p string, r string, c boolean")
+    got = [r[0] for r in frame.select(text.presence(F.col("p"), F.col("r"), F.col("c")).alias("x"), "i").orderBy("i").collect()]
+    assert got[:4] == ["absent", "absent", "absent", "exact"]
+    assert got[4:] == [want(*c) for c in cases[4:]] and set(got) == {"exact", "respelled", "altered", "absent"}
