@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Latin letters with marks and what is left of them; ligatures and sharp s apart.
@@ -27,6 +27,15 @@ SECRETS = (
 )
 
 
+def with_parts(pages: DataFrame, **found: Callable[[Column, Column], Column]) -> DataFrame:
+    """pages with columns of what functions of their html (as it is, in lower case) find; columns that pages have already were found
+    before (operators.findings.parts) and stay."""
+    found = {name: f for name, f in found.items() if name not in pages.columns}
+    if not found:
+        return pages
+    return pages.withColumn("lower", F.lower("html")).withColumns({name: f(F.col("html"), F.col("lower")) for name, f in found.items()})
+
+
 def prose(text: Column) -> Column:
     """Straight quotes, ordinary spaces, no zero-width characters, single spaces."""
     plain = F.translate(F.translate(text, QUOTES_AND_SPACES, PLAIN_QUOTES_AND_SPACES), ZERO_WIDTH, "")

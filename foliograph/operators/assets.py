@@ -2,24 +2,31 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions import text, urls
 
 # Elements and attributes of HTML that load media.
 MEDIA = (("image", r'(?i)<img\b[^>]*?\ssrc="([^"]*)"'), ("video", r'(?i)<video\b[^>]*?\ssrc="([^"]*)"'), ("audio", r'(?i)<audio\b[^>]*?\ssrc="([^"]*)"'), ("source", r'(?i)<source\b[^>]*?\ssrc="([^"]*)"'), ("poster", r'(?i)\sposter="([^"]*)"'), ("frame", r'(?i)<iframe\b[^>]*?\ssrc="([^"]*)"'), ("social", r'(?i)<meta\b[^>]*property="og:image"[^>]*content="([^"]*)"'))
+SRCSET = r'(?i)\ssrcset="([^"]*)"'
+#: What a text must have, in lower case, for a pattern to match.
+MARKS = {p: {"image": "<img", "poster": 'poster="', "frame": "<iframe", "social": 'property="og:image"'}.get(kind, f"<{kind}") for kind, p in MEDIA} | {SRCSET: 'srcset="'}
+
+
+def media(html: Column, lower: Column) -> Column:
+    """kind, url of what HTML loads, as an array; patterns whose fixed part isn't in it (``lower``: it in lower case) aren't looked for."""
+    none = F.array().cast("array<string>")
+    found = lambda p: F.coalesce(F.when(F.contains(lower, F.lit(MARKS[p])), F.regexp_extract_all(html, F.lit(p), F.lit(1))), none)
+    of = lambda kind, found_: F.transform(found_, lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("url")))
+    variants = F.flatten(F.transform(found(SRCSET), lambda s: F.transform(F.split(s, r",\s+"), lambda v: F.regexp_extract(F.trim(v), r"^(\S+)", 1))))
+    return F.concat(*[of(kind, found(p)) for kind, p in MEDIA], of("srcset", variants))
 
 
 def references(pages: DataFrame) -> DataFrame:
     """page_id, kind, url: what pages (page_id, html) load; srcset counts each of its variants; data: addresses are left out."""
-    html = F.coalesce("html", F.lit(""))
-    found = lambda p: F.regexp_extract_all(html, F.lit(p), F.lit(1))
-    of = lambda kind, found_: F.transform(found_, lambda u: F.struct(F.lit(kind).alias("kind"), u.alias("url")))
-    variants = F.flatten(F.transform(found(r'(?i)\ssrcset="([^"]*)"'), lambda s: F.transform(F.split(s, r",\s+"), lambda v: F.regexp_extract(F.trim(v), r"^(\S+)", 1))))
     # all kinds in one reading of the page
-    every = F.concat(*[of(kind, found(p)) for kind, p in MEDIA], of("srcset", variants))
-    rows = pages.select("page_id", F.explode(every).alias("x")).select("page_id", "x.kind", text.entities(F.trim("x.url")).alias("url"))
+    rows = text.with_parts(pages, found_media=media).select("page_id", F.explode("found_media").alias("x")).select("page_id", "x.kind", text.entities(F.trim("x.url")).alias("url"))
     return rows.filter("url <> '' AND NOT startswith(lower(url), 'data:')")
 
 
@@ -52,15 +59,23 @@ def rewritten(references_: DataFrame, final: DataFrame, excluded: DataFrame) ->
     return r.select("page_id", "kind", "url", F.when(~F.coalesce("out", F.lit(False)), F.col("final_url")).alias("final_url"), status.alias("status"))
 
 
+def stated(html: Column, lower: Column) -> Column:
+    """canonical, description, robots, social_title as HTML has them, null or empty if it doesn't, as a struct; see media for ``lower``."""
+    found = lambda mark, before, after: F.when(F.contains(lower, F.lit(mark)), F.regexp_extract(html, rf'(?i)<{before}\b[^>]*\b{mark}[^>]*\b{after}="([^"]*)"', 1))
+    meta = {name: found(mark, "meta", "content") for name, mark in (("description", 'name="description"'), ("robots", 'name="robots"'), ("social_title", 'property="og:title"'))}
+    return F.struct(found('rel="canonical"', "link", "href").alias("canonical"), *[x.alias(name) for name, x in meta.items()])
+
+
 def seo(pages: DataFrame) -> DataFrame:
     """page_id, canonical, description, robots, social_title: what a page states of itself; a canonical address that is the page's own
     is none."""
-    meta = lambda key, name: F.nullif(text.entities(F.regexp_extract("html", rf'(?i)<meta\b[^>]*\b{key}="{name}"[^>]*\bcontent="([^"]*)"', 1)), F.lit(""))
-    canonical = F.nullif(text.entities(F.regexp_extract("html", r'(?i)<link\b[^>]*\brel="canonical"[^>]*\bhref="([^"]*)"', 1)), F.lit(""))
+    s = text.with_parts(pages, found_statements=stated)
+    said = lambda name: F.nullif(text.entities(F.col("found_statements")[name]), F.lit(""))
+    canonical = said("canonical")
     whole = F.when(canonical.startswith("/"), F.concat(urls.scheme(F.col("url")), F.lit("://"), urls.host(F.col("url")), canonical)).otherwise(canonical)
     own = F.concat(urls.host(F.col("url")), urls.page_path(urls.path(F.col("url"))))
     same = F.concat(urls.host(whole), urls.page_path(urls.path(whole))) == own
-    return pages.select("page_id", F.when(~same, whole).alias("canonical"), meta("name", "description").alias("description"), meta("name", "robots").alias("robots"), meta("property", "og:title").alias("social_title"))
+    return s.select("page_id", F.when(~same, whole).alias("canonical"), *[said(name).alias(name) for name in ("description", "robots", "social_title")])
 
 
 def metadata_changes(before: DataFrame, after: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliograph.functions import text
@@ -15,6 +15,22 @@ HELD = r"\[\[held:[^\]]*\]\]"
 CODE = r"(?is)<pre\b[^>]*>\s*(?:<code\b[^>]*>)?(.*?)(?:</code>\s*)?</pre>"
 
 
+def parts(pages: DataFrame, *names: str) -> DataFrame:
+    """page_id, url and all that is found in pages (page_id, url, html) by itself, or what ``names`` name, in one reading; stands for
+    the pages where links, headings, references, statements, code blocks and held blocks are looked at."""
+    found = {"found_hrefs": links.hrefs, "found_headings": links.headed, "found_codes": codes, "found_held": held, "found_media": assets.media, "found_statements": assets.stated}
+    found = {name: found[name] for name in names or found}
+    return text.with_parts(pages, **found).select("page_id", "url", *found)
+
+
+def codes(html: Column, _: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(CODE), F.lit(1))
+
+
+def held(html: Column, _: Column) -> Column:
+    return F.regexp_count(F.coalesce(html, F.lit("")), F.lit(HELD)).cast("long")
+
+
 def heading_differences(source: DataFrame, copy: DataFrame) -> DataFrame:
     """page_id, wanted, shown: pages (page_id, html) whose outline in the copy is another; a page without headings has none on either side."""
     one = lambda p, name: headings.outlines(links.headings(p)).select("page_id", F.col("outline").alias(name))
@@ -37,7 +53,7 @@ def headings_out_of_order(source: DataFrame, copy: DataFrame) -> DataFrame:
 
 def code_of(pages: DataFrame) -> DataFrame:
     """page_id, code_hash of the code blocks in pages (page_id, html): references decoded, outer blank lines gone."""
-    blocks = pages.select("page_id", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(CODE), F.lit(1))).alias("code"))
+    blocks = text.with_parts(pages, found_codes=codes).select("page_id", F.explode("found_codes").alias("code"))
     return blocks.select("page_id", F.sha2(F.trim(text.entities(F.regexp_replace("code", "<[^>]*>", "")), F.lit("\n\r ")), 256).alias("code_hash"))
 
 
@@ -53,7 +69,7 @@ def unproven(navigation: DataFrame) -> DataFrame:
 
 def placeholders(pages: DataFrame) -> DataFrame:
     """page_id, n: how many blocks a page (page_id, html) still holds back."""
-    return pages.select("page_id", F.regexp_count(F.coalesce("html", F.lit("")), F.lit(HELD)).cast("long").alias("n")).filter("n > 0")
+    return text.with_parts(pages, found_held=held).select("page_id", F.col("found_held").alias("n")).filter("n > 0")
 
 
 def authored_exclusions(excluded: DataFrame, by_rule: DataFrame, decided: DataFrame) -> DataFrame:

@@ -13,12 +13,17 @@ ANCHOR = r'<[a-zA-Z][^>]*\s(?:id|name)="([^"]*)"'
 HEADING = r"(?is)<h([1-6])[^>]*>(.*?)</h[1-6]>"
 
 
+def hrefs(html: Column, _: Column) -> Column:
+    """Addresses of links as they are written, with their quotes."""
+    return F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(HREF), F.lit(1))
+
+
 def links(pages: DataFrame, inside: str | None = None) -> DataFrame:
     """page_id, pos, href in order; ``inside`` narrows to an element, nav for instance. Pages without html have none."""
-    html = F.coalesce("html", F.lit(""))
     if inside:
-        html = F.array_join(F.regexp_extract_all(html, F.lit(rf"(?is)<{inside}\b[^>]*>(.*?)</{inside}>"), F.lit(1)), " ")
-    return pages.select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit(HREF), F.lit(1))).alias("pos", "href")).select("page_id", F.col("pos").cast("long").alias("pos"), text.entities(F.regexp_replace("href", r"""^(["'])(.*)\1$""", "$2")).alias("href"))
+        html = F.array_join(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(rf"(?is)<{inside}\b[^>]*>(.*?)</{inside}>"), F.lit(1)), " ")
+        pages = pages.select("page_id", html.alias("html"))
+    return text.with_parts(pages, found_hrefs=hrefs).select("page_id", F.posexplode("found_hrefs").alias("pos", "href")).select("page_id", F.col("pos").cast("long").alias("pos"), text.entities(F.regexp_replace("href", r"""^(["'])(.*)\1$""", "$2")).alias("href"))
 
 
 def routes(pages: DataFrame) -> DataFrame:
@@ -55,19 +60,24 @@ def broken(resolved_: DataFrame, written: DataFrame, source: DataFrame) -> DataF
     return missing.join(was, ["host", "route"], "left").select("page_id", "pos", "href", "host", "route", F.when(F.col("was"), "broken").otherwise("inherited").alias("status"))
 
 
+def headed(html: Column, _: Column) -> Column:
+    """Headings as they are written, with their tags; a page is read once for level and text."""
+    return F.regexp_extract_all(html, F.lit(HEADING), F.lit(0))
+
+
 def headings(pages: DataFrame) -> DataFrame:
     """page_id, pos, level, heading of the headings of each page, in order."""
-    found = F.arrays_zip(F.regexp_extract_all("html", F.lit(HEADING), F.lit(1)).alias("level"), F.regexp_extract_all("html", F.lit(HEADING), F.lit(2)).alias("inner"))
-    h = pages.select("page_id", F.posexplode(found).alias("pos", "h"))
-    return h.select("page_id", F.col("pos").cast("long").alias("pos"), F.col("h.level").cast("long").alias("level"), text.prose(text.entities(F.regexp_replace("h.inner", "<[^>]*>", ""))).alias("heading"))
+    h = text.with_parts(pages, found_headings=headed).select("page_id", F.posexplode("found_headings").alias("pos", "h"))
+    level, inner = (F.regexp_extract("h", HEADING, n) for n in (1, 2))
+    return h.select("page_id", F.col("pos").cast("long").alias("pos"), level.cast("long").alias("level"), text.prose(text.entities(F.regexp_replace(inner, "<[^>]*>", ""))).alias("heading"))
 
 
-def anchors(pages: DataFrame) -> DataFrame:
-    """page_id, anchor: ids and names of elements, and slugs of headings with -1, -2 for repeats."""
+def anchors(pages: DataFrame, headings_: DataFrame | None = None) -> DataFrame:
+    """page_id, anchor: ids and names of elements, and slugs of headings (of the pages, if not given) with -1, -2 for repeats."""
     from foliograph.operators.headings import numbered_slugs
 
     named = pages.select("page_id", F.explode(F.regexp_extract_all(F.coalesce("html", F.lit("")), F.lit(ANCHOR), F.lit(1))).alias("anchor"))
-    slugs = numbered_slugs(headings(pages)).select("page_id", F.col("slug").alias("anchor"))
+    slugs = numbered_slugs(headings(pages) if headings_ is None else headings_).select("page_id", F.col("slug").alias("anchor"))
     return named.union(slugs).filter("anchor <> ''").distinct()
 
 

@@ -36,9 +36,11 @@ def _findings(spark, d, damaged):
     source = _site(spark, d)
     copy = _site(spark, d, damaged)
     copy = copy.filter("page_id % 10 <> 3") if damaged else _without_navigation(copy)
-    # what several gates look at is small beside the pages it is found in
-    went = written(links.resolved(links.links(copy), copy), "went")
-    references = written(assets.references(copy.select("page_id", "html")), "references")
+    # what gates look at is small beside the pages it is found in; only text and anchors are looked for in the pages themselves
+    was = written(findings.parts(source, "found_headings", "found_codes", "found_statements"), "was")
+    shown = written(findings.parts(copy), "shown")
+    went = written(links.resolved(links.links(shown), shown), "went")
+    references = assets.references(shown)
     final = references.select("url").distinct().withColumn("final_url", F.concat(F.lit("https://cdn.example"), "url"))
     final = final.filter("url <> '/i/4.png'") if damaged else final
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("page_id"), F.col("o_orderkey").alias("node_id"), "o_orderstatus", "o_orderpriority")
@@ -48,14 +50,14 @@ def _findings(spark, d, damaged):
     return {
         "assets-ready": findings.unhosted(references, final, final.filter("url = '/i/5.png'")),
         "chrome-absent": findings.chrome_lines(copy, source),
-        "code-blocks-exact": passages.missing_code(findings.code_of(source).join(copy.select("page_id"), "page_id", "left_semi"), findings.code_of(copy)),
-        "fragments-resolve": links.lost_fragments(went, links.routes(copy), links.anchors(copy)),
-        "headings-sequence": findings.heading_differences(source, copy),
-        "html-reconciliation": findings.headings_out_of_order(source, copy),
-        "internal-links": links.broken(went, links.routes(copy), links.routes(source)).filter("status = 'broken'"),
+        "code-blocks-exact": passages.missing_code(findings.code_of(was).join(shown.select("page_id"), "page_id", "left_semi"), findings.code_of(shown)),
+        "fragments-resolve": links.lost_fragments(went, links.routes(shown), links.anchors(copy, links.headings(shown))),
+        "headings-sequence": findings.heading_differences(was, shown),
+        "html-reconciliation": findings.headings_out_of_order(was, shown),
+        "internal-links": links.broken(went, links.routes(shown), links.routes(was)).filter("status = 'broken'"),
         "no-authored-exclusions": findings.authored_exclusions(excluded, by_rule, decided),
-        "no-unresolved-blocks": findings.placeholders(copy),
-        "source-metadata-exact": assets.metadata_changes(assets.seo(source).join(copy.select("page_id"), "page_id", "left_semi"), assets.seo(copy)),
+        "no-unresolved-blocks": findings.placeholders(shown),
+        "source-metadata-exact": assets.metadata_changes(assets.seo(was).join(shown.select("page_id"), "page_id", "left_semi"), assets.seo(shown)),
         "source-navigation-proven": findings.unproven(nav),
     }
 
